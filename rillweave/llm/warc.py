@@ -116,6 +116,8 @@ def _record(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
     end = data.find(b"\r\n\r\n", line.end() - 2, at + _MAX_HEADER)
     if end < 0:
         raise Damaged("header doesn't end")
+    if _VERSION.search(data, line.end(), end + 2):
+        raise Damaged("a version line inside the header")
     headers = _fields([x for x in data[line.end() : end].split(b"\r\n") if x])
     if missing := [k for k in _REQUIRED if k not in headers]:
         raise Damaged(f"no {missing[0]}")
