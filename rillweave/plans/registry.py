@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import site_profile
+from . import content, crawl, site_profile
 
 FLAGSHIP = site_profile.host_profile
-QUERIES = dict(site_profile.QUERIES)
-ORACLE_SQL = dict(site_profile.ORACLE_SQL)
+QUERIES = {**site_profile.QUERIES, **crawl.QUERIES, **content.QUERIES}
+ORACLE_SQL = {**site_profile.ORACLE_SQL, **crawl.ORACLE_SQL, **content.ORACLE_SQL}
