@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 #: Hex digits of the digest that make the uniform number: 48 bits, exact in a double.
 _DIGITS = 12
 
@@ -65,7 +67,8 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, *, id_
     with the same id get the same count. The three added columns replace
     input columns of those names.
     """
-    rates = source_rates(docs, weights, source_col, text_col, total_bytes, temperature)
+    # Written first, so that its size is known when the join is planned.
+    rates = cut(source_rates(docs, weights, source_col, text_col, total_bytes, temperature), "rates")
     body = docs.drop("copy_no", "n_copies", "shuffle_key")
     # Rates have a row per source; the optimizer broadcasts them only if their size allows, and splits a hot source otherwise.
     joined = body.join(rates, F.col(f"`{source_col}`").eqNullSafe(F.col("mix_source")))
