@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, cut
+from .common import as_bytes, cut, small
 from .exact_dedup import in_filter, slot_filter
 
 _PLACE_BITS = 20
@@ -163,7 +163,7 @@ def repeated_spans(rows: DataFrame, units: Units, check: Check, *, keep_first: b
     spark, kind = rows.sparkSession, rows.schema["id"].dataType.simpleString()
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             for _, _, _, anchor in document_runs([Parsed(t, units) for t in as_bytes(batch.column(0))], units):
                 yield pa.RecordBatch.from_arrays([_signed(anchor), _signed(_second(anchor))], ["h1", "h2"])
 
@@ -181,7 +181,7 @@ def repeated_spans(rows: DataFrame, units: Units, check: Check, *, keep_first: b
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = np.frombuffer(seen.value, np.uint8)
-        for batch in batches:
+        for batch in small(batches):
             for which, lo, n, anchor, digest, _ in filtered(batch, bitmap):
                 own = batch.select([0, 1]).take(pa.array(which))
                 yield pa.RecordBatch.from_arrays([*own.columns, _signed(anchor), _signed(digest), pa.array(lo), pa.array(n.astype(np.int32))], ["id", "k", "a", "c", "lo", "n"])
@@ -217,7 +217,7 @@ def repeated_spans(rows: DataFrame, units: Units, check: Check, *, keep_first: b
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap, wanted = np.frombuffer(seen.value, np.uint8), np.frombuffer(sender.value, np.uint8)
         full = np.frombuffer(crowd.value, np.uint8)
-        for batch in batches:
+        for batch in small(batches):
             k = batch.column(1).to_numpy(zero_copy_only=False)
             for which, lo, n, anchor, digest, content in filtered(batch, bitmap):
                 h = _run_hash(anchor, digest, k[which], lo)

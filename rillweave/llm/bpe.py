@@ -20,6 +20,8 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import small
+
 _BOUNDARY = re.compile(r"[^\s][ \n]")
 
 
@@ -60,33 +62,41 @@ def _shared(spark: SparkSession, rank_file: str):
     return spark.sparkContext.broadcast(read_rank_file(rank_file))
 
 
-def bpe_encode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", *, long_text: int = 1 << 16, rows_per_batch: int = 256) -> DataFrame:
-    """id and ids (array of int) for each row; null counts as empty and gives no ids. Special tokens are ordinary text. Other columns are not carried."""
+def _kind(rows: DataFrame) -> str:
+    return rows.schema[0].dataType.simpleString()
+
+
+def bpe_encode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", *, long_text: int = 1 << 16, round_trip: bool = False) -> DataFrame:
+    """id and ids (array of int) for each row, and with round_trip decoded (binary): what those ids decode to.
+
+    Null counts as empty and gives no ids. Special tokens are ordinary text.
+    Rows are coded each on its own, so repeated ids and rows are fine. Other
+    columns are not carried.
+    """
     shared = _shared(docs.sparkSession, rank_file)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(shared.value, pattern)
-        for batch in batches:
-            for at in range(0, batch.num_rows, rows_per_batch):
-                part = batch.slice(at, rows_per_batch)
-                ids = [encode_text(enc, t or "", long_text) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32()))], [id_col, "ids"])
+        for part in small(batches, 128):
+            ids = [encode_text(enc, t or "", long_text) for t in part.column(1).to_pylist()]
+            columns = [part.column(0), pa.array(ids, pa.list_(pa.int32()))]
+            if round_trip:
+                columns.append(pa.array(map(enc.decode_bytes, ids), pa.binary()))
+            yield pa.RecordBatch.from_arrays(columns, [id_col, "ids", "decoded"][: len(columns)])
 
     rows = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return rows.mapInArrow(run, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, ids array<int>")
+    return rows.mapInArrow(run, f"`{id_col}` {_kind(rows)}, ids array<int>" + ", decoded binary" * round_trip)
 
 
-def bpe_decode(encoded: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", *, rows_per_batch: int = 256) -> DataFrame:
+def bpe_decode(encoded: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id") -> DataFrame:
     """id, ids and decoded (binary) for each row; null ids decode to no bytes."""
     shared = _shared(encoded.sparkSession, rank_file)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(shared.value, pattern)
-        for batch in batches:
-            for at in range(0, batch.num_rows, rows_per_batch):
-                part = batch.slice(at, rows_per_batch)
-                decoded = [enc.decode_bytes(ids or []) for ids in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(decoded, pa.binary())], [id_col, "ids", "decoded"])
+        for part in small(batches, 128):
+            decoded = pa.array([enc.decode_bytes(ids or []) for ids in part.column(1).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*part.columns, decoded], [id_col, "ids", "decoded"])
 
     rows = encoded.select(F.col(f"`{id_col}`"), "ids")
-    return rows.mapInArrow(run, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, ids array<int>, decoded binary")
+    return rows.mapInArrow(run, f"`{id_col}` {_kind(rows)}, ids array<int>, decoded binary")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -48,6 +51,18 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [v if v is not None else b"" for v in column.cast(pa.binary()).to_pylist()]
 
 
+def small(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of a few rows, so that few texts are Python objects at a time; at the end free memory goes back, since workers stay for other tasks."""
+    try:
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                yield batch.slice(at, rows)
+    finally:
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(AttributeError, OSError):  # only glibc has it
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def remove_spans(data: bytes, spans: list[tuple[int, int]]) -> bytes:
     """data without the half-open spans, which are sorted and disjoint."""
     kept, at = [], 0

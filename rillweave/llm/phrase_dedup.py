@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .anchors import Units, keyed, merged, repeated_spans, with_spans
-from .common import as_bytes
+from .common import as_bytes, small
 
 
 def passages(contexts: list[tuple[int, ...]], window: int) -> set[tuple[int, ...]]:
@@ -72,19 +72,17 @@ def phrase_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spans = repeated_spans(rows, units, _check, keep_first=False, filter_bits=filter_bits, hot=hot, batch_bytes=1 << 18)
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                words, found = [t.split() for t in as_bytes(part.column(1))], [merged(s) for s in part.column(2).to_pylist()]
-                kept = []
-                for w, spans in zip(words, found, strict=True):
-                    left, last = [], 0
-                    for a, b in spans:
-                        left += w[last:a]
-                        last = b
-                    kept.append(b" ".join(left + w[last:]).decode())
-                ranges = pa.array([[{"start": a, "end": b} for a, b in s] for s in found], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(w) for w in words], pa.int64()), ranges, pa.array(kept, pa.string())], [id_col, "n_words", "spans", "kept"])
+        for part in small(batches):
+            words, found = [t.split() for t in as_bytes(part.column(1))], [merged(s) for s in part.column(2).to_pylist()]
+            kept = []
+            for w, spans in zip(words, found, strict=True):
+                left, last = [], 0
+                for a, b in spans:
+                    left += w[last:a]
+                    last = b
+                kept.append(b" ".join(left + w[last:]).decode())
+            ranges = pa.array([[{"start": a, "end": b} for a, b in s] for s in found], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(w) for w in words], pa.int64()), ranges, pa.array(kept, pa.string())], [id_col, "n_words", "spans", "kept"])
 
     kind = rows.schema["id"].dataType.simpleString()
     return with_spans(rows, spans).mapInArrow(remove, f"`{id_col}` {kind}, n_words long, spans array<struct<start: bigint, end: bigint>>, kept string")

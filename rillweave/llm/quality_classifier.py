@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes
+from .common import as_bytes, small
 
 WINDOW = 2
 NONZERO = 4
@@ -84,7 +84,7 @@ def context_sums(docs: DataFrame, text_col: str, space: Space) -> np.ndarray:
                     for k in range(NONZERO):
                         total[:] += np.bincount(a * space.dim + places[b, k], signs[b, k], size)
 
-        for batch in batches:
+        for batch in small(batches):
             parts, held = [], 0
             for text in as_bytes(batch.column(0)):
                 words = text.lower().split()
@@ -226,7 +226,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, markers = space.dense(), space.markers()
-        for batch in batches:
+        for batch in small(batches):
             x = [pool(t, shared.value, index, markers).tobytes() for t in as_bytes(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.binary())], ["label", "x"])
 
@@ -247,7 +247,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, id_col, text_col, label_col, **options))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             p = shared.value.scores(as_bytes(batch.column(2)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(p), pa.array((p >= threshold).astype(np.int32))], [id_col, "held_out", "score", "predicted"])
 
@@ -261,7 +261,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     place = docs.columns.index(text_col)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             yield batch.filter(pa.array(shared.value.scores(as_bytes(batch.column(place))) >= threshold))
 
     return docs.mapInArrow(keep, docs.schema)

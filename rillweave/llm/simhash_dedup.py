@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, cut
+from .common import as_bytes, cut, small
 from .components import connected_components
 
 SEED = 42
@@ -58,7 +58,7 @@ def fingerprint(text: bytes, size: int = 3) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, size: int = 3) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             prints = [fingerprint(t, size) for t in as_bytes(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64())], ["id", "fp"])
 

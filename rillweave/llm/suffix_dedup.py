@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import Units, keyed, merged, repeated_spans, with_spans
-from .common import as_bytes, remove_spans
+from .common import as_bytes, remove_spans, small
 
 
 class SuffixOrder:
@@ -128,13 +128,11 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spans = repeated_spans(rows, units, _check(keep_first), keep_first=keep_first, filter_bits=filter_bits, hot=hot)
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                texts, found = as_bytes(part.column(1)), [merged(s) for s in part.column(2).to_pylist()]
-                ranges = pa.array([[{"start": a, "end": b} for a, b in s] for s in found], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
-                kept = pa.array([remove_spans(t, s) for t, s in zip(texts, found, strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(t) for t in texts], pa.int64()), ranges, kept], [id_col, "n_bytes", "spans", "kept"])
+        for part in small(batches):
+            texts, found = as_bytes(part.column(1)), [merged(s) for s in part.column(2).to_pylist()]
+            ranges = pa.array([[{"start": a, "end": b} for a, b in s] for s in found], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
+            kept = pa.array([remove_spans(t, s) for t, s in zip(texts, found, strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(t) for t in texts], pa.int64()), ranges, kept], [id_col, "n_bytes", "spans", "kept"])
 
     kind = rows.schema["id"].dataType.simpleString()
     return with_spans(rows, spans).mapInArrow(remove, f"`{id_col}` {kind}, n_bytes long, spans array<struct<start: bigint, end: bigint>>, kept binary")

@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small
+
 _UNIT = re.compile(r"\s*\S+|\s+")
 #: White space to Python but not to the splitter, or the reverse: such texts go to the library whole.
 _ODD = re.compile("[\x1c-\x1f\u180e]")
@@ -86,7 +88,7 @@ def frequent_units(docs: DataFrame, definition: str, text_col: str, *, table_siz
 
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         special, seen = special_pattern(definition), Counter()
-        for batch in batches:
+        for batch in small(batches):
             for text in batch.column(0).to_pylist():
                 if text:
                     seen.update(_UNIT.findall(special.sub(" ", text) if special else text))
@@ -121,7 +123,7 @@ def token_counts(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", t
         units = units.split("\x00") if isinstance(units, str) else units
         frequent = dict(zip(units, np.frombuffer(packed, np.uint16).tolist(), strict=False))
         counter = UnitCounter(text, frequent, cache_size)
-        for batch in batches:
+        for batch in small(batches):
             n = [counter.count(t) if t else 0 for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64())], [id_col, "n_bytes", "n_tokens"])
 

@@ -239,6 +239,8 @@ def test_bpe_round_trip(docs, none):
         coded = bpe.bpe_encode(docs, file, pattern, long_text=long_text)
         got = [(r.doc_id, r.ids, bytes(r.decoded)) for r in bpe.bpe_decode(coded, file, pattern).collect()]
         assert sorted(got, key=repr) == want
+        both = bpe.bpe_encode(docs, file, pattern, long_text=long_text, round_trip=True)
+        assert sorted(((r.doc_id, r.ids, bytes(r.decoded)) for r in both.collect()), key=repr) == want
     assert bpe.bpe_decode(bpe.bpe_encode(none, file, pattern), file, pattern).collect() == []
 
 
