@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillweave.llm.bpe import bpe_decode, bpe_encode
+from rillweave.llm.bpe import bpe_encode
 from rillweave.llm.common import cut
 from rillweave.llm.exact_dedup import exact_dedup
 from rillweave.llm.mixing import mix_sources
@@ -46,9 +46,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids, and whether they decode to the text's bytes, which are what training reads."""
+    """Token ids, the bytes they decode to, and how many there are; null texts have none."""
     ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    return bpe_decode(bpe_encode(docs, ranks, pattern), ranks, pattern).withColumn("n_tokens", F.size("ids").cast("long"))
+    return bpe_encode(docs, ranks, pattern, round_trip=True).withColumn("n_tokens", F.size("ids").cast("long"))
 
 
 STAGES = [("quality_classifier", quality), ("exact_dedup", exact), ("simhash_near_dedup", near), ("source_mixing", mix), ("bpe_encoding", encode)]
