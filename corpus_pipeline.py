@@ -28,11 +28,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the smallest doc_id stays; repeated rows leave one, rows of an id kept for another text stay with that text."""
-    judged = exact_dedup(docs).where("not kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
+    """Of equal texts the row with the smallest doc_id stays; rows that repeat its id and text stay with it, as do rows of null ids only. A row with a dropped row's id but another text is judged by its own text."""
+    judged = exact_dedup(docs).where("not (doc_id <=> keep_id)").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
     digest = F.sha2(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " "), 256)
-    kept = docs.select(COLUMNS).join(judged, F.col("doc_id").eqNullSafe(F.col("__id")) & (digest == F.col("__sha")), "left_anti")
-    return kept
+    return docs.select(COLUMNS).join(judged, F.col("doc_id").eqNullSafe(F.col("__id")) & (digest == F.col("__sha")), "left_anti")
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
