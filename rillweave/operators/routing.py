@@ -92,9 +92,9 @@ def session_stats(results: DataFrame) -> DataFrame:
 
 
 def combined_stats(results: DataFrame, queue: DataFrame, status: str = "completed") -> DataFrame:
-    """One row of structs: scraper and queue statistics, with the status."""
+    """One row of structs: session and queue statistics, with the status."""
     # Both sides have one row.
-    return session_stats(results).select(F.struct("*").alias("scraper")).join(F.broadcast(queue.select(F.struct("*").alias("queue")))).withColumn("status", F.lit(status))
+    return session_stats(results).select(F.struct("*").alias("session")).join(F.broadcast(queue.select(F.struct("*").alias("queue")))).withColumn("status", F.lit(status))
 
 
 def export_rows(results: DataFrame) -> DataFrame:
