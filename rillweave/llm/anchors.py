@@ -34,7 +34,7 @@ from .exact_dedup import in_filter, slot_filter
 
 _PLACE_BITS = 20
 _RUN = 1 << 18
-_ODD = np.uint64(0x9E3779B97F4A7C15)
+ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -138,7 +138,7 @@ def document_runs(docs: list[Parsed], units: Units) -> Iterator[tuple[np.ndarray
 
 
 def _second(anchor: np.ndarray) -> np.ndarray:
-    return mixed(anchor ^ _ODD)
+    return mixed(anchor ^ ODD)
 
 
 def _run_hash(anchor: np.ndarray, context: np.ndarray, k: np.ndarray, lo: np.ndarray) -> np.ndarray:

@@ -14,6 +14,11 @@ held by many is cut into blocks, and each pair of blocks is compared on its
 own, so no task holds an unbounded group; what a group gives is a spanning star
 of each cluster in it, not its pairs. Links lead to components as any set of
 all pairs would.
+
+Near copies of a Jaccard similarity of 0.8 differ in a sixth of the bits. No
+segments guarantee a shared key there, so similar_groups() takes a wider
+fingerprint, with many keys of five segments without a difference each, and
+prunes what shares a key by chains of words before the full check.
 """
 
 from __future__ import annotations
@@ -26,6 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .anchors import ODD, mixed
 from .common import as_bytes, cut, small
 from .components import connected_components
 
@@ -180,11 +186,167 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return rows.join(named, "fp").select(F.col("id").alias(id_col), hexed.alias("fingerprint"), "component_id")
 
 
+#: The wide fingerprint: 64 segments of 4 bits in four words. A key takes the segments at these places from its start on; marks of a Golomb ruler, so two keys share one segment at most.
+WORDS, SEGMENTS, RULER = 4, 64, (0, 1, 4, 9, 11)
+_NAMES = [f"w{i}" for i in range(WORDS)]
+_SHIFTS = np.arange(WORDS, dtype=np.uint64) * ODD
+
+
+def wide_fingerprint(text: bytes, size: int = 5) -> np.ndarray:
+    """A SimHash of 256 bits over the set of shingles, four words: a bit is set if it is set in over half of the hashes."""
+    hashes = np.unique(shingle_hashes(text, size))
+    ones = np.zeros(64 * WORDS, np.int64)
+    for at in range(0, len(hashes), _CHUNK // WORDS):
+        part = hashes[at : at + _CHUNK // WORDS]
+        spread = np.column_stack([mixed(part + shift) for shift in _SHIFTS]).astype("<u8")
+        ones += np.unpackbits(spread.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")
+
+
+def expected_distance(similarity: float) -> float:
+    """How many of the bits differ on average between shingle sets of one size with this Jaccard similarity."""
+    return 64 * WORDS * float(np.arccos(2 * similarity / (1 + similarity))) / np.pi
+
+
+def chain_keys(words: np.ndarray) -> np.ndarray:
+    """64 keys for each row of four words, numbered by start segment."""
+    octets = np.ascontiguousarray(words).astype("<u8").view(np.uint8).reshape(-1, 8 * WORDS).astype(np.int64)
+    segments = np.stack([octets & 15, octets >> 4], axis=2).reshape(-1, SEGMENTS)
+    keys = np.tile(np.arange(SEGMENTS) << (4 * len(RULER)), (len(words), 1))
+    for j, r in enumerate(RULER):
+        keys |= np.roll(segments, -r, axis=1) << (4 * j)
+    return keys
+
+
+def wide_linked(a: np.ndarray, b: np.ndarray, distance: int) -> np.ndarray:
+    """Whether pairs (the last axis has the words) pass the ring's chains of words and then the full check."""
+    differ = np.bitwise_count(a ^ b).astype(np.int64)
+    ring = np.concatenate([differ, differ], axis=-1)
+    budget = distance * np.arange(1, WORDS)
+    passed = np.zeros(differ.shape[:-1], bool)
+    for start in range(WORDS):
+        passed |= (WORDS * np.cumsum(ring[..., start : start + WORDS - 1], axis=-1) <= budget).all(axis=-1)
+    passed[passed] = differ[passed].sum(axis=-1) <= distance
+    return passed
+
+
+def _tree(words: np.ndarray, distance: int) -> Iterator[tuple[int, int]]:
+    """For a group that shares a key: links that span each cluster in it."""
+    n, left = len(words), np.ones(len(words), bool)
+    match = np.zeros((n, n), bool)
+    for at in range(0, n, 64):
+        match[at : at + 64] = wide_linked(words[at : at + 64, None], words[None], distance)
+    for root in range(n):
+        front = [root] if left[root] else []
+        left[root] = False
+        while front:
+            x = front.pop()
+            found = np.flatnonzero(match[x] & left)
+            left[found] = False
+            front += found.tolist()
+            yield from ((x, y) for y in found.tolist())
+
+
+def _node(words: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(words), np.uint64)
+    for i in range(WORDS):
+        out = mixed(out * ODD + words[:, i])
+    return out.view(np.int64)
+
+
+def find_similar(prints: DataFrame, distance: int, block: int) -> DataFrame:
+    """(u, v): links among distinct wide fingerprints (columns w0 to w3) that share a key and lie within distance, by node number."""
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small(batches):
+            words = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]).view(np.uint64)
+            repeat = np.repeat(words.view(np.int64), SEGMENTS, axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(chain_keys(words).ravel()), *(pa.array(repeat[:, i]) for i in range(WORDS))], ["key", *_NAMES])
+
+    keys = prints.select(_NAMES).mapInArrow(keyed, "key long, " + ", ".join(f"{w} long" for w in _NAMES))
+    # Written first, so that its size decides how it is joined.
+    crowds = cut(keys.groupBy("key").count().where(F.col("count") > block).select(F.col("key").alias("crowd"), F.ceil(F.col("count") / F.lit(block)).cast("int").alias("blocks")), "crowds")
+    rows = keys.join(crowds, F.col("key") == F.col("crowd"), "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    mine = F.pmod(F.xxhash64(*_NAMES), F.col("blocks").cast("long")).cast("int")
+    rows = rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("key", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"), *_NAMES)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+            """rows: whole groups, sorted; columns key, a, b, words."""
+            group = np.cumsum(np.r_[True, (rows[1:, :3] != rows[:-1, :3]).any(axis=1)]) - 1
+            sizes = np.bincount(group)
+            several = sizes[group] > 1
+            group, words = group[several], rows[several, 3:].view(np.uint64)
+            if not len(group):
+                return
+            left, right = [], []
+            few = sizes[group] <= 32
+            for d in range(1, min(32, int(sizes.max()))):
+                i = np.flatnonzero(few[:-d] & (group[:-d] == group[d:]))
+                i = i[wide_linked(words[i], words[i + d], distance)]
+                left.append(i)
+                right.append(i + d)
+            for g in np.unique(group[~few]):
+                at, end = np.searchsorted(group, [g, g + 1])
+                tree = np.array(list(_tree(words[at:end], distance)), np.int64).reshape(-1, 2) + at
+                left.append(tree[:, 0])
+                right.append(tree[:, 1])
+            nodes = _node(words)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[np.concatenate(x)]) for x in (left, right)], ["u", "v"])
+
+        held = np.zeros((0, 3 + WORDS), np.int64)
+        for batch in batches:
+            held = np.concatenate([held, np.column_stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])])
+            # The last group may go on in the next batch.
+            whole = int(np.argmax((held[:, :3] == held[-1, :3]).all(axis=1))) if len(held) else 0
+            if whole:
+                yield from out(held[:whole])
+                held = held[whole:]
+        if len(held):
+            yield from out(held)
+
+    dealt = rows.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b", *_NAMES)
+    return dealt.mapInArrow(compare, "u long, v long")
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 5, similarity: float = 0.8, slack: int = 5, block: int = 2048) -> DataFrame:
+    """id and component_id for each row: groups of texts whose shingle sets have about this Jaccard similarity or more.
+
+    Two texts are linked when their wide fingerprints share a key of five equal
+    segments and differ in at most the expected distance plus `slack` bits
+    (some standard deviation). Similarity is thus an estimate: see the README
+    for measured recall. component_id is the smallest id reachable. Null texts
+    are empty; texts without words are alike. Rows with null ids belong to
+    their group but don't name it; a group of null ids only has a null
+    component_id. Fingerprints are told apart by 64-bit numbers. Other columns
+    are not carried.
+    """
+    if not 0 < similarity <= 1:
+        raise ValueError("similarity must lie in (0, 1]")
+    distance = int(expected_distance(similarity)) + slack
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small(batches):
+            words = np.array([wide_fingerprint(t, shingle) for t in as_bytes(batch.column(1))], np.uint64).reshape(-1, WORDS)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_node(words)), *(pa.array(words[:, i].view(np.int64)) for i in range(WORDS))], ["id", "node", *_NAMES])
+
+    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    schema = f"id {texts.schema[0].dataType.simpleString()}, node long, " + ", ".join(f"{w} long" for w in _NAMES)
+    rows = cut(texts.mapInArrow(run, schema), "wide")
+    prints = rows.groupBy("node", *_NAMES).agg(F.min("id").alias("least_id"))
+    parts = cut(connected_components(find_similar(prints, distance, block)), "components")
+    labelled = prints.select("node", "least_id").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    names = labelled.groupBy("component").agg(F.min("least_id").alias("component_id"))
+    named = labelled.join(names, "component").select("node", "component_id")
+    return rows.join(named, "node").select(F.col("id").alias(id_col), "component_id")
+
+
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs without near duplicates: the row with the smallest id of each group stays, with all columns.
+    """docs without near duplicates: of each of the similar_groups the row with the smallest id stays, with all columns.
 
     Rows that share that smallest id all stay, as do all rows of a group with null ids only.
     """
-    groups = simhash_groups(docs, id_col, text_col, **options)
+    groups = similar_groups(docs, id_col, text_col, **options)
     stay = groups.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__stay")).distinct()
     return docs.join(stay, F.col(f"`{id_col}`").eqNullSafe(F.col("__stay")), "left_semi")

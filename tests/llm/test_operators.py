@@ -145,14 +145,105 @@ def test_pigeonring_prunes_no_link():
         assert any(simhash_dedup.linked(x, y, s, 3)[0] for s in range(4))
 
 
+def plain_wide(text, size=5):
+    """64 segments of 4 bits."""
+    full = (1 << 64) - 1
+
+    def mix(x):
+        x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & full
+        x = (x ^ (x >> 27)) * 0x94D049BB133111EB & full
+        return x ^ (x >> 31)
+
+    words = [w.encode() for w in words_of(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))]
+    shingles = {b" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))} if words else set()
+    hashes = {xxhash.xxh64_intdigest(s, 42) for s in shingles}
+    long = [sum(mix((h + i * 0x9E3779B97F4A7C15) & full) << (64 * i) for i in range(4)) for h in hashes]
+    bits = [2 * sum(h >> b & 1 for h in long) > len(long) for b in range(256)]
+    return tuple(sum(bits[4 * i + j] << j for j in range(4)) for i in range(64))
+
+
+def plain_similar(rows, texts, distance=43):
+    """The smallest id of each text's group, by a brute-force search."""
+    wide = {t: plain_wide(t) for t in set(texts)}
+    prints = sorted(set(wide.values()))
+    shared = lambda x, y: any(all(x[(i + r) % 64] == y[(i + r) % 64] for r in (0, 1, 4, 9, 11)) for i in range(64))
+    linked = lambda x, y: sum((p ^ q).bit_count() for p, q in zip(x, y, strict=True)) <= distance and shared(x, y)
+    left, label = set(prints), {}
+    while left:
+        part, front = set(), [left.pop()]
+        while front:
+            x = front.pop()
+            part.add(x)
+            near = {y for y in left if linked(x, y)}
+            left -= near
+            front += near
+        least = min((i for i, t in zip(rows, texts, strict=True) if wide[t] in part and i is not None), default=None)
+        label |= dict.fromkeys(part, least)
+    return [label[wide[t]] for t in texts]
+
+
+def near_copies(n=6):
+    """Families of texts that differ in some words, ids from 0."""
+    draw = random.Random(21)
+    say = lambda k: ["".join(draw.choices("abcdefgh", k=5)) for _ in range(k)]
+    out = []
+    for family in range(n):
+        base = say(300)
+        for _ in range(12):
+            own = list(base)
+            for at in draw.sample(range(300), draw.randint(0, 2 * family)):
+                own[at] = say(1)[0]
+            out.append(" ".join(own))
+    return out + [" ".join(say(200)) for _ in range(30)]
+
+
+@pytest.mark.parametrize("block", [5, 2048])
+def test_similar_groups(docs, none, spark, block):
+    rows = corpus()
+    want = sorted(zip([r[0] for r in rows], plain_similar([r[0] for r in rows], [r[1] for r in rows]), strict=True), key=repr)
+    assert collect(simhash_dedup.similar_groups(docs, block=block)) == want
+    texts = near_copies()
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    label = plain_similar(range(len(texts)), texts)
+    assert collect(simhash_dedup.similar_groups(frame, block=block)) == sorted(enumerate(label), key=repr)
+    assert len(set(label)) < 60 and label[-30:] == list(range(len(texts) - 30, len(texts)))
+    assert collect(simhash_dedup.similar_groups(none)) == []
+    with pytest.raises(ValueError):
+        simhash_dedup.similar_groups(docs, similarity=0)
+
+
+def test_pigeonring_prunes_no_wide_link():
+    draw = np.random.default_rng(2)
+    a = draw.integers(0, 1 << 63, (4000, 4), np.uint64)
+    b = a.copy()
+    for i, n in enumerate(draw.integers(0, 60, 4000)):
+        for bit in draw.choice(256, n, replace=False).tolist():
+            b[i, bit // 64] ^= np.uint64(1 << (bit % 64))
+    assert (simhash_dedup.wide_linked(a, b, 43) == (np.bitwise_count(a ^ b).sum(axis=1) <= 43)).all()
+
+
+def test_similar_texts_are_found():
+    """Two texts of which a few words differ, of similarity 0.8 to 0.95."""
+    draw, found, tried = random.Random(4), 0, 0
+    for _ in range(300):
+        words = ["".join(draw.choices("abcdefgh", k=5)) for _ in range(300)]
+        other = list(words)
+        for at in draw.sample(range(300), draw.randint(1, 6)):
+            other[at] = "other"
+        a, b = ({tuple(x[i : i + 5]) for i in range(296)} for x in (words, other))
+        if len(a & b) / len(a | b) >= 0.8:
+            tried += 1
+            x, y = (simhash_dedup.wide_fingerprint(" ".join(t).encode())[None] for t in (words, other))
+            found += bool(simhash_dedup.wide_linked(x, y, 43)[0] and (simhash_dedup.chain_keys(x) == simhash_dedup.chain_keys(y)).any())
+    assert tried > 200 and found >= 0.9 * tried
+
+
 def test_keep_one_of_each(docs):
-    got = simhash_dedup.keep_one_of_each(docs, shingle=5)
+    got = simhash_dedup.keep_one_of_each(docs)
     assert got.columns == docs.columns
     rows = corpus()
-    prints = [plain_fingerprint(r[1], 5) for r in rows]
-    label = plain_groups([r[0] for r in rows], prints, 3)
-    want = Counter(r[0] for r, p in zip(rows, prints, strict=True) if label[p] == r[0])
-    assert Counter(r.doc_id for r in got.collect()) == want
+    label = plain_similar([r[0] for r in rows], [r[1] for r in rows])
+    assert Counter(r.doc_id for r in got.collect()) == Counter(r[0] for r, x in zip(rows, label, strict=True) if x == r[0])
 
 
 def plain_spans(units, length):

@@ -12,7 +12,7 @@ import tiktoken
 
 import corpus_pipeline as pipeline
 from rillweave.llm import quality_classifier
-from test_operators import SPACE, plain_fingerprint, plain_groups
+from test_operators import SPACE, plain_similar
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -59,9 +59,8 @@ def test_stages(spark, folder, tmp_path):
 
     near = step("simhash_near_dedup", single)
     kept = list(rows_of(single))
-    prints = [plain_fingerprint(r[1], 5) for r in kept]
-    label = plain_groups([r[0] for r in kept], prints, 3)
-    assert rows_of(near) == Counter({r: rows_of(single)[r] for r, p in zip(kept, prints, strict=True) if label[p] == r[0]})
+    label = plain_similar([r[0] for r in kept], [r[1] for r in kept])
+    assert rows_of(near) == Counter({r: rows_of(single)[r] for r, x in zip(kept, label, strict=True) if x == r[0]})
 
     mixed = step("source_mixing", near)
     sizes = Counter()
