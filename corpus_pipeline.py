@@ -35,8 +35,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five-word shingles) the row with the smallest doc_id stays."""
-    return keep_one_of_each(docs.select(COLUMNS), shingle=5)
+    """Of each group of near duplicates (five-word shingles, similarity 0.8 or more) the row with the smallest doc_id stays."""
+    return keep_one_of_each(docs.select(COLUMNS), shingle=5, similarity=0.8)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
