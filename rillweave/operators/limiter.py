@@ -1,12 +1,17 @@
 """Politeness per domain and health per proxy, folded over logs.
 
-A key's log is ordered and folded by itself; that is sequential by nature, so
-the parallelism is over keys. Folds keep their state in a struct and give one
-row per event.
+Whether a request is admitted depends on all those before it, so a key's log is
+read in order by one task. It is never gathered: Spark sorts the partition,
+spilling where it must, and the fold holds one state and one batch. Health
+is made of parts that can be joined, so a hot proxy's log is dealt out by time.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,24 +20,45 @@ HALT_SECONDS = {"403": 60.0, "429": 60.0, "captcha": 120.0}
 OTHER_HALT = 60.0
 
 
-def _log(events: DataFrame, key: str, *fields: str) -> DataFrame:
-    return events.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("log"))
+def _in_order(events: DataFrame, key: str, time: str, order: str, others: list[str], start: tuple, step: Callable[..., tuple[tuple, tuple]], made: dict[str, str]) -> DataFrame:
+    """key, time, order and what step(state, time, *others) makes of each row, the rows of a key in order, beginning from start.
 
+    Rows of the same time and order come in order of the others; null keys are one key.
+    """
+    names, arrow = ["__key", "__time", "__order"], {"double": pa.float64(), "boolean": pa.bool_()}
+    rows = events.select(F.col(key).alias(names[0]), F.col(time).cast("double").alias(names[1]), F.col(order).cast("long").alias(names[2]), *(F.col(c).cast("double").alias(f"__{i}") for i, c in enumerate(others)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, state = None, start
+        for batch in batches:
+            out = []
+            for k, t, _, *more in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if at != (k,):
+                    at, state = (k,), start
+                state, got = step(state, t, *more)
+                out.append(got)
+            columns = zip(*out, strict=True) if out else [()] * len(made)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(c, arrow[kind]) for c, kind in zip(columns, made.values(), strict=True))], names=[*names, *made])
+
+    schema = f"__key {rows.schema['__key'].dataType.simpleString()}, __time double, __order long, " + ", ".join(f"{n} {kind}" for n, kind in made.items())
+    folded = rows.repartition("__key").sortWithinPartitions(*rows.columns).mapInArrow(run, schema)
+    return folded.select(F.col("__key").alias(key), F.col("__time").alias(time), F.col("__order").alias(order), *made)
 
-def token_bucket(requests: DataFrame, key: str = "domain", time: str = "ts", order: str = "seq", *, max_tokens: int = 5, refill_rate: float = 0.5) -> DataFrame:
-    """key, time, order, admitted and the tokens left for each request; a bucket starts full at its first one. time: seconds as double."""
-    row = "struct<t: double, o: bigint, ok: boolean, tokens: double>"
-    start = F.struct(F.lit(float(max_tokens)).alias("tokens"), F.lit(None).cast("double").alias("last"), F.array().cast(f"array<{row}>").alias("out"))
 
-    def step(acc: Column, e: Column) -> Column:
-        since = F.coalesce(e[time] - acc["last"], F.lit(0.0))
-        tokens = F.least(F.lit(float(max_tokens)), acc["tokens"] + since * refill_rate)
+def token_bucket(requests: DataFrame, key: str = "domain", time: str = "ts", order: str = "seq", *, max_tokens: int = 5, refill_rate: float = 0.5) -> DataFrame:
+    """key, time, order, admitted and the tokens left for each request; a bucket starts full at its first one. time: seconds as double; at a null one no time has passed."""
+    most = float(max_tokens)
+
+    def step(state: tuple, t: float | None) -> tuple[tuple, tuple]:
+        tokens, last = state
+        if t is not None:
+            tokens = min(most, tokens + (t - (t if last is None else last)) * refill_rate)
+            last = t
         ok = tokens >= 1
-        left = F.when(ok, tokens - 1).otherwise(tokens)
-        return F.struct(left.alias("tokens"), e[time].alias("last"), F.concat(acc["out"], F.array(F.struct(e[time].alias("t"), e[order].alias("o"), ok.alias("ok"), left.alias("tokens")))).alias("out"))
+        left = tokens - 1 if ok else tokens
+        return (left, last), (ok, left)
 
-    folded = _log(requests, key, time, order).select(key, F.explode(F.aggregate("log", start, step, lambda a: a["out"])).alias("e"))
-    return folded.select(key, F.col("e.t").alias(time), F.col("e.o").alias(order), F.col("e.ok").alias("admitted"), F.col("e.tokens").alias("tokens"))
+    return _in_order(requests, key, time, order, [], (most, None), step, {"admitted": "boolean", "tokens": "double"})
 
 
 def wait_for(tokens: Column, needed: int = 1, refill_rate: float = 0.5) -> Column:
@@ -57,22 +83,23 @@ def schedule(requests: DataFrame, key: str = "domain", time: str = "ts", order:
 
     delay: seconds to keep from the request before. halt: seconds that the
     answer to this request halts the domain, null for none. Time passed is
-    counted when the request goes out.
+    counted when the request goes out. A request of null time goes out as soon
+    as it may.
     """
-    row = "struct<t: double, o: bigint, at: double>"
-    start = F.struct(F.lit(float(max_tokens)).alias("tokens"), F.lit(None).cast("double").alias("last"), F.lit(0.0).alias("until"), F.array().cast(f"array<{row}>").alias("out"))
+    most = float(max_tokens)
 
-    def step(acc: Column, e: Column) -> Column:
-        free = F.greatest(e[time], acc["until"], F.coalesce(acc["last"], e[time]))
-        tokens = F.least(F.lit(float(max_tokens)), acc["tokens"] + F.coalesce(free - acc["last"], F.lit(0.0)) * refill_rate)
-        ready = free + wait_for(tokens, 1, refill_rate)
-        at = F.greatest(ready, F.coalesce(acc["last"] + e[delay], ready))
-        left = F.least(F.lit(float(max_tokens)), tokens + (at - free) * refill_rate) - 1
-        until = F.when(e[halt].isNotNull(), at + e[halt]).otherwise(acc["until"])
-        return F.struct(left.alias("tokens"), at.alias("last"), until.alias("until"), F.concat(acc["out"], F.array(F.struct(e[time].alias("t"), e[order].alias("o"), at.alias("at")))).alias("out"))
+    def step(state: tuple, t: float | None, wait: float | None, halted: float | None) -> tuple[tuple, tuple]:
+        tokens, last, until = state
+        since = (0.0 if t is None else t) if last is None else last
+        free = max(since, until, since if t is None else t)
+        tokens = min(most, tokens + (0.0 if last is None else free - last) * refill_rate)
+        at = free + (0.0 if tokens >= 1 else (1 - tokens) / refill_rate)
+        if last is not None and wait is not None:
+            at = max(at, last + wait)
+        left = min(most, tokens + (at - free) * refill_rate) - 1
+        return (left, at, until if halted is None else at + halted), (at,)
 
-    folded = _log(requests, key, time, order, delay, halt).select(key, F.explode(F.aggregate("log", start, step, lambda a: a["out"])).alias("e"))
-    return folded.select(key, F.col("e.t").alias(time), F.col("e.o").alias(order), F.col("e.at").alias("scheduled_at"))
+    return _in_order(requests, key, time, order, [delay, halt], (most, None, 0.0), step, {"scheduled_at": "double"})
 
 
 def domain_stats(events: DataFrame, key: str = "domain", now: float | None = None) -> DataFrame:
@@ -93,18 +120,50 @@ def proxy_health(outcomes: DataFrame, key: str = "proxy", *, max_failures: int =
 
     A success heals and resets; the average takes the first sample as it is and
     then four parts old to one part new, and an average of zero counts as unset.
+    Times are not negative. A null ok is a failure; a success of null time is no
+    sample. Of a stretch of the log it is enough to know the average that comes
+    of an unset one, and the factor and the summand for any other, so stretches
+    are folded apart and there are no more of them for a key than partitions.
     """
-    start = F.struct(F.lit(0).alias("fails"), F.lit(True).alias("healthy"), F.lit(0.0).alias("avg"), F.lit(0).alias("n"), F.lit(0).alias("good"))
-
-    def step(a: Column, e: Column) -> Column:
-        fails = F.when(e["ok"], 0).otherwise(a["fails"] + 1)
-        healthy = F.when(e["ok"], True).when(fails >= max_failures, False).otherwise(a["healthy"])
-        avg = F.when(~e["ok"] | e["response_time"].isNull(), a["avg"]).when(a["avg"] == 0, e["response_time"]).otherwise(a["avg"] * 0.8 + e["response_time"] * 0.2)
-        return F.struct(fails.alias("fails"), healthy.alias("healthy"), avg.alias("avg"), (a["n"] + 1).alias("n"), (a["good"] + e["ok"].cast("int")).alias("good"))
-
-    folded = _log(outcomes, key, "ts", "seq", "ok", "response_time").select(key, F.aggregate("log", start, step).alias("s"))
-    rate = F.when(F.col("s.n") == 0, F.lit(100.0)).otherwise(100.0 * F.col("s.good") / F.col("s.n"))
-    return folded.select(key, F.col("s.healthy").alias("is_healthy"), F.col("s.fails").alias("failure_count"), F.col("s.avg").alias("avg_response_time"), F.col("s.n").alias("total_requests"), rate.alias("success_rate"))
+    rows = outcomes.select(F.col(key).alias("k"), "ts", "seq", F.coalesce("ok", F.lit(False)).alias("ok"), F.col("response_time").cast("double").alias("took"))
+    names = ["k", "part", "n", "good", "fails", "unset", "factor", "summand"]
+
+    def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, at, kind = TaskContext.get().partitionId(), None, None
+        new = (0, 0, 0, 0.0, 1.0, 0.0)
+        n, good, fails, unset, factor, summand = new
+
+        def row() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(at, kind), *(pa.array([x]) for x in (part, n, good, fails, unset, factor, summand))], names=names)
+
+        for batch in batches:
+            kind = batch.schema.field(0).type
+            for k, ok, took in zip(*(batch.column(i).to_pylist() for i in (0, 3, 4)), strict=True):
+                if at != [k]:
+                    if at is not None:
+                        yield row()
+                    at, (n, good, fails, unset, factor, summand) = [k], new
+                n, good, fails = n + 1, good + ok, 0 if ok else fails + 1
+                if ok and took is not None:
+                    unset = took if unset == 0 else unset * 0.8 + took * 0.2
+                    factor, summand = factor * 0.8, summand * 0.8 + took * 0.2
+        if at is not None:
+            yield row()
+
+    kind = rows.schema["k"].dataType.simpleString()
+    dealt = rows.repartitionByRange("k", "ts", "seq").sortWithinPartitions("k", "ts", "seq", "ok", "took")
+    parts = dealt.mapInArrow(stretches, f"k {kind}, part long, n long, good long, fails long, unset double, factor double, summand double")
+    log = F.array_sort(F.collect_list(F.struct("part", "n", "good", "fails", "unset", "factor", "summand")))
+    start = F.struct(F.lit(0).cast("long").alias("fails"), F.lit(0.0).alias("avg"))
+
+    def join(a: Column, e: Column) -> Column:
+        fails = F.when(e["good"] > 0, e["fails"]).otherwise(a["fails"] + e["fails"])
+        avg = F.when(a["avg"] == 0, e["unset"]).otherwise(a["avg"] * e["factor"] + e["summand"])
+        return F.struct(fails.alias("fails"), avg.alias("avg"))
+
+    folded = parts.groupBy("k").agg(F.sum("n").alias("n"), F.sum("good").alias("good"), log.alias("log")).withColumn("s", F.aggregate("log", start, join))
+    healthy = (F.col("s.fails") == 0) | (F.col("s.fails") < max_failures)
+    return folded.select(F.col("k").alias(key), healthy.alias("is_healthy"), F.col("s.fails").cast("int").alias("failure_count"), F.col("s.avg").alias("avg_response_time"), F.col("n").cast("int").alias("total_requests"), (100.0 * F.col("good") / F.col("n")).alias("success_rate"))
 
 
 def pool_stats(health: DataFrame, strategy: str = "round_robin") -> DataFrame:

@@ -91,6 +91,27 @@ def test_limiter(spark):
     halted = spark.createDataFrame([("d", 0.0, 0, 3.0, 60.0), ("d", 1.0, 1, 3.0, None), ("d", 2.0, 2, 3.0, None)], "domain string, ts double, seq long, delay double, halt double")
     assert [r.scheduled_at for r in limiter.schedule(halted).orderBy("seq").collect()] == [0.0, 60.0, 63.0]
     assert 2 <= one(spark, "u", limiter.jitter) <= 5
+    odd = spark.createDataFrame([(None, None, 0, None, None), (None, None, 1, None, None), ("e", None, 0, None, None)], asked.schema)
+    assert sorted(r.tokens for r in limiter.token_bucket(odd).collect()) == [3.0, 4.0, 4.0]
+    assert [r.scheduled_at for r in limiter.schedule(odd).collect()] == [0.0] * 3
+    assert limiter.token_bucket(asked.limit(0)).collect() == limiter.schedule(asked.limit(0)).collect() == []
+
+
+def test_health_of_a_hot_proxy_dealt_out(spark):
+    rows = [("hot" if i % 5 else None, float(i // 3), i, None if i % 50 == 7 else i % 4 != 1 and i < 497, (i % 13) / 4 if i % 6 else None) for i in range(500)]
+    want = {}
+    for k, _, _, ok, took in rows:
+        n, good, fails, avg = want.get(k, (0, 0, 0, 0.0))
+        if ok and took is not None:
+            avg = took if avg == 0 else avg * 0.8 + took * 0.2
+        want[k] = (n + 1, good + bool(ok), 0 if ok else fails + 1, avg)
+    frame = spark.createDataFrame(rows, "proxy string, ts double, seq long, ok boolean, response_time double").repartition(3)
+    got = {r.proxy: r for r in limiter.proxy_health(frame).collect()}
+    assert got.keys() == want.keys()
+    for k, (n, good, fails, avg) in want.items():
+        assert (got[k].total_requests, got[k].failure_count, got[k].is_healthy) == (n, fails, fails < 3)
+        assert abs(got[k].success_rate - 100 * good / n) < 1e-9 and abs(got[k].avg_response_time - avg) < 1e-9
+    assert limiter.proxy_health(frame.limit(0)).collect() == []
 
 
 def test_validation(spark):
