@@ -64,6 +64,15 @@ def robots_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return robots.can_fetch(p, robots.rule_table(_host_robots(spark, sf_dir))).select("page_id", "url", "allowed", "crawl_delay")
 
 
+def robots_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The robots rows that are in force at two o'clock; hosts were asked every half hour, at a minute of their own."""
+    hosts = pages(spark, sf_dir).select(urls.domain(F.col("url")).alias("domain")).distinct()
+    turns = hosts.select("domain", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("turn"))
+    when = F.timestamp_seconds(F.lit(1_704_067_200) + F.col("turn") * 1800 + F.length("domain") * 60)
+    fetched = turns.select("domain", (F.col("turn") + 200).alias("status"), F.concat(F.lit("b"), F.col("turn").cast("string")).alias("body"), when.alias("fetched_at"))
+    return robots.snapshot(fetched, "timestamp_seconds(1704074400)", 3600)
+
+
 def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     return e.select(F.col("user_id").cast("string").alias("domain"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("ts"), F.col("event_id").alias("seq"), "event_type", "value")
@@ -74,6 +83,14 @@ def token_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("seq", "admitted")
 
 
+def request_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How long each request waits; every seventh halts its domain for ten hours."""
+    halt = F.when(F.col("seq") % 7 == 0, F.lit(36_000.0))
+    asked = _requests(spark, sf_dir).withColumn("delay", F.lit(7_200.0)).withColumn("halt", halt)
+    got = limiter.schedule(asked, max_tokens=2, refill_rate=5e-6)
+    return got.select("seq", F.round(F.col("scheduled_at") - F.col("ts"), 3).alias("waits"))
+
+
 def limiter_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _requests(spark, sf_dir)
     reason = F.when(F.col("seq") % 7 == 0, "403").when(F.col("seq") % 7 == 1, "captcha").when(F.col("seq") % 7 == 2, "other")
@@ -133,6 +150,12 @@ def session_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routing.session_stats(got).drop("success_rate")
 
 
+def page_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The result row of each page: held ones from the store, others by their route."""
+    got = routing.process(pages(spark, sf_dir).select("url"), _fetches(spark, sf_dir), _store_log(spark, sf_dir))
+    return got.select("url", "success", "status_code", "error", "response_time", "route")
+
+
 def resource_blocking(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(F.col("page_id") % 4 == 0, "image").when(F.col("page_id") % 4 == 1, "script").when(F.col("page_id") % 4 == 2, "font").otherwise("document")
     url = F.when(F.col("page_id") % 6 == 1, F.concat("url", F.lit("/Analytics.js"))).otherwise(F.col("url"))
@@ -148,7 +171,7 @@ _ROUTES = f"""{site_profile._SPA}, f AS (SELECT page_id, html, (CASE page_id % 1
   r AS (SELECT page_id, html, status, CASE WHEN status = 200 AND {_QUICK} THEN 'browser' WHEN status = 200 THEN 'http' WHEN status IN (403, 429) THEN 'browser' ELSE 'failed' END AS route FROM f)"""
 _SEQ = "SELECT user_id::VARCHAR AS k, epoch_us(ts) / 1e6::DOUBLE AS t, event_id AS seq, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events"
 
-QUERIES = {f.__name__: f for f in (frontier_disposition, frontier_stats, frontier_order, frontier_seen, robots_filter, token_bucket, limiter_stats, proxy_health, proxy_pool_stats, round_robin, store_current, store_stats, cache_split, fetch_routes, session_stats, resource_blocking)}
+QUERIES = {f.__name__: f for f in (frontier_disposition, frontier_stats, frontier_order, frontier_seen, robots_filter, robots_snapshot, token_bucket, request_schedule, limiter_stats, proxy_health, proxy_pool_stats, round_robin, store_current, store_stats, cache_split, fetch_routes, session_stats, page_results, resource_blocking)}
 _HEALTH = f"""WITH RECURSIVE e AS ({_SEQ}), w AS (
       SELECT k, n, CASE WHEN seq % 3 = 0 THEN 0 ELSE 1 END AS fails, true AS healthy, CASE WHEN seq % 3 = 0 THEN seq % 11 / 4.0::DOUBLE ELSE 0.0::DOUBLE END AS a, CASE WHEN seq % 3 = 0 THEN 1 ELSE 0 END AS good FROM e WHERE n = 1
       UNION ALL
@@ -166,12 +189,24 @@ ORACLE_SQL = {
     "robots_filter": f"""WITH p AS (SELECT page_id, {site_profile._DOMAIN} AS host, x AS path FROM pages, unnest(['/en/a?b=1', '/fr/ü', '', '/x']) AS u(x))
         SELECT page_id, 'https://' || host || path AS url, CASE length(host) % 5 WHEN 0 THEN path = '/en/a?b=1' WHEN 2 THEN path <> '/fr/ü' WHEN 4 THEN false ELSE true END AS allowed,
                CASE WHEN length(host) % 5 = 2 THEN 3.0::DOUBLE END AS crawl_delay FROM p""",
+    "robots_snapshot": f"""WITH h AS (SELECT DISTINCT {site_profile._DOMAIN} AS domain FROM pages),
+        f AS (SELECT domain, turn, 1704067200 + turn * 1800 + length(domain) * 60 AS fetched FROM h, unnest(generate_series(0, 4)) AS u(turn)),
+        r AS (SELECT domain, max(turn) AS turn FROM f WHERE fetched <= 1704074400 AND fetched > 1704074400 - 3600 GROUP BY domain)
+        SELECT domain, (turn + 200)::INTEGER AS status, 'b' || turn AS body FROM r""",
     "token_bucket": f"""WITH RECURSIVE e AS ({_SEQ}), w AS (
           SELECT k, n, seq, t, 1.0::DOUBLE AS tokens, true AS admitted FROM e WHERE n = 1
           UNION ALL
           SELECT k, n, seq, t, CASE WHEN now >= 1 THEN now - 1 ELSE now END, now >= 1
           FROM (SELECT e.k, e.n, e.seq, e.t, least(2.0::DOUBLE, w.tokens + (e.t - w.t) * 0.000005::DOUBLE) AS now FROM w JOIN e ON e.k = w.k AND e.n = w.n + 1))
         SELECT seq, admitted FROM w""",
+    "request_schedule": f"""WITH RECURSIVE e AS (SELECT *, CASE WHEN seq % 7 = 0 THEN 36000.0::DOUBLE END AS halt FROM ({_SEQ})), w AS (
+          SELECT k, n, seq, t, t AS sent, 1.0::DOUBLE AS tokens, coalesce(t + halt, 0.0::DOUBLE) AS until FROM e WHERE n = 1
+          UNION ALL
+          SELECT k, n, seq, t, sent, least(2.0::DOUBLE, tokens + (sent - free) * 0.000005::DOUBLE) - 1, coalesce(sent + halt, until)
+          FROM (SELECT *, greatest(free + CASE WHEN tokens >= 1 THEN 0.0::DOUBLE ELSE (1 - tokens) / 0.000005::DOUBLE END, last + 7200.0::DOUBLE) AS sent
+            FROM (SELECT *, least(2.0::DOUBLE, had + (free - last) * 0.000005::DOUBLE) AS tokens
+              FROM (SELECT e.k, e.n, e.seq, e.t, e.halt, w.until, w.sent AS last, w.tokens AS had, greatest(e.t, w.until, w.sent) AS free FROM w JOIN e ON e.k = w.k AND e.n = w.n + 1))))
+        SELECT seq, round(sent - t, 3) AS waits FROM w""",
     "limiter_stats": f"""WITH e AS ({_SEQ}), h AS (SELECT *, CASE seq % 7 WHEN 0 THEN 60.0 WHEN 1 THEN 120.0 WHEN 2 THEN 60.0 END AS halt FROM e),
         o AS (SELECT k, max(n) FILTER (seq % 7 = 5) AS last_ok, max(t) AS last_seen, coalesce(arg_max(t + halt, n) FILTER (halt IS NOT NULL), 0.0) AS until FROM h GROUP BY k)
         SELECT h.k AS domain, round(any_value(until)::DOUBLE, 3) AS halted_until, count(*) FILTER (halt IS NOT NULL AND (last_ok IS NULL OR n > last_ok)) AS consecutive_errors, any_value(until) > any_value(last_seen) AS is_halted
@@ -186,6 +221,9 @@ ORACLE_SQL = {
     "session_stats": f"""WITH {_ROUTES} SELECT count(*) AS urls_processed, count(*) FILTER (page_id % 10 <> 0 OR status = 200) AS urls_successful, count(*) FILTER (page_id % 10 = 0 AND status <> 200) AS urls_failed,
         coalesce(sum(strlen(html)) FILTER (page_id % 10 = 0 AND status = 200), 0)::BIGINT AS bytes_downloaded, coalesce(sum(length(html)) FILTER (page_id % 10 = 0 AND status = 200), 0)::BIGINT AS chars_downloaded,
         count(*) FILTER (page_id % 10 = 0 AND route = 'browser') AS browser_fetches, count(*) FILTER (page_id % 10 = 0 AND route = 'http') AS http_fetches FROM r""",
+    "page_results": f"""WITH {_ROUTES} SELECT p.url, p.page_id % 10 <> 0 OR status = 200 AS success, CASE WHEN p.page_id % 10 <> 0 THEN 0 ELSE status END::INTEGER AS status_code,
+        CASE WHEN p.page_id % 10 <> 0 OR status = 200 THEN NULL WHEN status = 0 THEN 'Request timed out' ELSE 'HTTP ' || status END AS error,
+        CASE WHEN p.page_id % 10 <> 0 THEN 0.0::DOUBLE ELSE 0.5::DOUBLE END AS response_time, CASE WHEN p.page_id % 10 <> 0 THEN 'cache' ELSE route END AS route FROM r JOIN pages p USING (page_id)""",
     "resource_blocking": """WITH p AS (SELECT page_id, lower(CASE WHEN page_id % 6 = 1 THEN url || '/Analytics.js' ELSE url END) AS u FROM pages)
         SELECT page_id, page_id % 4 IN (0, 2) OR contains(u, 'google-analytics.com') OR contains(u, 'googletagmanager.com') OR contains(u, 'facebook.com') OR contains(u, 'doubleclick.net') OR contains(u, 'analytics.') OR contains(u, 'tracker.') OR contains(u, 'ads.') AS blocked FROM p""",
 }
