@@ -170,7 +170,7 @@ def base_counts(text: bytes) -> tuple[int, int, int, int, int]:
     return len(words), int(np.count_nonzero((solid & 0xC0) != 0x80)), len(text) - len(text.translate(None, SYMBOLS)), lines.total() - len(lines), repeated_words(words)
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, order: int = 4, fence: float = 3.0, least_spread: float = 0.05, min_words: int = 50, max_repeat_percent: int = 50) -> DataFrame:
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, order: int = 4, fence: float = 1.5, least_spread: float = 0.05, min_words: int = 50, max_repeat_percent: int = 50) -> DataFrame:
     """id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept and log_perplexity for each row.
 
     A row fails the base rules with fewer than min_words words or with over

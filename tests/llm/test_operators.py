@@ -485,6 +485,25 @@ def test_perplexity_bands_reject_strange_text(spark):
     assert not got[500].kept and all(got[i].kept for i in range(200))
 
 
+def test_perplexity_bands_reject_planted_junk(spark):
+    """Of rows with common and rare words: those with junk in them leave by the upper band, one of common words only by the lower."""
+    draw = random.Random(5)
+    vocabulary = ["".join(draw.choices("abcdefghijklmnoprstu", k=draw.randint(3, 9))) for _ in range(400)]
+    say = lambda k: draw.choices(vocabulary, [1 / (i + 1) for i in range(400)], k=k)
+    junk = lambda words, share: " ".join(w[:4] + draw.choice(["###", "$$$", "%%%"]) if draw.random() < share else w for w in words)
+    rows = [(i, " ".join(say(150)), "x") for i in range(300)] + [(1000 + i, junk(say(150), 0.3), "x") for i in range(5)]
+    rows += [(2000, " ".join(draw.choices(vocabulary[:12], k=150)), "x")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in perplexity_rules.quality_rules(frame).collect()}
+    middle = np.median([r.log_perplexity for r in got.values()])
+    assert not any(r.base_failed for r in got.values())
+    assert not got[2000].kept and got[2000].log_perplexity < middle
+    assert all(not got[1000 + i].kept and got[1000 + i].log_perplexity > middle for i in range(5))
+    assert sum(got[i].kept for i in range(300)) >= 294
+    wide = {r.doc_id: r.kept for r in perplexity_rules.quality_rules(frame, fence=3.0).collect()}
+    assert any(wide[1000 + i] for i in range(5))
+
+
 def test_quality_classifier(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
