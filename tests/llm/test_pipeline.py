@@ -91,3 +91,9 @@ def test_run_and_empty_tables(spark, folder, tmp_path):
     for name in ("documents", "labels"):
         spark.read.parquet(f"{folder}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     assert pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_exact_keeps_one_row_of_null_ids(spark):
+    rows = [(None, "a  b", "en", "x", 4), (None, "a b", "en", "y", 3), (None, "a b", "en", "y", 3), (None, "c", "en", "x", 1), (2, "c", "en", "x", 1), (7, "d", "en", "x", 1)]
+    got = [tuple(r) for r in pipeline.exact(spark, spark.createDataFrame(rows, SCHEMA), "").collect()]
+    assert sorted(r for r in got if r[0]) == sorted(rows[4:]) and len([r for r in got if r[0] is None and r[1] != "c"]) == 1 and len(got) == 3
