@@ -16,7 +16,7 @@ from rillweave.llm.common import cut
 from rillweave.llm.exact_dedup import exact_dedup
 from rillweave.llm.mixing import mix_sources
 from rillweave.llm.quality_classifier import keep_good
-from rillweave.llm.simhash_dedup import keep_one_of_each
+from rillweave.llm.simhash_dedup import keep_one_confirmed
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -39,8 +39,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five-word shingles, similarity 0.8 or more) the row with the smallest doc_id stays."""
-    return keep_one_of_each(docs.select(COLUMNS), shingle=5, similarity=0.8)
+    """Of each group of near duplicates (Jaccard similarity of five-word shingle sets 0.8 or more, confirmed) the row with the smallest doc_id stays."""
+    return keep_one_confirmed(docs.select(COLUMNS), shingle=5, similarity=0.8)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

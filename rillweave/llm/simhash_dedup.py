@@ -18,7 +18,9 @@ all pairs would.
 Near copies of a Jaccard similarity of 0.8 differ in a sixth of the bits. No
 segments guarantee a shared key there, so similar_groups() takes a wider
 fingerprint, with many keys of five segments without a difference each, and
-prunes what shares a key by chains of words before the full check.
+prunes what shares a key by chains of words before the full check. That is an
+estimate; confirmed_groups() uses a looser one, with more and shorter keys, to
+find families only, and links texts of a family by their shingle sets.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import ODD, mixed
@@ -188,13 +190,18 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 #: The wide fingerprint: 64 segments of 4 bits in four words. A key takes the segments at these places from its start on; marks of a Golomb ruler, so two keys share one segment at most.
 WORDS, SEGMENTS, RULER = 4, 64, (0, 1, 4, 9, 11)
+#: Keys of four segments for families: a pair that differs in 0.15 of the bits, as at a similarity of 0.8, shares one of the 128 in 99.5 % of cases.
+FAMILY_RULERS = ((0, 1, 4, 6), (0, 7, 20, 37))
 _NAMES = [f"w{i}" for i in range(WORDS)]
 _SHIFTS = np.arange(WORDS, dtype=np.uint64) * ODD
 
 
 def wide_fingerprint(text: bytes, size: int = 5) -> np.ndarray:
     """A SimHash of 256 bits over the set of shingles, four words: a bit is set if it is set in over half of the hashes."""
-    hashes = np.unique(shingle_hashes(text, size))
+    return wide_print(np.unique(shingle_hashes(text, size)))
+
+
+def wide_print(hashes: np.ndarray) -> np.ndarray:
     ones = np.zeros(64 * WORDS, np.int64)
     for at in range(0, len(hashes), _CHUNK // WORDS):
         part = hashes[at : at + _CHUNK // WORDS]
@@ -208,14 +215,17 @@ def expected_distance(similarity: float) -> float:
     return 64 * WORDS * float(np.arccos(2 * similarity / (1 + similarity))) / np.pi
 
 
-def chain_keys(words: np.ndarray) -> np.ndarray:
-    """64 keys for each row of four words, numbered by start segment."""
+def chain_keys(words: np.ndarray, rulers: tuple[tuple[int, ...], ...] = (RULER,)) -> np.ndarray:
+    """64 keys a ruler for each row of four words, numbered by ruler and start segment."""
     octets = np.ascontiguousarray(words).astype("<u8").view(np.uint8).reshape(-1, 8 * WORDS).astype(np.int64)
     segments = np.stack([octets & 15, octets >> 4], axis=2).reshape(-1, SEGMENTS)
-    keys = np.tile(np.arange(SEGMENTS) << (4 * len(RULER)), (len(words), 1))
-    for j, r in enumerate(RULER):
-        keys |= np.roll(segments, -r, axis=1) << (4 * j)
-    return keys
+    keys = []
+    for n, ruler in enumerate(rulers):
+        own = np.tile((np.arange(SEGMENTS) + n * SEGMENTS) << (4 * len(ruler)), (len(words), 1))
+        for j, r in enumerate(ruler):
+            own |= np.roll(segments, -r, axis=1) << (4 * j)
+        keys.append(own)
+    return np.concatenate(keys, axis=1)
 
 
 def wide_linked(a: np.ndarray, b: np.ndarray, distance: int) -> np.ndarray:
@@ -254,14 +264,14 @@ def _node(words: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def find_similar(prints: DataFrame, distance: int, block: int) -> DataFrame:
+def find_similar(prints: DataFrame, distance: int, block: int, rulers: tuple[tuple[int, ...], ...] = (RULER,)) -> DataFrame:
     """(u, v): links among distinct wide fingerprints (columns w0 to w3) that share a key and lie within distance, by node number."""
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
             words = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]).view(np.uint64)
-            repeat = np.repeat(words.view(np.int64), SEGMENTS, axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(chain_keys(words).ravel()), *(pa.array(repeat[:, i]) for i in range(WORDS))], ["key", *_NAMES])
+            repeat = np.repeat(words.view(np.int64), SEGMENTS * len(rulers), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(chain_keys(words, rulers).ravel()), *(pa.array(repeat[:, i]) for i in range(WORDS))], ["key", *_NAMES])
 
     keys = prints.select(_NAMES).mapInArrow(keyed, "key long, " + ", ".join(f"{w} long" for w in _NAMES))
     # Written first, so that its size decides how it is joined.
@@ -350,3 +360,122 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     groups = similar_groups(docs, id_col, text_col, **options)
     stay = groups.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__stay")).distinct()
     return docs.join(stay, F.col(f"`{id_col}`").eqNullSafe(F.col("__stay")), "left_semi")
+
+
+def jaccard_links(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links that span each cluster of the sets (sorted, distinct hashes) whose pairs have this Jaccard similarity or more; empty sets link to none."""
+    full = np.flatnonzero([len(x) > 0 for x in sets])
+    if len(full) < 2:
+        return []
+    sizes = np.array([len(sets[i]) for i in full], np.int64)
+    codes = np.unique(np.concatenate([sets[i] for i in full]), return_inverse=True)[1]
+    starts = np.cumsum(sizes) - sizes
+    mark, left, links = np.zeros(int(codes.max()) + 1, bool), np.ones(len(full), bool), []
+    for root in range(len(full)):
+        front = [root] if left[root] else []
+        left[root] = False
+        while front and left.any():
+            x = front.pop()
+            own = codes[starts[x] : starts[x] + sizes[x]]
+            mark[own] = True
+            common = np.add.reduceat(mark[codes], starts, dtype=np.int64)
+            mark[own] = False
+            found = np.flatnonzero(left & (common >= similarity * (sizes + sizes[x] - common) - 1e-9))
+            left[found] = False
+            front += found.tolist()
+            links += [(int(full[x]), int(full[y])) for y in found.tolist()]
+    return links
+
+
+def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs with __h1 and __h2, which tell apart texts of rows that share an id."""
+    text = F.col(f"`{text_col}`").cast("string")
+    return docs.withColumns({"__h1": F.xxhash64(text), "__h2": F.xxhash64(F.lit(1), text)})
+
+
+def _row(of: str) -> list[Column]:
+    return [F.col(f"{of}.{x}").alias(y) for x, y in (("id", "__id"), ("h1", "__id_h1"), ("h2", "__id_h2"))]
+
+
+def _same_row(id_col: str) -> Column:
+    return F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (F.col("__h1") == F.col("__id_h1")) & (F.col("__h2") == F.col("__id_h2"))
+
+
+def confirmed_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 5, similarity: float = 0.8, slack: int = 23, block: int = 1024) -> DataFrame:
+    """id, h1, h2 (hashes of the text), node, component for each row, node being a text's shingle set: groups over links of this Jaccard similarity or more, each confirmed on the sets.
+
+    Fingerprints that share a key of four segments and differ in at most the
+    expected distance plus `slack` bits (four standard deviations) make a
+    family. In it sets are compared with each other, in pairs of blocks of
+    about `block` sets, so what a task holds is bounded; a pair in one family
+    is never missed, nor is one linked that is less similar. Texts without
+    words are alike. Sets are told apart by 64-bit numbers.
+    """
+    if not 0 < similarity <= 1:
+        raise ValueError("similarity must lie in (0, 1]")
+    distance = int(expected_distance(similarity)) + slack
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small(batches):
+            nodes, prints = [], []
+            for t in as_bytes(batch.column(3)):
+                hashes = np.unique(shingle_hashes(t, shingle))
+                nodes.append(xxhash.xxh64_intdigest(hashes.astype("<u8").tobytes(), SEED))
+                prints.append(wide_print(hashes))
+            words = np.array(prints, np.uint64).reshape(-1, WORDS)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(_node(words)), *(pa.array(words[:, i].view(np.int64)) for i in range(WORDS))], names)
+
+    texts = _marked(docs, id_col, text_col).select(F.col(f"`{id_col}`").alias("id"), F.col("__h1").alias("h1"), F.col("__h2").alias("h2"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    names = ["id", "h1", "h2", "node", "fp", *_NAMES]
+    rows = cut(texts.mapInArrow(run, f"id {texts.schema[0].dataType.simpleString()}, " + ", ".join(f"{n} long" for n in names[1:])), "wide")
+    parts = cut(connected_components(find_similar(rows.select(_NAMES).distinct(), distance, 2048, FAMILY_RULERS)), "families")
+    one = rows.groupBy("node", "fp").agg(F.min(F.struct("id", "h1", "h2")).alias("one"))
+    sets = one.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("node", F.coalesce("component", "fp").alias("family"), "one")
+    several = sets.groupBy("family").count().where("count > 1").select("family", F.ceil(F.col("count") / F.lit(block)).cast("int").alias("blocks"))
+    members = cut(sets.join(several, "family").select("family", "blocks", "node", *_row("one")), "members")
+    mine = F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int")
+    marked = _marked(docs.select(F.col(f"`{id_col}`").alias("doc"), F.col(f"`{text_col}`").cast("string").alias("text")), "doc", "text")
+    dealt = marked.join(members, _same_row("doc")).withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("family", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"), "node", "text")
+
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        group, left, right = None, [], []
+
+        def close() -> None:
+            nodes, sets = list(held), list(held.values())
+            for x, y in jaccard_links(sets, similarity):
+                left.append(nodes[x])
+                right.append(nodes[y])
+            held.clear()
+
+        for batch in small(batches):
+            for *key, node, text in zip(*(batch.column(i).to_pylist() for i in range(4)), as_bytes(batch.column(4)), strict=True):
+                if key != group:
+                    close()
+                    group = key
+                if node not in held:
+                    held[node] = np.unique(shingle_hashes(text, shingle))
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["u", "v"])
+            left.clear()
+            right.clear()
+        close()
+        yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["u", "v"])
+
+    links = dealt.repartition("family", "a", "b").sortWithinPartitions("family", "a", "b").mapInArrow(confirm, "u long, v long")
+    linked = cut(connected_components(links), "components")
+    return rows.select("id", "h1", "h2", "node").join(linked, "node", "left").select("id", "h1", "h2", "node", F.coalesce("component", "node").alias("component"))
+
+
+def keep_one_confirmed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """docs without near duplicates: of each of the confirmed_groups one row stays, that with the smallest id, with all columns; null ids come last.
+
+    Of rows with other texts that share that smallest id one stays. Rows that repeat its id and text stay with it, but of null ids only one row does.
+    """
+    groups = confirmed_groups(docs, id_col, text_col, **options)
+    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "h1", "h2")).alias("first")
+    stay = cut(groups.groupBy("component").agg(first).select(_row("first")), "stay")
+    kept = lambda rows, stay: _marked(rows, id_col, text_col).join(stay, _same_row(id_col), "left_semi")
+    named = kept(docs.where(F.col(f"`{id_col}`").isNotNull()), stay.where("__id is not null"))
+    bare = kept(docs.where(F.col(f"`{id_col}`").isNull()), stay.where("__id is null")).dropDuplicates(["__h1", "__h2"])
+    return named.unionByName(bare).select(docs.columns)

@@ -246,6 +246,54 @@ def test_keep_one_of_each(docs):
     assert Counter(r.doc_id for r in got.collect()) == Counter(r[0] for r, x in zip(rows, label, strict=True) if x == r[0])
 
 
+def jaccard(a, b, size=5):
+    x, y = ({tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} for w in (a.split(), b.split()))
+    return len(x & y) / len(x | y)
+
+
+def test_lone_pairs_at_the_similarity_are_found_and_others_stay(spark):
+    """Pairs without other partners: 100 of a similarity just over 0.8, 100 just under it."""
+    draw, texts = random.Random(31), []
+    for pair in range(200):
+        words = ["".join(draw.choices("abcdefgh", k=6)) for _ in range(300)]
+        other = list(words)
+        for at in range(6 if pair < 100 else 7):
+            other[20 + 40 * at] = "other"
+        texts += [" ".join(words), " ".join(other)]
+    assert all(0.8 <= jaccard(*texts[2 * i : 2 * i + 2]) < 0.82 if i < 100 else 0.78 < jaccard(*texts[2 * i : 2 * i + 2]) < 0.8 for i in range(200))
+    got = {r.doc_id for r in simhash_dedup.keep_one_confirmed(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert sum(2 * i + 1 not in got for i in range(100)) >= 97
+    assert got >= {2 * i for i in range(200)} | set(range(200, 400))
+
+
+@pytest.mark.parametrize("block", [5, 1024])
+def test_confirmed_groups(spark, block):
+    """Families of near copies, against all pairs' Jaccard similarity."""
+    texts = near_copies()
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if label[i] != label[j] and jaccard(texts[i], texts[j]) >= 0.8:
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    got = simhash_dedup.confirmed_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), block=block).collect()
+    first = {}
+    for r in sorted(got, key=lambda r: r.id):
+        first.setdefault(r.component, r.id)
+    assert {r.id: first[r.component] for r in got} == dict(enumerate(label))
+
+
+def test_keep_one_of_shared_and_null_ids(spark):
+    draw = random.Random(32)
+    a, b, c = (["".join(draw.choices("abcdefgh", k=6)) for _ in range(200)] for _ in range(3))
+    near = lambda words: " ".join([*words[:-1], "other"])
+    # Row 5 stands for its own group, but the row with its id is a near copy of row 1.
+    rows = [(1, " ".join(a)), (5, " ".join(b)), (5, near(a)), (None, " ".join(c)), (None, " ".join(c)), (None, near(c))]
+    got = simhash_dedup.keep_one_confirmed(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((tuple(r) for r in got if r.doc_id), key=repr) == sorted(rows[:2])
+    assert len([r for r in got if r.doc_id is None]) == 1
+
+
 def plain_spans(units, length):
     """units: a list of sequences; the covered places of each."""
     at = Counter(tuple(u[i : i + length]) for u in units for i in range(len(u) - length + 1))
