@@ -47,7 +47,9 @@ def op4_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "warc")
     write_warc(_table(spark, sf_dir, "pages"), path)
-    back = read_warc(spark, path).where("gap is null")
+    back = read_warc(spark, path)
+    # An archive just written has no gaps; a page must not go missing without an error.
+    back = back.where(F.when(F.col("gap").isNull(), True).otherwise(F.raise_error(F.concat(F.lit("gap in a written archive: "), F.col("gap"))).cast("boolean")))
     digest = F.when(F.col("warc_type") == "revisit", F.regexp_replace("payload_digest", "^sha256:", "")).otherwise(F.sha2("payload", 256))
     return back.select(page_of("record_id").alias("page_id"), F.col("payload_length").alias("payload_bytes"), digest.alias("payload_digest"), F.col("warc_type").alias("record_type"), page_of("refers_to").alias("refers_to"))
 

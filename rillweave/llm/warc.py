@@ -31,7 +31,6 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _ID = "urn:x-page:"
 _START = re.compile(rb"\x1f\x8b\x08|WARC/\d\.\d\r\n")
 _VERSION = re.compile(rb"WARC/\d\.\d\r\n")
-_MAX_HEADER = 1 << 16
 _REQUIRED = ("warc-type", "warc-record-id", "content-length")
 _STEP = 1 << 16
 
@@ -113,11 +112,10 @@ def _record(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
     line = _VERSION.match(data, at)
     if not line:
         raise Damaged("no version line")
-    end = data.find(b"\r\n\r\n", line.end() - 2, at + _MAX_HEADER)
+    following = _VERSION.search(data, line.end())
+    end = data.find(b"\r\n\r\n", line.end() - 2, following.start() + 2 if following else len(data))
     if end < 0:
-        raise Damaged("header doesn't end")
-    if _VERSION.search(data, line.end(), end + 2):
-        raise Damaged("a version line inside the header")
+        raise Damaged("a version line inside the header" if following else "header doesn't end")
     headers = _fields([x for x in data[line.end() : end].split(b"\r\n") if x])
     if missing := [k for k in _REQUIRED if k not in headers]:
         raise Damaged(f"no {missing[0]}")

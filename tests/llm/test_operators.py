@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from rillweave.llm import bpe, exact_dedup, mixing, perplexity_rules, phrase_dedup, quality_classifier, simhash_dedup, suffix_dedup, token_counts, warc
-from rillweave.llm.queries import _removed
+from rillweave.llm.queries import _removed, op5_warc
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, k int, rid string, fp double"
 SPACE = re.compile(r"[\x20\x09-\x0D]+")
@@ -434,6 +434,17 @@ def test_warc_salvage(packed):
     assert gaps(b"nothing here") == [(0, 12)]
 
 
+def test_warc_reads_long_headers_and_op5_fails_on_gaps(spark, tmp_path, monkeypatch):
+    long = warc.build_record(1, "data:" + "x" * 200_000, b"payload")
+    parts = [warc.gzip_member(long), long, warc.gzip_member(warc.build_record(2, "u", b"other"))]
+    assert [x.headers["warc-record-id"][-2:-1] for x in warc.read_archive(b"".join(parts))] == ["1", "1", "2"]
+    spark.createDataFrame([(1, "data:" + "x" * 70_000, "a" * 200), (2, "u", "a" * 200)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert sorted((r.page_id, r.record_type, r.refers_to) for r in op5_warc(spark, str(tmp_path)).collect()) == [(1, "response", None), (2, "revisit", 1)]
+    monkeypatch.setattr("rillweave.llm.queries.write_warc", lambda pages, path: pages.limit(1).selectExpr("'noise' AS value").write.text(path))
+    with pytest.raises(Exception, match="gap in a written archive"):
+        op5_warc(spark, str(tmp_path)).collect()
+
+
 def test_mixing(docs, none):
     assert mixing.mix_sources(none).collect() == []
     got = mixing.mix_sources(docs, seed=4)
