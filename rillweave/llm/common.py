@@ -18,9 +18,11 @@ SPACE_BYTES = b" \t\n\r\x0b\x0c"
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one is made only where the session names none."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where the session names none, one is made if driver and executors are one machine; a cluster must name it."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = "file://" + tempfile.mkdtemp(prefix="rillweave-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -35,10 +37,10 @@ def fresh_path(spark: SparkSession, kind: str) -> str:
     return path
 
 
-def cut(df: DataFrame, kind: str = "table") -> DataFrame:
-    """Write df once to the shared folder and read it back: later uses neither recompute it nor depend on executors that hold it."""
+def cut(df: DataFrame, kind: str = "table", by: list[str] | None = None) -> DataFrame:
+    """Write df once to the shared folder, in folders by these columns, and read it back: later uses neither recompute it nor depend on executors that hold it."""
     path = fresh_path(df.sparkSession, kind)
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -46,6 +48,14 @@ def text_or_empty(name: str) -> Column:
     return F.coalesce(F.col(f"`{name}`").cast("string"), F.lit(""))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """name, with underscores before it until no column of df has it in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def as_bytes(column: pa.Array) -> list[bytes]:
     """The values of a string or binary column as bytes; null is empty."""
     return [v if v is not None else b"" for v in column.cast(pa.binary()).to_pylist()]
