@@ -8,16 +8,21 @@ protocol.
 The reader checks each record: gzip checksum, version line, header fields,
 length, end of record, block digest. Where a check fails it looks for the next
 place that starts a valid member or version line, goes on from there, and logs
-the bytes between as a gap.
+the bytes between as a gap. It does so inside a member as well: of a member
+with several records the good ones stay. Of a member that is itself damaged or
+cut off, what could be decompressed is searched too, and records whose block
+digest holds are recovered; the member's bytes are logged as a gap all the same.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,53 +42,87 @@ _STEP = 1 << 16
 
 @dataclass
 class Record:
+    """offset and length: of the record or the gzip member that holds it, in the archive; inner: where in the member's content the record starts."""
+
     offset: int
     length: int
     headers: dict[str, str]
     block: bytes = field(repr=False)
+    inner: int | None = None
 
     def payload(self) -> tuple[bytes, dict[str, str]]:
-        """The HTTP body and its header fields; a block without HTTP header is payload as a whole."""
+        """The HTTP body and its header fields, lines that aren't any left out; a block without HTTP header is payload as a whole."""
         if self.block.startswith(b"HTTP/"):
             head, sep, body = self.block.partition(b"\r\n\r\n")
             if sep:
-                return body, _fields(head.split(b"\r\n")[1:])
+                return body, _fields(head.split(b"\r\n")[1:], strict=False)
         return self.block, {}
 
 
 @dataclass
 class Gap:
+    """Bytes of the archive without a valid record; with inner, `length` bytes from there on in the content of the member at offset."""
+
     offset: int
     length: int
     reason: str
+    inner: int | None = None
 
 
 class Damaged(ValueError):
     """A check failed; the text says which."""
 
 
-def _fields(lines: list[bytes]) -> dict[str, str]:
+def _fields(lines: list[bytes], strict: bool = True) -> dict[str, str]:
+    """Header fields by lower-cased name; a line that starts with white space goes on the field before it."""
     found: dict[str, str] = {}
+    last = None
     for line in lines:
+        if line[:1] in (b" ", b"\t") and last is not None:
+            found[last] += " " + line.strip().decode("utf-8", "replace")
+            continue
         name, colon, value = line.partition(b":")
         if not colon:
-            raise Damaged("header field without colon")
-        found[name.strip().decode("latin-1").lower()] = value.strip().decode("utf-8", "replace")
+            if strict:
+                raise Damaged("header field without colon")
+            continue
+        last = name.strip().decode("latin-1").lower()
+        found[last] = value.strip().decode("utf-8", "replace")
     return found
 
 
-def build_record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None = None, date: str = "2024-01-01T00:00:00Z") -> bytes:
+def _number(text: str) -> int | None:
+    """A length from a header; None if it is none or longer than any."""
+    return int(text) if text.isascii() and text.isdigit() and len(text) <= 18 else None
+
+
+def _digest_holds(block: bytes, said: str) -> bool | None:
+    """Whether the block has this digest; None if its kind isn't known."""
+    kind, _, wanted = said.partition(":")
+    if kind.lower() == "sha256":
+        return hashlib.sha256(block).hexdigest() == wanted.lower()
+    if kind.lower() == "sha1":
+        digest = hashlib.sha1(block)
+        return wanted.lower() == digest.hexdigest() or wanted == base64.b32encode(digest.digest()).decode()
+    return None
+
+
+def _id_text(page_id: object) -> str:
+    return "" if page_id is None else quote(str(page_id), safe="")
+
+
+def build_record(page_id: object, url: str | None, payload: bytes, refers_to: object = None, date: str = "2024-01-01T00:00:00Z") -> bytes:
     """An uncompressed record. With refers_to, a revisit that carries HTTP header fields only."""
     digest = hashlib.sha256(payload).hexdigest()
     block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <{_ID}{'' if page_id is None else page_id}>", f"WARC-Date: {date}"]
+    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <{_ID}{_id_text(page_id)}>", f"WARC-Date: {date}"]
     if url is not None:
         head.append("WARC-Target-URI: " + re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url))
     head.append(f"WARC-Payload-Digest: sha256:{digest}")
     if refers_to is None:
         block += payload
     else:
-        head += [f"WARC-Refers-To: <{_ID}{refers_to}>", f"WARC-Profile: {PROFILE}"]
+        head += [f"WARC-Refers-To: <{_ID}{_id_text(refers_to)}>", f"WARC-Profile: {PROFILE}"]
     head += [f"WARC-Block-Digest: sha256:{hashlib.sha256(block).hexdigest()}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -93,22 +132,36 @@ def gzip_member(data: bytes, level: int = 1) -> bytes:
     return packer.compress(data) + packer.flush()
 
 
-def _member(data: memoryview, at: int) -> tuple[bytes, int]:
-    """The content of the gzip member at `at` and where it ends."""
+def _member(data: memoryview, at: int) -> tuple[bytes, int, str]:
+    """What the gzip member at `at` decompresses to, where it ends, and why it isn't whole (empty if it is)."""
     unpacker, out, pos = zlib.decompressobj(31), [], at
     try:
         while not unpacker.eof:
             if pos >= len(data):
-                raise Damaged("gzip member is cut off")
-            out.append(unpacker.decompress(data[pos : pos + _STEP]))
-            pos += _STEP
+                return b"".join(out), len(data), "gzip member is cut off"
+            # A little at a time, so that what comes before a damaged place isn't lost with it.
+            step = _STEP if pos + _STEP <= len(data) else 256
+            out.append(unpacker.decompress(data[pos : pos + step]))
+            pos += step
     except zlib.error as e:
-        raise Damaged(f"gzip: {e}") from None
-    return b"".join(out), min(pos, len(data)) - len(unpacker.unused_data)
+        return b"".join(out) + _before_damage(data, at, pos, len(b"".join(out))), min(pos, len(data)), f"gzip: {e}"
+    return b"".join(out), min(pos, len(data)) - len(unpacker.unused_data), ""
+
 
+def _before_damage(data: memoryview, at: int, pos: int, known: int) -> bytes:
+    """What the member at `at` gives byte by byte beyond the `known` bytes that its input before pos gives."""
+    unpacker = zlib.decompressobj(31)
+    out = [unpacker.decompress(data[at:pos])]
+    try:
+        for i in range(pos, min(len(data), pos + _STEP)):
+            out.append(unpacker.decompress(data[i : i + 1]))
+    except zlib.error:
+        pass
+    return b"".join(out)[known:]
 
-def _record(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
-    """Header fields, block and end of the plain record at `at`."""
+
+def _record(data: bytes, at: int, verified: bool = False) -> tuple[dict[str, str], bytes, int]:
+    """Header fields, block and end of the plain record at `at`. verified: only one with a block digest is good."""
     line = _VERSION.match(data, at)
     if not line:
         raise Damaged("no version line")
@@ -119,39 +172,59 @@ def _record(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
     headers = _fields([x for x in data[line.end() : end].split(b"\r\n") if x])
     if missing := [k for k in _REQUIRED if k not in headers]:
         raise Damaged(f"no {missing[0]}")
-    if not headers["content-length"].isascii() or not headers["content-length"].isdigit():
+    length = _number(headers["content-length"])
+    if length is None:
         raise Damaged("bad content-length")
     start = end + 4
-    stop = start + int(headers["content-length"])
+    stop = start + length
     if data[stop : stop + 4] != b"\r\n\r\n":
         raise Damaged("record doesn't end where its length says")
     block = data[start:stop]
-    kind, _, wanted = headers.get("warc-block-digest", "").partition(":")
-    if kind == "sha256" and hashlib.sha256(block).hexdigest() != wanted:
+    holds = _digest_holds(block, headers.get("warc-block-digest", ""))
+    if holds is False:
         raise Damaged("block digest differs")
+    if verified and not holds:
+        raise Damaged("no block digest to tell whether damage reached it")
     return headers, block, stop + 4
 
 
-def _valid_at(data: bytes, view: memoryview, at: int) -> tuple[list[tuple[dict[str, str], bytes]], int]:
-    """The records of the member or plain record at `at` and where it ends; Damaged if a check fails."""
-    if data[at : at + 2] != b"\x1f\x8b":
-        headers, block, end = _record(data, at)
-        return [(headers, block)], end
-    content, end = _member(view, at)
-    found, pos = [], 0
+def _inside(content: bytes, at: int, length: int, verified: bool) -> Iterator[Record | Gap]:
+    """Records and gaps of a member's content; at and length say where the member is."""
+    pos, lost, reason = 0, -1, ""
     while pos < len(content):
-        headers, block, pos = _record(content, pos)
-        found.append((headers, block))
-    return found, end
+        try:
+            headers, block, end = _record(content, pos, verified)
+        except Damaged as e:
+            if lost < 0:
+                lost, reason = pos, str(e)
+            following = _VERSION.search(content, pos + 1)
+            pos = following.start() if following else len(content)
+            continue
+        if lost >= 0:
+            yield Gap(at, pos - lost, reason, lost)
+            lost = -1
+        yield Record(at, length, headers, block, pos)
+        pos = end
+    if lost >= 0:
+        yield Gap(at, len(content) - lost, reason, lost)
 
 
 def read_archive(data: bytes) -> Iterator[Record | Gap]:
-    """Records and gaps of an archive in order; together they cover every byte but empty members."""
+    """Records and gaps of an archive in order; apart from gaps inside members they cover every byte but empty members."""
     view, at = memoryview(data), 0
-    lost, reason = -1, ""
+    lost, reason, saved = -1, "", []
     while at < len(data):
         try:
-            found, end = _valid_at(data, view, at)
+            if data[at : at + 2] == b"\x1f\x8b":
+                content, end, damage = _member(view, at)
+                found = list(_inside(content, at, end - at, bool(damage)))
+                good = any(isinstance(x, Record) for x in found)
+                if damage or (found and not good):
+                    saved += found if good else []
+                    raise Damaged(damage or found[0].reason)
+            else:
+                headers, block, end = _record(data, at)
+                found = [Record(at, end - at, headers, block)]
         except Damaged as e:
             if lost < 0:
                 lost, reason = at, str(e)
@@ -159,12 +232,13 @@ def read_archive(data: bytes) -> Iterator[Record | Gap]:
             at = following.start() if following else len(data)
             continue
         if lost >= 0:
+            yield from saved
             yield Gap(lost, at - lost, reason)
-            lost = -1
-        for headers, block in found:
-            yield Record(at, end - at, headers, block)
+            lost, saved = -1, []
+        yield from found
         at = end
     if lost >= 0:
+        yield from saved
         yield Gap(lost, len(data) - lost, reason)
 
 
@@ -177,7 +251,7 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     to every task; what is decided on is digests.
     """
     body = text_or_empty(payload_col)
-    rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{url_col}`").cast("string").alias("url"), body.alias("body"))
+    rows = pages.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{url_col}`").cast("string").alias("url"), body.alias("body"))
     digest = F.when(F.octet_length("body") >= smallest, F.sha2("body", 256))
     first = rows.select("id", digest.alias("digest")).where("digest is not null").groupBy("digest").agg(F.min("id").alias("first_id"), F.count("*").alias("n"))
     first = cut(first.where("n > 1 and first_id is not null").select("digest", "first_id"), "repeated")
@@ -191,12 +265,12 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
                 members = [gzip_member(build_record(i, u, p.encode(), r)) for i, u, p, r in zip(part["id"], part["url"], part["body"], part["refers_to"], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(members, pa.binary())], ["member"])
 
-    members = typed.select("id", "url", "body", refers.alias("refers_to")).mapInArrow(build, "member binary")
+    members = typed.select(F.col("id").cast("string").alias("id"), "url", "body", refers.cast("string").alias("refers_to")).mapInArrow(build, "member binary")
     lines = members.select(F.col("member").cast("string").alias("value"))
     lines.write.option("lineSep", EMPTY_MEMBER.decode("latin-1")).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", records_per_file).text(path)
 
 
-RECORD_SCHEMA = "archive string, offset long, length long, gap string, warc_type string, record_id string, target_uri string, refers_to string, payload_digest string, payload_length long, payload binary"
+RECORD_SCHEMA = "archive string, offset long, length long, inner_offset long, gap string, warc_type string, record_id string, target_uri string, refers_to string, payload_digest string, payload_length long, payload binary"
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
@@ -204,14 +278,13 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
     def fields(name: str, x: Record | Gap) -> tuple:
         if isinstance(x, Gap):
-            return (name, x.offset, x.length, x.reason, *[None] * 7)
+            return (name, x.offset, x.length, x.inner, x.reason, *[None] * 7)
         payload, http = x.payload()
         h, revisit = x.headers, x.headers["warc-type"] == "revisit"
-        said = http.get("content-length", "")
-        length = (int(said) if said.isascii() and said.isdigit() else None) if revisit else len(payload)
-        return (name, x.offset, x.length, None, h["warc-type"], h["warc-record-id"].strip("<>"), h.get("warc-target-uri"), h.get("warc-refers-to", "").strip("<>") or None, h.get("warc-payload-digest"), length, None if revisit else payload)
+        length = _number(http.get("content-length", "")) if revisit else len(payload)
+        return (name, x.offset, x.length, x.inner, None, h["warc-type"], h["warc-record-id"].strip("<>"), h.get("warc-target-uri"), h.get("warc-refers-to", "").strip("<>") or None, h.get("warc-payload-digest"), length, None if revisit else payload)
 
-    kinds = [pa.string(), pa.int64(), pa.int64(), *[pa.string()] * 6, pa.int64(), pa.binary()]
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), *[pa.string()] * 6, pa.int64(), pa.binary()]
     names = [x.split()[0] for x in RECORD_SCHEMA.split(", ")]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,7 +294,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                 size = 0
                 for x in read_archive(content.as_py()):
                     held.append(fields(name, x))
-                    size += x.length
+                    size += x.length + (len(x.block) if isinstance(x, Record) else 0)
                     if size > 1 << 20:
                         yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*held, strict=True), kinds, strict=True)], names)
                         held, size = [], 0
@@ -232,6 +305,11 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(read, RECORD_SCHEMA)
 
 
-def page_of(column: str) -> Column:
-    """The page id in a record id; null if it has none."""
-    return F.expr(f"try_cast(nullif(substring({column}, {len(_ID) + 1}), '') AS BIGINT)")
+def log_gaps(found: DataFrame, path: str) -> None:
+    """Write the quarantined byte ranges of read_warc's rows as JSON lines: archive, offset, length, inner_offset and the reason."""
+    found.where("gap is not null").select("archive", "offset", "length", "inner_offset", "gap").write.json(path)
+
+
+def page_of(column: str, kind: str = "BIGINT") -> Column:
+    """The page id in a record id; null if it has none, or none of this kind."""
+    return F.expr(f"try_cast(try_url_decode(replace(nullif(substring({column}, {len(_ID) + 1}), ''), '+', '%2B')) AS {kind})")
