@@ -1,16 +1,16 @@
 """Quality classifier: random-indexing word vectors, a two-layer network in numpy, calibrated probabilities.
 
 Random indexing: every hashed word has a fixed sparse ternary index vector; its
-context vector is the sum of the index vectors of the words within two places
-of it, over the whole corpus. The table has a fixed number of buckets, so tasks
-send at most that many rows, Spark adds them up, and the sum fits a broadcast
-of a size that parameters bound.
-
-A document is the mean vector of its words, the mean index vector of its word
-markers (last byte of each word, and whether a word repeats the one before) and
-the logarithm of its length. The network is fitted on a bounded sample of
-labelled rows; a temperature fitted on rows that the network didn't see
-calibrates the probabilities. Only the text is an input.
+context vector is the sum, over the whole corpus, of the index vectors of the
+words within two places of it, each rotated by its distance so that order
+counts. The table has a fixed number of buckets, so tasks send at most that
+many rows, Spark adds them up, and the sum fits a broadcast of a size that
+parameters bound.
+
+A document is three pools of its words' vectors: their mean, their standard
+deviation, and the mean product of neighbours. The network is fitted on a
+bounded sample of labelled rows; a temperature fitted on rows that the network
+didn't see calibrates the probabilities. Only the text is an input.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ class Space:
     """The random index: buckets words of dim entries, NONZERO of them set."""
 
     buckets: int = 1 << 14
-    dim: int = 32
+    dim: int = 64
     seed: int = 11
 
     def index(self) -> tuple[np.ndarray, np.ndarray]:
@@ -54,16 +54,11 @@ class Space:
     def bucket(self, token: bytes) -> int:
         return crc32(token) & (self.buckets - 1)
 
-    def markers(self) -> np.ndarray:
-        """The bucket of each last byte, and at 256 that of a repeated word."""
-        return np.array([self.bucket(b"\x00end" + bytes([x])) for x in range(256)] + [self.bucket(b"\x00same")])
 
-
-def _tokens(text: bytes, mask: int) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets and last bytes of the words."""
+def buckets_of(text: bytes, mask: int) -> np.ndarray:
+    """The bucket of each word."""
     words = text.lower().split()
-    ids = np.fromiter(map(crc32, words), np.int64, len(words)) & mask
-    return ids, np.fromiter((w[-1] for w in words), np.int64, len(words))
+    return np.fromiter(map(crc32, words), np.int64, len(words)) & mask
 
 
 def context_sums(docs: DataFrame, text_col: str, space: Space) -> np.ndarray:
@@ -80,16 +75,15 @@ def context_sums(docs: DataFrame, text_col: str, space: Space) -> np.ndarray:
             for far in range(1, WINDOW + 1):
                 inside = np.flatnonzero(doc[:-far] == doc[far:])
                 before, after = ids[inside], ids[inside + far]
-                for a, b in ((before, after), (after, before)):
+                for a, b, turn in ((before, after, far), (after, before, -far)):
                     for k in range(NONZERO):
-                        total[:] += np.bincount(a * space.dim + places[b, k], signs[b, k], size)
+                        total[:] += np.bincount(a * space.dim + (places[b, k] + turn) % space.dim, signs[b, k], size)
 
         for batch in small(batches):
             parts, held = [], 0
             for text in as_bytes(batch.column(0)):
-                words = text.lower().split()
-                parts.append(np.fromiter(map(crc32, words), np.int64, len(words)) & (space.buckets - 1))
-                held += len(words)
+                parts.append(buckets_of(text, space.buckets - 1))
+                held += len(parts[-1])
                 if held >= 16 * _RUN:
                     add(parts)
                     parts, held = [], 0
@@ -117,21 +111,22 @@ def word_vectors(sums: np.ndarray, space: Space) -> np.ndarray:
     return (damped / np.maximum(length, 1e-9) + 0.5 * space.dense()).astype(np.float32)
 
 
-def pool(text: bytes, vectors: np.ndarray, index: np.ndarray, markers: np.ndarray) -> np.ndarray:
-    """The features of a document; zeros for one without words."""
+def pool(text: bytes, vectors: np.ndarray) -> np.ndarray:
+    """The features of a document: mean, standard deviation and mean neighbour product of its words' vectors; zeros for one without words."""
     dim = vectors.shape[1]
-    out = np.zeros(2 * dim + 1, np.float32)
-    ids, ends = _tokens(text, len(vectors) - 1)
+    sums = np.zeros((3, dim))
+    ids = buckets_of(text, len(vectors) - 1)
     if not len(ids):
-        return out
+        return sums.ravel().astype(np.float32)
     for at in range(0, len(ids), _RUN):
-        out[:dim] += vectors[ids[at : at + _RUN]].sum(axis=0)
-    marked = np.bincount(ends, minlength=257)[:257].astype(np.float32)
-    marked[256] = np.count_nonzero(ids[1:] == ids[:-1])
-    out[dim : 2 * dim] = marked @ index[markers]
-    out[: 2 * dim] /= len(ids)
-    out[-1] = np.log1p(len(ids))
-    return out
+        own = vectors[ids[at : at + _RUN + 1]]  # with the neighbour beyond
+        inside = own[:_RUN]
+        sums[0] += inside.sum(axis=0)
+        sums[1] += np.einsum("ij,ij->j", inside, inside)
+        sums[2] += np.einsum("ij,ij->j", own[:-1], own[1:])
+    sums /= len(ids)
+    sums[1] = np.sqrt(np.maximum(sums[1] - sums[0] ** 2, 0))
+    return sums.ravel().astype(np.float32)
 
 
 @dataclass
@@ -187,7 +182,7 @@ def fit(x: np.ndarray, y: np.ndarray, *, hidden: int = 32, epochs: int = 40, bat
     if len(held):
         logits, truth = net.logits(x[held]), t[held]
         loss = lambda temp: np.mean(np.logaddexp(0, logits / temp) - truth * logits / temp)
-        net.temperature = float(min(np.exp(np.linspace(np.log(0.25), np.log(8), 120)), key=loss))
+        net.temperature = float(min(np.exp(np.linspace(np.log(0.02), np.log(50), 400)), key=loss))
     return net
 
 
@@ -202,20 +197,19 @@ class Classifier:
 
     vectors: np.ndarray
     net: Network
-    space: Space
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
-        index, markers = self.space.dense(), self.space.markers()
-        x = [pool(t, self.vectors, index, markers) for t in texts]
-        return self.net.probability(np.array(x, float).reshape(-1, 2 * self.space.dim + 1))
+        x = [pool(t, self.vectors) for t in texts]
+        return self.net.probability(np.array(x, float).reshape(-1, 3 * self.vectors.shape[1]))
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", *, sample_rows: int = 20_000, space: Space | None = None) -> Classifier:
     """Word vectors from all documents, the network from at most sample_rows labelled rows.
 
     Those are the rows whose hashed id comes first among labelled rows that
-    aren't held out. Null labels and ids aren't learnt from. Without labels the
-    network gives one half for every text.
+    aren't held out; the bound holds for rows of documents too, should ids
+    repeat. Null labels and ids aren't learnt from. Without labels the network
+    gives one half for every text.
     """
     spark, space = docs.sparkSession, space or Space()
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
@@ -225,16 +219,16 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     shared = spark.sparkContext.broadcast(vectors)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, markers = space.dense(), space.markers()
         for batch in small(batches):
-            x = [pool(t, shared.value, index, markers).tobytes() for t in as_bytes(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.binary())], ["label", "x"])
+            x = [pool(t, shared.value).tobytes() for t in as_bytes(batch.column(2))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(x, pa.binary())], ["place", "label", "x"])
 
     # The sample has at most sample_rows rows of two numbers.
-    labelled = rows.join(F.broadcast(sample), F.col("id") == F.col("label_id")).select("label", "text").mapInArrow(features, "label int, x binary")
-    got = labelled.toArrow().sort_by([("label", "ascending"), ("x", "ascending")])
-    x = np.frombuffer(b"".join(got["x"].to_pylist()), np.float32).reshape(-1, 2 * space.dim + 1).astype(float)
-    return Classifier(vectors, fit(x, got["label"].to_numpy().astype(float)), space)
+    labelled = rows.join(F.broadcast(sample), F.col("id") == F.col("label_id")).select(F.xxhash64("label_id").alias("place"), "label", "text")
+    labelled = labelled.mapInArrow(features, "place long, label int, x binary")
+    got = labelled.orderBy("place", "label", "x").limit(sample_rows).toArrow().sort_by([("label", "ascending"), ("x", "ascending")])
+    x = np.frombuffer(b"".join(got["x"].to_pylist()), np.float32).reshape(-1, 3 * space.dim).astype(float)
+    return Classifier(vectors, fit(x, got["label"].to_numpy().astype(float)))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", *, threshold: float = 0.3, **options) -> DataFrame:
