@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from rillweave.llm.bpe import bpe_encode
 from rillweave.llm.common import cut
-from rillweave.llm.exact_dedup import exact_dedup
+from rillweave.llm.exact_dedup import keep_first_of_equal
 from rillweave.llm.mixing import mix_sources
 from rillweave.llm.quality_classifier import keep_good
 from rillweave.llm.simhash_dedup import keep_one_confirmed
@@ -28,14 +28,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the smallest doc_id stays; rows that repeat its id and text stay with it, but of null ids only one row does. A row with a dropped row's id but another text is judged by its own text."""
-    judged = exact_dedup(docs).where("not (doc_id <=> keep_id)").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
-    judged = cut(judged, "judged")
-    digest = F.sha2(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " "), 256)
-    rows = docs.select(*COLUMNS, digest.alias("__digest"))
-    named = rows.where("doc_id is not null").join(judged.where("__id is not null"), (F.col("doc_id") == F.col("__id")) & (F.col("__digest") == F.col("__sha")), "left_anti")
-    bare = rows.where("doc_id is null").join(judged.where("__id is null"), F.col("__digest") == F.col("__sha"), "left_anti").dropDuplicates(["__digest"])
-    return named.unionByName(bare).select(COLUMNS)
+    """Of equal texts (null as empty) the row with the smallest doc_id stays, null ids last; of rows that repeat its id one does."""
+    return keep_first_of_equal(docs.select(COLUMNS))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

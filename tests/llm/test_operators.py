@@ -5,6 +5,7 @@ import gzip
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -70,6 +71,11 @@ def test_exact_dedup(docs, none):
     assert set(kept.values()) == {1} and len(kept) == len(size)
     assert all(r[0] == r[1] for r in got if r[3])
     assert collect(exact_dedup.exact_dedup(docs, filter_bits=1 << 16)) == got
+    assert exact_dedup.shard_plan(100, 1 << 16, 4096) == (7, 1 << 16) and exact_dedup.shard_plan(10**9, 1 << 28, 16) == (60, 1 << 28)
+    sharded = [tuple(r) for r in exact_dedup.exact_dedup(docs, filter_bits=1 << 16, bits_per_row=4096).collect()]
+    assert sorted(sharded, key=repr) == got
+    left = exact_dedup.keep_first_of_equal(docs)
+    assert left.columns == docs.columns and Counter(r.doc_id for r in left.collect()) == Counter(r[0] for r in got if r[3])
     assert collect(exact_dedup.exact_dedup(none)) == []
     with pytest.raises(ValueError):
         exact_dedup.exact_dedup(docs, filter_bits=1000)
@@ -388,7 +394,7 @@ def test_token_counts(docs, none):
     plain = Tokenizer.from_file(file)
     want = sorted(((r[0], len((r[1] or "").encode()), len(plain.encode(r[1] or "", add_special_tokens=False))) for r in corpus()), key=repr)
     assert collect(token_counts.token_counts(docs, file)) == want
-    assert collect(token_counts.token_counts(docs, file, table_size=5, per_task=3, cache_size=10)) == want
+    assert collect(token_counts.token_counts(docs, file, table_size=5, sample_rows=3, cache_bytes=2000)) == want
     assert collect(token_counts.token_counts(none, file)) == []
     with pytest.raises(ValueError):
         token_counts.token_counts(docs, public_tokenizers.path("word_bpe_49k.json"))
@@ -434,6 +440,86 @@ def test_warc_salvage(packed):
     assert gaps(b"nothing here") == [(0, 12)]
 
 
+def test_warc_salvage_inside_members():
+    """A member of eight records: one damaged; cut off; flipped. And headers that are no headers."""
+    block = lambda i: warc.build_record(i, f"http://x/{i}", random.Random(i).randbytes(3000))
+    parts = [block(i) for i in range(8)]
+    ids = lambda found: [x.headers["warc-record-id"][-2:-1] for x in found if isinstance(x, warc.Record)]
+    bad = bytearray(parts[3])
+    bad[-100] ^= 1
+    content = b"".join([*parts[:3], bytes(bad), *parts[4:]])
+    found = list(warc.read_archive(warc.gzip_member(content)))
+    assert ids(found) == list("0124567")
+    assert [(x.inner, x.length) for x in found if isinstance(x, warc.Gap)] == [(sum(map(len, parts[:3])), len(parts[3]))]
+    member = warc.gzip_member(b"".join(parts))
+    found = list(warc.read_archive(member[: len(member) * 9 // 10] + warc.gzip_member(parts[0])))
+    assert ids(found) == list("01234560") and [(x.offset, x.length) for x in found if isinstance(x, warc.Gap) and x.inner is None] == [(0, len(member) * 9 // 10)]
+    flipped = bytearray(member)
+    flipped[len(member) // 2] ^= 0x10
+    found = list(warc.read_archive(bytes(flipped)))
+    assert ids(found)[:3] == list("012") and any(isinstance(x, warc.Gap) and x.inner is None for x in found)
+    folded = parts[1].replace(b"WARC-Target-URI: http", b"WARC-Target-URI:\r\n http")
+    assert [x.headers["warc-target-uri"].strip() for x in warc.read_archive(folded)] == ["http://x/1"]
+    huge = parts[1].replace(b"WARC-Type", b"X: 1\r\nContent-Length: " + b"9" * 5000 + b"\r\nWARC-Type", 1)
+    odd = re.sub(rb"\r\nContent-Length: \d+\r\n\r\nHTTP", b"\r\nContent-Length: " + b"9" * 5000 + b"\r\n\r\nHTTP", parts[2])
+    assert ids(warc.read_archive(huge + odd + parts[4])) == ["1", "4"]
+    http = b"HTTP/1.1 200 OK\r\nno colon here\r\nContent-Length: " + b"7" * 5000 + b"\r\n\r\nbody"
+    record = b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <x>\r\nContent-Length: %d\r\n\r\n" % len(http) + http + b"\r\n\r\n"
+    assert [x.payload()[0] for x in warc.read_archive(record)] == [b"body"]
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_warc_fuzz(seed):
+    """Flips, cuts, lost stretches and noise: no crash; each record left whole and not in a damaged member comes back, none is made up, and outer gaps and records cover the archive."""
+    draw = random.Random(seed)
+    parts = [warc.build_record(i, f"http://x/{i}", draw.randbytes(draw.randint(0, 500)) + b"text " * draw.randint(0, 300), draw.choice([None, None, 3])) for i in range(12)]
+    groups, at = [], 0
+    while at < 12:
+        n = draw.randint(1, 4)
+        groups.append((parts[at : at + n], draw.random() < 0.7))
+        at += n
+    pieces = [warc.gzip_member(b"".join(g)) if packed else b"".join(g) for g, packed in groups]
+    hit = draw.randrange(len(pieces))
+    damaged = bytearray(pieces[hit])
+    for _ in range(draw.randint(1, 3)):
+        kind, place = draw.randrange(4), draw.randrange(max(1, len(damaged)))
+        if kind == 0 and damaged:
+            damaged[place] ^= 1 << draw.randrange(8)
+        elif kind == 1:
+            del damaged[place:]
+        elif kind == 2:
+            del damaged[place : place + draw.randint(1, 300)]
+        else:
+            damaged[place:place] = draw.choice([b"\x1f\x8b\x08", b"WARC/1.0\r\n", draw.randbytes(40)])
+    pieces[hit] = bytes(damaged)
+    data = b"".join(pieces)
+    found = list(warc.read_archive(data))
+    blocks = Counter(x.block for x in found if isinstance(x, warc.Record))
+    blocks_of = lambda g: [p[p.index(b"\r\n\r\n") + 4 : -4] for p in g]
+    whole = Counter(b for i, (g, _) in enumerate(groups) if i != hit for b in blocks_of(g))
+    last = hit + 1 < len(groups) and not groups[hit][1] and not groups[hit + 1][1]  # a plain record whose end is lost may take bytes of its plain neighbour along
+    if not last:
+        assert not whole - blocks
+    told = {x.block for x in found if isinstance(x, warc.Record) and x.headers.get("warc-block-digest", "").startswith("sha256:")}
+    assert told <= {b for g, _ in groups for b in blocks_of(g)}
+    spans = sorted({(x.offset, x.length) for x in found if x.inner is None or isinstance(x, warc.Record)})
+    covered = sum(n for _, n in spans)
+    assert covered >= len(data) - 40 or any(isinstance(x, warc.Gap) for x in found)
+
+
+def test_warc_text_ids_and_gap_log(spark, tmp_path):
+    rows = [("a b/ü", "u", "x" * 200), ("c>d%41+", "u", "x" * 200), (None, "u", "short")]
+    warc.write_warc(spark.createDataFrame(rows, "page_id string, url string, html string").coalesce(1), f"file://{tmp_path}/w")
+    part = next((tmp_path / "w").glob("part-*"))
+    part.write_bytes(part.read_bytes() + b"noise")
+    (tmp_path / "w" / f".{part.name}.crc").unlink(missing_ok=True)
+    found = warc.read_warc(spark, f"file://{tmp_path}/w")
+    got = {r.page: (r.warc_type, r.to) for r in found.where("gap is null").select("warc_type", warc.page_of("record_id", "STRING").alias("page"), warc.page_of("refers_to", "STRING").alias("to")).collect()}
+    assert got == {"a b/ü": ("response", None), "c>d%41+": ("revisit", "a b/ü"), None: ("response", None)}
+    warc.log_gaps(found, f"file://{tmp_path}/gaps")
+    assert [(r.length, r.gap) for r in spark.read.json(f"file://{tmp_path}/gaps").collect()] == [(5, "no version line")]
+
+
 def test_warc_reads_long_headers_and_op5_fails_on_gaps(spark, tmp_path, monkeypatch):
     long = warc.build_record(1, "data:" + "x" * 200_000, b"payload")
     parts = [warc.gzip_member(long), long, warc.gzip_member(warc.build_record(2, "u", b"other"))]
@@ -454,6 +540,13 @@ def test_mixing(docs, none):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_mixing_with_clashing_columns(spark):
+    docs = spark.createDataFrame([(i, "ab", "s", 0.5, i, 2.0, "m", 1, 2, 3) for i in range(30)], "doc_id long, text string, source string, rate double, k long, CDF double, mix_source string, copy_no int, n_copies int, bytes int")
+    got = mixing.mix_sources(docs, {"s": 1.0}, total_bytes=240)
+    assert got.columns == ["doc_id", "text", "source", "rate", "k", "CDF", "mix_source", "bytes", "copy_no", "n_copies", "shuffle_key"]
+    assert 60 < got.count() < 180 and {r.rate for r in got.collect()} == {0.5}
+
+
 def test_mixing_meets_its_target(spark):
     docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 5 == 0, F.lit(None)).otherwise("cold").alias("source"), F.repeat(F.lit("ab "), (F.col("id") % 50).cast("int")).alias("text"))
     size = F.sum(F.octet_length("text"))
@@ -575,6 +668,42 @@ def test_quality_classifier(spark):
     assert all(abs(again[r.doc_id] - r.score) < 1e-9 for r in scored)
 
 
+def test_word_vectors_and_pools_by_definition(spark):
+    """Context sums over dictionaries, pools over lists; tasks and runs don't change them."""
+    space = quality_classifier.Space(buckets=32, dim=8)
+    texts = [r[1] for r in corpus()][:40]
+    places, signs = space.index()
+    want = np.zeros((32, 8))
+    for t in texts:
+        ids = [zlib.crc32(w.encode()) % 32 for w in words_of(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))]
+        for i, a in enumerate(ids):
+            for far in (-2, -1, 1, 2):
+                if 0 <= i + far < len(ids):
+                    for k in range(quality_classifier.NONZERO):
+                        want[a, (places[ids[i + far], k] + far) % 8] += signs[ids[i + far], k]
+    frame = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    sums = quality_classifier.context_sums(frame, "text", space)
+    assert np.array_equal(sums, want)
+    vectors = quality_classifier.word_vectors(sums, space)
+    for t in [*texts, "a b c d e f " * 30_000]:
+        v = [vectors[zlib.crc32(w.encode()) % 32].astype(float) for w in words_of(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))]
+        n = max(1, len(v))
+        mean, pairs = sum(v, np.zeros(8)) / n, sum((x * y for x, y in zip(v, v[1:], strict=False)), np.zeros(8)) / n
+        spread = np.sqrt(np.maximum(sum((x * x for x in v), np.zeros(8)) / n - mean**2, 0))
+        assert np.allclose(quality_classifier.pool((t or "").encode(), vectors), np.concatenate([mean, spread, pairs]), atol=1e-4)
+    ids = spark.range(300).select(F.col("id"), quality_classifier.held_out("id").alias("out")).collect()
+    assert all(r.out == (zlib.crc32(str(r.id).encode()) % 5 == 0) for r in ids)
+
+
+def test_classifier_sample_is_bounded_under_repeated_ids(spark, monkeypatch):
+    docs = spark.createDataFrame([(i % 4 + 1, f"text {i} of some words") for i in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 9)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality_classifier, "fit", lambda x, y, old=quality_classifier.fit: seen.append(len(x)) or old(x, y))
+    quality_classifier.train(docs, labels, sample_rows=20)
+    assert seen == [20]
+
+
 def test_quality_classifier_edges(docs, none, spark):
     labels = spark.createDataFrame([(7, 1), (8, 0), (9, 0), (20, 1), (21, None), (None, 1)], "doc_id long, quality int")
     got = quality_classifier.quality_scores(docs, labels).collect()
