@@ -6,16 +6,23 @@ hash. Equal windows have equal anchors at equal places, so windows can only
 repeat where anchors do. Neighbouring windows with one anchor form a run, and
 the units that a run's windows cover are its context.
 
-1. A fixed-size filter of anchors seen twice, over all documents, drops the
-   runs of other anchors where they arise.
-2. Runs left are grouped by anchor and context digest. Where a context repeats,
-   all its windows do.
-3. Where an anchor has several contexts, one run of each sends its context to
-   an exact check (suffix order, phrase automata), by anchor. An anchor with
-   too many contexts for a task sends digests of its windows instead, which
-   Spark counts with partial sums.
-
-Filters only save work: what passes wrongly is found out later.
+1. Runs are dealt by anchor, as hashes and places of 40 bytes, and those of
+   anchors found once are dropped. Anchors that a sample shows to be very common
+   are kept without a look and dealt in salted parts.
+2. Runs left are grouped by anchor and digest of the context. One run of each
+   group sends its context, by anchor, to the exact check (suffix order, phrase
+   automata), with a note whether the context is found again elsewhere. The
+   check alone decides which windows repeat; runs with equal contexts share
+   what it decides for their context.
+3. An anchor with too many different contexts for a task is split by content:
+   of the units that its windows have beside the anchor, a window has half or
+   more on one side, so the anchor grows by half of them to the left or to the
+   right, which makes two runs with longer, rarer anchors. That goes on until
+   no anchor is crowded; at the end an anchor is the window itself. The check is
+   the same at every size.
+
+Nothing here has a size that the input could outgrow: no filter, no broadcast
+but that of the common anchors (at most 1,000).
 """
 
 from __future__ import annotations
@@ -28,9 +35,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import as_bytes, cut, small
-from .exact_dedup import in_filter, slot_filter
+from .common import as_bytes, bucketed, by_pid, cut, small
 
 _PLACE_BITS = 20
 _RUN = 1 << 18
@@ -85,12 +92,13 @@ class Parsed:
         return self.body[a:b] if self.starts is None else self.body[self.starts[a] : self.ends[b - 1]]
 
 
-def window_runs(hashes: np.ndarray, ends: np.ndarray, units: Units) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First window, number of windows and anchor hash of each run. ends: for each unit, where its document ends."""
+def window_runs(hashes: np.ndarray, ends: np.ndarray, units: Units) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First window, number of windows, anchor hash and anchor place of each run. ends: for each unit, where its document ends."""
+    none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
     n, k = len(hashes), units.gram
     windows, width = n - units.window + 1, units.window - k + 1
     if windows < 1:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return none
     sums = np.r_[np.uint64(0), np.cumsum((hashes.astype(np.uint64) + np.uint64(1)) * _UP[:n], dtype=np.uint64)]
     grams = mixed((sums[k:] - sums[:-k]) * _DOWN[: n - k + 1])
     least = (grams >> np.uint64(_PLACE_BITS) << np.uint64(_PLACE_BITS)) | np.arange(len(grams), dtype=np.uint64)
@@ -102,9 +110,9 @@ def window_runs(hashes: np.ndarray, ends: np.ndarray, units: Units) -> tuple[np.
     place = (least & np.uint64((1 << _PLACE_BITS) - 1)).astype(np.int64)
     valid = np.flatnonzero(ends[:windows] - np.arange(windows) >= units.window)
     if not len(valid):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return none
     new = np.flatnonzero(np.r_[True, (place[valid[1:]] != place[valid[:-1]]) | (np.diff(valid) != 1)])
-    return valid[new], np.diff(np.r_[new, len(valid)]), grams[place[valid[new]]]
+    return valid[new], np.diff(np.r_[new, len(valid)]), grams[place[valid[new]]], place[valid[new]]
 
 
 def document_runs(docs: list[Parsed], units: Units) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -115,7 +123,7 @@ def document_runs(docs: list[Parsed], units: Units) -> Iterator[tuple[np.ndarray
     def together() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         lengths = np.array([len(docs[i].hashes) for i in held])
         stops = np.cumsum(lengths)
-        first, n, anchor = window_runs(np.concatenate([docs[i].hashes for i in held]), np.repeat(stops, lengths), units)
+        first, n, anchor, _ = window_runs(np.concatenate([docs[i].hashes for i in held]), np.repeat(stops, lengths), units)
         which = np.searchsorted(stops, first, side="right")
         return np.array(held)[which], first - (stops - lengths)[which], n, anchor
 
@@ -125,7 +133,7 @@ def document_runs(docs: list[Parsed], units: Units) -> Iterator[tuple[np.ndarray
         if len(doc.hashes) > _RUN:
             for at in range(0, len(doc.hashes) - units.window + 1, _RUN):
                 part = doc.hashes[at : at + _RUN + units.window - 1]
-                first, n, anchor = window_runs(part, np.full(len(part), len(part)), units)
+                first, n, anchor, _ = window_runs(part, np.full(len(part), len(part)), units)
                 yield np.full(len(first), i), first + at, n, anchor
             continue
         held.append(i)
@@ -137,169 +145,240 @@ def document_runs(docs: list[Parsed], units: Units) -> Iterator[tuple[np.ndarray
         yield together()
 
 
-def _second(anchor: np.ndarray) -> np.ndarray:
-    return mixed(anchor ^ ODD)
+def _signed(x: np.ndarray) -> pa.Array:
+    return pa.array(x.astype(np.uint64).view(np.int64))
 
 
-def _run_hash(anchor: np.ndarray, context: np.ndarray, k: np.ndarray, lo: np.ndarray) -> np.ndarray:
-    """Of a run of a document; k is the digest of the document's text."""
-    return mixed(anchor ^ mixed(context ^ mixed((k.astype(np.uint64) << np.uint64(32)) ^ lo.astype(np.uint64))))
+#: Groups, each a list of (context, n_windows, again) by anchor in order of first place; again: the context is found at later places too. Gives the spans to take from each context: (number, start, end, later), later being true for the context's later places, false for its first, None for both.
+Check = Callable[[list[list[tuple[bytes, int, bool]]], Units], Iterator[tuple[int, int, int, bool | None]]]
+SPANS = "array<struct<start: int, end: int>>"
+_SALTS, _COMMON, _SAMPLE = 256, 1e-3, 0.02
 
 
-def _signed(x: np.ndarray) -> pa.Array:
-    return pa.array(x.astype(np.uint64).view(np.int64))
+def stored(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """pid, id, k, text: written once, in buckets of pid, the partition that a row was read in; k tells rows with one id but other texts apart."""
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    k = F.xxhash64(text).bitwiseAND(F.lit(0x7FFFFFFF).cast("long")).cast("int")
+    return bucketed(docs.select(F.spark_partition_id().alias("pid"), F.col(f"`{id_col}`").alias("id"), k.alias("k"), text.alias("text")), "pid")
 
 
-#: Given whole groups, a list of (context, n_windows) by anchor in order of first place, the spans to take from each context: (number, start, end).
-Check = Callable[[list[list[tuple[bytes, int]]], Units], Iterator[tuple[int, int, int]]]
+def _place(first: str = "") -> list:
+    """Columns that order places: nulls last, then id, digest of the text, place."""
+    return [F.col(f"{first}id").isNull().alias("no_id"), F.col(f"{first}id").alias("id"), F.col(f"{first}kp").alias("kp"), F.col(f"{first}at").alias("at")]
 
 
-def repeated_spans(rows: DataFrame, units: Units, check: Check, *, keep_first: bool, filter_bits: int, hot: int, batch_bytes: int = 1 << 20) -> DataFrame:
-    """(id, k, start, end): units of repeated windows. rows: id, k, text; id and k name a row up to rows that are equal.
+def _kind(rows: DataFrame) -> str:
+    return rows.schema["id"].dataType.simpleString()
 
-    keep_first leaves the first of equal windows, by id (nulls last), k and
-    place; check must then leave it too.
-    """
-    spark, kind = rows.sparkSession, rows.schema["id"].dataType.simpleString()
+
+def _runs(rows: DataFrame, units: Units, in_order: bool) -> DataFrame:
+    """a, c, id, kp, at of runs whose anchor is found again, and m: on one row of each anchor and context digest of a part (in_order: the first by place) the number of its rows, else 0."""
+    kind, sc = _kind(rows), rows.sparkSession.sparkContext
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
             for _, _, _, anchor in document_runs([Parsed(t, units) for t in as_bytes(batch.column(0))], units):
-                yield pa.RecordBatch.from_arrays([_signed(anchor), _signed(_second(anchor))], ["h1", "h2"])
-
-    seen = spark.sparkContext.broadcast(slot_filter(rows.select("text").mapInArrow(anchors, "h1 long, h2 long"), filter_bits))
-
-    def filtered(batch: pa.RecordBatch, bitmap: np.ndarray) -> Iterator[tuple]:
-        """Parsed documents, and runs of anchors in the filter with digests and contents of their contexts."""
-        docs = [Parsed(t, units) for t in as_bytes(batch.column(2))]
-        for which, lo, n, anchor in document_runs(docs, units):
-            found = np.flatnonzero(in_filter(bitmap, anchor, _second(anchor), filter_bits))
-            which, lo, n, anchor = which[found], lo[found], n[found], anchor[found]
-            content = [docs[d].content(a, a + m - 1 + units.window) for d, a, m in zip(which.tolist(), lo.tolist(), n.tolist(), strict=True)]
-            digest = np.fromiter(map(xxhash.xxh3_64_intdigest, content), np.uint64, len(content))
-            yield which, lo, n, anchor, digest, content
-
-    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = np.frombuffer(seen.value, np.uint8)
-        for batch in small(batches):
-            for which, lo, n, anchor, digest, _ in filtered(batch, bitmap):
-                own = batch.select([0, 1]).take(pa.array(which))
-                yield pa.RecordBatch.from_arrays([*own.columns, _signed(anchor), _signed(digest), pa.array(lo), pa.array(n.astype(np.int32))], ["id", "k", "a", "c", "lo", "n"])
-
-    found = cut(rows.mapInArrow(runs, f"id {kind}, k int, a long, c long, lo long, n int"), "runs")
-    place = F.struct(F.col("id").isNull().alias("no_id"), F.col("id"), F.col("k"), F.col("lo"))
-    contexts = cut(found.groupBy("a", "c").agg(F.count("*").alias("m"), F.min(place).alias("first")), "contexts")
-    several = contexts.groupBy("a").agg(F.count("*").alias("d")).where("d > 1")
-    senders = cut(contexts.join(several, "a").select("a", "c", F.col("first.k").alias("k"), F.col("first.lo").alias("lo"), "d"), "senders")
-
-    whole = contexts.where("m > 1").select("a", "c", "first")
-    same = found.join(whole, ["a", "c"])
-    if keep_first:
-        same = same.where(~place.eqNullSafe(F.col("first")))
-    spans = same.select("id", "k", F.col("lo").alias("start"), (F.col("lo") + F.col("n") + F.lit(units.window - 1)).alias("end"))
+                yield pa.RecordBatch.from_arrays([_signed(anchor)], ["a"])
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, c, k, lo = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-            h = _run_hash(a.astype(np.uint64), c.astype(np.uint64), k, lo)
-            yield pa.RecordBatch.from_arrays([_signed(h), _signed(_second(h))], ["h1", "h2"])
+    seen = cut(rows.select("text").sample(_SAMPLE, 5).mapInArrow(anchors, "a long").groupBy("a").count().where("count >= 100"), "anchors")
+    total = seen.agg(F.sum("count")).first()[0] or 0
+    common = np.array(sorted(r.a for r in seen.where(F.col("count") >= _COMMON * total).orderBy(F.desc("count")).limit(1000).collect()), np.int64)
+    shared = sc.broadcast(common)
 
-    def crowded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a = batch.column(0).to_numpy(zero_copy_only=False).astype(np.uint64)
-            yield pa.RecordBatch.from_arrays([_signed(a), _signed(_second(a))], ["h1", "h2"])
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small(batches):
+            docs = [Parsed(t, units) for t in as_bytes(batch.column(3))]
+            kp = (batch.column(2).to_numpy().astype(np.int64) << 32) | batch.column(0).to_numpy().astype(np.int64)
+            for which, lo, n, anchor in document_runs(docs, units):
+                content = (docs[d].content(a, a + m - 1 + units.window) for d, a, m in zip(which.tolist(), lo.tolist(), n.tolist(), strict=True))
+                c = np.fromiter(map(xxhash.xxh3_64_intdigest, content), np.uint64, len(lo))
+                a = anchor.view(np.int64)
+                at = (lo << 16) | n
+                salt = np.where(np.isin(a, shared.value), 1 + (mixed(kp[which].astype(np.uint64) ^ at.astype(np.uint64)) % np.uint64(_SALTS)).astype(np.int64), 0)
+                yield pa.RecordBatch.from_arrays([pa.array(a), _signed(c), batch.column(1).take(pa.array(which)), pa.array(kp[which]), pa.array(at), pa.array(salt)], ["a", "c", "id", "kp", "at", "salt"])
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """batches: rows in order of a and c; the last anchor and its last context wait for the next batch."""
+        held: list[pa.RecordBatch] = []
+
+        def out(table: pa.Table) -> pa.RecordBatch:
+            a, c, salt = (table[x].to_numpy() for x in ("a", "c", "salt"))
+            new_a = np.r_[True, a[1:] != a[:-1]]
+            starts = np.flatnonzero(new_a | np.r_[True, c[1:] != c[:-1]])
+            m = np.zeros(len(a), np.int64)
+            m[starts] = np.diff(np.r_[starts, len(a)])
+            keep = np.flatnonzero((np.bincount(np.cumsum(new_a) - 1)[np.cumsum(new_a) - 1] > 1) | (salt > 0))
+            return table.select(["a", "c", "id", "kp", "at"]).append_column("m", pa.array(m)).take(pa.array(keep)).combine_chunks()
 
-    sender = spark.sparkContext.broadcast(slot_filter(senders.select("a", "c", "k", "lo").mapInArrow(hashed, "h1 long, h2 long"), filter_bits, 1))
-    crowds = slot_filter(senders.where(F.col("d") > hot).select("a").distinct().mapInArrow(crowded, "h1 long, h2 long"), filter_bits, 1)
-    any_crowd = any(crowds)
-    crowd = spark.sparkContext.broadcast(crowds if any_crowd else b"")
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            first, last = held[0].column(0)[0].as_py(), batch.column(0)[-1].as_py()
+            if first == last and (held[0].column(5)[0].as_py() == 0 or len(held) < 64):
+                continue  # one anchor so far
+            table = pa.Table.from_batches(held)
+            a = table["a"].to_numpy()
+            whole = len(a) if first == last else int(np.searchsorted(a, last))
+            yield from out(table.slice(0, whole)).to_batches()
+            held = table.slice(whole).combine_chunks().to_batches()
+        if held:
+            yield from out(pa.Table.from_batches(held)).to_batches()
+
+    found = rows.select("pid", "id", "k", "text").mapInArrow(find, f"a long, c long, id {kind}, kp long, at long, salt long")
+    dealt = found.repartition("a", "salt").sortWithinPartitions("a", "c", *(_place() if in_order else []))
+    return dealt.mapInArrow(again, f"a long, c long, id {kind}, kp long, at long, m long")
+
+
+def _sent(rows: DataFrame, senders: DataFrame, units: Units) -> DataFrame:
+    """senders (a, c, m, id, kp, at) with the contexts that they name."""
+    kind = _kind(rows)
+    pid, k = F.col("kp").bitwiseAND(F.lit(0xFFFFFFFF).cast("long")).cast("int"), F.shiftright("kp", 32).cast("int")
+    each = senders.select(pid.alias("__pid"), F.col("id").alias("__id"), k.alias("__k"), F.struct("a", "c", "m", "kp", "at").alias("run"))
+    by_row = by_pid(each, "__pid").groupBy("__pid", "__id", "__k").agg(F.collect_list("run").alias("runs"))
+    same = (F.col("pid") == F.col("__pid")) & F.col("id").eqNullSafe(F.col("__id")) & (F.col("k") == F.col("__k"))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap, wanted = np.frombuffer(seen.value, np.uint8), np.frombuffer(sender.value, np.uint8)
-        full = np.frombuffer(crowd.value, np.uint8)
         for batch in small(batches):
-            k = batch.column(1).to_numpy(zero_copy_only=False)
-            for which, lo, n, anchor, digest, content in filtered(batch, bitmap):
-                h = _run_hash(anchor, digest, k[which], lo)
-                chosen = np.flatnonzero(in_filter(wanted, h, _second(h), filter_bits))
-                if not len(chosen):
-                    continue
-                many = in_filter(full, anchor[chosen], _second(anchor[chosen]), filter_bits) if len(full) else np.zeros(len(chosen), bool)
-                own = batch.select([0, 1]).take(pa.array(which[chosen]))
-                yield pa.RecordBatch.from_arrays([*own.columns, _signed(anchor[chosen]), _signed(digest[chosen]), pa.array(lo[chosen]), pa.array(n[chosen].astype(np.int32)), pa.array(many), pa.array([content[i] for i in chosen.tolist()], pa.binary())], ["id", "k", "a", "c", "lo", "n", "many", "content"])
+            runs = batch.column(2)
+            which = np.repeat(np.arange(batch.num_rows), np.diff(runs.offsets.to_numpy()))
+            a, c, m, kp, at = runs.flatten().flatten()
+            docs: list[Parsed | None] = [Parsed(t, units) for t in as_bytes(batch.column(1))]
+            where = at.to_numpy()
+            content = [docs[d].content(x >> 16, (x >> 16) + (x & 0xFFFF) - 1 + units.window) for d, x in zip(which.tolist(), where.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([a, c, m, batch.column(0).take(pa.array(which)), kp, at, pa.array(content, pa.binary())], ["a", "c", "m", "id", "kp", "at", "content"])
+
+    joined = rows.join(by_row.hint("shuffle_hash"), same).select("id", "text", "runs")
+    return joined.mapInArrow(send, f"a long, c long, m long, id {kind}, kp long, at long, content binary")
+
 
-    sent = rows.mapInArrow(send, f"id {kind}, k int, a long, c long, lo long, n int, many boolean, content binary")
+def _decided(sent: DataFrame, units: Units, check: Check, batch_bytes: int) -> DataFrame:
+    """a, c, s, t: the spans to take from a context at its first place and at later ones; sent has a row for each a and c."""
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, ks, los, group, groups, size, last, digests = [], [], [], [], [], 0, None, set()
-        ids_kind = None
+        keys, groups, size, last, seen = [], [], 0, None, set()
 
         def out() -> Iterator[pa.RecordBatch]:
-            got = list(check(groups, units))
-            if got:
-                at = [x[0] for x in got]
-                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in at], ids_kind), pa.array([ks[i] for i in at], pa.int32()), pa.array([los[i] + x[1] for i, x in zip(at, got, strict=True)], pa.int64()), pa.array([los[i] + x[2] for i, x in zip(at, got, strict=True)], pa.int64())], ["id", "k", "start", "end"])
+            first, later = [[] for _ in keys], [[] for _ in keys]
+            for i, start, end, which in check(groups, units):
+                for held, wanted in ((first, which is not True), (later, which is not False)):
+                    if wanted:
+                        held[i].append({"start": start, "end": end})
+            full = [i for i in range(len(keys)) if first[i] or later[i]]
+            kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+            yield pa.RecordBatch.from_arrays([pa.array([keys[i][0] for i in full], pa.int64()), pa.array([keys[i][1] for i in full], pa.int64()), pa.array([first[i] for i in full], kind), pa.array([later[i] for i in full], kind)], ["a", "c", "s", "t"])
 
         for batch in batches:
-            ids_kind = batch.column(0).type
-            for i, k, a, c, lo, n, content in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            for a, c, m, at, content in zip(*(x.to_pylist() for x in batch.columns), strict=True):
                 if a != last:
                     if size >= batch_bytes:
                         yield from out()
-                        ids, ks, los, groups, size = [], [], [], [], 0
-                    group, last, digests = [], a, set()
-                    groups.append(group)
-                if c in digests:  # another run of a context that is there already
+                        keys, groups, size = [], [], 0
+                    last, seen = a, set()
+                    groups.append([])
+                if c in seen:  # equal rows send a context each
                     continue
-                digests.add(c)
-                ids.append(i)
-                ks.append(k)
-                los.append(lo)
-                group.append((content, n))
+                seen.add(c)
+                keys.append((a, c))
+                groups[-1].append((content, at & 0xFFFF, m > 1))
                 size += len(content)
         if groups:
             yield from out()
 
-    sent = cut(sent, "sent") if any_crowd else sent
-    few = sent.where("not many") if any_crowd else sent
-    dealt = few.select("id", "k", "a", "c", "lo", "n", "content").repartition("a").sortWithinPartitions("a", F.col("id").isNull(), "id", "k", "lo")
-    spans = spans.unionByName(dealt.mapInArrow(exact, f"id {kind}, k int, start long, end long"))
-    if any_crowd:
-        spans = spans.unionByName(_crowded_spans(sent.where("many"), units, kind, keep_first))
-    return spans
+    dealt = sent.repartition("a").sortWithinPartitions("a", *_place()).select("a", "c", "m", "at", "content")
+    return dealt.mapInArrow(exact, f"a long, c long, s {SPANS}, t {SPANS}")
+
+
+def split_run(n: int, core: tuple[int, int], window: int) -> Iterator[tuple[int, int, tuple[int, int]]]:
+    """(first window, number of windows, core) of the one or two runs that a run of n windows around a core makes; cores count from the run's own first window."""
+    lo, hi = core
+    free = window - (hi - lo)
+    half = (free + 1) // 2
+    left = min(n, lo - half + 1)  # windows with half of the free units before the core
+    if left > 0:
+        yield 0, left, (lo - half, hi)
+    right = max(0, lo - half + 1)
+    if right < n:
+        yield right, n - right, (lo - right, hi + free - half + 1 - right)
+
+
+def _split(sent: DataFrame, units: Units) -> DataFrame:
+    """The runs of crowded anchors with longer anchors, each with its parent (pa, pc) and where it starts in the parent's context."""
+
+    def halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small(batches, 2048):
+            rows = []
+            for row in batch.to_pylist():
+                parsed, n = Parsed(row["content"], units), row["at"] & 0xFFFF
+                if row["lo"] is None:
+                    _, _, _, place = window_runs(parsed.hashes, np.full(len(parsed.hashes), len(parsed.hashes)), units)
+                    row["lo"], row["hi"] = int(place[0]), int(place[0]) + units.gram
+                for start, count, (lo, hi) in split_run(n, (row["lo"], row["hi"]), units.window):
+                    content = parsed.content(start, start + count - 1 + units.window)
+                    a = xxhash.xxh3_64_intdigest(parsed.content(start + lo, start + hi), seed=1 + (hi - lo)) - (1 << 63)
+                    c = xxhash.xxh3_64_intdigest(content, seed=7) - (1 << 63)
+                    rows.append({"a": a, "c": c, "m": row["m"], "id": row["id"], "kp": row["kp"], "at": (((row["at"] >> 16) + start) << 16) | count, "content": content, "lo": lo, "hi": hi, "pa": row["a"], "pc": row["c"], "shift": start})
+            yield pa.RecordBatch.from_pylist(rows, schema)
+
+    kind = sent.schema["id"].dataType.simpleString()
+    schema = pa.schema([("a", pa.int64()), ("c", pa.int64()), ("m", pa.int64()), ("id", to_arrow_type(sent.schema["id"].dataType)), ("kp", pa.int64()), ("at", pa.int64()), ("content", pa.binary()), ("lo", pa.int32()), ("hi", pa.int32()), ("pa", pa.int64()), ("pc", pa.int64()), ("shift", pa.int32())])
+    return sent.mapInArrow(halves, f"a long, c long, m long, id {kind}, kp long, at long, content binary, lo int, hi int, pa long, pc long, shift int")
+
+
+def _contexts(runs: DataFrame) -> DataFrame:
+    """a, c, m (number of places) and the first place of runs with m > 0."""
+    return runs.where("m > 0").groupBy("a", "c").agg(F.sum("m").alias("m"), F.min(F.struct(*_place())).alias("first"))
+
+
+def _decisions(sent: DataFrame, contexts: DataFrame, units: Units, check: Check, hot: int, batch_bytes: int) -> DataFrame:
+    """a, c, s, t for all contexts; those of crowded anchors through longer ones. sent: a row with content for each context, with lo and hi of its core where known."""
+    crowded = cut(contexts.groupBy("a").agg(F.count("*").alias("d")).where(F.col("d") > hot).select("a"), "crowded")
+    if crowded.isEmpty():
+        return _decided(sent, units, check, batch_bytes)
+    sent = cut(sent, "sent")
+    few = _decided(sent.join(crowded, "a", "left_anti"), units, check, batch_bytes)
+    parts = cut(_split(sent.join(crowded, "a", "left_semi"), units), "parts")
+    own = cut(_contexts(parts), "contexts")
+    several = cut(own.groupBy("a").agg(F.sum("m").alias("total")).where("total > 1").select("a"), "several")
+    own = own.join(several, "a", "left_semi")
+    firsts = own.select(F.col("a").alias("fa"), F.col("c").alias("fc"), F.col("m").alias("fm"), "first")
+    matched = parts.join(firsts, (F.col("a") == F.col("fa")) & (F.col("c") == F.col("fc"))).withColumn("is_first", F.struct(*_place()).eqNullSafe(F.col("first")))
+    matched = cut(matched.drop("fa", "fc", "first"), "matched")
+    reps = matched.where("is_first").select("a", "c", F.col("fm").alias("m"), "id", "kp", "at", "content", "lo", "hi")
+    deeper = cut(_decisions(reps, own, units, check, hot, batch_bytes), "deeper")
+    moved = lambda spans: F.transform(spans, lambda x: F.struct((x["start"] + F.col("shift")).alias("start"), (x["end"] + F.col("shift")).alias("end")))
+    back = matched.select("a", "c", "pa", "pc", "shift", "is_first").join(deeper, ["a", "c"]).select("pa", "pc", moved(F.when(F.col("is_first"), F.col("s")).otherwise(F.col("t"))).alias("s"), moved(F.col("t")).alias("t"))
+    back = back.groupBy(F.col("pa").alias("a"), F.col("pc").alias("c")).agg(F.flatten(F.collect_list("s")).alias("s"), F.flatten(F.collect_list("t")).alias("t"))
+    return few.unionByName(back.select("a", "c", "s", "t"))
+
+
+def repeated_spans(rows: DataFrame, units: Units, check: Check, *, keep_first: bool, hot: int, batch_bytes: int = 1 << 19) -> DataFrame:
+    """pid, id, k, start, end: units of repeated windows. rows: as stored() gives them.
 
-
-def _crowded_spans(sent: DataFrame, units: Units, kind: str, keep_first: bool) -> DataFrame:
-    """The spans of anchors with too many contexts for a task: digests of their windows, counted by Spark."""
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(batch.num_rows):
-                row = batch.slice(at, 1)
-                parsed, n = Parsed(row.column(7)[0].as_py(), units), row.column(5)[0].as_py()
-                digests = [xxhash.xxh3_128_digest(parsed.content(i, i + units.window)) for i in range(n)]
-                repeat = row.select([0, 1, 3]).take(pa.array(np.zeros(n, np.int64)))
-                yield pa.RecordBatch.from_arrays([*repeat.columns, pa.array(np.arange(n) + row.column(4)[0].as_py()), pa.array(digests, pa.binary())], ["id", "k", "c", "start", "w"])
-
-    each = sent.mapInArrow(windows, f"id {kind}, k int, c long, start long, w binary").distinct()
-    place = F.struct(F.col("id").isNull().alias("no_id"), F.col("id"), F.col("k"), F.col("start"))
-    twice = each.groupBy("w").agg(F.count("*").alias("times"), F.min(place).alias("first")).where("times > 1")
-    again = each.join(twice, "w")
+    keep_first leaves the first of equal windows, by id (nulls last), k and
+    place; check must then leave it too.
+    """
+    mine = cut(_runs(rows, units, keep_first), "runs")
+    contexts = cut(_contexts(mine), "contexts")
+    senders = contexts.select("a", "c", "m", "first.id", "first.kp", "first.at")
+    sent = _sent(rows, senders, units).withColumns({"lo": F.lit(None).cast("int"), "hi": F.lit(None).cast("int")})
+    decided = _decisions(sent, contexts, units, check, hot, batch_bytes)
     if keep_first:
-        again = again.where(~place.eqNullSafe(F.col("first")))
-    return again.select("id", "k", "start", (F.col("start") + F.lit(units.window)).alias("end"))
-
-
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, k, text: k tells rows with one id but other texts apart."""
-    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    return docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).bitwiseAND(F.lit(0x7FFFFFFF).cast("long")).cast("int").alias("k"), text.alias("text"))
+        decided = decided.join(contexts.select("a", "c", "first"), ["a", "c"])
+    decided = cut(decided, "decided")
+    runs = mine.select("a", "c", "id", "kp", "at").join(decided, ["a", "c"])
+    spans = F.when(F.struct(*_place()).eqNullSafe(F.col("first")), F.col("s")).otherwise(F.col("t")) if keep_first else F.col("s")
+    each = runs.select("id", "kp", F.shiftright("at", 16).alias("lo"), F.explode(spans).alias("span"))
+    pid, k = F.col("kp").bitwiseAND(F.lit(0xFFFFFFFF).cast("long")).cast("int"), F.shiftright("kp", 32).cast("int")
+    return each.select(pid.alias("pid"), "id", k.alias("k"), (F.col("lo") + F.col("span.start")).alias("start"), (F.col("lo") + F.col("span.end")).alias("end"))
 
 
 def with_spans(rows: DataFrame, spans: DataFrame) -> DataFrame:
     """rows with the array `spans` of their spans, null if none."""
-    by_row = spans.groupBy(F.col("id").alias("__id"), F.col("k").alias("__k")).agg(F.collect_set(F.struct("start", "end")).alias("spans"))
-    return rows.join(by_row, F.col("id").eqNullSafe(F.col("__id")) & (F.col("k") == F.col("__k")), "left").select("id", "text", "spans")
+    each = spans.select(F.col("pid").alias("__pid"), F.col("id").alias("__id"), F.col("k").alias("__k"), F.struct("start", "end").alias("span"))
+    by_row = by_pid(each, "__pid").groupBy("__pid", "__id", "__k").agg(F.collect_set("span").alias("spans"))
+    same = (F.col("pid") == F.col("__pid")) & F.col("id").eqNullSafe(F.col("__id")) & (F.col("k") == F.col("__k"))
+    return rows.join(by_row.hint("shuffle_hash"), same, "left").select("id", "text", "spans")
 
 
 def merged(spans: list[dict] | None) -> list[tuple[int, int]]:

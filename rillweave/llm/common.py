@@ -44,6 +44,24 @@ def cut(df: DataFrame, kind: str = "table", by: list[str] | None = None) -> Data
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _buckets(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def bucketed(df: DataFrame, by: str) -> DataFrame:
+    """Like cut, in as many buckets of this column as a shuffle has partitions: joins with what by_pid deals out don't shuffle these rows."""
+    spark = df.sparkSession
+    name, path = f"rillweave_{uuid.uuid4().hex}", fresh_path(spark, "rows")
+    df.write.format("parquet").bucketBy(_buckets(spark), by).option("path", path).saveAsTable(name)
+    read = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the entry in the catalogue; the files stay
+    return read
+
+
+def by_pid(df: DataFrame, column: str) -> DataFrame:
+    return df.repartition(_buckets(df.sparkSession), column)
+
+
 def text_or_empty(name: str) -> Column:
     return F.coalesce(F.col(f"`{name}`").cast("string"), F.lit(""))
 

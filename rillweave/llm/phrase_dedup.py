@@ -1,10 +1,12 @@
 """Substring deduplication of words by repeated-phrase automata.
 
-Candidate regions come from anchors.py. Within a shard of them, windows found
-twice are confirmed and joined to the longest passages that consist of such
-windows; the passages are compiled to an Aho-Corasick automaton over word
-numbers, and every context of the shard streams through it, which finds each
-occurrence of each passage.
+Candidate regions come from anchors.py: every part of every document whose
+anchor is found again. Within a shard of them, windows found twice are
+confirmed and joined to the longest passages that consist of such windows; the
+passages are compiled to an Aho-Corasick automaton over word numbers, and all
+contexts of the shard stream through it, which finds each occurrence of each
+passage. A document's other parts hold no anchor of a passage, and equal
+contexts need to stream once. Nothing but the automata decides which words go.
 """
 
 from __future__ import annotations
@@ -16,21 +18,24 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .anchors import Units, keyed, merged, repeated_spans, with_spans
+from .anchors import Units, merged, repeated_spans, stored, with_spans
 from .common import as_bytes, small
 
 
-def passages(contexts: list[tuple[int, ...]], window: int) -> set[tuple[int, ...]]:
-    """The longest runs of words, within contexts, all of whose windows start at two places or more."""
-    times = Counter(c[i : i + window] for c in contexts for i in range(len(c) - window + 1))
+def passages(contexts: list[tuple[tuple[int, ...], bool]], window: int) -> set[tuple[int, ...]]:
+    """The longest runs of words, within contexts, all of whose windows start at two places or more; a context with true is found at two places itself."""
+    times = Counter(c[i : i + window] for c, _ in contexts for i in range(len(c) - window + 1))
     found = set()
-    for c in contexts:
+    for c, again in contexts:
+        if again:
+            found.add(c)
+            continue
         start = None
         for i in range(len(c) - window + 2):
-            again = i <= len(c) - window and times[c[i : i + window]] > 1
-            if again and start is None:
+            twice = i <= len(c) - window and times[c[i : i + window]] > 1
+            if twice and start is None:
                 start = i
-            elif not again and start is not None:
+            elif not twice and start is not None:
                 found.add(c[start : i + window - 1])
                 start = None
     return found
@@ -44,32 +49,31 @@ def automaton(patterns: set[tuple[int, ...]]) -> ahocorasick.Automaton:
     return out
 
 
-def _check(groups: list[list[tuple[bytes, int]]], units: Units) -> Iterator[tuple[int, int, int]]:
+def _check(groups: list[list[tuple[bytes, int, bool]]], units: Units) -> Iterator[tuple[int, int, int, None]]:
     numbers: dict[bytes, int] = {}
-    contexts = [tuple(numbers.setdefault(w, len(numbers)) for w in c.split(b" ")) for g in groups for c, _ in g]
+    contexts = [(tuple(numbers.setdefault(w, len(numbers)) for w in c.split(b" ")), again) for g in groups for c, _, again in g]
     patterns = passages(contexts, units.window)
     if not patterns:
         return
     shard = automaton(patterns)
-    for i, c in enumerate(contexts):
+    for i, (c, _) in enumerate(contexts):
         for last, length in shard.iter(c):
-            yield i, last + 1 - length, last + 1
+            yield i, last + 1 - length, last + 1, None
 
 
-def phrase_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, window: int = 35, gram: int | None = None, filter_bits: int = 1 << 26, hot: int = 8192) -> DataFrame:
+def phrase_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, window: int = 35, gram: int | None = None, hot: int = 8192) -> DataFrame:
     """id, n_words, spans (removed word ranges) and kept (the words left, joined by one space) for each row.
 
     Words are runs of anything but ASCII white space, unchanged. Takes out each
     word covered by a window of `window` words that also starts elsewhere in
     the corpus, the same text included. Null texts have no words. Rows that are
     equal in id and text count as separate places. Other columns are not
-    carried. filter_bits bounds what is broadcast; hot is the number of
-    contexts of an anchor from which Spark counts digests of windows instead of
-    one task building an automaton.
+    carried. hot bounds the contexts of an anchor in one task; what has more is
+    split by longer anchors (see anchors.py).
     """
     units = Units(True, window, gram or max(1, window // 4))
-    rows = keyed(docs, id_col, text_col)
-    spans = repeated_spans(rows, units, _check, keep_first=False, filter_bits=filter_bits, hot=hot, batch_bytes=1 << 18)
+    rows = stored(docs, id_col, text_col)
+    spans = repeated_spans(rows, units, _check, keep_first=False, hot=hot, batch_bytes=1 << 18)
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in small(batches):

@@ -3,7 +3,9 @@
 Candidate regions come from anchors.py; within them suffixes are put in order
 to the depth that matters, by doubling ranks. In suffix order the previous and
 the next suffix that stand earlier in the text give the longest earlier match
-of each position; mirrored, they give the longest later one.
+of each position; mirrored, they give the longest later one. Nothing else
+decides which bytes go: a byte is removed when a string of the full length that
+covers it has such a match.
 """
 
 from __future__ import annotations
@@ -15,57 +17,100 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import Units, keyed, merged, repeated_spans, with_spans
+from .anchors import Units, merged, repeated_spans, stored, with_spans
 from .common import as_bytes, remove_spans, small
 
 
+def _ranks(keys: np.ndarray) -> np.ndarray:
+    """The rank of each key among the distinct keys, from 0."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    out = np.empty(len(keys), np.int64)
+    out[order] = np.cumsum(np.r_[False, ordered[1:] != ordered[:-1]][: len(keys)])
+    return out
+
+
 class SuffixOrder:
-    """Ranks of all positions of data by their first 1, 2, 4, ... bytes, up to depth."""
+    """Ranks of all positions of data by their first 2, 4, 8, ... bytes, up to depth."""
 
     def __init__(self, data: np.ndarray, depth: int):
-        self.depth, self.size = depth, len(data)
-        self.levels = {1: data.astype(np.int64) + 1}  # 0: beyond the end
+        self.data, self.depth, self.size = data, depth, len(data)
         h = 1
+        while 2 * h <= min(depth, 8):
+            h *= 2
+        padded = np.r_[data, np.zeros(h, np.uint8)].astype(np.uint64)
+        head = np.zeros(self.size, np.uint64)
+        for i in range(h):
+            head = (head << np.uint64(8)) | padded[i : i + self.size]
+        self.levels = {h: _ranks(head) + 1}  # 0: beyond the end
         while 2 * h <= depth:
-            now = self.levels[h]
-            self.levels[2 * h] = np.unique(now * (now.max(initial=0) + 1) + self._at(h, np.arange(self.size) + h), return_inverse=True)[1] + 1
+            self.levels[2 * h] = _ranks((self.levels[h] << 32) | self._at(h, np.arange(self.size) + h)) + 1
             h *= 2
         self.top = h
 
     def _at(self, h: int, places: np.ndarray) -> np.ndarray:
         ranks = self.levels[h]
-        inside = places < self.size
-        return np.where(inside, ranks[np.minimum(places, self.size - 1)], 0)
+        return np.where(places < self.size, ranks[np.minimum(places, self.size - 1)], 0) if self.size else np.zeros(len(places), np.int64)
 
     def ranks(self, places: np.ndarray) -> np.ndarray:
         """Order of places by their first `depth` bytes; equal ones have equal ranks."""
-        head, rest = self._at(self.top, places), self._at(self.top, places + (self.depth - self.top))
-        return np.unique(head * (self.levels[self.top].max(initial=0) + 1) + rest, return_inverse=True)[1]
+        return _ranks((self._at(self.top, places) << 32) | self._at(self.top, places + (self.depth - self.top)))
+
+    def reach(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether `depth` bytes are equal at a and b; false as b is -1. Both have that many bytes after them."""
+        rest = self.depth - self.top
+        other = np.maximum(b, 0)
+        return (b >= 0) & (self._at(self.top, a) == self._at(self.top, other)) & (self._at(self.top, a + rest) == self._at(self.top, other + rest))
 
     def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """The length of the common prefix at a and b, at most depth; -1 as a place has none."""
+        """The length of the common prefix at a and b, at most depth; 0 as a place is -1."""
         length = np.zeros(len(a), np.int64)
         real = (a >= 0) & (b >= 0)
-        for _ in range(2):  # a prefix has each power of two once, the largest perhaps twice
-            h = self.top
-            while h:
-                x, y = self._at(h, np.where(real, a, 0) + length), self._at(h, np.where(real, b, 0) + length)
-                same = real & (x == y) & (np.maximum(a, b) + length + h <= self.size)
+        a, b = np.where(real, a, 0), np.where(real, b, 0)
+        for h in sorted(self.levels, reverse=True):
+            for _ in range(2):  # a prefix has each power of two once, the largest perhaps twice
+                same = real & (np.maximum(a, b) + length + h <= self.size) & (self._at(h, a + length) == self._at(h, b + length))
                 length += np.where(same, h, 0)
-                h //= 2
+        for _ in range(2 * min(self.levels)):  # and then bytes
+            x, y = a + length, b + length
+            same = real & (np.maximum(x, y) < self.size)
+            same[same] = self.data[x[same]] == self.data[y[same]]
+            real &= same
+            length += same
         return np.minimum(length, self.depth)
 
 
+def _previous_smaller(values: np.ndarray) -> np.ndarray:
+    """For each of the distinct values the place of the last smaller one before it; -1 if none. Jumps over places that are known to be larger, all at a time."""
+    at, ext = np.arange(len(values)) - 1, np.r_[values, -1]
+    left = np.flatnonzero(ext[at] > values)
+    for _ in range(64):
+        if not len(left):
+            return at
+        at[left] = at[at[left]]
+        left = left[ext[at[left]] > values[left]]
+    stack: list[int] = []  # long chains are left: one by one
+    for i, x in enumerate(values.tolist()):
+        while stack and values[stack[-1]] > x:
+            stack.pop()
+        at[i] = stack[-1] if stack else -1
+        stack.append(i)
+    return at
+
+
 def nearest_earlier(order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each entry of a permutation in suffix order, the nearest smaller entry before and after it; -1 if none."""
-    before, after, stack = np.full(len(order), -1), np.full(len(order), -1), []
-    for i, x in enumerate(order.tolist()):
-        while stack and stack[-1][1] > x:
-            after[stack.pop()[0]] = x
-        if stack:
-            before[i] = stack[-1][1]
-        stack.append((i, x))
-    return before, after
+    back = order[::-1]
+    before = np.r_[order, -1][_previous_smaller(order)]
+    after = np.r_[back, -1][_previous_smaller(back)]
+    return before, after[::-1]
+
+
+def nearest_later(order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same mirrored: the nearest larger entries before and after; -1 if none."""
+    top = int(order.max(initial=0))
+    before, after = nearest_earlier(top - order)
+    return np.where(before >= 0, top - before, -1), np.where(after >= 0, top - after, -1)
 
 
 def previous_factors(suffixes: SuffixOrder, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -73,7 +118,7 @@ def previous_factors(suffixes: SuffixOrder, places: np.ndarray) -> tuple[np.ndar
     ranks = suffixes.ranks(places)
     order = np.lexsort((np.arange(len(places)), ranks))
     before, after = nearest_earlier(order)
-    spot = lambda x: np.where(x >= 0, places[np.maximum(x, 0)], -1)
+    spot = lambda x: np.where(x >= 0, places[np.maximum(x, 0)], -1) if len(places) else x
     mine = places[order]
     left, right = suffixes.common(mine, spot(before)), suffixes.common(mine, spot(after))
     length, source = np.zeros(len(places), np.int64), np.full(len(places), -1)
@@ -88,29 +133,50 @@ def longest_previous_factors(text: bytes, depth: int) -> tuple[np.ndarray, np.nd
     return previous_factors(SuffixOrder(data, depth), np.arange(len(data)))
 
 
+def factors_of_depth(suffixes: SuffixOrder, places: np.ndarray, later: bool) -> np.ndarray:
+    """Whether each of the ascending places, with `depth` bytes after each, has an earlier factor of that length, or with `later` a later one.
+
+    A place whose first bytes, up to the last level of ranks, no other place
+    has takes no part: it can neither have such a factor nor be one.
+    """
+    head = suffixes._at(suffixes.top, places)
+    used = np.flatnonzero(np.bincount(head)[head] > 1) if len(places) else places
+    own = places[used]
+    order = np.argsort(suffixes.ranks(own), kind="stable")
+    before, after = (nearest_later if later else nearest_earlier)(order)
+    spot = lambda x: np.where(x >= 0, own[np.maximum(x, 0)], -1) if len(own) else x
+    mine = own[order]
+    out = np.zeros(len(places), bool)
+    out[used[order]] = suffixes.reach(mine, spot(before)) | suffixes.reach(mine, spot(after))
+    return out
+
+
 def _check(keep_first: bool):
-    def check(groups: list[list[tuple[bytes, int]]], units: Units) -> Iterator[tuple[int, int, int]]:
-        contexts = [c for g in groups for c in g]
-        data = np.frombuffer(b"".join(c for c, _ in contexts), np.uint8)
-        sizes, counts = np.array([len(c) for c, _ in contexts]), np.array([n for _, n in contexts])
-        which = np.repeat(np.arange(len(contexts)), counts)
+    """Longest previous factors over the contexts in order of first place, those found again once more at the end; without keep_first the longest later ones too."""
+
+    def check(groups: list[list[tuple[bytes, int, bool]]], units: Units) -> Iterator[tuple[int, int, int, bool | None]]:
+        firsts = [c for g in groups for c in g]
+        numbers = [*range(len(firsts)), *(i for i, c in enumerate(firsts) if c[2])]
+        data = np.frombuffer(b"".join(firsts[i][0] for i in numbers), np.uint8)
+        sizes, counts = np.array([len(firsts[i][0]) for i in numbers]), np.array([firsts[i][1] for i in numbers])
+        which = np.repeat(np.arange(len(numbers)), counts)
         inside = np.arange(len(which)) - np.repeat(np.cumsum(counts) - counts, counts)
         places = (np.cumsum(sizes) - sizes)[which] + inside
         suffixes = SuffixOrder(data, units.window)
-        length, source = previous_factors(suffixes, places)
-        again = length >= units.window
-        if not keep_first:  # what a later place matches has a later match
-            ranks = suffixes.ranks(places)
-            again |= np.bincount(ranks)[ranks] > 1
+        again = factors_of_depth(suffixes, places, False)
+        if not keep_first:  # both of two equal strings go; the second copies say nothing new
+            again |= factors_of_depth(suffixes, places, True)
+            again &= which < len(firsts)
         at = np.flatnonzero(again)
         new = np.flatnonzero(np.r_[True, (np.diff(at) != 1) | (np.diff(which[at]) != 0)]) if len(at) else at
         for a, b in zip(new.tolist(), [*new[1:].tolist(), len(at)], strict=True):
-            yield int(which[at[a]]), int(inside[at[a]]), int(inside[at[b - 1]]) + units.window
+            number = int(which[at[a]])
+            yield numbers[number], int(inside[at[a]]), int(inside[at[b - 1]]) + units.window, None if not keep_first else number >= len(firsts)
 
     return check
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, length: int = 200, keep_first: bool = True, gram: int | None = None, filter_bits: int = 1 << 26, hot: int = 8192) -> DataFrame:
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, length: int = 200, keep_first: bool = True, gram: int | None = None, hot: int = 8192) -> DataFrame:
     """id, n_bytes, spans (removed byte ranges) and kept (binary) for each row.
 
     Takes out every byte covered by a string of `length` bytes that also starts
@@ -119,13 +185,12 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     of the text, then place; without it all go. Rows that are equal in id and
     text count as separate places but share their spans, so of those alone
     keep_first leaves each. Null texts are empty. Other columns are not
-    carried. filter_bits bounds what is broadcast; hot is the number of
-    contexts of an anchor from which Spark counts digests instead of one task
-    sorting suffixes.
+    carried. hot bounds the contexts of an anchor in one task; what has more is
+    split by longer anchors (see anchors.py).
     """
-    units = Units(False, length, gram or max(1, length * 8 // 25))
-    rows = keyed(docs, id_col, text_col)
-    spans = repeated_spans(rows, units, _check(keep_first), keep_first=keep_first, filter_bits=filter_bits, hot=hot)
+    units = Units(False, length, gram or max(1, length * 4 // 25))
+    rows = stored(docs, id_col, text_col)
+    spans = repeated_spans(rows, units, _check(keep_first), keep_first=keep_first, hot=hot)
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in small(batches):

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from rillweave.llm import bpe, exact_dedup, mixing, perplexity_rules, phrase_dedup, quality_classifier, simhash_dedup, suffix_dedup, token_counts, warc
+from rillweave.llm import anchors, bpe, exact_dedup, mixing, perplexity_rules, phrase_dedup, quality_classifier, simhash_dedup, suffix_dedup, token_counts, warc
 from rillweave.llm.queries import _removed, op5_warc
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, k int, rid string, fp double"
@@ -346,6 +346,56 @@ def test_suffix_dedup_keeps_the_first(spark):
             assert got[i] == "".join(c for j, c in enumerate(t) if j not in covered)
 
 
+def test_crowded_anchors_go_through_the_check(spark, monkeypatch):
+    """Many texts around one common line: its anchors are split by longer ones, and with a check that finds nothing nothing goes."""
+    draw = random.Random(14)
+    say = lambda n: "".join(draw.choices("abcdefgh ", k=n))
+    line, twice = say(170), [say(40) for _ in range(4)]
+    texts = [draw.choice(twice)[draw.randint(0, 30) :] + line + draw.choice(twice)[: draw.randint(0, 40)] + say(60) for _ in range(80)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {i: len(c) for i, c in enumerate(plain_spans([t.encode() for t in texts], 200))}
+    assert sum(want.values()) > 2000
+    for hot in (8192, 6):
+        got = {r.doc_id: r.n for r in suffix_dedup.suffix_dedup(frame, keep_first=False, hot=hot).withColumn("n", _removed("spans")).collect()}
+        assert got == want
+    monkeypatch.setattr(suffix_dedup, "factors_of_depth", lambda suffixes, places, later: np.zeros(len(places), bool))
+    monkeypatch.setattr(suffix_dedup, "_check", lambda keep_first: lambda groups, units: iter(()))
+    assert all(not r.spans for r in suffix_dedup.suffix_dedup(frame, keep_first=False, hot=6).collect())
+
+
+def test_split_runs_cover_their_windows():
+    draw = random.Random(3)
+    for _ in range(500):
+        window, gram = draw.randint(1, 60), 1
+        gram = draw.randint(1, window)
+        place = draw.randint(0, 80)
+        first = draw.randint(max(0, place + gram - window), place)
+        n = draw.randint(1, place - first + 1)
+        todo, seen = [(first, n, (place, place + gram))], []
+        for _ in range(12):
+            after = []
+            for at, count, (lo, hi) in todo:
+                assert all(s <= lo and hi <= s + window for s in range(at, at + count))
+                if hi - lo == window:
+                    assert count == 1
+                    seen.append(at)
+                    continue
+                after += [(at + a, c, (at + x, at + y)) for a, c, (x, y) in anchors.split_run(count, (lo - at, hi - at), window)]
+            todo = after
+        assert not todo and sorted(seen) == list(range(first, first + n))
+
+
+def test_nearest_earlier_and_later():
+    draw = random.Random(6)
+    for values in [draw.sample(range(60), draw.randint(0, 60)) for _ in range(60)] + [[*range(1, 300), 0], list(range(300, 0, -1))]:
+        v = np.array(values, np.int64)
+        before, after = suffix_dedup.nearest_earlier(v)
+        late = suffix_dedup.nearest_later(v)
+        for i, x in enumerate(values):
+            assert before[i] == next((y for y in values[:i][::-1] if y < x), -1) and after[i] == next((y for y in values[i + 1 :] if y < x), -1)
+            assert late[0][i] == next((y for y in values[:i][::-1] if y > x), -1) and late[1][i] == next((y for y in values[i + 1 :] if y > x), -1)
+
+
 def test_longest_previous_factors():
     draw = random.Random(2)
     for _ in range(20):
