@@ -168,7 +168,9 @@ def _check(keep_first: bool):
             again |= factors_of_depth(suffixes, places, True)
             again &= which < len(firsts)
         at = np.flatnonzero(again)
-        new = np.flatnonzero(np.r_[True, (np.diff(at) != 1) | (np.diff(which[at]) != 0)]) if len(at) else at
+        if not len(at):
+            return
+        new = np.flatnonzero(np.r_[True, (np.diff(at) != 1) | (np.diff(which[at]) != 0)])
         for a, b in zip(new.tolist(), [*new[1:].tolist(), len(at)], strict=True):
             number = int(which[at[a]])
             yield numbers[number], int(inside[at[a]]), int(inside[at[b - 1]]) + units.window, None if not keep_first else number >= len(firsts)

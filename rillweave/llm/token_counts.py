@@ -144,9 +144,9 @@ class TokenCounter:
 def frequent_lengths(docs: DataFrame, definition: str, text_col: str, *, table_size: int, sample_rows: int, longest: int = 1 << 16) -> LengthTable:
     """Tier one: the most frequent pre-tokens of at most sample_rows texts of at most `longest` bytes each, which the driver reads without an exchange."""
     text = F.col(f"`{text_col}`").cast("string")
-    sample = docs.where(F.octet_length(text) <= longest).select(text.alias("text")).limit(sample_rows).toArrow()
+    sample = docs.where(F.octet_length(text) <= longest).select(text.alias("text")).take(sample_rows)
     special, seen = special_pattern(definition), Counter()
-    for t in sample["text"].to_pylist():
+    for (t,) in sample:
         seen.update(PRE_TOKEN.findall(special.sub(" ", t) if special else t))
     tokens = [t for t, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:table_size]]
     tokenizer = load_tokenizer(definition)
