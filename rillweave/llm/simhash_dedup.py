@@ -15,12 +15,13 @@ own, so no task holds an unbounded group; what a group gives is a spanning star
 of each cluster in it, not its pairs. Links lead to components as any set of
 all pairs would.
 
-Near copies of a Jaccard similarity of 0.8 differ in a sixth of the bits. No
-segments guarantee a shared key there, so similar_groups() takes a wider
-fingerprint, with many keys of five segments without a difference each, and
-prunes what shares a key by chains of words before the full check. That is an
-estimate; confirmed_groups() uses a looser one, with more and shorter keys, to
-find families only, and links texts of a family by their shingle sets.
+Near copies of a Jaccard similarity of 0.8 differ in a sixth of the bits, and no
+segments of a SimHash guarantee a shared key there: keys short enough to be
+shared would be shared by most unrelated texts too. similar_groups() therefore
+lets families of texts be found by bands of least shingle hashes, and uses a
+wider SimHash in them: chains of consecutive words within proportional budgets
+prune pairs, then the full Hamming check, and the pairs left are linked by the
+exact similarity of their shingle sets.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import ODD, mixed
-from .common import as_bytes, cut, small
+from .common import as_bytes, bucketed, by_pid, cut, small, unused
 from .components import connected_components
 
 SEED = 42
@@ -188,10 +189,11 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return rows.join(named, "fp").select(F.col("id").alias(id_col), hexed.alias("fingerprint"), "component_id")
 
 
-#: The wide fingerprint: 64 segments of 4 bits in four words. A key takes the segments at these places from its start on; marks of a Golomb ruler, so two keys share one segment at most.
-WORDS, SEGMENTS, RULER = 4, 64, (0, 1, 4, 9, 11)
-#: Keys of four segments for families: a pair that differs in 0.15 of the bits, as at a similarity of 0.8, shares one of the 128 in 99.5 % of cases.
-FAMILY_RULERS = ((0, 1, 4, 6), (0, 7, 20, 37))
+#: The wide fingerprint: four words.
+WORDS = 4
+#: A text has BANDS keys of the least hashes of its shingles under ROWS permutations each. Two texts of similarity s share a key with probability 1 - (1 - s ** ROWS) ** BANDS: 0.998 at 0.8, 0.08 at 0.4.
+BANDS, ROWS = 20, 6
+_TURNS = np.random.default_rng(23).integers(0, 1 << 63, (BANDS * ROWS, 1), np.uint64) | np.uint64(1)
 _NAMES = [f"w{i}" for i in range(WORDS)]
 _SHIFTS = np.arange(WORDS, dtype=np.uint64) * ODD
 
@@ -215,17 +217,17 @@ def expected_distance(similarity: float) -> float:
     return 64 * WORDS * float(np.arccos(2 * similarity / (1 + similarity))) / np.pi
 
 
-def chain_keys(words: np.ndarray, rulers: tuple[tuple[int, ...], ...] = (RULER,)) -> np.ndarray:
-    """64 keys a ruler for each row of four words, numbered by ruler and start segment."""
-    octets = np.ascontiguousarray(words).astype("<u8").view(np.uint8).reshape(-1, 8 * WORDS).astype(np.int64)
-    segments = np.stack([octets & 15, octets >> 4], axis=2).reshape(-1, SEGMENTS)
-    keys = []
-    for n, ruler in enumerate(rulers):
-        own = np.tile((np.arange(SEGMENTS) + n * SEGMENTS) << (4 * len(ruler)), (len(words), 1))
-        for j, r in enumerate(ruler):
-            own |= np.roll(segments, -r, axis=1) << (4 * j)
-        keys.append(own)
-    return np.concatenate(keys, axis=1)
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """The keys of a set of shingle hashes, numbered by band; none for an empty set."""
+    if not len(hashes):
+        return np.zeros(0, np.int64)
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), 4096):
+        least = np.minimum(least, (hashes[None, at : at + 4096] * _TURNS).min(axis=1))
+    keys = np.arange(BANDS, dtype=np.uint64)
+    for row in least.reshape(ROWS, BANDS):
+        keys = mixed(keys * ODD + row)
+    return keys.view(np.int64)
 
 
 def wide_linked(a: np.ndarray, b: np.ndarray, distance: int) -> np.ndarray:
@@ -240,242 +242,185 @@ def wide_linked(a: np.ndarray, b: np.ndarray, distance: int) -> np.ndarray:
     return passed
 
 
-def _tree(words: np.ndarray, distance: int) -> Iterator[tuple[int, int]]:
-    """For a group that shares a key: links that span each cluster in it."""
-    n, left = len(words), np.ones(len(words), bool)
-    match = np.zeros((n, n), bool)
-    for at in range(0, n, 64):
-        match[at : at + 64] = wide_linked(words[at : at + 64, None], words[None], distance)
-    for root in range(n):
-        front = [root] if left[root] else []
-        left[root] = False
-        while front:
-            x = front.pop()
-            found = np.flatnonzero(match[x] & left)
-            left[found] = False
-            front += found.tolist()
-            yield from ((x, y) for y in found.tolist())
-
-
-def _node(words: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(words), np.uint64)
-    for i in range(WORDS):
-        out = mixed(out * ODD + words[:, i])
-    return out.view(np.int64)
-
-
-def find_similar(prints: DataFrame, distance: int, block: int, rulers: tuple[tuple[int, ...], ...] = (RULER,)) -> DataFrame:
-    """(u, v): links among distinct wide fingerprints (columns w0 to w3) that share a key and lie within distance, by node number."""
-
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small(batches):
-            words = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]).view(np.uint64)
-            repeat = np.repeat(words.view(np.int64), SEGMENTS * len(rulers), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(chain_keys(words, rulers).ravel()), *(pa.array(repeat[:, i]) for i in range(WORDS))], ["key", *_NAMES])
-
-    keys = prints.select(_NAMES).mapInArrow(keyed, "key long, " + ", ".join(f"{w} long" for w in _NAMES))
-    # Written first, so that its size decides how it is joined.
-    crowds = cut(keys.groupBy("key").count().where(F.col("count") > block).select(F.col("key").alias("crowd"), F.ceil(F.col("count") / F.lit(block)).cast("int").alias("blocks")), "crowds")
-    rows = keys.join(crowds, F.col("key") == F.col("crowd"), "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    mine = F.pmod(F.xxhash64(*_NAMES), F.col("blocks").cast("long")).cast("int")
-    rows = rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"), *_NAMES)
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-            """rows: whole groups, sorted; columns key, a, b, words."""
-            group = np.cumsum(np.r_[True, (rows[1:, :3] != rows[:-1, :3]).any(axis=1)]) - 1
-            sizes = np.bincount(group)
-            several = sizes[group] > 1
-            group, words = group[several], rows[several, 3:].view(np.uint64)
-            if not len(group):
-                return
-            left, right = [], []
-            few = sizes[group] <= 32
-            for d in range(1, min(32, int(sizes.max()))):
-                i = np.flatnonzero(few[:-d] & (group[:-d] == group[d:]))
-                i = i[wide_linked(words[i], words[i + d], distance)]
-                left.append(i)
-                right.append(i + d)
-            for g in np.unique(group[~few]):
-                at, end = np.searchsorted(group, [g, g + 1])
-                tree = np.array(list(_tree(words[at:end], distance)), np.int64).reshape(-1, 2) + at
-                left.append(tree[:, 0])
-                right.append(tree[:, 1])
-            nodes = _node(words)
-            yield pa.RecordBatch.from_arrays([pa.array(nodes[np.concatenate(x)]) for x in (left, right)], ["u", "v"])
-
-        held = np.zeros((0, 3 + WORDS), np.int64)
-        for batch in batches:
-            held = np.concatenate([held, np.column_stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])])
-            # The last group may go on in the next batch.
-            whole = int(np.argmax((held[:, :3] == held[-1, :3]).all(axis=1))) if len(held) else 0
-            if whole:
-                yield from out(held[:whole])
-                held = held[whole:]
-        if len(held):
-            yield from out(held)
-
-    dealt = rows.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b", *_NAMES)
-    return dealt.mapInArrow(compare, "u long, v long")
-
+def jaccard_links(sets: list[np.ndarray], words: np.ndarray, similarity: float, distance: int) -> list[tuple[int, int]]:
+    """Links that span each cluster of the sets (sorted, distinct hashes; words are their fingerprints) whose pairs have this Jaccard similarity or more; empty sets link to none.
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 5, similarity: float = 0.8, slack: int = 5, block: int = 2048) -> DataFrame:
-    """id and component_id for each row: groups of texts whose shingle sets have about this Jaccard similarity or more.
-
-    Two texts are linked when their wide fingerprints share a key of five equal
-    segments and differ in at most the expected distance plus `slack` bits
-    (some standard deviation). Similarity is thus an estimate: see the README
-    for measured recall. component_id is the smallest id reachable. Null texts
-    are empty; texts without words are alike. Rows with null ids belong to
-    their group but don't name it; a group of null ids only has a null
-    component_id. Fingerprints are told apart by 64-bit numbers. Other columns
-    are not carried.
+    Pairs are pruned by the pigeonring over the words and the Hamming distance; what is left is counted exactly.
     """
-    if not 0 < similarity <= 1:
-        raise ValueError("similarity must lie in (0, 1]")
-    distance = int(expected_distance(similarity)) + slack
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small(batches):
-            words = np.array([wide_fingerprint(t, shingle) for t in as_bytes(batch.column(1))], np.uint64).reshape(-1, WORDS)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_node(words)), *(pa.array(words[:, i].view(np.int64)) for i in range(WORDS))], ["id", "node", *_NAMES])
-
-    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    schema = f"id {texts.schema[0].dataType.simpleString()}, node long, " + ", ".join(f"{w} long" for w in _NAMES)
-    rows = cut(texts.mapInArrow(run, schema), "wide")
-    prints = rows.groupBy("node", *_NAMES).agg(F.min("id").alias("least_id"))
-    parts = cut(connected_components(find_similar(prints, distance, block)), "components")
-    labelled = prints.select("node", "least_id").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    names = labelled.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    named = labelled.join(names, "component").select("node", "component_id")
-    return rows.join(named, "node").select(F.col("id").alias(id_col), "component_id")
-
-
-def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs without near duplicates: of each of the similar_groups the row with the smallest id stays, with all columns.
-
-    Rows that share that smallest id all stay, as do all rows of a group with null ids only.
-    """
-    groups = similar_groups(docs, id_col, text_col, **options)
-    stay = groups.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__stay")).distinct()
-    return docs.join(stay, F.col(f"`{id_col}`").eqNullSafe(F.col("__stay")), "left_semi")
-
-
-def jaccard_links(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
-    """Links that span each cluster of the sets (sorted, distinct hashes) whose pairs have this Jaccard similarity or more; empty sets link to none."""
-    full = np.flatnonzero([len(x) > 0 for x in sets])
-    if len(full) < 2:
+    sizes = np.array([len(x) for x in sets], np.int64)
+    left, links = sizes > 0, []
+    if left.sum() < 2:
         return []
-    sizes = np.array([len(sets[i]) for i in full], np.int64)
-    codes = np.unique(np.concatenate([sets[i] for i in full]), return_inverse=True)[1]
-    starts = np.cumsum(sizes) - sizes
-    mark, left, links = np.zeros(int(codes.max()) + 1, bool), np.ones(len(full), bool), []
-    for root in range(len(full)):
+    codes = np.split(np.unique(np.concatenate(sets), return_inverse=True)[1], np.cumsum(sizes)[:-1])
+    mark = np.zeros(int(max(c.max(initial=0) for c in codes)) + 1, bool)
+    for root in range(len(sets)):
         front = [root] if left[root] else []
         left[root] = False
-        while front and left.any():
+        while front:
             x = front.pop()
-            own = codes[starts[x] : starts[x] + sizes[x]]
-            mark[own] = True
-            common = np.add.reduceat(mark[codes], starts, dtype=np.int64)
-            mark[own] = False
-            found = np.flatnonzero(left & (common >= similarity * (sizes + sizes[x] - common) - 1e-9))
+            near = np.flatnonzero(left & (similarity * np.maximum(sizes, sizes[x]) <= np.minimum(sizes, sizes[x]) + 1e-9))
+            near = near[wide_linked(words[near], words[x], distance)]
+            if not len(near):
+                continue
+            mark[codes[x]] = True
+            common = np.add.reduceat(mark[np.concatenate([codes[y] for y in near])], np.r_[0, np.cumsum(sizes[near])[:-1]], dtype=np.int64)
+            mark[codes[x]] = False
+            found = near[common >= similarity * (sizes[near] + sizes[x] - common) - 1e-9]
             left[found] = False
             front += found.tolist()
-            links += [(int(full[x]), int(full[y])) for y in found.tolist()]
+            links += [(x, y) for y in found.tolist()]
     return links
 
 
-def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """docs with __h1 and __h2, which tell apart texts of rows that share an id."""
-    text = F.col(f"`{text_col}`").cast("string")
-    return docs.withColumns({"__h1": F.xxhash64(text), "__h2": F.xxhash64(F.lit(1), text)})
-
-
-def _row(of: str) -> list[Column]:
-    return [F.col(f"{of}.{x}").alias(y) for x, y in (("id", "__id"), ("h1", "__id_h1"), ("h2", "__id_h2"))]
-
-
-def _same_row(id_col: str) -> Column:
-    return F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (F.col("__h1") == F.col("__id_h1")) & (F.col("__h2") == F.col("__id_h2"))
-
-
-def confirmed_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 5, similarity: float = 0.8, slack: int = 23, block: int = 1024) -> DataFrame:
-    """id, h1, h2 (hashes of the text), node, component for each row, node being a text's shingle set: groups over links of this Jaccard similarity or more, each confirmed on the sets.
-
-    Fingerprints that share a key of four segments and differ in at most the
-    expected distance plus `slack` bits (four standard deviations) make a
-    family. In it sets are compared with each other, in pairs of blocks of
-    about `block` sets, so what a task holds is bounded; a pair in one family
-    is never missed, nor is one linked that is less similar. Texts without
-    words are alike. Sets are told apart by 64-bit numbers.
-    """
-    if not 0 < similarity <= 1:
-        raise ValueError("similarity must lie in (0, 1]")
-    distance = int(expected_distance(similarity)) + slack
+def _wide_rows(texts: DataFrame, shingle: int) -> DataFrame:
+    """rid, id, node (the shingle set's hash), size, keys and words for each row (rid, id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
-            nodes, prints = [], []
-            for t in as_bytes(batch.column(3)):
+            nodes, sizes, keys, prints = [], [], [], []
+            for t in as_bytes(batch.column(2)):
                 hashes = np.unique(shingle_hashes(t, shingle))
                 nodes.append(xxhash.xxh64_intdigest(hashes.astype("<u8").tobytes(), SEED))
+                sizes.append(len(hashes))
+                keys.append(band_keys(hashes))
                 prints.append(wide_print(hashes))
             words = np.array(prints, np.uint64).reshape(-1, WORDS)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(_node(words)), *(pa.array(words[:, i].view(np.int64)) for i in range(WORDS))], names)
-
-    texts = _marked(docs, id_col, text_col).select(F.col(f"`{id_col}`").alias("id"), F.col("__h1").alias("h1"), F.col("__h2").alias("h2"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    names = ["id", "h1", "h2", "node", "fp", *_NAMES]
-    rows = cut(texts.mapInArrow(run, f"id {texts.schema[0].dataType.simpleString()}, " + ", ".join(f"{n} long" for n in names[1:])), "wide")
-    parts = cut(connected_components(find_similar(rows.select(_NAMES).distinct(), distance, 2048, FAMILY_RULERS)), "families")
-    one = rows.groupBy("node", "fp").agg(F.min(F.struct("id", "h1", "h2")).alias("one"))
-    sets = one.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("node", F.coalesce("component", "fp").alias("family"), "one")
-    several = sets.groupBy("family").count().where("count > 1").select("family", F.ceil(F.col("count") / F.lit(block)).cast("int").alias("blocks"))
-    members = cut(sets.join(several, "family").select("family", "blocks", "node", *_row("one")), "members")
-    mine = F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int")
-    marked = _marked(docs.select(F.col(f"`{id_col}`").alias("doc"), F.col(f"`{text_col}`").cast("string").alias("text")), "doc", "text")
-    dealt = marked.join(members, _same_row("doc")).withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("family", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"), "node", "text")
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), *(pa.array(words[:, i].view(np.int64)) for i in range(WORDS))], ["rid", "id", "node", "size", "keys", *_NAMES])
+
+    return texts.mapInArrow(run, f"rid long, id {texts.schema['id'].dataType.simpleString()}, node long, size long, keys array<long>, " + ", ".join(f"{w} long" for w in _NAMES))
+
+
+def _families(wide: DataFrame) -> DataFrame:
+    """node, family: sets that share a band key, directly or through others. A key with many sets gives a star, not pairs."""
+    keys = wide.select("node", F.explode("keys").alias("key"))
+    # Written first: the join is planned by its size, and a hot key can be split.
+    least = cut(keys.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("key", "least"), "least")
+    edges = keys.join(least, "key").select(F.col("node").alias("u"), F.col("least").alias("v"))
+    return cut(connected_components(edges).select("node", F.col("component").alias("family")), "families")
+
+
+def _confirmed(rows: DataFrame, groups: DataFrame, shingle: int, similarity: float, distance: int) -> DataFrame:
+    """u, v: links that span what is similar enough within each group (grp); groups name sets by the row (rid) that has their text."""
+    each = groups.select(F.shiftright("rid", 33).cast("int").alias("__pid"), F.col("rid").alias("__rid"), F.struct("grp", "node", *_NAMES).alias("__member"))
+    by_row = by_pid(each, "__pid").groupBy("__pid", "__rid").agg(F.collect_list("__member").alias("__members"))
+    texts = rows.join(by_row.hint("shuffle_hash"), (F.col("__pid") == F.col("pid")) & (F.col("__rid") == F.col("rid")))
+    dealt = texts.select("text", F.explode("__members").alias("m")).select("m.grp", "m.node", *(f"m.{w}" for w in _NAMES), "text")
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
+        sets: dict[int, np.ndarray] = {}
+        words: list[list[int]] = []
         group, left, right = None, [], []
 
         def close() -> None:
-            nodes, sets = list(held), list(held.values())
-            for x, y in jaccard_links(sets, similarity):
+            nodes = list(sets)
+            for x, y in jaccard_links(list(sets.values()), np.array(words, np.int64).reshape(-1, WORDS).view(np.uint64), similarity, distance):
                 left.append(nodes[x])
                 right.append(nodes[y])
-            held.clear()
+            sets.clear()
+            words.clear()
 
         for batch in small(batches):
-            for *key, node, text in zip(*(batch.column(i).to_pylist() for i in range(4)), as_bytes(batch.column(4)), strict=True):
-                if key != group:
+            for grp, node, *own, text in zip(*(batch.column(i).to_pylist() for i in range(2 + WORDS)), as_bytes(batch.column(2 + WORDS)), strict=True):
+                if grp != group:
                     close()
-                    group = key
-                if node not in held:
-                    held[node] = np.unique(shingle_hashes(text, shingle))
+                    group = grp
+                if node not in sets:
+                    sets[node] = np.unique(shingle_hashes(text, shingle))
+                    words.append(own)
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["u", "v"])
             left.clear()
             right.clear()
         close()
         yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["u", "v"])
 
-    links = dealt.repartition("family", "a", "b").sortWithinPartitions("family", "a", "b").mapInArrow(confirm, "u long, v long")
+    return dealt.repartition("grp").sortWithinPartitions("grp").mapInArrow(confirm, "u long, v long")
+
+
+def _grouped(members: DataFrame, *parts: Column) -> DataFrame:
+    return members.withColumn("grp", F.xxhash64("family", *parts))
+
+
+def _all_links(rows: DataFrame, sets: DataFrame, shingle: int, similarity: float, distance: int, block: int) -> DataFrame:
+    """Links that connect each cluster of similar sets within families. sets: family, node, size, rid, words.
+
+    A family of up to about `block` sets (or of block * 2,048 shingles) is one
+    group. A larger one is cut into blocks: first each block is a group of its
+    own, then one set of each cluster found is compared with those of other
+    blocks, and at last the sets outside the family's largest cluster, in
+    blocks, with all blocks, so that no pair of different clusters is left out.
+    """
+    sized = sets.groupBy("family").agg(F.count("*").alias("n"), F.sum("size").alias("total")).where("n > 1")
+    blocks = F.greatest(F.ceil(F.col("n") / F.lit(block)), F.ceil(F.col("total") / F.lit(block * 2048))).cast("long")
+    members = cut(sets.join(sized.select("family", blocks.alias("blocks")), "family"), "members")
+    mine = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    confirm = lambda groups: _confirmed(rows, groups, shingle, similarity, distance)
+    links = cut(confirm(_grouped(members, mine)), "links")
+    large = members.where("blocks > 1")
+    if large.isEmpty():
+        return links
+
+    def clusters(links: DataFrame) -> DataFrame:
+        """large with the cluster of each set."""
+        parts = cut(connected_components(links), "clusters")
+        return large.join(parts, "node", "left").withColumn("cluster", F.coalesce("component", "node")).drop("component")
+
+    heads = clusters(links).where("node = cluster")
+    heads = heads.join(heads.groupBy("family").agg(F.ceil(F.count("*") / F.lit(block)).cast("long").alias("parts")), "family")
+    links = links.unionByName(cut(confirm(_grouped(heads, F.lit("heads"), F.pmod(F.xxhash64(F.lit(3), F.col("node")), F.col("parts")))), "links"))
+    found = cut(clusters(links), "found")
+    sizes = found.groupBy("family", "cluster").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy("family").agg(F.max_by("cluster", F.struct("n", "cluster")).alias("main"))
+    rest_blocks = found.join(largest, "family").where("cluster <> main").groupBy("family").agg(F.ceil(F.count("*") / F.lit(block)).cast("long").alias("rest"))
+    open_ = found.join(cut(largest.join(rest_blocks, "family"), "open"), "family")
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    rest = open_.where("cluster <> main").withColumn("i", F.pmod(F.xxhash64("node"), F.col("rest")))
+    among = rest.withColumn("j", upto(F.col("rest"))).select(*members.columns, F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), F.lit("rest").alias("kind"))
+    against = rest.withColumn("j", upto(F.col("blocks"))).select(*members.columns, F.col("i").alias("x"), F.col("j").alias("y"), F.lit("main").alias("kind"))
+    main = open_.where("cluster = main").withColumn("j", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("i", upto(F.col("rest")))
+    main = main.select(*members.columns, F.col("i").alias("x"), F.col("j").alias("y"), F.lit("main").alias("kind"))
+    last = confirm(_grouped(among.unionByName(against).unionByName(main), F.col("kind"), F.col("x"), F.col("y")))
+    return links.unionByName(cut(last, "links"))
+
+
+def _components(rows: DataFrame, shingle: int, similarity: float, slack: int, block: int) -> DataFrame:
+    """rid, id, component for each row (pid, rid, id, text)."""
+    if not 0 < similarity <= 1:
+        raise ValueError("similarity must lie in (0, 1]")
+    wide = cut(_wide_rows(rows.select("rid", "id", "text"), shingle), "wide")
+    nodes = wide.groupBy("node").agg(F.min(F.struct("rid", "size", *_NAMES)).alias("one"))
+    sets = nodes.join(_families(wide), "node").select("family", "node", "one.*")
+    links = _all_links(rows, sets, shingle, similarity, int(expected_distance(similarity)) + slack, block)
     linked = cut(connected_components(links), "components")
-    return rows.select("id", "h1", "h2", "node").join(linked, "node", "left").select("id", "h1", "h2", "node", F.coalesce("component", "node").alias("component"))
+    return wide.select("rid", "id", "node").join(linked, "node", "left").select("rid", "id", F.coalesce("component", "node").alias("component"))
+
+
+def _with_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """pid, rid, id, text of docs: written once, in buckets of pid, so that what is dealt out by pid meets texts that stay where they are."""
+    return bucketed(docs.select(F.spark_partition_id().alias("pid"), F.monotonically_increasing_id().alias("rid"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")), "pid")
 
 
-def keep_one_confirmed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs without near duplicates: of each of the confirmed_groups one row stays, that with the smallest id, with all columns; null ids come last.
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 5, similarity: float = 0.8, slack: int = 32, block: int = 1024) -> DataFrame:
+    """id and component for each row: groups over links of this Jaccard similarity of shingle sets or more, each link confirmed on the sets.
 
-    Of rows with other texts that share that smallest id one stays. Rows that repeat its id and text stay with it, but of null ids only one row does.
+    Candidates share a band key (see BANDS); a pair of similarity 0.8 shares
+    one in 99.8 % of cases and is often connected through others as well. Pairs
+    that differ in more bits than the expected distance plus `slack` (over five
+    standard deviations) are pruned. block bounds the sets of a group. Null
+    texts are empty, and texts without words are alike. Sets are told apart by
+    64-bit numbers. Other columns are not carried.
     """
-    groups = confirmed_groups(docs, id_col, text_col, **options)
-    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "h1", "h2")).alias("first")
-    stay = cut(groups.groupBy("component").agg(first).select(_row("first")), "stay")
-    kept = lambda rows, stay: _marked(rows, id_col, text_col).join(stay, _same_row(id_col), "left_semi")
-    named = kept(docs.where(F.col(f"`{id_col}`").isNotNull()), stay.where("__id is not null"))
-    bare = kept(docs.where(F.col(f"`{id_col}`").isNull()), stay.where("__id is null")).dropDuplicates(["__h1", "__h2"])
-    return named.unionByName(bare).select(docs.columns)
+    found = _components(_with_rows(docs, id_col, text_col), shingle, similarity, slack, block)
+    return found.select(F.col("id").alias(id_col), "component")
+
+
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 5, similarity: float = 0.8, slack: int = 32, block: int = 1024) -> DataFrame:
+    """docs without near duplicates: of each of the similar_groups exactly one row stays, that with the smallest id (nulls last), with all columns; of rows that share that id any one."""
+    pid, rid = unused(docs, "pid"), unused(docs, "rid")
+    whole = bucketed(docs.withColumns({pid: F.spark_partition_id(), rid: F.monotonically_increasing_id()}), pid)
+    rows = whole.select(F.col(pid).alias("pid"), F.col(rid).alias("rid"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    found = cut(_components(rows, shingle, similarity, slack, block), "found")
+    first = cut(found.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "rid")).alias("first"), F.count("*").alias("n")).where("n > 1").select("component", "first.rid"), "first")
+    gone = found.select("component", F.col("rid").alias("mine")).join(first, "component").where("mine <> rid").select("mine")
+    gone = by_pid(cut(gone, "gone").select(F.shiftright("mine", 33).cast("int").alias("__pid"), F.col("mine").alias("__rid")), "__pid")
+    left = whole.join(gone.hint("shuffle_hash"), (F.col(pid) == F.col("__pid")) & (F.col(rid) == F.col("__rid")), "left_anti")
+    return left.select(*(F.col(f"`{c}`") for c in docs.columns))

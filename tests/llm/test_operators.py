@@ -151,43 +151,6 @@ def test_pigeonring_prunes_no_link():
         assert any(simhash_dedup.linked(x, y, s, 3)[0] for s in range(4))
 
 
-def plain_wide(text, size=5):
-    """64 segments of 4 bits."""
-    full = (1 << 64) - 1
-
-    def mix(x):
-        x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & full
-        x = (x ^ (x >> 27)) * 0x94D049BB133111EB & full
-        return x ^ (x >> 31)
-
-    words = [w.encode() for w in words_of(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))]
-    shingles = {b" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))} if words else set()
-    hashes = {xxhash.xxh64_intdigest(s, 42) for s in shingles}
-    long = [sum(mix((h + i * 0x9E3779B97F4A7C15) & full) << (64 * i) for i in range(4)) for h in hashes]
-    bits = [2 * sum(h >> b & 1 for h in long) > len(long) for b in range(256)]
-    return tuple(sum(bits[4 * i + j] << j for j in range(4)) for i in range(64))
-
-
-def plain_similar(rows, texts, distance=43):
-    """The smallest id of each text's group, by a brute-force search."""
-    wide = {t: plain_wide(t) for t in set(texts)}
-    prints = sorted(set(wide.values()))
-    shared = lambda x, y: any(all(x[(i + r) % 64] == y[(i + r) % 64] for r in (0, 1, 4, 9, 11)) for i in range(64))
-    linked = lambda x, y: sum((p ^ q).bit_count() for p, q in zip(x, y, strict=True)) <= distance and shared(x, y)
-    left, label = set(prints), {}
-    while left:
-        part, front = set(), [left.pop()]
-        while front:
-            x = front.pop()
-            part.add(x)
-            near = {y for y in left if linked(x, y)}
-            left -= near
-            front += near
-        least = min((i for i, t in zip(rows, texts, strict=True) if wide[t] in part and i is not None), default=None)
-        label |= dict.fromkeys(part, least)
-    return [label[wide[t]] for t in texts]
-
-
 def near_copies(n=6):
     """Families of texts that differ in some words, ids from 0."""
     draw = random.Random(21)
@@ -203,21 +166,6 @@ def near_copies(n=6):
     return out + [" ".join(say(200)) for _ in range(30)]
 
 
-@pytest.mark.parametrize("block", [5, 2048])
-def test_similar_groups(docs, none, spark, block):
-    rows = corpus()
-    want = sorted(zip([r[0] for r in rows], plain_similar([r[0] for r in rows], [r[1] for r in rows]), strict=True), key=repr)
-    assert collect(simhash_dedup.similar_groups(docs, block=block)) == want
-    texts = near_copies()
-    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    label = plain_similar(range(len(texts)), texts)
-    assert collect(simhash_dedup.similar_groups(frame, block=block)) == sorted(enumerate(label), key=repr)
-    assert len(set(label)) < 60 and label[-30:] == list(range(len(texts) - 30, len(texts)))
-    assert collect(simhash_dedup.similar_groups(none)) == []
-    with pytest.raises(ValueError):
-        simhash_dedup.similar_groups(docs, similarity=0)
-
-
 def test_pigeonring_prunes_no_wide_link():
     draw = np.random.default_rng(2)
     a = draw.integers(0, 1 << 63, (4000, 4), np.uint64)
@@ -228,33 +176,74 @@ def test_pigeonring_prunes_no_wide_link():
     assert (simhash_dedup.wide_linked(a, b, 43) == (np.bitwise_count(a ^ b).sum(axis=1) <= 43)).all()
 
 
-def test_similar_texts_are_found():
-    """Two texts of which a few words differ, of similarity 0.8 to 0.95."""
-    draw, found, tried = random.Random(4), 0, 0
-    for _ in range(300):
-        words = ["".join(draw.choices("abcdefgh", k=5)) for _ in range(300)]
-        other = list(words)
-        for at in draw.sample(range(300), draw.randint(1, 6)):
-            other[at] = "other"
-        a, b = ({tuple(x[i : i + 5]) for i in range(296)} for x in (words, other))
-        if len(a & b) / len(a | b) >= 0.8:
-            tried += 1
-            x, y = (simhash_dedup.wide_fingerprint(" ".join(t).encode())[None] for t in (words, other))
-            found += bool(simhash_dedup.wide_linked(x, y, 43)[0] and (simhash_dedup.chain_keys(x) == simhash_dedup.chain_keys(y)).any())
-    assert tried > 200 and found >= 0.9 * tried
+def shingle_set(text, size=5):
+    w = words_of(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set()
 
 
-def test_keep_one_of_each(docs):
-    got = simhash_dedup.keep_one_of_each(docs)
-    assert got.columns == docs.columns
+def jaccard(a, b, size=5):
+    x, y = shingle_set(a, size), shingle_set(b, size)
+    return len(x & y) / len(x | y) if x or y else 1.0
+
+
+def plain_similar(ids, texts, similarity=0.8):
+    """A number for each text's group, by comparing all pairs of shingle sets; the number is the place of the group's smallest id, nulls last."""
+    order = sorted(range(len(texts)), key=lambda i: (ids[i] is None, ids[i] or 0, i))
+    sets, label = [shingle_set(t) for t in texts], {i: i for i in order}
+    for n, i in enumerate(order):
+        for j in order[:n]:
+            if label[i] != label[j] and len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]) - 1e-9:
+                old, new = sorted((label[i], label[j]), key=order.index, reverse=True)
+                label = {k: new if v == old else v for k, v in label.items()}
+    return [label[i] for i in range(len(texts))]
+
+
+@pytest.mark.parametrize("block", [4, 1024])
+def test_similar_groups(docs, none, spark, block):
+    """Groups against all pairs, in families of one block and of many."""
     rows = corpus()
-    label = plain_similar([r[0] for r in rows], [r[1] for r in rows])
-    assert Counter(r.doc_id for r in got.collect()) == Counter(r[0] for r, x in zip(rows, label, strict=True) if x == r[0])
+    texts = near_copies()
+    for ids, texts, frame in (([r[0] for r in rows], [r[1] for r in rows], docs), (list(range(len(texts))), texts, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))):
+        want = Counter(tuple(sorted(map(repr, g))) for g in groups_of(ids, plain_similar(ids, texts)))
+        got = simhash_dedup.similar_groups(frame, block=block).collect()
+        assert Counter(tuple(sorted(map(repr, g))) for g in groups_of([r.doc_id for r in got], [r.component for r in got])) == want
+    assert collect(simhash_dedup.similar_groups(none)) == []
+    with pytest.raises(ValueError):
+        simhash_dedup.similar_groups(docs, similarity=0)
 
 
-def jaccard(a, b, size=5):
-    x, y = ({tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} for w in (a.split(), b.split()))
-    return len(x & y) / len(x | y)
+def groups_of(ids, labels):
+    found = {}
+    for i, x in zip(ids, labels, strict=True):
+        found.setdefault(x, []).append(i)
+    return found.values()
+
+
+def test_large_families_in_blocks_lose_no_link(spark):
+    """One family of chains whose ends differ: a set outside the largest cluster meets all blocks."""
+    draw, texts = random.Random(41), []
+    base = ["".join(draw.choices("abcdefgh", k=6)) for _ in range(120)]
+    for _ in range(3):
+        own = list(base)
+        for _ in range(40):
+            own[draw.randrange(120)] = "".join(draw.choices("abcdefgh", k=6))
+            texts.append(" ".join(own))
+    got = simhash_dedup.similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), block=7).collect()
+    plain = plain_similar(list(range(len(texts))), texts)
+    first = {}
+    for r in sorted(got, key=lambda r: r.doc_id):
+        first.setdefault(r.component, r.doc_id)
+    assert {r.doc_id: first[r.component] for r in got} == dict(enumerate(plain))
+
+
+def test_keep_one_of_each(docs):
+    clash = docs.withColumn("PID", F.lit(1))
+    got = simhash_dedup.keep_one_of_each(clash)
+    assert got.columns == clash.columns
+    rows = corpus()
+    label = plain_similar([r[0] for r in rows], [r[1] for r in rows])
+    kept = [r.doc_id for r in got.collect()]
+    assert Counter(kept) == Counter(rows[i][0] for i in set(label))
 
 
 def test_lone_pairs_at_the_similarity_are_found_and_others_stay(spark):
@@ -267,35 +256,18 @@ def test_lone_pairs_at_the_similarity_are_found_and_others_stay(spark):
             other[20 + 40 * at] = "other"
         texts += [" ".join(words), " ".join(other)]
     assert all(0.8 <= jaccard(*texts[2 * i : 2 * i + 2]) < 0.82 if i < 100 else 0.78 < jaccard(*texts[2 * i : 2 * i + 2]) < 0.8 for i in range(200))
-    got = {r.doc_id for r in simhash_dedup.keep_one_confirmed(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    got = {r.doc_id for r in simhash_dedup.keep_one_of_each(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert sum(2 * i + 1 not in got for i in range(100)) >= 97
     assert got >= {2 * i for i in range(200)} | set(range(200, 400))
 
 
-@pytest.mark.parametrize("block", [5, 1024])
-def test_confirmed_groups(spark, block):
-    """Families of near copies, against all pairs' Jaccard similarity."""
-    texts = near_copies()
-    label = list(range(len(texts)))
-    for i in range(len(texts)):
-        for j in range(i):
-            if label[i] != label[j] and jaccard(texts[i], texts[j]) >= 0.8:
-                low, high = sorted((label[i], label[j]))
-                label = [low if x == high else x for x in label]
-    got = simhash_dedup.confirmed_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), block=block).collect()
-    first = {}
-    for r in sorted(got, key=lambda r: r.id):
-        first.setdefault(r.component, r.id)
-    assert {r.id: first[r.component] for r in got} == dict(enumerate(label))
-
-
 def test_keep_one_of_shared_and_null_ids(spark):
     draw = random.Random(32)
     a, b, c = (["".join(draw.choices("abcdefgh", k=6)) for _ in range(200)] for _ in range(3))
     near = lambda words: " ".join([*words[:-1], "other"])
     # Row 5 stands for its own group, but the row with its id is a near copy of row 1.
     rows = [(1, " ".join(a)), (5, " ".join(b)), (5, near(a)), (None, " ".join(c)), (None, " ".join(c)), (None, near(c))]
-    got = simhash_dedup.keep_one_confirmed(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = simhash_dedup.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((tuple(r) for r in got if r.doc_id), key=repr) == sorted(rows[:2])
     assert len([r for r in got if r.doc_id is None]) == 1
 
