@@ -3,6 +3,7 @@
 import base64
 import gzip
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -358,32 +359,38 @@ def test_split_runs_cover_their_windows():
         assert not todo and sorted(seen) == list(range(first, first + n))
 
 
-def test_nearest_earlier_and_later():
+def test_previous_smaller():
     draw = random.Random(6)
-    for values in [draw.sample(range(60), draw.randint(0, 60)) for _ in range(60)] + [[*range(1, 300), 0], list(range(300, 0, -1))]:
-        v = np.array(values, np.int64)
-        before, after = suffix_dedup.nearest_earlier(v)
-        late = suffix_dedup.nearest_later(v)
-        for i, x in enumerate(values):
-            assert before[i] == next((y for y in values[:i][::-1] if y < x), -1) and after[i] == next((y for y in values[i + 1 :] if y < x), -1)
-            assert late[0][i] == next((y for y in values[:i][::-1] if y > x), -1) and late[1][i] == next((y for y in values[i + 1 :] if y > x), -1)
+    for values in [draw.choices(range(60), k=draw.randint(0, 60)) for _ in range(60)] + [[*range(1, 300), 0], list(range(300, 0, -1))]:
+        got = suffix_dedup._previous_smaller(np.array(values, np.int64))
+        assert got.tolist() == [next((j for j in range(i - 1, -1, -1) if values[j] <= x), -1) for i, x in enumerate(values)]
 
 
-def test_longest_previous_factors():
+def test_aligned_suffixes_and_factors():
+    """Orders, common prefixes and factors of random strings in groups, against plain slices."""
     draw = random.Random(2)
-    for _ in range(20):
-        text = bytes(draw.choices(b"ab", k=draw.randint(0, 60)))
-        depth = draw.choice([1, 3, 8, 13])
-        length, source = suffix_dedup.longest_previous_factors(text, depth)
-        for i in range(len(text)):
-            best = 0
-            for j in range(i):
-                n = 0
-                while i + n < len(text) and n < depth and text[i + n] == text[j + n]:
-                    n += 1
-                best = max(best, n)
-            assert length[i] == best
-            assert best == 0 or (source[i] < i and text[source[i] : source[i] + best] == text[i : i + best])
+    for _ in range(60):
+        depth, gram, strings, group, align = draw.randint(2, 9), "xy", [], [], []
+        for g in range(draw.randint(1, 3)):
+            for _ in range(draw.randint(1, 7)):
+                left, right = ("".join(draw.choices("ab", k=draw.randint(0, 8))) for _ in range(2))
+                strings.append(f"{left}{gram}{right}".encode())
+                group.append(g)
+                align.append(len(left))
+        padded = lambda i, c: bytes(strings[i][align[i] + k] if 0 <= align[i] + k < len(strings[i]) else 0 for k in range(c, 20))
+        for column, order, common in suffix_dedup.AlignedSuffixes(strings, np.array(group), np.array(align), depth).orders():
+            assert order.tolist() == sorted(range(len(strings)), key=lambda i: (group[i], padded(i, column))) or sorted((group[i], padded(i, column)) for i in range(len(strings))) == [(group[i], padded(i, column)) for i in order]
+            for a, b, n in zip(order, order[1:], common[1:], strict=False):
+                x, y = padded(a, column), padded(b, column)
+                lcp = next((k for k in range(len(x)) if x[k] != y[k]), len(x)) if group[a] == group[b] else 0
+                assert min(n, depth) == min(lcp, depth)
+        count = np.array([max(0, len(x) - depth + 1) for x in strings])
+        for later in (False, True):
+            got = suffix_dedup.factors_of_depth(strings, np.array(group), np.array(align), np.zeros(len(strings), np.int64), count, depth, later)
+            for i, p, found in zip(*got, strict=True):
+                others = [j for j in range(len(strings)) if group[j] == group[i] and (j < i or later and j > i) and 0 <= p - align[i] + align[j] < count[j]]
+                assert found == any(strings[j][p - align[i] + align[j] :][:depth] == strings[i][p : p + depth] for j in others)
+            assert len(got[0]) == count.sum()
 
 
 @pytest.mark.parametrize("hot", [8192, 3])
@@ -596,7 +603,7 @@ def plain_kneser_ney(grams, order):
     def p(g):
         n = len(g)
         if not n:
-            return 1 / 64
+            return 1 / 256
         same = [c for x, c in tables[n].items() if x[:-1] == g[:-1]]
         if not same:
             return p(g[1:])
@@ -606,19 +613,33 @@ def plain_kneser_ney(grams, order):
     return p
 
 
-def test_kneser_ney_by_definition():
-    texts = [b"the cat sat on the mat", b"a cat and a rat", b"", b"thethethe a"]
-    packed, _ = perplexity_rules.packed_ngrams(texts, 3)
-    model = perplexity_rules.KneserNey(*np.unique(packed, return_counts=True), 3)
-    symbols = lambda g: tuple(int(g) >> (6 * (2 - k)) & 63 for k in range(3))
-    p = plain_kneser_ney([symbols(g) for g in packed], 3)
-    other, _ = perplexity_rules.packed_ngrams([b"the zebra & the cat"], 3)
-    for g in [*packed, *other]:
-        assert abs(float(model.score(np.array([g]))[0]) - np.log(p(symbols(g)))) < 1e-4
-    first = [symbols(g)[:2] for g in packed[:3]]
-    for a, b in first:
-        grams = np.array([(a << 12) | (b << 6) | w for w in range(64)])
-        assert abs(np.exp(model.score(grams)).sum() - 1) < 1e-4
+def padded_grams(text, order):
+    body = " " * (order - 1) + " ".join(words_of(re.sub("[A-Z]", lambda m: m[0].lower(), text or "")))
+    data = body.encode()
+    return [tuple(data[i : i + order]) for i in range(len(data) - order + 1)]
+
+
+def unpacked(g, order):
+    return tuple(g >> (8 * (order - 1 - k)) & 255 for k in range(order))
+
+
+@pytest.mark.parametrize("order", [2, 3, 5])
+def test_kneser_ney_by_definition(spark, order):
+    texts = ["the cat sat on the mat", "a  CAT and a rat", "", "thethethe a", "é x"]
+    rows = spark.createDataFrame([(t, "x" if i % 2 else None) for i, t in enumerate(texts * 2)], "text string, lang string").repartition(3).select(F.spark_partition_id().alias("pid"), "lang", "text")
+    counts = perplexity_rules.count_ngrams(rows, order)
+    got = {(r.lang, unpacked(r.g, order)): r.p for r in perplexity_rules.kneser_ney(counts, order).collect()}
+    want = {}
+    for lang in (None, "x"):
+        grams = [g for i, t in enumerate(texts * 2) if (lang == "x") == bool(i % 2) for g in padded_grams(t, order)]
+        p = plain_kneser_ney(grams, order)
+        want |= {(perplexity_rules.language_number(lang), g): p(g) for g in grams}
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in got)
+
+
+def cached(f):
+    held = {}
+    return lambda g: held[g] if g in held else held.setdefault(g, f(g))
 
 
 def plain_base(text):
@@ -642,12 +663,24 @@ def test_quality_rules(docs, none):
         base[(r[0], *b, b[0] < 50 or 100 * b[4] > 50 * b[0])] += 1
     assert Counter(tuple(r)[:7] for r in got) == base
     assert not any(r.kept and r.base_failed for r in got)
-    model = perplexity_rules.KneserNey(*np.unique(perplexity_rules.packed_ngrams([(r[1] or "").encode() for r in corpus()], 4)[0], return_counts=True), 4)
-    for r in got:
-        text = next((x[1] for x in corpus() if x[0] == r.doc_id), None)
-        if r.doc_id is not None and text and text.split():
-            grams, _ = perplexity_rules.packed_ngrams([text.encode()], 4)
-            assert abs(r.log_perplexity + model.score(grams).mean()) < 1e-6
+    # Every score and verdict, from the definitions.
+    scores = {}
+    for lang in {r[2] for r in corpus()}:
+        own = [r[1] for r in corpus() if r[2] == lang]
+        p = cached(plain_kneser_ney([g for t in own for g in padded_grams(t, 5)], 5))
+        scores |= {(lang, t): -np.mean([np.log(p(g)) for g in grams]) for t in own if (grams := padded_grams(t, 5))}
+    ranges = {}
+    for lang in {r[2] for r in corpus()}:
+        bins = sorted(round(scores[lang, r[1]] * 10_000) for r in corpus() if r[2] == lang and (b := plain_base(r[1]))[0] >= 50 and 100 * b[4] <= 50 * b[0])
+        q1, q3 = (bins[math.ceil(share * len(bins)) - 1] for share in (0.25, 0.75)) if bins else (0, 0)
+        ranges[lang] = q1 - 2 * max(q3 - q1, 100), q3 + 2 * max(q3 - q1, 100)
+    want = Counter()
+    for r in corpus():
+        b, x = plain_base(r[1]), scores.get((r[2], r[1]))
+        low, high = ranges[r[2]]
+        good = not (b[0] < 50 or 100 * b[4] > 50 * b[0]) and low <= round(x * 10_000) <= high
+        want[r[0], good, None if x is None else round(x, 3)] += 1
+    assert Counter((r.doc_id, r.kept, None if r.log_perplexity is None else round(r.log_perplexity, 3)) for r in got) == want
     assert perplexity_rules.quality_rules(none).collect() == []
 
 
@@ -675,7 +708,7 @@ def test_perplexity_bands_reject_planted_junk(spark):
     assert not got[2000].kept and got[2000].log_perplexity < middle
     assert all(not got[1000 + i].kept and got[1000 + i].log_perplexity > middle for i in range(5))
     assert sum(got[i].kept for i in range(300)) >= 294
-    wide = {r.doc_id: r.kept for r in perplexity_rules.quality_rules(frame, fence=3.0).collect()}
+    wide = {r.doc_id: r.kept for r in perplexity_rules.quality_rules(frame, fence=30.0).collect()}
     assert any(wide[1000 + i] for i in range(5))
 
 
