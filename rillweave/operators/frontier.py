@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.urls import dedup_key
+from ..options import OPTIONS
 
 PRIORITIES = {"CRITICAL": 0, "HIGH": 1, "NORMAL": 2, "LOW": 3}
 
@@ -14,7 +15,7 @@ def priority_number(name: Column) -> Column:
     return F.element_at(F.create_map(*(F.lit(x) for pair in PRIORITIES.items() for x in pair)), name)
 
 
-def disposition(urls: DataFrame, max_size: int = 10_000, seen: DataFrame | None = None) -> DataFrame:
+def disposition(urls: DataFrame, max_size: int = OPTIONS.queue_size, seen: DataFrame | None = None) -> DataFrame:
     """urls (seq, url, allowed, ...) with `disposition`: added, duplicate, filtered or rejected_full.
 
     The same as offering the rows one by one in order of seq: a key is taken by
@@ -53,6 +54,21 @@ def peek(added: DataFrame) -> DataFrame:
     return pop_order(added).limit(1)
 
 
+def seen_keys(judged: DataFrame) -> DataFrame:
+    """The keys (`key`) that a batch took: what disposition() takes as seen for the next one."""
+    return judged.where("disposition = 'added'").select(dedup_key(F.col("url")).alias("key")).distinct()
+
+
+def clear(queued: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """An empty queue and one row, how many were in it; what was seen stays seen."""
+    return queued.where(F.lit(False)), queued.agg(F.count("*").alias("cleared"))
+
+
+def reset_seen(seen: DataFrame) -> DataFrame:
+    """No keys, so that all may be taken again."""
+    return seen.where(F.lit(False))
+
+
 def with_rank(added: DataFrame) -> DataFrame:
     """added with `rank`, the place in the order of work, without sorting in one task.
 
@@ -67,7 +83,7 @@ def with_rank(added: DataFrame) -> DataFrame:
     return ranges.join(before.drop("__n"), ["priority", "__part"]).withColumn("rank", F.col("__before") + inside).drop("__part", "__before")
 
 
-def queue_stats(judged: DataFrame, max_size: int = 10_000, popped: int = 0) -> DataFrame:
+def queue_stats(judged: DataFrame, max_size: int = OPTIONS.queue_size, popped: int = 0) -> DataFrame:
     """One row: what the queue holds and what became of the rows offered."""
     n = lambda kind: F.count_if(F.col("disposition") == kind)
     return judged.agg((n("added") - popped).alias("current_size"), F.lit(max_size).alias("max_size"), n("added").alias("total_added"), F.lit(popped).alias("total_processed"), n("filtered").alias("filtered_robots"), n("duplicate").alias("duplicates_skipped"), n("added").alias("seen_count"))

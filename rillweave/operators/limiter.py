@@ -12,12 +12,13 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Seconds of halt by reason.
-HALT_SECONDS = {"403": 60.0, "429": 60.0, "captcha": 120.0}
-OTHER_HALT = 60.0
+from ..options import OPTIONS, Options
+
+HALT_SECONDS = {"403": OPTIONS.halt_on_403, "429": OPTIONS.halt_on_429, "captcha": OPTIONS.halt_on_captcha}
+OTHER_HALT = OPTIONS.halt_otherwise
 
 
 def _in_order(events: DataFrame, key: str, time: str, order: str, others: list[str], start: tuple, step: Callable[..., tuple[tuple, tuple]], made: dict[str, str]) -> DataFrame:
@@ -45,7 +46,7 @@ def _in_order(events: DataFrame, key: str, time: str, order: str, others: list[s
     return folded.select(F.col("__key").alias(key), F.col("__time").alias(time), F.col("__order").alias(order), *made)
 
 
-def token_bucket(requests: DataFrame, key: str = "domain", time: str = "ts", order: str = "seq", *, max_tokens: int = 5, refill_rate: float = 0.5) -> DataFrame:
+def token_bucket(requests: DataFrame, key: str = "domain", time: str = "ts", order: str = "seq", *, max_tokens: int = OPTIONS.max_tokens, refill_rate: float = OPTIONS.refill_rate) -> DataFrame:
     """key, time, order, admitted and the tokens left for each request; a bucket starts full at its first one. time: seconds as double; at a null one no time has passed."""
     most = float(max_tokens)
 
@@ -61,14 +62,39 @@ def token_bucket(requests: DataFrame, key: str = "domain", time: str = "ts", ord
     return _in_order(requests, key, time, order, [], (most, None), step, {"admitted": "boolean", "tokens": "double"})
 
 
-def wait_for(tokens: Column, needed: int = 1, refill_rate: float = 0.5) -> Column:
+def wait_for(tokens: Column, needed: int = 1, refill_rate: float = OPTIONS.refill_rate) -> Column:
     """Seconds until enough tokens are there."""
     return F.when(tokens >= needed, F.lit(0.0)).otherwise((needed - tokens) / refill_rate)
 
 
-def jitter(key: Column, least: float = 2.0, most: float = 5.0, seed: int = 7) -> Column:
+def chance(key: Column, seed: int) -> Column:
+    """A number in [0, 1) that is the same for the same key and seed on any engine with SHA-256."""
+    return F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(str(seed)), key.cast("string")), 256), 1, 12), 16, 10).cast("double") / float(1 << 48)
+
+
+def jitter(key: Column, least: float = OPTIONS.min_delay, most: float = OPTIONS.max_delay, seed: int = 7) -> Column:
     """A delay between the bounds that is the same for the same key."""
-    return least + (most - least) * (F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1_000_000)) / 1e6)
+    return least + (most - least) * chance(key, seed)
+
+
+def polite_delay(key: Column, strict: Column, options: Options = OPTIONS, seed: int = 7) -> Column:
+    """The delay of a request: within the strict bounds where its domain is in strict mode (null: it isn't)."""
+    bounds = jitter(key, options.strict_min_delay, options.strict_max_delay, seed)
+    return F.when(F.coalesce(strict, F.lit(False)), bounds).otherwise(jitter(key, options.min_delay, options.max_delay, seed))
+
+
+def with_strict_mode(requests: DataFrame, toggles: DataFrame, key: str = "domain", time: str = "ts", order: str = "seq") -> DataFrame:
+    """requests with `strict`: what the last toggle (key, time, order, strict) of the domain before the request said, false if there is none.
+
+    Both are logs in order of time, then order; a toggle goes before a request of equal time and order.
+    """
+    columns = [F.col(key).alias("__key"), F.col(time).alias("__time"), F.col(order).alias("__order")]
+    asked = requests.select(*columns, F.lit(1).alias("__kind"), F.lit(None).cast("boolean").alias("__strict"), F.struct(*(F.col(f"`{c}`") for c in requests.columns)).alias("__row"))
+    turned = toggles.select(*columns, F.lit(0).alias("__kind"), F.coalesce("strict", F.lit(False)).alias("__strict"))
+    log = asked.unionByName(turned, allowMissingColumns=True)
+    upto = Window.partitionBy("__key").orderBy("__time", "__order", "__kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    mode = log.withColumn("__strict", F.coalesce(F.last("__strict", ignorenulls=True).over(upto), F.lit(False)))
+    return mode.where("__kind = 1").select("__row.*", F.col("__strict").alias("strict"))
 
 
 def halt_seconds(reason: Column) -> Column:
@@ -78,7 +104,7 @@ def halt_seconds(reason: Column) -> Column:
     return out
 
 
-def schedule(requests: DataFrame, key: str = "domain", time: str = "ts", order: str = "seq", *, max_tokens: int = 5, refill_rate: float = 0.5, delay: str = "delay", halt: str = "halt") -> DataFrame:
+def schedule(requests: DataFrame, key: str = "domain", time: str = "ts", order: str = "seq", *, max_tokens: int = OPTIONS.max_tokens, refill_rate: float = OPTIONS.refill_rate, delay: str = "delay", halt: str = "halt") -> DataFrame:
     """When each request goes out, for requests served in order: after a halt, with a token, and `delay` after the one before.
 
     delay: seconds to keep from the request before. halt: seconds that the
@@ -115,6 +141,16 @@ def domain_stats(events: DataFrame, key: str = "domain", now: float | None = Non
     return out.select(key, F.coalesce("halted_until", F.lit(0.0)).alias("halted_until"), F.coalesce("consecutive_errors", F.lit(0)).alias("consecutive_errors"), (F.coalesce("halted_until", F.lit(0.0)) > at).alias("is_halted"))
 
 
+def limiter_report(requests: DataFrame, events: DataFrame, toggles: DataFrame, key: str = "domain", *, max_tokens: int = OPTIONS.max_tokens, refill_rate: float = OPTIONS.refill_rate, now: float | None = None) -> DataFrame:
+    """Per domain: tokens left after its last request, max_tokens, and of domain_stats the errors in a row, the end of the halt and whether it holds, with strict_mode by the last toggle."""
+    bucket = token_bucket(requests, key, max_tokens=max_tokens, refill_rate=refill_rate)
+    left = bucket.groupBy(key).agg(F.max_by("tokens", F.struct("ts", "seq")).alias("tokens"))
+    mode = toggles.groupBy(key).agg(F.max_by("strict", F.struct("ts", "seq")).alias("strict_mode"))
+    out = left.join(domain_stats(events, key, now), key, "full").join(mode, key, "full")
+    full = lambda name, value: F.coalesce(F.col(name), F.lit(value)).alias(name)
+    return out.select(key, full("tokens", float(max_tokens)), F.lit(max_tokens).alias("max_tokens"), full("consecutive_errors", 0), full("strict_mode", False), full("halted_until", 0.0), full("is_halted", False))
+
+
 def proxy_health(outcomes: DataFrame, key: str = "proxy", *, max_failures: int = 3) -> DataFrame:
     """Per key from (ts, seq, ok, response_time): health, failures in a row, totals and the moving average of response times.
 
@@ -175,3 +211,16 @@ def assign_round_robin(rows: DataFrame, choices: list[str], seq: str = "seq", in
     if not choices:
         return rows.withColumn(into, F.lit(None).cast("string"))
     return rows.withColumn(into, F.element_at(F.array(*map(F.lit, choices)), (F.pmod(F.col(seq), F.lit(len(choices))) + 1).cast("int")))
+
+
+def assign_random(rows: DataFrame, choices: list[str], key: str = "seq", into: str = "choice", seed: int = 3) -> DataFrame:
+    """rows with one of the choices, each as likely, the same for the same key and seed; null if there are none."""
+    if not choices:
+        return rows.withColumn(into, F.lit(None).cast("string"))
+    return rows.withColumn(into, F.element_at(F.array(*map(F.lit, choices)), (F.floor(chance(F.col(key), seed) * len(choices)) + 1).cast("int")))
+
+
+def desktop_only(profiles: DataFrame) -> DataFrame:
+    """Browser profiles (user_agent, sec_ch_ua_mobile) that aren't mobile."""
+    mobile = (F.col("sec_ch_ua_mobile") == "?1") | F.contains("user_agent", F.lit("Mobile"))
+    return profiles.where(~F.coalesce(mobile, F.lit(False)))

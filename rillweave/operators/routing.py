@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import detect
 from ..functions.html import PAGE_SCHEMA, extract, page_record
+from ..options import OPTIONS
 from .flatten import clean_record
+from .frontier import disposition, queue_stats
+from .robots import can_fetch
 from .store import split_by_cache
 
 # What browsers don't load.
@@ -75,6 +78,29 @@ def blocked_by_robots(urls: DataFrame) -> DataFrame:
     return urls.select("url", F.lit(False).alias("success"), F.lit(0).alias("status_code"), F.lit("Blocked by robots.txt").alias("error"), F.lit(0.0).alias("response_time"))
 
 
+def batch_run(urls: DataFrame, fetches: DataFrame, rules: DataFrame | None = None, *, log: DataFrame | None = None, seen: DataFrame | None = None, max_size: int = OPTIONS.queue_size, popped: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Results of the URLs (seq, url) that the frontier takes, and one row of queue statistics.
+
+    URLs that robots rules deny, repeats and those beyond max_size are counted
+    in the statistics and have no result. All that is taken is processed,
+    unless popped says how many were.
+    """
+    offered = can_fetch(urls, rules) if rules is not None else urls.withColumn("allowed", F.lit(True))
+    judged = disposition(offered.select("seq", "url", "allowed"), max_size, seen)
+    stats = queue_stats(judged, max_size)
+    if popped is None:
+        stats = stats.withColumns({"total_processed": F.col("total_added"), "current_size": F.lit(0).cast("long")})
+    else:
+        stats = queue_stats(judged, max_size, popped)
+    return process(judged.where("disposition = 'added'").select("url"), fetches, log), stats
+
+
+def single_runs(urls: DataFrame, fetches: DataFrame, rules: DataFrame, log: DataFrame | None = None) -> DataFrame:
+    """A result for each URL as if it were run alone: those that robots rules deny fail without a fetch."""
+    judged = can_fetch(urls, rules)
+    return process(judged.where("allowed").select("url"), fetches, log).unionByName(blocked_by_robots(judged.where("not allowed")), allowMissingColumns=True)
+
+
 def session_stats(results: DataFrame) -> DataFrame:
     """One row: URLs processed, successes, bytes and characters, fetches by route; held pages count as neither route."""
     total, good = F.count("*"), F.count_if("success")

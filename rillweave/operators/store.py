@@ -46,6 +46,12 @@ def load(log: DataFrame, url: str) -> DataFrame:
     return current(log.where(F.col("url_hash") == key)).select("content")
 
 
+def metadata(log: DataFrame, url: str) -> DataFrame:
+    """What is known of the page held for a URL but its content; no row if there is none."""
+    key = storage_key(F.lit(url))
+    return current(log.where(F.col("url_hash") == key), content=False)
+
+
 def split_by_cache(urls: DataFrame, log: DataFrame) -> tuple[DataFrame, DataFrame]:
     """urls that are held, with their content, and urls to fetch."""
     keyed, held = urls.withColumn("__key", storage_key(F.col("url"))), current(log).select(F.col("url_hash").alias("__key"), "content")
