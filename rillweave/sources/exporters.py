@@ -1,22 +1,21 @@
 """Exports: JSON array, JSON lines, CSV, SQLite.
 
-Each writes a folder of part files in parallel (SQLite: one file, one task);
-single_file merges the parts of the text formats into one file on the driver by
-streaming, never by collecting rows.
+Each writes a folder of part files in parallel, on any file system that Spark
+writes to; JSON arrays and single files are the parts one after another, copied
+as streams through the file system's own interface. A SQLite file is local to
+the driver by nature: rows reach it a partition at a time, in one transaction.
 """
 
 from __future__ import annotations
 
 import os
-import shutil
 import sqlite3
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+import uuid
+from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
-from pyspark.sql.types import StructType
+from pyspark.sql import functions as F
 
 from ..operators.flatten import flatten, prepared, sql_type
 
@@ -25,8 +24,37 @@ def auto_filename(extension: str, now: datetime | None = None) -> str:
     return f"export_{(now or datetime.now()):%Y%m%d_%H%M%S}.{extension}"
 
 
-def _parts(folder: str) -> list[str]:
-    return sorted(os.path.join(folder, f) for f in os.listdir(folder) if f.startswith("part-"))
+def _system(spark: SparkSession, path: str):
+    """The file system of a path, the path and the settings, on the JVM's side; a plain path is local if it is absolute."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(conf), place, conf
+
+
+def _joined(spark: SparkSession, folder: str, path: str, head: bytes = b"", tail: bytes = b"", skip: int = 0, skip_line: bool = False) -> str:
+    """The parts of a folder as one file between head and tail, without the first `skip` bytes of the first part, or with skip_line without the first line of each part but the first."""
+    system, place, conf = _system(spark, folder)
+    target, out_place, _ = _system(spark, path)
+    parts = sorted((f.getPath() for f in system.listStatus(place) if f.getPath().getName().startswith("part-") and f.getLen()), key=lambda p: p.getName())
+    copy = spark.sparkContext._jvm.org.apache.hadoop.io.IOUtils.copyBytes
+    out = target.create(out_place, True)
+    try:
+        out.write(bytearray(head))
+        for i, part in enumerate(parts):
+            source = system.open(part)
+            try:
+                if skip and not i:
+                    source.seek(skip)
+                if skip_line and i:
+                    while source.read() not in (10, -1):
+                        pass
+                copy(source, out, conf, False)
+            finally:
+                source.close()
+        out.write(bytearray(tail))
+    finally:
+        out.close()
+    return path
 
 
 def to_jsonl(df: DataFrame, path: str) -> str:
@@ -37,19 +65,15 @@ def to_jsonl(df: DataFrame, path: str) -> str:
 
 def to_json(df: DataFrame, path: str) -> str:
     """One array in one file, pretty enough to read: an object a line. No rows give []."""
-    folder = f"{path}.parts"
-    to_jsonl(df, folder)
-    with open(path, "w", encoding="utf-8") as out:
-        first = True
-        out.write("[")
-        for part in _parts(folder):
-            with open(part, encoding="utf-8") as f:
-                for line in f:
-                    out.write(("" if first else ",") + "\n  " + line.rstrip("\n"))
-                    first = False
-        out.write("]" if first else "\n]")
-    shutil.rmtree(folder)
-    return path
+    spark, folder = df.sparkSession, f"{path}.{uuid.uuid4().hex}"
+    names = df.columns
+    objects = df.select(F.to_json(F.struct(*(F.col(f"`{c}`") for c in names)), {"ignoreNullFields": "false"}).alias("value"))
+    objects.select(F.concat(F.lit(",\n  "), "value")).write.option("lineSep", "\n").text(folder)
+    try:
+        return _joined(spark, folder, path, b"[", b"]", skip=1)
+    finally:
+        system, place, _ = _system(spark, folder)
+        system.delete(place, True)
 
 
 def to_csv(df: DataFrame, path: str, delimiter: str = ",", include_headers: bool = True, flatten_nested: bool = True) -> str:
@@ -62,77 +86,29 @@ def to_csv(df: DataFrame, path: str, delimiter: str = ",", include_headers: bool
 
 def single_file(folder: str, path: str, header: bool = False) -> str:
     """The parts of a folder as one file; header: each part repeats the first line."""
-    with open(path, "wb") as out:
-        for i, part in enumerate(_parts(folder)):
-            with open(part, "rb") as f:
-                if header and i:
-                    f.readline()
-                shutil.copyfileobj(f, out)
-    return path
-
-
-@dataclass
-class _Written(WriterCommitMessage):
-    rows: int
-
-
-class SQLiteWriter(DataSourceWriter):
-    """Stages rows in a file beside the target and moves them over in commit(), in one transaction; abort() drops the stage."""
-
-    def __init__(self, options: dict[str, str], schema: StructType, overwrite: bool):
-        self.path, self.table, self.schema = options["path"], options.get("table", "scraped_data"), schema
-        self.replace = overwrite or options.get("replace", "false").lower() == "true"
-
-    def _quoted(self, name: str) -> str:
-        return '"' + name.replace('"', '""') + '"'
-
-    def _columns(self) -> str:
-        return ", ".join(self._quoted(n) for n in self.schema.names)
-
-    def write(self, rows: Iterator) -> WriterCommitMessage:
-        n = 0
-        with sqlite3.connect(f"{self.path}.stage") as con:
-            con.execute("DROP TABLE IF EXISTS stage")
-            con.execute(f"CREATE TABLE stage ({', '.join(f'{self._quoted(f.name)} {sql_type(f.dataType)}' for f in self.schema.fields)})")
-            marks = ", ".join("?" * len(self.schema.names))
-            for row in rows:
-                con.execute(f"INSERT INTO stage VALUES ({marks})", [int(v) if isinstance(v, bool) else v if v is None or isinstance(v, (int, float, str, bytes)) else str(v) for v in row])
-                n += 1
-        return _Written(n)
-
-    def commit(self, messages: list[WriterCommitMessage | None]) -> None:
-        with sqlite3.connect(self.path) as con:
-            name = self._quoted(self.table)
-            if self.replace:
-                con.execute(f"DROP TABLE IF EXISTS {name}")
-            fields = ", ".join(f"{self._quoted(f.name)} {sql_type(f.dataType)}" for f in self.schema.fields)
-            con.execute(f"CREATE TABLE IF NOT EXISTS {name} (id INTEGER PRIMARY KEY AUTOINCREMENT, {fields}, _scraped_at TIMESTAMP DEFAULT CURRENT_TIMESTAMP)")
-            con.commit()
-            con.execute("ATTACH ? AS staged", (f"{self.path}.stage",))
-            con.execute(f"INSERT INTO {name} ({self._columns()}) SELECT {self._columns()} FROM staged.stage")
-            con.commit()
-        self.abort(messages)
-
-    def abort(self, messages: list[WriterCommitMessage | None]) -> None:
-        if os.path.exists(f"{self.path}.stage"):
-            os.remove(f"{self.path}.stage")
-
-
-class SQLiteSource(DataSource):
-    @classmethod
-    def name(cls) -> str:
-        return "sqlite_file"
-
-    def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
-        return SQLiteWriter(dict(self.options), schema, overwrite)
+    return _joined(SparkSession.active(), folder, path, skip_line=header)
 
 
 def to_sqlite(df: DataFrame, path: str, table: str = "scraped_data", replace: bool = False) -> str:
     """A table with a surrogate key and the time of insertion; complex columns as JSON text. No rows are an error."""
     if df.isEmpty():
         raise ValueError("no data to export")
-    df.sparkSession.dataSource.register(SQLiteSource)
-    prepared(df).coalesce(1).write.format("sqlite_file").option("table", table).option("replace", str(replace).lower()).mode("append").save(path)
+    rows = prepared(df)
+    quoted = lambda name: '"' + name.replace('"', '""') + '"'
+    plain = lambda v: int(v) if isinstance(v, bool) else v if v is None or isinstance(v, (int, float, str, bytes)) else str(v)
+    columns = ", ".join(quoted(n) for n in rows.columns)
+    fields = ", ".join(f"{quoted(f.name)} {sql_type(f.dataType)}" for f in rows.schema.fields)
+    con = sqlite3.connect(path, isolation_level=None)
+    try:
+        con.execute("BEGIN")
+        if replace:
+            con.execute(f"DROP TABLE IF EXISTS {quoted(table)}")
+        con.execute(f"CREATE TABLE IF NOT EXISTS {quoted(table)} (id INTEGER PRIMARY KEY AUTOINCREMENT, {fields}, _scraped_at TIMESTAMP DEFAULT CURRENT_TIMESTAMP)")
+        marks = ", ".join("?" * len(rows.columns))
+        con.executemany(f"INSERT INTO {quoted(table)} ({columns}) VALUES ({marks})", ([plain(v) for v in row] for row in rows.toLocalIterator()))
+        con.execute("COMMIT")
+    finally:
+        con.close()  # what isn't committed goes
     return path
 
 
