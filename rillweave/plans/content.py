@@ -39,8 +39,16 @@ def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages(spark, sf_dir).select("page_id", F.char_length(c).alias("n_chars"), F.md5(c).alias("text_md5"))
 
 
+def _headed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with a description on every third, and none to three absolute links beside the relative ones."""
+    k = F.col("page_id")
+    meta = F.when(k % 3 == 0, F.concat(F.lit('<head><meta name="description" content="About '), k.cast("string"), F.lit(' &amp; more">'))).otherwise(F.lit("<head>"))
+    links = F.concat(F.lit("<body>"), F.repeat(F.lit('<a href="https://x.example/a">to</a>'), (k % 4).cast("int")))
+    return pages(spark, sf_dir).select("page_id", F.replace(F.replace("html", F.lit("<head>"), meta), F.lit("<body>"), links).alias("html"))
+
+
 def page_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages(spark, sf_dir).withColumn("r", html.extract(F.col("html"))).select("page_id", F.md5("r.title").alias("title_md5"), F.md5("r.h1").alias("h1_md5"), "r.links_count", "r.description", F.col("r.parse_error").isNull().alias("parsed"))
+    return _headed(spark, sf_dir).withColumn("r", html.extract(F.col("html"))).select("page_id", F.md5("r.title").alias("title_md5"), F.md5("r.h1").alias("h1_md5"), "r.links_count", "r.description", F.col("r.parse_error").isNull().alias("parsed"))
 
 
 def _escaped(c):
@@ -165,7 +173,7 @@ ORACLE_SQL = {
         FROM (SELECT p_partkey, p_retailprice::DECIMAL(12, 2) AS p FROM part)""",
     "page_text": f"WITH d AS (SELECT page_id, {_decoded(_BARE)} AS base FROM pages) SELECT page_id, length({_PLAIN})::INTEGER AS n_chars, md5({_PLAIN}) AS text_md5 FROM d",
     "page_heads": f"""SELECT page_id, md5(trim({_decoded("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")})) AS title_md5, md5(trim({_decoded("regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1)")})) AS h1_md5,
-        0 AS links_count, '' AS description, true AS parsed FROM pages""",
+        (page_id % 4)::INTEGER AS links_count, CASE WHEN page_id % 3 = 0 THEN 'About ' || page_id || ' & more' ELSE '' END AS description, true AS parsed FROM pages""",
     "product_listing": f"""SELECT p_partkey, 1 AS products_count, p_name AS name, CASE WHEN even THEN '/p/' || p_partkey END AS url, '£' || p_retailprice::DECIMAL(12, 2)::VARCHAR AS price,
         CASE WHEN even AND p_partkey % 6 < 5 THEN (p_partkey % 6 + 1)::VARCHAR ELSE {_WORD} END AS rating, CASE WHEN even AND p_partkey % 6 < 5 THEN (p_partkey % 6 + 1)::INTEGER END AS rating_num,
         CASE WHEN even THEN 'In stock' END AS availability, CASE WHEN even THEN '/i/' || p_partkey || '.jpg' END AS image FROM (SELECT *, p_partkey % 2 = 0 AS even FROM part)""",

@@ -216,3 +216,42 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_options_hold_together():
+    from rillweave.options import Options
+
+    assert Options(max_tokens=1, strict_max_delay=40).strict_max_delay == 40
+    for wrong in ({"max_tokens": 0}, {"refill_rate": 0}, {"min_delay": 6}, {"strict_min_delay": 31}, {"workers": 0}):
+        with pytest.raises(ValueError):
+            Options(**wrong)
+
+
+def test_strict_mode_and_reports_of_odd_logs(spark):
+    """Null keys, requests before any toggle, toggles of equal time, domains that are in one log only."""
+    asked = spark.createDataFrame([("a", 1.0, 1), ("a", 2.0, 2), ("a", 3.0, 3), (None, 1.0, 4), ("c", 1.0, 5)], "domain string, ts double, seq long")
+    turned = spark.createDataFrame([("a", 2.0, 2, True), ("a", 2.5, 9, None), ("b", 1.0, 1, True)], "domain string, ts double, seq long, strict boolean")
+    got = {r.seq: r.strict for r in limiter.with_strict_mode(asked, turned).collect()}
+    assert got == {1: False, 2: True, 3: False, 4: False, 5: False}
+    delays = limiter.with_strict_mode(asked, turned).select("strict", limiter.polite_delay(F.col("seq"), F.col("strict")).alias("d")).collect()
+    assert all(10 <= r.d <= 30 if r.strict else 2 <= r.d <= 5 for r in delays)
+    events = asked.select("*", F.lit("403").alias("reason"), F.lit(False).alias("ok"))
+    report = {r.domain: r for r in limiter.limiter_report(asked, events, turned).collect()}
+    assert report["b"].strict_mode and report["b"].tokens == 5.0 and not report["b"].is_halted and report["b"].consecutive_errors == 0
+    assert report["a"].consecutive_errors == 3 and report["a"].halted_until == 63.0 and report["a"].is_halted and not report["a"].strict_mode
+    assert limiter.assign_random(asked, []).where("choice is not null").isEmpty()
+
+
+def test_cli_takes_robots_proxies_and_repeats(spark, tmp_path):
+    page = "<html><head><title>t</title></head><body><h1>h</h1>" + "word " * 300 + "</body></html>"
+    spark.createDataFrame([(f"http://x.example/{p}", page) for p in ("a", "b", "no")], "url string, html string").write.parquet(f"{tmp_path}/p")
+    spark.createDataFrame([("x.example", 200, "User-agent: *\nDisallow: /no")], "domain string, status int, body string").write.parquet(f"{tmp_path}/r")
+    (tmp_path / "u.txt").write_text("http://x.example/a\nhttp://x.example/A/\nhttp://x.example/b\nhttp://x.example/no\n# http://x.example/c\n")
+    (tmp_path / "proxies.txt").write_text("http://p1:1\n\n#off\nhttp://p2:2\n")
+    common = ["--pages", f"{tmp_path}/p", "--robots", f"{tmp_path}/r", "--folder", str(tmp_path / "out")]
+    path = cli.main([*common, "--file", f"{tmp_path}/u.txt", "--proxies", f"{tmp_path}/proxies.txt", "--output", "r.json"])
+    assert sorted(r["url"] for r in json.load(open(path))) == ["http://x.example/a", "http://x.example/b"]
+    path = cli.main([*common, "--file", f"{tmp_path}/u.txt", "--capacity", "1", "--output", "one.json"])
+    assert [r["url"] for r in json.load(open(path))] == ["http://x.example/a"]
+    path = cli.main([*common, "--url", "http://x.example/no", "--output", "no.json"])
+    assert [(r["success"], r["error"]) for r in json.load(open(path))] == [(False, "Blocked by robots.txt")]
