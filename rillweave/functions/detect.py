@@ -67,18 +67,24 @@ def needs_browser_quick(html: Column) -> Column:
 
 
 def analyze(html: Column, least_text: int = 500) -> Column:
-    """A struct: frameworks, site_type, confidence, requires_browser, reasons."""
-    names, markers, length, static = frameworks(html), dynamic_markers(html), F.char_length(visible_text(html)), looks_static(html)
+    """A struct: frameworks, site_type, confidence, requires_browser, reasons. What is found in the page is looked for once and bound."""
+    found = F.struct(frameworks(html).alias("names"), F.size(dynamic_markers(html)).alias("markers"), F.char_length(visible_text(html)).alias("length"), looks_static(html).alias("static"))
+    return F.get(F.transform(F.array(found), lambda x: _verdict(x, least_text)), F.lit(0))
+
+
+def _verdict(found: Column, least_text: int) -> Column:
+    names, markers, length, static = (found[x] for x in ("names", "markers", "length", "static"))
     some, low = F.size(names) > 0, length < least_text
     score = F.lit(0.5) + F.when(some, 0.2).otherwise(0.0)
-    score = score + F.when(F.size(markers) > 0, 0.15).otherwise(0.0)
+    score = score + F.when(markers > 0, 0.15).otherwise(0.0)
     score = F.when(low, score + 0.15).otherwise(score - 0.2)
     score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), score - F.when(static, 0.3).otherwise(0.0)))
     chars = F.concat(F.lit(" text content ("), length.cast("string"), F.lit(" chars)"))
+    # The sentences that give the reasons.
     reasons = F.array_compact(
         F.array(
             F.when(some, F.concat(F.lit("Detected frameworks: "), F.array_join(names, ", "))),
-            F.when(F.size(markers) > 0, F.concat(F.lit("Found "), F.size(markers).cast("string"), F.lit(" dynamic pattern(s)"))),
+            F.when(markers > 0, F.concat(F.lit("Found "), markers.cast("string"), F.lit(" dynamic pattern(s)"))),
             F.concat(F.when(low, F.lit("Low")).otherwise(F.lit("Sufficient")), chars),
             F.when(static, F.lit("Content appears fully rendered")),
         )

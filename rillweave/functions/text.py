@@ -7,6 +7,7 @@ else is built in.
 
 from __future__ import annotations
 
+import functools
 import html
 import re
 import unicodedata
@@ -26,7 +27,9 @@ EMOJI_NARROW = r"[\x{1F600}-\x{1F64F}\x{1F300}-\x{1F5FF}\x{1F680}-\x{1F6FF}\x{1F
 SPECIAL = r"(?U)[^\w\s.,!?-]"
 
 
+@functools.cache
 def _decode(decode: bool, normalize: bool):
+    """One function for each pair of flags, so that a plan which decodes a text several times does it once."""
     control = re.compile(CONTROL)
 
     def fix(text: str | None) -> str | None:

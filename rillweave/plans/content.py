@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from ..functions import html, text
 from ..operators import flatten, routing, validate
 from . import site_profile
-from .tables import pages, table
+from .tables import pages, spread, table
 
 _TAILS = {0: "   x\t\ty  ", 1: " \U0001f44b a \U0001f30d", 2: "\x01b\x7f\x9f", 3: " $5 €6 ₹", 4: " &amp; &lt;b&gt; 日本! ~^"}
 
@@ -19,7 +19,7 @@ def _dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
     tail = F.lit("")
     for k, t in _TAILS.items():
         tail = F.when(F.col("doc_id") % 5 == k, F.lit(t)).otherwise(tail)
-    return table(spark, sf_dir, "documents").select("doc_id", F.concat("text", tail).alias("text"))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", F.concat("text", tail).alias("text"))
 
 
 def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +57,7 @@ def _escaped(c):
 
 def product_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Listings made from parts, of both kinds; what is read from them are the parts again."""
-    p = table(spark, sf_dir, "part")
+    p = spread(table(spark, sf_dir, "part"))
     words = F.element_at(F.array(*map(F.lit, ["One", "Two", "Three", "Four", "Five", "Six"])), (F.col("p_partkey") % 6 + 1).cast("int"))
     price = F.concat(F.lit("£"), F.col("p_retailprice").cast("decimal(12,2)").cast("string"))
     key = F.col("p_partkey").cast("string")
@@ -69,7 +69,7 @@ def product_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quote_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents"))
     page = F.concat(F.lit('<div class="row quote"><span class="text">'), _escaped(F.col("text")), F.lit('</span><small class="author"> '), F.col("source"), F.lit('</small><a href="/author/'), F.col("source"), F.lit('">(about)</a><div class="tags"><a class="tag">'), F.col("lang"), F.lit('</a><a class="tag">x</a></div></div>'))
     got = d.select("doc_id", html.extract(page).alias("r")).select("doc_id", F.explode("r.quotes").alias("q"))
     return got.select("doc_id", F.md5("q.text").alias("text_md5"), "q.author", "q.author_url", F.array_join("q.tags", "|").alias("tags"))
@@ -78,7 +78,7 @@ def quote_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages made from documents: the text without navigation and scripts, cut, and its length after that."""
     body = F.concat(F.lit("<body><nav>n</nav><main><script>s()</script>"), _escaped(F.regexp_replace("text", r"\s+", " ")), F.lit("<footer>f</footer></main></body>"))
-    return table(spark, sf_dir, "documents").select("doc_id", html.extract(body).alias("r")).select("doc_id", "r.text_length", F.md5("r.text_preview").alias("preview_md5"))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", html.extract(body).alias("r")).select("doc_id", "r.text_length", F.md5("r.text_preview").alias("preview_md5"))
 
 
 def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
