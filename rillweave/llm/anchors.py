@@ -115,17 +115,17 @@ def window_runs(hashes: np.ndarray, ends: np.ndarray, units: Units) -> tuple[np.
     return valid[new], np.diff(np.r_[new, len(valid)]), grams[place[valid[new]]], place[valid[new]]
 
 
-def document_runs(docs: list[Parsed], units: Units) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Document number, first window, number of windows and anchor of runs; short documents are taken together, long ones in pieces."""
+def document_runs(docs: list[Parsed], units: Units) -> Iterator[tuple[np.ndarray, ...]]:
+    """Document number, first window, number of windows, anchor of runs, and how far it is from the first window; short documents are taken together, long ones in pieces."""
     held: list[int] = []
     size = 0
 
-    def together() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def together() -> tuple[np.ndarray, ...]:
         lengths = np.array([len(docs[i].hashes) for i in held])
         stops = np.cumsum(lengths)
-        first, n, anchor, _ = window_runs(np.concatenate([docs[i].hashes for i in held]), np.repeat(stops, lengths), units)
+        first, n, anchor, place = window_runs(np.concatenate([docs[i].hashes for i in held]), np.repeat(stops, lengths), units)
         which = np.searchsorted(stops, first, side="right")
-        return np.array(held)[which], first - (stops - lengths)[which], n, anchor
+        return np.array(held)[which], first - (stops - lengths)[which], n, anchor, place - first
 
     for i, doc in enumerate(docs):
         if len(doc.hashes) < units.window:
@@ -133,8 +133,8 @@ def document_runs(docs: list[Parsed], units: Units) -> Iterator[tuple[np.ndarray
         if len(doc.hashes) > _RUN:
             for at in range(0, len(doc.hashes) - units.window + 1, _RUN):
                 part = doc.hashes[at : at + _RUN + units.window - 1]
-                first, n, anchor, _ = window_runs(part, np.full(len(part), len(part)), units)
-                yield np.full(len(first), i), first + at, n, anchor
+                first, n, anchor, place = window_runs(part, np.full(len(part), len(part)), units)
+                yield np.full(len(first), i), first + at, n, anchor, place - first
             continue
         held.append(i)
         size += len(doc.hashes)
@@ -145,12 +145,17 @@ def document_runs(docs: list[Parsed], units: Units) -> Iterator[tuple[np.ndarray
         yield together()
 
 
+def packed(lo: np.ndarray | int, off: np.ndarray | int, n: np.ndarray | int) -> np.ndarray | int:
+    """A run's place in one number: first window, the anchor's distance from it, number of windows."""
+    return (lo << 32) | (off << 16) | n
+
+
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.astype(np.uint64).view(np.int64))
 
 
-#: Groups, each a list of (context, n_windows, again) by anchor in order of first place; again: the context is found at later places too. Gives the spans to take from each context: (number, start, end, later), later being true for the context's later places, false for its first, None for both.
-Check = Callable[[list[list[tuple[bytes, int, bool]]], Units], Iterator[tuple[int, int, int, bool | None]]]
+#: Groups, each a list of (context, n_windows, anchor, again) by anchor in order of first place; anchor: where in the context it is; again: the context is found at later places too. Gives the spans to take from each context: (number, start, end, later), later being true for the context's later places, false for its first, None for both.
+Check = Callable[[list[list[tuple[bytes, int, int, bool]]], Units], Iterator[tuple[int, int, int, bool | None]]]
 SPANS = "array<struct<start: int, end: int>>"
 _SALTS, _COMMON, _SAMPLE = 256, 1e-3, 0.02
 
@@ -177,7 +182,7 @@ def _runs(rows: DataFrame, units: Units, in_order: bool) -> DataFrame:
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
-            for _, _, _, anchor in document_runs([Parsed(t, units) for t in as_bytes(batch.column(0))], units):
+            for _, _, _, anchor, _ in document_runs([Parsed(t, units) for t in as_bytes(batch.column(0))], units):
                 yield pa.RecordBatch.from_arrays([_signed(anchor)], ["a"])
 
     seen = cut(rows.select("text").sample(_SAMPLE, 5).mapInArrow(anchors, "a long").groupBy("a").count().where("count >= 100"), "anchors")
@@ -189,11 +194,11 @@ def _runs(rows: DataFrame, units: Units, in_order: bool) -> DataFrame:
         for batch in small(batches):
             docs = [Parsed(t, units) for t in as_bytes(batch.column(3))]
             kp = (batch.column(2).to_numpy().astype(np.int64) << 32) | batch.column(0).to_numpy().astype(np.int64)
-            for which, lo, n, anchor in document_runs(docs, units):
+            for which, lo, n, anchor, off in document_runs(docs, units):
                 content = (docs[d].content(a, a + m - 1 + units.window) for d, a, m in zip(which.tolist(), lo.tolist(), n.tolist(), strict=True))
                 c = np.fromiter(map(xxhash.xxh3_64_intdigest, content), np.uint64, len(lo))
                 a = anchor.view(np.int64)
-                at = (lo << 16) | n
+                at = packed(lo, off, n)
                 salt = np.where(np.isin(a, shared.value), 1 + (mixed(kp[which].astype(np.uint64) ^ at.astype(np.uint64)) % np.uint64(_SALTS)).astype(np.int64), 0)
                 yield pa.RecordBatch.from_arrays([pa.array(a), _signed(c), batch.column(1).take(pa.array(which)), pa.array(kp[which]), pa.array(at), pa.array(salt)], ["a", "c", "id", "kp", "at", "salt"])
 
@@ -245,7 +250,7 @@ def _sent(rows: DataFrame, senders: DataFrame, units: Units) -> DataFrame:
             a, c, m, kp, at = runs.flatten().flatten()
             docs: list[Parsed | None] = [Parsed(t, units) for t in as_bytes(batch.column(1))]
             where = at.to_numpy()
-            content = [docs[d].content(x >> 16, (x >> 16) + (x & 0xFFFF) - 1 + units.window) for d, x in zip(which.tolist(), where.tolist(), strict=True)]
+            content = [docs[d].content(x >> 32, (x >> 32) + (x & 0xFFFF) - 1 + units.window) for d, x in zip(which.tolist(), where.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([a, c, m, batch.column(0).take(pa.array(which)), kp, at, pa.array(content, pa.binary())], ["a", "c", "m", "id", "kp", "at", "content"])
 
     joined = rows.join(by_row.hint("shuffle_hash"), same).select("id", "text", "runs")
@@ -280,7 +285,7 @@ def _decided(sent: DataFrame, units: Units, check: Check, batch_bytes: int) -> D
                     continue
                 seen.add(c)
                 keys.append((a, c))
-                groups[-1].append((content, at & 0xFFFF, m > 1))
+                groups[-1].append((content, at & 0xFFFF, at >> 16 & 0xFFFF, m > 1))
                 size += len(content)
         if groups:
             yield from out()
@@ -310,19 +315,17 @@ def _split(sent: DataFrame, units: Units) -> DataFrame:
             rows = []
             for row in batch.to_pylist():
                 parsed, n = Parsed(row["content"], units), row["at"] & 0xFFFF
-                if row["lo"] is None:
-                    _, _, _, place = window_runs(parsed.hashes, np.full(len(parsed.hashes), len(parsed.hashes)), units)
-                    row["lo"], row["hi"] = int(place[0]), int(place[0]) + units.gram
-                for start, count, (lo, hi) in split_run(n, (row["lo"], row["hi"]), units.window):
+                core = row["at"] >> 16 & 0xFFFF
+                for start, count, (lo, hi) in split_run(n, (core, core + (row["wide"] or units.gram)), units.window):
                     content = parsed.content(start, start + count - 1 + units.window)
                     a = xxhash.xxh3_64_intdigest(parsed.content(start + lo, start + hi), seed=1 + (hi - lo)) - (1 << 63)
                     c = xxhash.xxh3_64_intdigest(content, seed=7) - (1 << 63)
-                    rows.append({"a": a, "c": c, "m": row["m"], "id": row["id"], "kp": row["kp"], "at": (((row["at"] >> 16) + start) << 16) | count, "content": content, "lo": lo, "hi": hi, "pa": row["a"], "pc": row["c"], "shift": start})
+                    rows.append({"a": a, "c": c, "m": row["m"], "id": row["id"], "kp": row["kp"], "at": packed((row["at"] >> 32) + start, lo, count), "content": content, "wide": hi - lo, "pa": row["a"], "pc": row["c"], "shift": start})
             yield pa.RecordBatch.from_pylist(rows, schema)
 
     kind = sent.schema["id"].dataType.simpleString()
-    schema = pa.schema([("a", pa.int64()), ("c", pa.int64()), ("m", pa.int64()), ("id", to_arrow_type(sent.schema["id"].dataType)), ("kp", pa.int64()), ("at", pa.int64()), ("content", pa.binary()), ("lo", pa.int32()), ("hi", pa.int32()), ("pa", pa.int64()), ("pc", pa.int64()), ("shift", pa.int32())])
-    return sent.mapInArrow(halves, f"a long, c long, m long, id {kind}, kp long, at long, content binary, lo int, hi int, pa long, pc long, shift int")
+    schema = pa.schema([("a", pa.int64()), ("c", pa.int64()), ("m", pa.int64()), ("id", to_arrow_type(sent.schema["id"].dataType)), ("kp", pa.int64()), ("at", pa.int64()), ("content", pa.binary()), ("wide", pa.int32()), ("pa", pa.int64()), ("pc", pa.int64()), ("shift", pa.int32())])
+    return sent.mapInArrow(halves, f"a long, c long, m long, id {kind}, kp long, at long, content binary, wide int, pa long, pc long, shift int")
 
 
 def _contexts(runs: DataFrame) -> DataFrame:
@@ -331,7 +334,7 @@ def _contexts(runs: DataFrame) -> DataFrame:
 
 
 def _decisions(sent: DataFrame, contexts: DataFrame, units: Units, check: Check, hot: int, batch_bytes: int) -> DataFrame:
-    """a, c, s, t for all contexts; those of crowded anchors through longer ones. sent: a row with content for each context, with lo and hi of its core where known."""
+    """a, c, s, t for all contexts; those of crowded anchors through longer ones. sent: a row with content for each context, and how wide its anchor is if it isn't a gram."""
     crowded = cut(contexts.groupBy("a").agg(F.count("*").alias("d")).where(F.col("d") > hot).select("a"), "crowded")
     if crowded.isEmpty():
         return _decided(sent, units, check, batch_bytes)
@@ -344,7 +347,7 @@ def _decisions(sent: DataFrame, contexts: DataFrame, units: Units, check: Check,
     firsts = own.select(F.col("a").alias("fa"), F.col("c").alias("fc"), F.col("m").alias("fm"), "first")
     matched = parts.join(firsts, (F.col("a") == F.col("fa")) & (F.col("c") == F.col("fc"))).withColumn("is_first", F.struct(*_place()).eqNullSafe(F.col("first")))
     matched = cut(matched.drop("fa", "fc", "first"), "matched")
-    reps = matched.where("is_first").select("a", "c", F.col("fm").alias("m"), "id", "kp", "at", "content", "lo", "hi")
+    reps = matched.where("is_first").select("a", "c", F.col("fm").alias("m"), "id", "kp", "at", "content", "wide")
     deeper = cut(_decisions(reps, own, units, check, hot, batch_bytes), "deeper")
     moved = lambda spans: F.transform(spans, lambda x: F.struct((x["start"] + F.col("shift")).alias("start"), (x["end"] + F.col("shift")).alias("end")))
     back = matched.select("a", "c", "pa", "pc", "shift", "is_first").join(deeper, ["a", "c"]).select("pa", "pc", moved(F.when(F.col("is_first"), F.col("s")).otherwise(F.col("t"))).alias("s"), moved(F.col("t")).alias("t"))
@@ -361,14 +364,14 @@ def repeated_spans(rows: DataFrame, units: Units, check: Check, *, keep_first: b
     mine = cut(_runs(rows, units, keep_first), "runs")
     contexts = cut(_contexts(mine), "contexts")
     senders = contexts.select("a", "c", "m", "first.id", "first.kp", "first.at")
-    sent = _sent(rows, senders, units).withColumns({"lo": F.lit(None).cast("int"), "hi": F.lit(None).cast("int")})
+    sent = _sent(rows, senders, units).withColumn("wide", F.lit(None).cast("int"))
     decided = _decisions(sent, contexts, units, check, hot, batch_bytes)
     if keep_first:
         decided = decided.join(contexts.select("a", "c", "first"), ["a", "c"])
     decided = cut(decided, "decided")
     runs = mine.select("a", "c", "id", "kp", "at").join(decided, ["a", "c"])
     spans = F.when(F.struct(*_place()).eqNullSafe(F.col("first")), F.col("s")).otherwise(F.col("t")) if keep_first else F.col("s")
-    each = runs.select("id", "kp", F.shiftright("at", 16).alias("lo"), F.explode(spans).alias("span"))
+    each = runs.select("id", "kp", F.shiftright("at", 32).alias("lo"), F.explode(spans).alias("span"))
     pid, k = F.col("kp").bitwiseAND(F.lit(0xFFFFFFFF).cast("long")).cast("int"), F.shiftright("kp", 32).cast("int")
     return each.select(pid.alias("pid"), "id", k.alias("k"), (F.col("lo") + F.col("span.start")).alias("start"), (F.col("lo") + F.col("span.end")).alias("end"))
 

@@ -49,9 +49,9 @@ def automaton(patterns: set[tuple[int, ...]]) -> ahocorasick.Automaton:
     return out
 
 
-def _check(groups: list[list[tuple[bytes, int, bool]]], units: Units) -> Iterator[tuple[int, int, int, None]]:
+def _check(groups: list[list[tuple[bytes, int, int, bool]]], units: Units) -> Iterator[tuple[int, int, int, None]]:
     numbers: dict[bytes, int] = {}
-    contexts = [(tuple(numbers.setdefault(w, len(numbers)) for w in c.split(b" ")), again) for g in groups for c, _, again in g]
+    contexts = [(tuple(numbers.setdefault(w, len(numbers)) for w in c.split(b" ")), again) for g in groups for c, _, _, again in g]
     patterns = passages(contexts, units.window)
     if not patterns:
         return

@@ -1,11 +1,12 @@
 """Suffix-array deduplication of bytes by longest-previous-factor arrays.
 
-Candidate regions come from anchors.py; within them suffixes are put in order
-to the depth that matters, by doubling ranks. In suffix order the previous and
-the next suffix that stand earlier in the text give the longest earlier match
-of each position; mirrored, they give the longest later one. Nothing else
-decides which bytes go: a byte is removed when a string of the full length that
-covers it has such a match.
+Candidate regions come from anchors.py: the surroundings of an anchor, which
+equal strings have at equal places. Aligned at the anchor, the suffixes of all
+its surroundings are put in suffix order, column by column from right to left.
+In suffix order the previous and the next suffix of a smaller position give the
+longest earlier match of each place; mirrored, they give the longest later one.
+Nothing else decides which bytes go: a byte is removed when a string of the
+full length that covers it has such a match.
 """
 
 from __future__ import annotations
@@ -21,67 +22,53 @@ from .anchors import Units, merged, repeated_spans, stored, with_spans
 from .common import as_bytes, remove_spans, small
 
 
-def _ranks(keys: np.ndarray) -> np.ndarray:
-    """The rank of each key among the distinct keys, from 0."""
-    order = np.argsort(keys)
-    ordered = keys[order]
-    out = np.empty(len(keys), np.int64)
-    out[order] = np.cumsum(np.r_[False, ordered[1:] != ordered[:-1]][: len(keys)])
-    return out
-
-
-class SuffixOrder:
-    """Ranks of all positions of data by their first 2, 4, 8, ... bytes, up to depth."""
-
-    def __init__(self, data: np.ndarray, depth: int):
-        self.data, self.depth, self.size = data, depth, len(data)
-        h = 1
-        while 2 * h <= min(depth, 8):
-            h *= 2
-        padded = np.r_[data, np.zeros(h, np.uint8)].astype(np.uint64)
-        head = np.zeros(self.size, np.uint64)
-        for i in range(h):
-            head = (head << np.uint64(8)) | padded[i : i + self.size]
-        self.levels = {h: _ranks(head) + 1}  # 0: beyond the end
-        while 2 * h <= depth:
-            self.levels[2 * h] = _ranks((self.levels[h] << 32) | self._at(h, np.arange(self.size) + h)) + 1
-            h *= 2
-        self.top = h
-
-    def _at(self, h: int, places: np.ndarray) -> np.ndarray:
-        ranks = self.levels[h]
-        return np.where(places < self.size, ranks[np.minimum(places, self.size - 1)], 0) if self.size else np.zeros(len(places), np.int64)
-
-    def ranks(self, places: np.ndarray) -> np.ndarray:
-        """Order of places by their first `depth` bytes; equal ones have equal ranks."""
-        return _ranks((self._at(self.top, places) << 32) | self._at(self.top, places + (self.depth - self.top)))
-
-    def reach(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Whether `depth` bytes are equal at a and b; false as b is -1. Both have that many bytes after them."""
-        rest = self.depth - self.top
-        other = np.maximum(b, 0)
-        return (b >= 0) & (self._at(self.top, a) == self._at(self.top, other)) & (self._at(self.top, a + rest) == self._at(self.top, other + rest))
-
-    def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """The length of the common prefix at a and b, at most depth; 0 as a place is -1."""
-        length = np.zeros(len(a), np.int64)
-        real = (a >= 0) & (b >= 0)
-        a, b = np.where(real, a, 0), np.where(real, b, 0)
-        for h in sorted(self.levels, reverse=True):
-            for _ in range(2):  # a prefix has each power of two once, the largest perhaps twice
-                same = real & (np.maximum(a, b) + length + h <= self.size) & (self._at(h, a + length) == self._at(h, b + length))
-                length += np.where(same, h, 0)
-        for _ in range(2 * min(self.levels)):  # and then bytes
-            x, y = a + length, b + length
-            same = real & (np.maximum(x, y) < self.size)
-            same[same] = self.data[x[same]] == self.data[y[same]]
-            real &= same
-            length += same
-        return np.minimum(length, self.depth)
+class AlignedSuffixes:
+    """The suffixes of byte strings in groups, column by column from right to left, in suffix order within groups.
+
+    The strings of a group are aligned at a column. The order at a column
+    follows from that at the next one by a stable sort on one byte, and the
+    common prefixes of neighbours, up to depth, from those there. Beyond its
+    ends a string is padded with zeros.
+    """
+
+    def __init__(self, strings: list[bytes], group: np.ndarray, align: np.ndarray, depth: int):
+        """group: ascending numbers; align: the place in each string that stands at column 0."""
+        sizes = np.array([len(x) for x in strings], np.int64)
+        self.depth, self.left = depth, int(align.max())
+        self.columns = np.zeros((self.left + int((sizes - align).max()), len(strings)), np.uint8)
+        row = np.repeat(np.arange(len(strings)), sizes)
+        place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes - (self.left - align), sizes)
+        self.columns[place, row] = np.frombuffer(b"".join(strings), np.uint8)
+        self.group = group.astype(np.int64)
+
+    def orders(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(column, strings in suffix order within groups, common prefix of each with the one before, 0 at the start of a group)."""
+        order = np.arange(len(self.group))
+        same_group = np.r_[False, self.group[1:] == self.group[:-1]]
+        common = np.where(same_group, self.depth, 0)  # nothing but padding yet
+        for at in range(len(self.columns) - 1, -1, -1):
+            byte = self.columns[at][order]
+            key = (self.group << 8) | byte  # groups keep their places in the order
+            equal = np.r_[False, key[1:] == key[:-1]]
+            if (key[1:] >= key[:-1]).all():
+                common = np.where(equal, np.minimum(common + 1, self.depth), 0)
+            else:
+                new = np.argsort(key, kind="stable")
+                key = key[new]
+                equal = np.r_[False, key[1:] == key[:-1]]
+                before = np.r_[0, new[:-1]]
+                least = common[new]
+                far = np.flatnonzero(equal & (new - before > 1))  # others stood between the two
+                if len(far):
+                    ends = np.column_stack([before[far] + 1, new[far] + 1]).ravel()
+                    least[far] = np.minimum.reduceat(np.r_[common, 0], ends)[::2]
+                common = np.where(equal, np.minimum(least + 1, self.depth), 0)
+                order = order[new]
+            yield at - self.left, order, common
 
 
 def _previous_smaller(values: np.ndarray) -> np.ndarray:
-    """For each of the distinct values the place of the last smaller one before it; -1 if none. Jumps over places that are known to be larger, all at a time."""
+    """For each of the values (0 or more) the place of the last one before it that isn't larger; -1 if none. Jumps over places that are known to be larger, all at a time."""
     at, ext = np.arange(len(values)) - 1, np.r_[values, -1]
     left = np.flatnonzero(ext[at] > values)
     for _ in range(64):
@@ -98,82 +85,68 @@ def _previous_smaller(values: np.ndarray) -> np.ndarray:
     return at
 
 
-def nearest_earlier(order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each entry of a permutation in suffix order, the nearest smaller entry before and after it; -1 if none."""
-    back = order[::-1]
-    before = np.r_[order, -1][_previous_smaller(order)]
-    after = np.r_[back, -1][_previous_smaller(back)]
-    return before, after[::-1]
-
-
-def nearest_later(order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The same mirrored: the nearest larger entries before and after; -1 if none."""
-    top = int(order.max(initial=0))
-    before, after = nearest_earlier(top - order)
-    return np.where(before >= 0, top - before, -1), np.where(after >= 0, top - after, -1)
-
-
-def previous_factors(suffixes: SuffixOrder, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each of the ascending places, the longest match that starts at an earlier one of them (up to depth), and where; -1 if none."""
-    ranks = suffixes.ranks(places)
-    order = np.lexsort((np.arange(len(places)), ranks))
-    before, after = nearest_earlier(order)
-    spot = lambda x: np.where(x >= 0, places[np.maximum(x, 0)], -1) if len(places) else x
-    mine = places[order]
-    left, right = suffixes.common(mine, spot(before)), suffixes.common(mine, spot(after))
-    length, source = np.zeros(len(places), np.int64), np.full(len(places), -1)
-    length[order] = np.maximum(left, right)
-    source[order] = np.where(length[order] > 0, np.where(left >= right, spot(before), spot(after)), -1)
-    return length, source
-
-
-def longest_previous_factors(text: bytes, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """The longest-previous-factor array of a text, capped at depth, and the places of the matches."""
-    data = np.frombuffer(text, np.uint8)
-    return previous_factors(SuffixOrder(data, depth), np.arange(len(data)))
-
-
-def factors_of_depth(suffixes: SuffixOrder, places: np.ndarray, later: bool) -> np.ndarray:
-    """Whether each of the ascending places, with `depth` bytes after each, has an earlier factor of that length, or with `later` a later one.
+def factors_of_depth(strings: list[bytes], group: np.ndarray, align: np.ndarray, first: np.ndarray, count: np.ndarray, depth: int, later: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """string, place, found: for each of the `count` places from `first` on of each string, whether the longest previous factor at that place reaches `depth` bytes.
 
-    A place whose first bytes, up to the last level of ranks, no other place
-    has takes no part: it can neither have such a factor nor be one.
+    Factors are looked for among the same column's places of the group's
+    strings, and a string's number is its position: previous means in a string
+    with a smaller number. With `later` the longest later factor counts too.
     """
-    head = suffixes._at(suffixes.top, places)
-    used = np.flatnonzero(np.bincount(head)[head] > 1) if len(places) else places
-    own = places[used]
-    order = np.argsort(suffixes.ranks(own), kind="stable")
-    before, after = (nearest_later if later else nearest_earlier)(order)
-    spot = lambda x: np.where(x >= 0, own[np.maximum(x, 0)], -1) if len(own) else x
-    mine = own[order]
-    out = np.zeros(len(places), bool)
-    out[used[order]] = suffixes.reach(mine, spot(before)) | suffixes.reach(mine, spot(after))
-    return out
+    suffixes = AlignedSuffixes(strings, group, align, depth)
+    strings_at, columns, blocks, total = [], [], [], 0
+    begin = first - align
+    for column, order, common in suffixes.orders():
+        if column > int((begin + count).max()) or column < int(begin.min()):
+            continue
+        block = np.cumsum(common < depth)  # neighbours in suffix order that share depth bytes
+        real = np.flatnonzero((begin[order] <= column) & (column < begin[order] + count[order]))
+        if len(real):
+            strings_at.append(order[real])
+            columns.append(np.full(len(real), column))
+            blocks.append(block[real] + total)
+            total += len(order) + 1
+    if not strings_at:
+        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, bool),)
+    number, column, block = (np.concatenate(x) for x in (strings_at, columns, blocks))
+    found = np.zeros(len(number), bool)
+    spot = lambda at: np.r_[block, -1][at]
+    wide = len(strings) + 1
+    for values in (number, number.max() - number) if later else (number,):
+        # Other blocks come out smaller on either side, so that no search goes on beyond a block.
+        at = _previous_smaller(block * wide + values)
+        back = _previous_smaller(((total - block) * wide + values)[::-1])[::-1]
+        found |= (spot(at) == block) | (spot(np.where(back >= 0, len(values) - 1 - back, -1)) == block)
+    return number, column + align[number], found
 
 
 def _check(keep_first: bool):
-    """Longest previous factors over the contexts in order of first place, those found again once more at the end; without keep_first the longest later ones too."""
-
-    def check(groups: list[list[tuple[bytes, int, bool]]], units: Units) -> Iterator[tuple[int, int, int, bool | None]]:
-        firsts = [c for g in groups for c in g]
-        numbers = [*range(len(firsts)), *(i for i, c in enumerate(firsts) if c[2])]
-        data = np.frombuffer(b"".join(firsts[i][0] for i in numbers), np.uint8)
-        sizes, counts = np.array([len(firsts[i][0]) for i in numbers]), np.array([firsts[i][1] for i in numbers])
-        which = np.repeat(np.arange(len(numbers)), counts)
-        inside = np.arange(len(which)) - np.repeat(np.cumsum(counts) - counts, counts)
-        places = (np.cumsum(sizes) - sizes)[which] + inside
-        suffixes = SuffixOrder(data, units.window)
-        again = factors_of_depth(suffixes, places, False)
+    """Longest previous factors over the contexts of each anchor in order of first place, those found again once more at the end; without keep_first the longest later ones too."""
+
+    def check(groups: list[list[tuple[bytes, int, int, bool]]], units: Units) -> Iterator[tuple[int, int, int, bool | None]]:
+        strings, owner, group, align, counts, second, n = [], [], [], [], [], [], 0
+        for number, contexts in enumerate(groups):
+            for again in (False, True):
+                for i, (content, count, place, twice) in enumerate(contexts):
+                    if not again or twice:
+                        strings.append(content)
+                        owner.append(n + i)
+                        group.append(number)
+                        align.append(place)
+                        counts.append(count)
+                        second.append(again)
+            n += len(contexts)
+        which, inside, found = factors_of_depth(strings, np.array(group), np.array(align), np.zeros(len(strings), np.int64), np.array(counts), units.window, not keep_first)
         if not keep_first:  # both of two equal strings go; the second copies say nothing new
-            again |= factors_of_depth(suffixes, places, True)
-            again &= which < len(firsts)
-        at = np.flatnonzero(again)
-        if not len(at):
+            found &= ~np.array(second)[which]
+        which, inside = which[found], inside[found]
+        if not len(which):
             return
-        new = np.flatnonzero(np.r_[True, (np.diff(at) != 1) | (np.diff(which[at]) != 0)])
-        for a, b in zip(new.tolist(), [*new[1:].tolist(), len(at)], strict=True):
-            number = int(which[at[a]])
-            yield numbers[number], int(inside[at[a]]), int(inside[at[b - 1]]) + units.window, None if not keep_first else number >= len(firsts)
+        sort = np.lexsort((inside, which))
+        which, inside = which[sort], inside[sort]
+        new = np.flatnonzero(np.r_[True, (np.diff(inside) != 1) | (np.diff(which) != 0)])
+        for a, b in zip(new.tolist(), [*new[1:].tolist(), len(which)], strict=True):
+            i = int(which[a])
+            yield owner[i], int(inside[a]), int(inside[b - 1]) + units.window, second[i] if keep_first else None
 
     return check
 
@@ -192,7 +165,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     units = Units(False, length, gram or max(1, length * 4 // 25))
     rows = stored(docs, id_col, text_col)
-    spans = repeated_spans(rows, units, _check(keep_first), keep_first=keep_first, hot=hot)
+    spans = repeated_spans(rows, units, _check(keep_first), keep_first=keep_first, hot=hot, batch_bytes=1 << 21)
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in small(batches):
