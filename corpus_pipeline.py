@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillweave.llm.bpe import bpe_encode
-from rillweave.llm.common import cut
+from rillweave.llm.common import cut, spread
 from rillweave.llm.exact_dedup import keep_first_of_equal
 from rillweave.llm.mixing import mix_sources
 from rillweave.llm.quality_classifier import keep_good
@@ -56,7 +56,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each result but the last is written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     for name, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)

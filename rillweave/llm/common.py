@@ -44,6 +44,12 @@ def cut(df: DataFrame, kind: str = "table", by: list[str] | None = None) -> Data
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt out and written once if it comes in fewer partitions than there are cores: small files that can't be split. Tables in more partitions, as all large ones are, stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return cut(df.repartition(cores), "spread") if df.rdd.getNumPartitions() < cores else df
+
+
 def _buckets(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import bpe_encode
-from .common import fresh_path
+from .common import fresh_path, spread
 from .exact_dedup import exact_dedup
 from .mixing import mix_sources
 from .perplexity_rules import quality_rules
@@ -20,7 +20,8 @@ from .warc import page_of, read_warc, write_warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    found = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return found if name == "labels" else spread(found)
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
