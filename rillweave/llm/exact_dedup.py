@@ -55,17 +55,12 @@ def _unpack(data: bytes) -> np.ndarray:
     return bitmap
 
 
-def in_filter(bitmap: np.ndarray, first: np.ndarray, second: np.ndarray, bits: int) -> np.ndarray:
-    """Which rows of two 64-bit hashes have both slots set."""
-    return _test(bitmap, first.astype(np.int64) & (bits - 1)) & _test(bitmap, second.astype(np.int64) & (bits - 1))
-
-
 def _slots(batch: pa.RecordBatch, bits: int) -> list[np.ndarray]:
     return [batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) & (bits - 1) for i in (0, 1)]
 
 
-def slot_filter(hashes: DataFrame, bits: int, times: int = 2) -> bytes:
-    """The bitmap of slots that rows of two 64-bit hash columns set at least `times` times (1 or 2). Its size is bits / 8 bytes whatever the input."""
+def slot_filter(hashes: DataFrame, bits: int) -> bytes:
+    """The bitmap of slots that rows of two 64-bit hash columns set twice or more, of bits / 8 bytes."""
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         once: dict[int, np.ndarray] = {}
@@ -99,9 +94,9 @@ def slot_filter(hashes: DataFrame, bits: int, times: int = 2) -> bytes:
                 more = _unpack(once)
                 two |= _unpack(twice) | (one & more)
                 one |= more
-        for c, found in held.items():
-            if found[times - 1].any():
-                yield pa.RecordBatch.from_pydict({"chunk": pa.array([c], pa.int64()), "slots": [_pack(found[times - 1])]})
+        for c, (_, two) in held.items():
+            if two.any():
+                yield pa.RecordBatch.from_pydict({"chunk": pa.array([c], pa.int64()), "slots": [_pack(two)]})
 
     parts = hashes.mapInArrow(fill, "chunk long, once binary, twice binary")
     merged = parts.repartition("chunk").mapInArrow(merge, "chunk long, slots binary")

@@ -419,6 +419,16 @@ def test_bpe_round_trip(docs, none):
     assert bpe.bpe_decode(bpe.bpe_encode(none, file, pattern), file, pattern).collect() == []
 
 
+def test_cuts_are_refused_where_punctuation_takes_line_feeds():
+    assert bpe.cuts_are_safe(public_tokenizers.PATTERN)
+    greedy = r"""'(?i:[sdmt]|ll|ve|re)|[^\r\n\p{L}\p{N}]?\p{L}+|\p{N}{1,3}| ?[^\s\p{L}\p{N}]+[\r\n]*|\s*[\r\n]|\s+(?!\S)|\s+"""
+    assert not bpe.cuts_are_safe(greedy)
+    ranks = {bytes([x]): x for x in range(256)} | {b".\n": 256}
+    enc = tiktoken.Encoding("greedy", pat_str=greedy, mergeable_ranks=ranks, special_tokens={})
+    text = "word.\n" * 40
+    assert bpe.encode_text(enc, text, 8) == enc.encode_ordinary(text)
+
+
 def test_token_counts(docs, none):
     file = public_tokenizers.path("byte_bpe_50k.json")
     plain = Tokenizer.from_file(file)
