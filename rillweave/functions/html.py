@@ -22,6 +22,7 @@ _SILENT = frozenset(("script", "style", "template"))
 _DROPPED = frozenset(("script", "style", "nav", "footer", "header"))
 _RATINGS = {"One": 1, "Two": 2, "Three": 3, "Four": 4, "Five": 5}
 #: Containers tried for product lists, in order: tag and part of its class.
+# Boxes of a product list, tried in this order.
 _LISTS = [("div", "product-item"), ("div", "product-card"), ("div", "product"), ("li", "product"), ("div", "item")]
 
 PRODUCT = "struct<name: string, url: string, price: string, rating: string, rating_num: int, availability: string, image: string>"

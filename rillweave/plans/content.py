@@ -105,6 +105,51 @@ def validation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.summary(_validated(spark, sf_dir)).withColumn("success_rate", F.round("success_rate", 6))
 
 
+def reported_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Issues as they are reported, without the values."""
+    said = F.array_join(F.transform(validate.without_values(F.col("issues")), lambda i: F.to_json(i)), "|")
+    return _validated(spark, sf_dir).where("size(issues) = 1").select("c_custkey", said.alias("issues"))
+
+
+def nested_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records within records against a schema; issues name the path."""
+    k = F.col("c_custkey")
+    key = F.when(k % 3 == 0, F.lit("x")).when(k % 3 == 1, F.lit(None).cast("string")).otherwise(F.col("c_nationkey").cast("string"))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.struct(F.col("c_name").alias("name"), F.struct(key.alias("key")).alias("nation")).alias("who"))
+    nation = T.StructType([T.StructField("key", T.IntegerType(), True)])
+    who = T.StructType([T.StructField("name", T.StringType(), False), T.StructField("nation", nation, False)])
+    v = validate.validate(rows, schema=T.StructType([T.StructField("c_custkey", T.LongType(), False), T.StructField("who", who, False)]))
+    return v.select("c_custkey", "is_valid", F.array_join(F.transform("issues", lambda i: F.concat_ws(":", i["field"], i["severity"], i["message"])), "|").alias("issues"), F.col("cleaned.who.nation.key").alias("key"))
+
+
+def card_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listings made from parts under each of the five kinds of boxes, a name in each kind of heading."""
+    k = F.col("p_partkey")
+    pick = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (n + 1).cast("int"))
+    tag, cls, head = pick(["div", "div", "div", "li", "div"], k % 5), pick(["a product-item", "Product-Card", "products", "product", "item"], k % 5), pick(["h2", "h3", "h4", "a"], k % 4)
+    page = F.concat(F.lit("<body><"), tag, F.lit(' class="'), cls, F.lit('"><'), head, F.lit(">"), _escaped(F.col("p_name")), F.lit("</"), head, F.lit('><b class="the-price">'), F.col("p_size").cast("string"), F.lit('</b><i class="Rating">4</i></'), tag, F.lit("></body>"))
+    got = spread(table(spark, sf_dir, "part")).select("p_partkey", html.extract(page).alias("r"))
+    return got.select("p_partkey", "r.products_count", F.explode("r.products").alias("p")).select("p_partkey", "products_count", "p.name", "p.price", "p.rating")
+
+
+def rating_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = F.element_at(F.array(*map(F.lit, ["One", "Two", "Three", "Four", "Five", "six"])), (F.col("p_partkey") % 6 + 1).cast("int"))
+    return table(spark, sf_dir, "part").select("p_partkey", text.rating_number(words).alias("rating"))
+
+
+def _own_parser(page: str) -> dict:
+    if not page:
+        raise ValueError("nothing to parse")
+    return {"first": page[:9], "size": len(page), "parse_error": None}
+
+
+def own_parser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A parser of one's own that fails on some pages: the row stays, with the error."""
+    page = F.when(F.col("page_id") % 4 == 0, F.lit("")).otherwise(F.col("html"))
+    got = pages(spark, sf_dir).select("page_id", html.extract(page, _own_parser, "first string, size int, parse_error string").alias("r"))
+    return got.select("page_id", "r.first", "r.size", "r.parse_error")
+
+
 def _nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer")
     return c.select("c_custkey", F.struct(F.col("c_name").alias("name"), F.struct(F.col("c_nationkey").alias("key"), F.concat(F.lit("  "), "c_mktsegment").alias("segment")).alias("nation")).alias("who"), F.array("c_nationkey", "c_custkey").alias("keys"), F.array(F.concat(F.lit(" "), "c_name"), F.lit("a  b")).alias("tags"))
@@ -160,7 +205,7 @@ _BARE = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?i
 _STRIPPED = rf"regexp_replace(regexp_replace(text, '^{_S}', ''), '{_S}$', '')"
 _WORD = "CASE p_partkey % 6 WHEN 0 THEN 'One' WHEN 1 THEN 'Two' WHEN 2 THEN 'Three' WHEN 3 THEN 'Four' WHEN 4 THEN 'Five' ELSE 'Six' END"
 
-QUERIES = {f.__name__: f for f in (clean_text, clean_prices, page_text, page_heads, product_listing, quote_listing, main_text, validation, validation_summary, flatten_nested, clean_nested, clean_totals, union_columns, export_rows)}
+QUERIES = {f.__name__: f for f in (clean_text, clean_prices, page_text, page_heads, product_listing, quote_listing, main_text, validation, validation_summary, flatten_nested, clean_nested, clean_totals, union_columns, export_rows, reported_issues, nested_schema, card_listing, rating_words, own_parser)}
 _VALID = rf"""WITH c AS (SELECT c_custkey, CASE c_custkey % 7 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE c_name END AS name, CASE c_custkey % 5 WHEN 0 THEN NULL WHEN 1 THEN NULL ELSE round(c_acctbal, 2) END AS b, c_custkey % 3 = 0 AS bad_site FROM customer),
     i AS (SELECT *, list_filter([CASE WHEN name IS NULL THEN 'name:error:Required field ''name'' is missing' WHEN name = '' THEN 'name:error:Required field ''name'' is empty' END,
       CASE WHEN b IS NULL THEN 'balance:error:Input should be a valid number' END], lambda x: x IS NOT NULL) AS e,
@@ -181,6 +226,12 @@ ORACLE_SQL = {
     "main_text": rf"SELECT doc_id, length(t)::INTEGER AS text_length, md5(t[:500]) AS preview_md5 FROM (SELECT doc_id, trim(regexp_replace(text, '[\s\x0b]+', ' ', 'g'))[:5000] AS t FROM documents)",
     "validation": f"{_VALID} SELECT c_custkey, len(e) = 0 AS is_valid, array_to_string(list_concat(e, w), '|') AS issues, len(e)::INTEGER AS n_errors, len(w)::INTEGER AS n_warnings, CASE WHEN len(e) = 0 THEN b END AS balance FROM i",
     "validation_summary": f"{_VALID} SELECT count(*) AS total, count(*) FILTER (len(e) = 0) AS valid, count(*) FILTER (len(e) > 0) AS invalid, round(100.0::DOUBLE * count(*) FILTER (len(e) = 0) / count(*), 6) AS success_rate FROM i",
+    "reported_issues": f"""{_VALID}, a AS (SELECT c_custkey, list_concat(e, w) AS x FROM i), b AS (SELECT c_custkey, x[1] AS x FROM a WHERE len(x) = 1)
+        SELECT c_custkey, '{{"field":"' || split_part(x, ':', 1) || '","message":"' || substr(x, length(split_part(x, ':', 1)) + length(split_part(x, ':', 2)) + 3) || '","severity":"' || split_part(x, ':', 2) || '"}}' AS issues FROM b""",
+    "nested_schema": """SELECT c_custkey, c_custkey % 3 <> 0 AS is_valid, CASE WHEN c_custkey % 3 = 0 THEN 'who.nation.key:error:Input should be a valid integer' ELSE '' END AS issues, CASE WHEN c_custkey % 3 = 2 THEN c_nationkey END AS key FROM customer""",
+    "card_listing": "SELECT p_partkey, 1 AS products_count, p_name AS name, p_size::VARCHAR AS price, '4' AS rating FROM part",
+    "rating_words": "SELECT p_partkey, CASE WHEN p_partkey % 6 < 5 THEN p_partkey % 6 + 1 END::INTEGER AS rating FROM part",
+    "own_parser": "SELECT page_id, CASE WHEN page_id % 4 <> 0 THEN html[:9] END AS first, CASE WHEN page_id % 4 <> 0 THEN length(html) END::INTEGER AS size, CASE WHEN page_id % 4 = 0 THEN 'ValueError: nothing to parse' END AS parse_error FROM pages",
     "flatten_nested": """SELECT c_custkey, '[' || c_nationkey || ',' || c_custkey || ']' AS keys, '[" ' || c_name || '","a  b"]' AS tags, c_name AS who_name, c_nationkey AS who_nation_key, '  ' || c_mktsegment AS who_nation_segment FROM customer""",
     "clean_nested": "SELECT c_custkey, c_name AS name, c_mktsegment AS segment, c_name || '|a b' AS tags, 4::BIGINT AS fields_cleaned, 4::BIGINT AS chars_removed, round(400.0::DOUBLE / (2 * length(c_name) + length(c_mktsegment) + 7), 6) AS size_reduction FROM customer",
     "clean_totals": """WITH t AS (SELECT count(*) AS n, sum(2 * length(c_name) + length(c_mktsegment) + 7)::BIGINT AS size FROM customer)

@@ -115,6 +115,13 @@ def to_sqlite(df: DataFrame, path: str, table: str = "scraped_data", replace: bo
 EXPORTERS: dict[str, tuple[str, Callable[..., str]]] = {"json": ("json", to_json), "jsonl": ("jsonl", to_jsonl), "csv": ("csv", to_csv), "sqlite": ("db", to_sqlite)}
 
 
+def register(kind: str, extension: str, write: Callable[..., str]) -> None:
+    """Add an exporter: write(df, path, **options) gives the path that it wrote."""
+    if kind in EXPORTERS:
+        raise ValueError(f"export format is there already: {kind}")
+    EXPORTERS[kind] = (extension, write)
+
+
 def export(df: DataFrame, kind: str, folder: str, filename: str | None = None, **options) -> str:
     """Write df as one of the kinds under folder, which is made; the name is of the time if none is given."""
     if kind not in EXPORTERS:

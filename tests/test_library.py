@@ -200,6 +200,29 @@ def test_streams_agree_with_batches(spark, tmp_path):
     assert {tuple(r) for r in spark.table("bucket").collect()} == want and not all(w[2] for w in want)
 
 
+def test_host_windows_of_a_stream(spark, tmp_path):
+    rows = [(f"http://h{i % 2}/{i}", "é" * i, i) for i in range(40)]
+    df = spark.createDataFrame(rows, "url string, html string, s long").select("url", "html", F.timestamp_seconds(F.lit(1_700_000_100) + F.col("s") * 30).alias("ts"))
+    df.repartition(2).write.parquet(f"{tmp_path}/in")
+    stream = streams.host_windows(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in"))
+    q = stream.writeStream.format("memory").queryName("hosts").outputMode("complete").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = {(r.start, r.host): (r.n_pages, r.n_bytes) for r in spark.table("hosts").select("window.start", "host", "n_pages", "n_bytes").collect()}
+    want = df.groupBy(F.window("ts", "5 minutes"), urls.domain(F.col("url")).alias("host")).agg(F.count("*").alias("n"), F.sum(F.octet_length("html")).alias("b")).select("window.start", "host", "n", "b").collect()
+    assert got == {(r.start, r.host): (r.n, r.b) for r in want} and len(got) > 4
+
+
+def test_exporters_of_ones_own(spark, tmp_path):
+    exporters.register("names", "txt", lambda df, path: df.select("a").write.text(path) or path)
+    try:
+        path = exporters.export(spark.createDataFrame([("x",), ("y",)], "a string"), "names", str(tmp_path), "n.txt")
+        assert sorted(r.value for r in spark.read.text(path).collect()) == ["x", "y"]
+        with pytest.raises(ValueError):
+            exporters.register("json", "json", exporters.to_json)
+    finally:
+        del exporters.EXPORTERS["names"]
+
+
 def test_plans(spark):
     p = spark.createDataFrame([("http://a/1", "<p>x")], "url string, html string")
     plan = routing.process(p.select("url"), lists_like(p))._jdf.queryExecution().executedPlan().toString()
