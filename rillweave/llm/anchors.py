@@ -33,7 +33,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -161,15 +161,19 @@ _SALTS, _COMMON, _SAMPLE = 256, 1e-3, 0.02
 
 
 def stored(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """pid, id, k, text: written once, in buckets of pid, the partition that a row was read in; k tells rows with one id but other texts apart."""
+    """pid, rid, id, text: written once, in buckets of pid, the partition that a row was read in; rid tells rows apart."""
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    k = F.xxhash64(text).bitwiseAND(F.lit(0x7FFFFFFF).cast("long")).cast("int")
-    return bucketed(docs.select(F.spark_partition_id().alias("pid"), F.col(f"`{id_col}`").alias("id"), k.alias("k"), text.alias("text")), "pid")
+    return bucketed(docs.select(F.spark_partition_id().alias("pid"), F.monotonically_increasing_id().alias("rid"), F.col(f"`{id_col}`").alias("id"), text.alias("text")), "pid")
 
 
-def _place(first: str = "") -> list:
-    """Columns that order places: nulls last, then id, digest of the text, place."""
-    return [F.col(f"{first}id").isNull().alias("no_id"), F.col(f"{first}id").alias("id"), F.col(f"{first}kp").alias("kp"), F.col(f"{first}at").alias("at")]
+def _place() -> list:
+    """Columns that order places: id, nulls last, then row and place in it."""
+    return [F.col("id").isNull().alias("no_id"), F.col("id"), F.col("rid"), F.col("at")]
+
+
+def _pid(rid: str) -> Column:
+    """The partition that a row was read in."""
+    return F.shiftright(rid, 33).cast("int")
 
 
 def _kind(rows: DataFrame) -> str:
@@ -177,7 +181,7 @@ def _kind(rows: DataFrame) -> str:
 
 
 def _runs(rows: DataFrame, units: Units, in_order: bool) -> DataFrame:
-    """a, c, id, kp, at of runs whose anchor is found again, and m: on one row of each anchor and context digest of a part (in_order: the first by place) the number of its rows, else 0."""
+    """a, c, id, rid, at of runs whose anchor is found again, and m: on one row of each anchor and context digest of a part (in_order: the first by place) the number of its rows, else 0."""
     kind, sc = _kind(rows), rows.sparkSession.sparkContext
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,15 +196,15 @@ def _runs(rows: DataFrame, units: Units, in_order: bool) -> DataFrame:
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
-            docs = [Parsed(t, units) for t in as_bytes(batch.column(3))]
-            kp = (batch.column(2).to_numpy().astype(np.int64) << 32) | batch.column(0).to_numpy().astype(np.int64)
+            docs = [Parsed(t, units) for t in as_bytes(batch.column(2))]
+            rid = batch.column(0).to_numpy()
             for which, lo, n, anchor, off in document_runs(docs, units):
                 content = (docs[d].content(a, a + m - 1 + units.window) for d, a, m in zip(which.tolist(), lo.tolist(), n.tolist(), strict=True))
                 c = np.fromiter(map(xxhash.xxh3_64_intdigest, content), np.uint64, len(lo))
                 a = anchor.view(np.int64)
                 at = packed(lo, off, n)
-                salt = np.where(np.isin(a, shared.value), 1 + (mixed(kp[which].astype(np.uint64) ^ at.astype(np.uint64)) % np.uint64(_SALTS)).astype(np.int64), 0)
-                yield pa.RecordBatch.from_arrays([pa.array(a), _signed(c), batch.column(1).take(pa.array(which)), pa.array(kp[which]), pa.array(at), pa.array(salt)], ["a", "c", "id", "kp", "at", "salt"])
+                salt = np.where(np.isin(a, shared.value), 1 + (mixed(mixed(rid[which].astype(np.uint64)) ^ at.astype(np.uint64)) % np.uint64(_SALTS)).astype(np.int64), 0)
+                yield pa.RecordBatch.from_arrays([pa.array(a), _signed(c), batch.column(1).take(pa.array(which)), pa.array(rid[which]), pa.array(at), pa.array(salt)], ["a", "c", "id", "rid", "at", "salt"])
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """batches: rows in order of a and c; the last anchor and its last context wait for the next batch."""
@@ -213,7 +217,7 @@ def _runs(rows: DataFrame, units: Units, in_order: bool) -> DataFrame:
             m = np.zeros(len(a), np.int64)
             m[starts] = np.diff(np.r_[starts, len(a)])
             keep = np.flatnonzero((np.bincount(np.cumsum(new_a) - 1)[np.cumsum(new_a) - 1] > 1) | (salt > 0))
-            return table.select(["a", "c", "id", "kp", "at"]).append_column("m", pa.array(m)).take(pa.array(keep)).combine_chunks()
+            return table.select(["a", "c", "id", "rid", "at"]).append_column("m", pa.array(m)).take(pa.array(keep)).combine_chunks()
 
         for batch in batches:
             if not batch.num_rows:
@@ -230,38 +234,42 @@ def _runs(rows: DataFrame, units: Units, in_order: bool) -> DataFrame:
         if held:
             yield from out(pa.Table.from_batches(held)).to_batches()
 
-    found = rows.select("pid", "id", "k", "text").mapInArrow(find, f"a long, c long, id {kind}, kp long, at long, salt long")
+    # Ids matter for the order of places only.
+    ids = F.col("id") if in_order else F.lit(None).cast(kind).alias("id")
+    found = rows.select("rid", ids, "text").mapInArrow(find, f"a long, c long, id {kind}, rid long, at long, salt long")
     dealt = found.repartition("a", "salt").sortWithinPartitions("a", "c", *(_place() if in_order else []))
-    return dealt.mapInArrow(again, f"a long, c long, id {kind}, kp long, at long, m long")
+    return dealt.mapInArrow(again, f"a long, c long, id {kind}, rid long, at long, m long")
+
+
+def _same_row() -> Column:
+    return (F.col("pid") == F.col("__pid")) & (F.col("rid") == F.col("__rid"))
 
 
 def _sent(rows: DataFrame, senders: DataFrame, units: Units) -> DataFrame:
-    """senders (a, c, m, id, kp, at) with the contexts that they name."""
+    """senders (a, c, m, id, rid, at) with the contexts that they name."""
     kind = _kind(rows)
-    pid, k = F.col("kp").bitwiseAND(F.lit(0xFFFFFFFF).cast("long")).cast("int"), F.shiftright("kp", 32).cast("int")
-    each = senders.select(pid.alias("__pid"), F.col("id").alias("__id"), k.alias("__k"), F.struct("a", "c", "m", "kp", "at").alias("run"))
-    by_row = by_pid(each, "__pid").groupBy("__pid", "__id", "__k").agg(F.collect_list("run").alias("runs"))
-    same = (F.col("pid") == F.col("__pid")) & F.col("id").eqNullSafe(F.col("__id")) & (F.col("k") == F.col("__k"))
+    each = senders.select(_pid("rid").alias("__pid"), F.col("rid").alias("__rid"), F.struct("a", "c", "m", "id", "at").alias("run"))
+    by_row = by_pid(each, "__pid").groupBy("__pid", "__rid").agg(F.collect_list("run").alias("runs"))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
             runs = batch.column(2)
             which = np.repeat(np.arange(batch.num_rows), np.diff(runs.offsets.to_numpy()))
-            a, c, m, kp, at = runs.flatten().flatten()
+            a, c, m, ids, at = runs.flatten().flatten()
             docs: list[Parsed | None] = [Parsed(t, units) for t in as_bytes(batch.column(1))]
             where = at.to_numpy()
             content = [docs[d].content(x >> 32, (x >> 32) + (x & 0xFFFF) - 1 + units.window) for d, x in zip(which.tolist(), where.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([a, c, m, batch.column(0).take(pa.array(which)), kp, at, pa.array(content, pa.binary())], ["a", "c", "m", "id", "kp", "at", "content"])
+            yield pa.RecordBatch.from_arrays([a, c, m, ids, batch.column(0).take(pa.array(which)), at, pa.array(content, pa.binary())], ["a", "c", "m", "id", "rid", "at", "content"])
 
-    joined = rows.join(by_row.hint("shuffle_hash"), same).select("id", "text", "runs")
-    return joined.mapInArrow(send, f"a long, c long, m long, id {kind}, kp long, at long, content binary")
+    joined = rows.join(by_row.hint("shuffle_hash"), _same_row()).select("rid", "text", "runs")
+    return joined.mapInArrow(send, f"a long, c long, m long, id {kind}, rid long, at long, content binary")
 
 
 def _decided(sent: DataFrame, units: Units, check: Check, batch_bytes: int) -> DataFrame:
     """a, c, s, t: the spans to take from a context at its first place and at later ones; sent has a row for each a and c."""
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, groups, size, last, seen = [], [], 0, None, set()
+        keys, groups, size, last = [], [], 0, None
 
         def out() -> Iterator[pa.RecordBatch]:
             first, later = [[] for _ in keys], [[] for _ in keys]
@@ -279,11 +287,8 @@ def _decided(sent: DataFrame, units: Units, check: Check, batch_bytes: int) -> D
                     if size >= batch_bytes:
                         yield from out()
                         keys, groups, size = [], [], 0
-                    last, seen = a, set()
+                    last = a
                     groups.append([])
-                if c in seen:  # equal rows send a context each
-                    continue
-                seen.add(c)
                 keys.append((a, c))
                 groups[-1].append((content, at & 0xFFFF, at >> 16 & 0xFFFF, m > 1))
                 size += len(content)
@@ -320,12 +325,12 @@ def _split(sent: DataFrame, units: Units) -> DataFrame:
                     content = parsed.content(start, start + count - 1 + units.window)
                     a = xxhash.xxh3_64_intdigest(parsed.content(start + lo, start + hi), seed=1 + (hi - lo)) - (1 << 63)
                     c = xxhash.xxh3_64_intdigest(content, seed=7) - (1 << 63)
-                    rows.append({"a": a, "c": c, "m": row["m"], "id": row["id"], "kp": row["kp"], "at": packed((row["at"] >> 32) + start, lo, count), "content": content, "wide": hi - lo, "pa": row["a"], "pc": row["c"], "shift": start})
+                    rows.append({"a": a, "c": c, "m": row["m"], "id": row["id"], "rid": row["rid"], "at": packed((row["at"] >> 32) + start, lo, count), "content": content, "wide": hi - lo, "pa": row["a"], "pc": row["c"], "shift": start})
             yield pa.RecordBatch.from_pylist(rows, schema)
 
     kind = sent.schema["id"].dataType.simpleString()
-    schema = pa.schema([("a", pa.int64()), ("c", pa.int64()), ("m", pa.int64()), ("id", to_arrow_type(sent.schema["id"].dataType)), ("kp", pa.int64()), ("at", pa.int64()), ("content", pa.binary()), ("wide", pa.int32()), ("pa", pa.int64()), ("pc", pa.int64()), ("shift", pa.int32())])
-    return sent.mapInArrow(halves, f"a long, c long, m long, id {kind}, kp long, at long, content binary, wide int, pa long, pc long, shift int")
+    schema = pa.schema([("a", pa.int64()), ("c", pa.int64()), ("m", pa.int64()), ("id", to_arrow_type(sent.schema["id"].dataType)), ("rid", pa.int64()), ("at", pa.int64()), ("content", pa.binary()), ("wide", pa.int32()), ("pa", pa.int64()), ("pc", pa.int64()), ("shift", pa.int32())])
+    return sent.mapInArrow(halves, f"a long, c long, m long, id {kind}, rid long, at long, content binary, wide int, pa long, pc long, shift int")
 
 
 def _contexts(runs: DataFrame) -> DataFrame:
@@ -347,7 +352,7 @@ def _decisions(sent: DataFrame, contexts: DataFrame, units: Units, check: Check,
     firsts = own.select(F.col("a").alias("fa"), F.col("c").alias("fc"), F.col("m").alias("fm"), "first")
     matched = parts.join(firsts, (F.col("a") == F.col("fa")) & (F.col("c") == F.col("fc"))).withColumn("is_first", F.struct(*_place()).eqNullSafe(F.col("first")))
     matched = cut(matched.drop("fa", "fc", "first"), "matched")
-    reps = matched.where("is_first").select("a", "c", F.col("fm").alias("m"), "id", "kp", "at", "content", "wide")
+    reps = matched.where("is_first").select("a", "c", F.col("fm").alias("m"), "id", "rid", "at", "content", "wide")
     deeper = cut(_decisions(reps, own, units, check, hot, batch_bytes), "deeper")
     moved = lambda spans: F.transform(spans, lambda x: F.struct((x["start"] + F.col("shift")).alias("start"), (x["end"] + F.col("shift")).alias("end")))
     back = matched.select("a", "c", "pa", "pc", "shift", "is_first").join(deeper, ["a", "c"]).select("pa", "pc", moved(F.when(F.col("is_first"), F.col("s")).otherwise(F.col("t"))).alias("s"), moved(F.col("t")).alias("t"))
@@ -356,32 +361,30 @@ def _decisions(sent: DataFrame, contexts: DataFrame, units: Units, check: Check,
 
 
 def repeated_spans(rows: DataFrame, units: Units, check: Check, *, keep_first: bool, hot: int, batch_bytes: int = 1 << 19) -> DataFrame:
-    """pid, id, k, start, end: units of repeated windows. rows: as stored() gives them.
+    """rid, start, end: units of repeated windows. rows: as stored() gives them.
 
-    keep_first leaves the first of equal windows, by id (nulls last), k and
-    place; check must then leave it too.
+    keep_first leaves the first of equal windows, by id (nulls last), order of
+    rows and place; check must then leave it too.
     """
     mine = cut(_runs(rows, units, keep_first), "runs")
     contexts = cut(_contexts(mine), "contexts")
-    senders = contexts.select("a", "c", "m", "first.id", "first.kp", "first.at")
+    senders = contexts.select("a", "c", "m", "first.id", "first.rid", "first.at")
     sent = _sent(rows, senders, units).withColumn("wide", F.lit(None).cast("int"))
     decided = _decisions(sent, contexts, units, check, hot, batch_bytes)
     if keep_first:
         decided = decided.join(contexts.select("a", "c", "first"), ["a", "c"])
     decided = cut(decided, "decided")
-    runs = mine.select("a", "c", "id", "kp", "at").join(decided, ["a", "c"])
+    runs = mine.select("a", "c", "id", "rid", "at").join(decided, ["a", "c"])
     spans = F.when(F.struct(*_place()).eqNullSafe(F.col("first")), F.col("s")).otherwise(F.col("t")) if keep_first else F.col("s")
-    each = runs.select("id", "kp", F.shiftright("at", 32).alias("lo"), F.explode(spans).alias("span"))
-    pid, k = F.col("kp").bitwiseAND(F.lit(0xFFFFFFFF).cast("long")).cast("int"), F.shiftright("kp", 32).cast("int")
-    return each.select(pid.alias("pid"), "id", k.alias("k"), (F.col("lo") + F.col("span.start")).alias("start"), (F.col("lo") + F.col("span.end")).alias("end"))
+    each = runs.select("rid", F.shiftright("at", 32).alias("lo"), F.explode(spans).alias("span"))
+    return each.select("rid", (F.col("lo") + F.col("span.start")).alias("start"), (F.col("lo") + F.col("span.end")).alias("end"))
 
 
 def with_spans(rows: DataFrame, spans: DataFrame) -> DataFrame:
     """rows with the array `spans` of their spans, null if none."""
-    each = spans.select(F.col("pid").alias("__pid"), F.col("id").alias("__id"), F.col("k").alias("__k"), F.struct("start", "end").alias("span"))
-    by_row = by_pid(each, "__pid").groupBy("__pid", "__id", "__k").agg(F.collect_set("span").alias("spans"))
-    same = (F.col("pid") == F.col("__pid")) & F.col("id").eqNullSafe(F.col("__id")) & (F.col("k") == F.col("__k"))
-    return rows.join(by_row.hint("shuffle_hash"), same, "left").select("id", "text", "spans")
+    each = spans.select(_pid("rid").alias("__pid"), F.col("rid").alias("__rid"), F.struct("start", "end").alias("span"))
+    by_row = by_pid(each, "__pid").groupBy("__pid", "__rid").agg(F.collect_set("span").alias("spans"))
+    return rows.join(by_row.hint("shuffle_hash"), _same_row(), "left").select("id", "text", "spans")
 
 
 def merged(spans: list[dict] | None) -> list[tuple[int, int]]:

@@ -156,10 +156,9 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Takes out every byte covered by a string of `length` bytes that also starts
     elsewhere in the corpus, the same text included; matches stay within texts.
-    keep_first leaves the first such string, by id (nulls last), then a digest
-    of the text, then place; without it all go. Rows that are equal in id and
-    text count as separate places but share their spans, so of those alone
-    keep_first leaves each. Null texts are empty. Other columns are not
+    keep_first leaves the first such string, by id (nulls last), then order of
+    rows, then place; without it all go. Rows that are equal in id and text are
+    separate places. Null texts are empty. Other columns are not
     carried. hot bounds the contexts of an anchor in one task; what has more is
     split by longer anchors (see anchors.py).
     """

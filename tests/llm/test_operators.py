@@ -319,6 +319,17 @@ def test_suffix_dedup_keeps_the_first(spark):
             assert got[i] == "".join(c for j, c in enumerate(t) if j not in covered)
 
 
+def test_equal_rows_and_null_ids_are_separate_places(spark):
+    draw = random.Random(15)
+    say = lambda n: "".join(draw.choices("abcdefgh ", k=n))
+    text, other = say(300), say(300)
+    frame = spark.createDataFrame([(None, text), (7, text), (7, text), (None, other), (None, say(250))], "doc_id long, text string").coalesce(1)
+    kept = Counter((r.doc_id, len(r.kept)) for r in suffix_dedup.suffix_dedup(frame).collect())
+    assert kept == Counter({(None, 0): 1, (7, 300): 1, (7, 0): 1, (None, 300): 1, (None, 250): 1})
+    gone = Counter((r.doc_id, len(r.kept)) for r in suffix_dedup.suffix_dedup(frame, keep_first=False).collect())
+    assert gone == Counter({(None, 0): 1, (7, 0): 2, (None, 300): 1, (None, 250): 1})
+
+
 def test_crowded_anchors_go_through_the_check(spark, monkeypatch):
     """Many texts around one common line: its anchors are split by longer ones, and with a check that finds nothing nothing goes."""
     draw = random.Random(14)
