@@ -55,8 +55,12 @@ def _buckets(spark: SparkSession) -> int:
 
 
 def bucketed(df: DataFrame, by: str) -> DataFrame:
-    """Like cut, in as many buckets of this column as a shuffle has partitions: joins with what by_pid deals out don't shuffle these rows."""
+    """Like cut, in as many buckets of this column as a shuffle has partitions: joins on it and other columns with what by_pid deals out don't shuffle these rows.
+
+    For that the session is told that a part of a join's keys is enough to place rows.
+    """
     spark = df.sparkSession
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
     name, path = f"rillweave_{uuid.uuid4().hex}", fresh_path(spark, "rows")
     df.write.format("parquet").bucketBy(_buckets(spark), by).option("path", path).saveAsTable(name)
     read = spark.table(name)
