@@ -28,7 +28,7 @@ from .common import as_bytes, small
 
 WINDOW = 2
 NONZERO = 4
-_RUN = 1 << 16
+_RUN = 1 << 14
 
 
 @dataclass(frozen=True)
@@ -84,7 +84,7 @@ def context_sums(docs: DataFrame, text_col: str, space: Space) -> np.ndarray:
             for text in as_bytes(batch.column(0)):
                 parts.append(buckets_of(text, space.buckets - 1))
                 held += len(parts[-1])
-                if held >= 16 * _RUN:
+                if held >= 64 * _RUN:
                     add(parts)
                     parts, held = [], 0
             if parts:
@@ -119,7 +119,7 @@ def pool(text: bytes, vectors: np.ndarray) -> np.ndarray:
     if not len(ids):
         return sums.ravel().astype(np.float32)
     for at in range(0, len(ids), _RUN):
-        own = vectors[ids[at : at + _RUN + 1]]  # with the neighbour beyond
+        own = vectors[ids[at : at + _RUN + 1]].astype(float)  # with the neighbour beyond
         inside = own[:_RUN]
         sums[0] += inside.sum(axis=0)
         sums[1] += np.einsum("ij,ij->j", inside, inside)
