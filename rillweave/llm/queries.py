@@ -14,6 +14,7 @@ from .perplexity_rules import quality_rules
 from .phrase_dedup import phrase_dedup
 from .quality_classifier import quality_scores
 from .simhash_dedup import simhash_groups
+from .source_divergence import source_divergence
 from .suffix_dedup import suffix_dedup
 from .token_counts import token_counts
 from .warc import page_of, read_warc, write_warc
@@ -80,7 +81,11 @@ def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_simhash, op3_suffix, op4_exact, op5_warc, op6_bpe, op7_phrase, op8_tokens, op9_mixing, op10_rules)}
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_simhash, op3_suffix, op4_exact, op5_warc, op6_bpe, op7_phrase, op8_tokens, op9_mixing, op10_rules, op13_divergence)}
 
 ORACLE_SQL = {
     "op3_suffix": r"""
@@ -130,4 +135,19 @@ ORACLE_SQL = {
                ('0x' || substr(sha256('17+:' || coalesce(doc_id::VARCHAR, '') || ':' || copy_no::VARCHAR), 1, 12))::BIGINT AS shuffle_key
         FROM n, unnest(generate_series(1, n_copies)) AS v(copy_no)
     """,
+    "op13_divergence": r"""
+        WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+        w AS (SELECT r, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+        k AS (SELECT lang, term, count(*)::HUGEINT AS total FROM w GROUP BY lang, term HAVING count(DISTINCT r) >= 10),
+        v AS (SELECT lang, count(*)::HUGEINT AS v, sum(total)::HUGEINT AS n FROM k GROUP BY lang),
+        c AS (SELECT lang, source, term, count(*)::HUGEINT AS n FROM w JOIN k USING (lang, term) GROUP BY lang, source, term),
+        g AS (SELECT lang, source, coalesce(sum(c.n), 0)::HUGEINT AS n FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN c USING (lang, source) GROUP BY lang, source),
+        p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 2)) // (g.n + 2 * v.v) AS p, 1 + (1000000000::HUGEINT * (k.total + 2)) // (v.n + 2 * v.v) AS q
+              FROM g JOIN v USING (lang) JOIN k USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+        f AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+        u AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+              UNION ALL SELECT lang, source, 'term', term, (((p - q) * (p - q)) // (p + q))::BIGINT FROM p WHERE n > 0 AND p > q),
+        o AS (SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank FROM u)
+        SELECT * FROM o WHERE part = 'pair' OR rank <= 10
+    """,
 }
