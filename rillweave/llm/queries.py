@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from .bpe import bpe_encode
 from .common import fresh_path, spread
 from .exact_dedup import exact_dedup
+from .lloyd import lloyd_clusters
 from .mixing import mix_sources
 from .perplexity_rules import quality_rules
 from .phrase_dedup import phrase_dedup
@@ -81,13 +82,39 @@ def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents"))
 
 
+def op12_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lloyd_clusters(_table(spark, sf_dir, "embeddings"))
+
+
 def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_simhash, op3_suffix, op4_exact, op5_warc, op6_bpe, op7_phrase, op8_tokens, op9_mixing, op10_rules, op13_divergence)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_simhash, op3_suffix, op4_exact, op5_warc, op6_bpe, op7_phrase, op8_tokens, op9_mixing, op10_rules, op12_lloyd, op13_divergence)}
+
+
+
+def _lloyd_sql(rounds: int = 3) -> str:
+    """Lloyd's rounds as one query, each round three steps of it: distances, assignment, centroids."""
+    steps = [
+        r"""v AS (SELECT vec_id, list_transform(embedding, lambda c: floor(64 * c::DOUBLE)::BIGINT) AS x FROM embeddings WHERE len(list_filter(embedding, lambda c: c IS NOT NULL AND isfinite(c))) = 64 AND len(embedding) = 64),
+        e AS (SELECT vec_id, unnest(generate_series(1, 64)) AS j, unnest(x) AS a FROM v),
+        s AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id::VARCHAR)) - 1 AS k, x FROM v QUALIFY k < 16),
+        c0 AS (SELECT k, unnest(generate_series(1, 64)) AS j, unnest(x) AS b FROM s)"""
+    ]
+    for i in range(rounds + 1):
+        steps.append(f"d{i} AS (SELECT vec_id, k, sum((a - b) * (a - b)) AS d FROM e JOIN c{i} USING (j) GROUP BY vec_id, k)")
+        steps.append(f"a{i} AS (SELECT vec_id, k, d FROM d{i} QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, k) = 1)")
+        if i < rounds:
+            steps.append(f"m{i} AS (SELECT k, j, ((sum(a) - ((sum(a) % count(*)) + count(*)) % count(*)) // count(*))::BIGINT AS b FROM a{i} JOIN e USING (vec_id) GROUP BY k, j)")
+            steps.append(f"c{i + 1} AS (SELECT c.k, c.j, coalesce(m.b, c.b) AS b FROM c{i} c LEFT JOIN m{i} m USING (k, j))")
+    steps.append(f"h AS (SELECT k, sha256(string_agg(b::VARCHAR, ',' ORDER BY j)) AS centroid_sha256 FROM c{rounds} GROUP BY k)")
+    rest = f"SELECT vec_id, k::INTEGER AS cluster, d::BIGINT AS distance, (sum(d) OVER (PARTITION BY k))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, centroid_sha256 FROM a{rounds} JOIN h USING (k)"
+    return "WITH " + ",\n        ".join(steps) + "\n        " + rest
+
 
 ORACLE_SQL = {
+    "op12_lloyd": _lloyd_sql(),
     "op3_suffix": r"""
         WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, ''))::BIGINT AS n FROM documents),
         w AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 400)) AS k FROM d, unnest(generate_series(0, n - 200)) AS u(i) WHERE n >= 200),
