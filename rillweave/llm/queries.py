@@ -13,6 +13,7 @@ from .lloyd import lloyd_clusters
 from .mixing import mix_sources
 from .perplexity_rules import quality_rules
 from .phrase_dedup import phrase_dedup
+from .projected_search import nearest_neighbours
 from .quality_classifier import quality_scores
 from .simhash_dedup import simhash_groups
 from .source_divergence import source_divergence
@@ -82,6 +83,10 @@ def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents"))
 
 
+def op11_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(_table(spark, sf_dir, "embeddings"))
+
+
 def op12_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lloyd_clusters(_table(spark, sf_dir, "embeddings"))
 
@@ -90,7 +95,7 @@ def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_simhash, op3_suffix, op4_exact, op5_warc, op6_bpe, op7_phrase, op8_tokens, op9_mixing, op10_rules, op12_lloyd, op13_divergence)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_simhash, op3_suffix, op4_exact, op5_warc, op6_bpe, op7_phrase, op8_tokens, op9_mixing, op10_rules, op11_neighbours, op12_lloyd, op13_divergence)}
 
 
 
