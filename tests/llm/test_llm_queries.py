@@ -31,7 +31,7 @@ def documents():
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query_against_sql(spark, name):
     con = duckdb.connect()
-    for table in ("documents", "pages"):
+    for table in ("documents", "pages", "embeddings"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     got, want = rows(QUERIES[name](spark, SF).toArrow()), rows(con.sql(ORACLE_SQL[name]).to_arrow_table())
     assert got == want and got[0]
@@ -105,6 +105,9 @@ def odd(spark, tmp_path_factory):
     spark.createDataFrame(made, names).repartition(3).write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame([(i, i % 2, 0) for i in range(10)], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
     spark.createDataFrame([(1, None, None, 1), (2, "u", "p" * 200, 2), (3, "u", "p" * 200, 3), (None, "u", "", None)], "page_id long, url string, html string, digest int").write.parquet(f"{path}/pages.parquet")
+    some = [(i, [float(i % 7 - 3 + j % 3) for j in range(64)], 0, "x") for i in range(60)]
+    some += [some[20], (None, some[3][1], None, None), (100, None, 1, None), (101, [], 1, None), (102, [0.0] * 64, 1, None), (103, [None] * 64, 1, None), (104, [float("nan")] * 64, 1, None), (105, [1.0] * 3, 1, None)]
+    spark.createDataFrame(some, "vec_id long, embedding array<float>, cell int, row string").repartition(3).write.parquet(f"{path}/embeddings.parquet")
     return str(path), made
 
 
@@ -114,6 +117,12 @@ def test_query_over_odd_tables(spark, odd, name):
     got = QUERIES[name](spark, path).collect()
     if name == "op5_warc":
         assert Counter((r.page_id, r.record_type, r.refers_to) for r in got) == Counter([(1, "response", None), (2, "response", None), (3, "revisit", 2), (None, "response", None)])
+    elif name == "op11_neighbours":
+        assert Counter(r.query_id for r in got) == {0: 20, 20: 40, 40: 20}
+    elif name == "op12_lloyd":
+        assert Counter(r.vec_id for r in got) == Counter([*range(60), 20, None, 102])
+    elif name == "op13_divergence":
+        assert all(r.value >= 0 and r.source != r.item for r in got) and any(r.part == "pair" for r in got)
     elif name != "op9_mixing":
         assert Counter(r.doc_id for r in got) == Counter(r[0] for r in made)
     if name in ("op3_suffix", "op7_phrase"):
@@ -131,6 +140,6 @@ def test_query_over_odd_tables(spark, odd, name):
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_over_empty_tables(spark, odd, tmp_path, name):
-    for table in ("documents", "labels", "pages"):
+    for table in ("documents", "labels", "pages", "embeddings"):
         spark.read.parquet(f"{odd[0]}/{table}.parquet").where(F.lit(False)).write.parquet(f"{tmp_path}/{table}.parquet")
     assert QUERIES[name](spark, str(tmp_path)).collect() == []
