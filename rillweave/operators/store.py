@@ -29,15 +29,21 @@ def delete_rows(urls: DataFrame) -> DataFrame:
     return urls.select("url", storage_key(F.col("url")).alias("url_hash"), null("string").alias("filename"), null("string").alias("content_type"), F.col("stored_at").cast("double").alias("stored_at"), null("long").alias("size_bytes"), null("int").alias("status_code"), null("string").alias("content"), F.lit("D").alias("op"))
 
 
-def current(log: DataFrame, content: bool = True) -> DataFrame:
-    """The page held under each key: the latest log row unless it is a delete; at equal times deletes come first, then the larger size.
+def latest(log: DataFrame, fields: list[str]) -> DataFrame:
+    """fields and op of the latest row of each key, deletes too; at equal times deletes come first, then the larger size.
 
     An aggregate, not a window: partial maxima shrink a hot key before the shuffle.
     """
-    fields = META + ["content"] if content else META
     order = F.struct("stored_at", F.col("op") == "S", "size_bytes", "url")
-    latest = log.groupBy("url_hash").agg(F.max_by(F.struct(*fields, "op"), order).alias("r"))
-    return latest.where("r.op = 'S'").select(*(F.col(f"r.{c}").alias(c) for c in fields))
+    kept = [*dict.fromkeys([*fields, "url_hash", "op"])]
+    found = log.groupBy(F.col("url_hash").alias("__key")).agg(F.max_by(F.struct(*kept), order).alias("r"))
+    return found.select(*(F.col(f"r.{c}").alias(c) for c in kept))
+
+
+def current(log: DataFrame, content: bool = True) -> DataFrame:
+    """The page held under each key: the latest log row unless it is a delete."""
+    fields = META + ["content"] if content else META
+    return latest(log, fields).where("op = 'S'").select(*fields)
 
 
 def load(log: DataFrame, url: str) -> DataFrame:
@@ -64,7 +70,7 @@ def stats(log: DataFrame) -> DataFrame:
 
 
 class RawStore:
-    """The log as a Parquet folder: saves and deletes append, clear rewrites."""
+    """The log as a plain Parquet folder: saves and deletes append, clear rewrites. generations.PageStore is the one for stores that live on."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path

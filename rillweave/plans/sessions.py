@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import frontier, limiter, robots, routing, store
+from ..operators.generations import PageStore
+from ..sources.shared import fresh_path
 from . import crawl, site_profile
 from .tables import pages
 
@@ -110,8 +112,6 @@ def store_size(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def store_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A store on disk: saved to, deleted from, listed, cleared."""
-    from ..sources.shared import fresh_path
-
     p = pages(spark, sf_dir)
     held = store.RawStore(spark, fresh_path(spark, "store"))
     empty = held.list_all().count()
@@ -122,13 +122,41 @@ def store_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(empty, listed, cleared, held.list_all().count())], "before long, listed long, cleared long, after long")
 
 
+def _kept_store(spark: SparkSession, sf_dir: str) -> PageStore:
+    """A store with a history: saves, changes, deletes, a compaction, a late save that an earlier delete outweighs, further changes."""
+    p = pages(spark, sf_dir)
+    held = PageStore(spark, fresh_path(spark, "store"), n_buckets=16)
+    at = lambda rows, content, time: rows.select("url", content.alias("content"), F.lit(time).alias("stored_at"))
+    held.save(at(p, F.col("html"), 1.0))
+    held.save(at(p.where("page_id % 3 = 0"), F.concat(F.lit("new "), "html"), 2.0))
+    held.delete(p.where("page_id % 5 = 0").select("url", F.lit(3.0).alias("stored_at")))
+    held.compact()
+    held.save(at(p.where("page_id % 5 = 0 and page_id % 2 = 0"), F.col("html"), 2.5))
+    held.save(at(p.where("page_id % 15 = 0"), F.concat(F.lit("again "), "html"), 4.0))
+    return held
+
+
+def store_generations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a store with a history holds after a compaction, with content."""
+    held = _kept_store(spark, sf_dir)
+    held.compact()
+    held.vacuum(older_than=0)
+    return store.current(held.log()).select("url", "url_hash", "stored_at", "size_bytes", F.md5("content").alias("content_md5"))
+
+
+def store_point_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh page's URL looked up in that store before the last compaction; those that are held."""
+    asked = pages(spark, sf_dir).where("page_id % 7 = 0").select("page_id", "url")
+    return _kept_store(spark, sf_dir).load_many(asked).select("page_id", "stored_at", F.md5("content").alias("content_md5"))
+
+
 def thin_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which fetches gave so little that a browser is needed."""
     got = crawl._fetches(spark, sf_dir)
     return got.select("page_id", routing.needs_browser(F.col("status_code"), F.col("error"), F.col("content")).alias("needs_browser"))
 
 
-QUERIES = {f.__name__: f for f in (batch_results, batch_stats, single_runs, allowed_urls, frontier_again, frontier_peek, named_priority, wait_times, strict_delays, limiter_report, random_choice, desktop_profiles, store_lookup, store_size, store_bootstrap, thin_pages)}
+QUERIES = {f.__name__: f for f in (batch_results, batch_stats, single_runs, allowed_urls, frontier_again, frontier_peek, named_priority, wait_times, strict_delays, limiter_report, random_choice, desktop_profiles, store_lookup, store_size, store_bootstrap, store_generations, store_point_reads, thin_pages)}
 
 #: Rules of a host by the length of its name; only the spelling in lower case has rules.
 _ALLOWED = """CASE WHEN form = 1 THEN true WHEN length(host) % 5 = 0 THEN starts_with(path, '/en') WHEN length(host) % 5 = 2 THEN NOT (starts_with(path, '/fr') OR starts_with(path, '/es')) WHEN length(host) % 5 = 4 THEN false ELSE true END"""
@@ -152,6 +180,9 @@ _BUCKET = f"""WITH RECURSIVE e AS ({crawl._SEQ}), w AS (
       FROM (SELECT e.k, e.n, e.seq, e.t, least(2.0::DOUBLE, w.tokens + (e.t - w.t) * 0.000005::DOUBLE) AS now FROM w JOIN e ON e.k = w.k AND e.n = w.n + 1))"""
 _CHANCE = "('0x' || substr(sha256('{seed}:' || seq), 1, 12))::BIGINT / 281474976710656::DOUBLE"
 _MODE = "last_value(CASE WHEN seq % 9 = 0 THEN true WHEN seq % 9 = 4 THEN false END IGNORE NULLS) OVER (PARTITION BY k ORDER BY n)"
+_KEPT = """history AS (SELECT url, html AS content, 1.0::DOUBLE AS stored_at, 'S' AS op FROM pages UNION ALL SELECT url, 'new ' || html, 2.0, 'S' FROM pages WHERE page_id % 3 = 0
+    UNION ALL SELECT url, NULL, 3.0, 'D' FROM pages WHERE page_id % 5 = 0 UNION ALL SELECT url, html, 2.5, 'S' FROM pages WHERE page_id % 10 = 0 UNION ALL SELECT url, 'again ' || html, 4.0, 'S' FROM pages WHERE page_id % 15 = 0),
+  kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY stored_at DESC) AS n FROM history) WHERE n = 1 AND op = 'S')"""
 ORACLE_SQL = {
     "batch_results": f"WITH {_SPA}, {_RUN} SELECT * FROM results",
     "batch_stats": f"""WITH {_SPA}, {_RUN}, q AS (SELECT count(*) FILTER (disposition = 'added') AS total_added, count(*) FILTER (disposition = 'filtered') AS filtered_robots, count(*) FILTER (disposition = 'duplicate') AS duplicates_skipped FROM judged)
@@ -182,5 +213,7 @@ ORACLE_SQL = {
     "store_lookup": f"WITH {crawl._LOG}, m AS (SELECT * FROM held WHERE url = (SELECT max(url) FROM held)) SELECT md5(content) AS content_md5, 'content' AS what FROM m UNION ALL SELECT url || '|' || substr(sha256(url), 1, 16) || '.html|html|' || strlen(content) || '|200', 'metadata' FROM m",
     "store_size": f"WITH {crawl._LOG} SELECT round(sum(strlen(content)) / 1048576::DOUBLE, 2) AS total_size_mb FROM held",
     "store_bootstrap": "SELECT 0::BIGINT AS before, count(*) FILTER (page_id % 10 <> 0) AS listed, count(*) FILTER (page_id % 10 <> 0) AS cleared, 0::BIGINT AS after FROM pages",
+    "store_generations": f"WITH {_KEPT} SELECT url, substr(sha256(url), 1, 16) AS url_hash, stored_at, strlen(content)::BIGINT AS size_bytes, md5(content) AS content_md5 FROM kept",
+    "store_point_reads": f"WITH {_KEPT} SELECT p.page_id, stored_at, md5(content) AS content_md5 FROM pages p JOIN kept USING (url) WHERE p.page_id % 7 = 0",
     "thin_pages": f"WITH {_SPA} SELECT page_id, page_id % 11 > 3 AND length(regexp_replace(regexp_replace(html, '^' || '{site_profile._SPACE}', ''), '{site_profile._SPACE}' || '$', '')) < 500 AS needs_browser FROM spa",
 }
