@@ -219,9 +219,8 @@ def taking_part(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     fits = F.forall(as_double, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists(as_double, lambda c: c != 0)
     # Of a row's number the upper bits are its partition's.
     rows = vectors.where(F.coalesce(fits, F.lit(False))).select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"), v.alias("x"))
-    largest = F.array_max(F.transform(F.col("x").cast("array<double>"), F.abs))
-    squares = F.aggregate(F.col("x").cast("array<double>"), F.lit(0.0), lambda s, c: s + (c / largest) * (c / largest))
-    return cut(rows.withColumn("length", largest * F.sqrt(squares)), "vectors")
+    squares = F.aggregate(F.col("x").cast("array<double>"), F.lit(0.0), lambda s, c: s + c * c)
+    return cut(rows.withColumn("length", F.least(F.sqrt(squares), F.lit(1e300))), "vectors")
 
 
 def _indexed(rows: DataFrame, projection: Projection, dim: int, splits: np.ndarray) -> DataFrame:
