@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import flatten
-from ..sources import exporters, lists
+from ..sources import exporters, lists, page_shards
 from ..sources.shared import fresh_path
 from .tables import pages, table
 
@@ -72,6 +72,28 @@ def sqlite_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exporters.read_sqlite(spark, path).drop("_scraped_at", "id")
 
 
+def _shards(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of pages as JSON lines."""
+    path = fresh_path(spark, "shards")
+    pages(spark, sf_dir).select("url", "html", "page_id").write.json(path)
+    page_shards.register(spark)
+    return path
+
+
+def shard_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages read through the page source, those of one scheme, which the source picks; by host."""
+    got = spark.read.format("page_shards").option("path", _shards(spark, sf_dir)).load().where("startswith(url, 'https://')")
+    return got.groupBy("host").agg(F.count("*").alias("n_pages"), F.sum(F.octet_length("html")).cast("long").alias("n_bytes"))
+
+
+def shard_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same folder as a stream, whose rows are written as they come; only page_id and host are parsed."""
+    stream = spark.readStream.format("page_shards").schema("page_id long, host string").option("path", _shards(spark, sf_dir)).load()
+    out = fresh_path(spark, "streamed")
+    stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", fresh_path(spark, "state")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("page_id long, host string").parquet(out)
+
+
 def column_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records as they are prepared for a database, with the type that each column would have."""
     rows = flatten.prepared(_records(spark, sf_dir))
@@ -79,8 +101,9 @@ def column_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("c_custkey", "at", kinds.alias("kinds"))
 
 
-QUERIES = {f.__name__: f for f in (url_list, proxy_list, json_export, jsonl_export, csv_export, sqlite_export, column_types)}
+QUERIES = {f.__name__: f for f in (url_list, proxy_list, json_export, jsonl_export, csv_export, sqlite_export, shard_hosts, shard_stream, column_types)}
 
+_HOST = "regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.\\-]*:)?//([^/?#]*)', 1)"
 _R = """r AS (SELECT c_custkey, c_name AS name, CASE c_custkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 'say "hi", é' WHEN 2 THEN 'a;b' ELSE 'x y' END AS note, c_custkey % 2 = 0 AS even, c_nationkey AS nation, c_mktsegment AS segment FROM customer)"""
 _AT = """'{"nation":' || nation || ',"segment":"' || segment || '"}'"""
 ORACLE_SQL = {
@@ -90,5 +113,7 @@ ORACLE_SQL = {
     "jsonl_export": f"WITH {_R} SELECT *, true AS has_note FROM r",
     "csv_export": f"WITH {_R} SELECT nation AS at_nation, segment AS at_segment, c_custkey, even, name, note FROM r",
     "sqlite_export": f"WITH {_R} SELECT c_custkey::VARCHAR AS c_custkey, name, coalesce(note, 'None') AS note, even::INTEGER::VARCHAR AS even, {_AT} AS at FROM r",
+    "shard_hosts": f"SELECT {_HOST} AS host, count(*) AS n_pages, sum(strlen(html))::BIGINT AS n_bytes FROM pages WHERE starts_with(url, 'https://') GROUP BY 1",
+    "shard_stream": f"SELECT page_id, {_HOST} AS host FROM pages",
     "column_types": f"WITH {_R} SELECT c_custkey, {_AT} AS at, 'c_custkey:INTEGER|name:TEXT|note:TEXT|even:INTEGER|at:TEXT' AS kinds FROM r",
 }
