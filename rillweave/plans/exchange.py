@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,12 +63,22 @@ def csv_export(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sqlite_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Written to a table in a file of the driver's and read back as text."""
-    path = os.path.join(tempfile.mkdtemp(prefix="rillweave-"), "x.db")
-    exporters.to_sqlite(_records(spark, sf_dir), path)
+    """Written to a table in one file and read back with types and nulls."""
+    path = exporters.to_sqlite(_records(spark, sf_dir).repartition(3, "c_custkey"), f"{fresh_path(spark, 'sqlite')}.db")
     return exporters.read_sqlite(spark, path).drop("_scraped_at", "id")
 
 
+def sqlite_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders written to shards in two goes, and read back with their types; the source picks rows with a note and by key."""
+    o = table(spark, sf_dir, "orders")
+    note = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("n "), F.col("o_orderkey").cast("string")))
+    rows = o.select("o_orderkey", F.col("o_totalprice").cast("decimal(12,2)").alias("price"), F.col("o_orderdate").cast("date").alias("day"), F.col("o_orderdate").cast("timestamp").alias("at"), (F.col("o_orderkey") % 2 == 0).alias("even"), note.alias("note"))
+    path = fresh_path(spark, "orders")
+    exporters.to_sqlite_shards(rows.where("o_orderkey % 4 < 2").repartition(4, "o_orderkey"), path)
+    exporters.to_sqlite_shards(rows.where("o_orderkey % 4 >= 2"), path)
+    return exporters.read_sqlite(spark, path).where("note is not null and o_orderkey > 100")
+
+
 def _shards(spark: SparkSession, sf_dir: str) -> str:
     """A folder of pages as JSON lines."""
     path = fresh_path(spark, "shards")
@@ -101,7 +108,7 @@ def column_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("c_custkey", "at", kinds.alias("kinds"))
 
 
-QUERIES = {f.__name__: f for f in (url_list, proxy_list, json_export, jsonl_export, csv_export, sqlite_export, shard_hosts, shard_stream, column_types)}
+QUERIES = {f.__name__: f for f in (url_list, proxy_list, json_export, jsonl_export, csv_export, sqlite_export, sqlite_shards, shard_hosts, shard_stream, column_types)}
 
 _HOST = "regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.\\-]*:)?//([^/?#]*)', 1)"
 _R = """r AS (SELECT c_custkey, c_name AS name, CASE c_custkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 'say "hi", é' WHEN 2 THEN 'a;b' ELSE 'x y' END AS note, c_custkey % 2 = 0 AS even, c_nationkey AS nation, c_mktsegment AS segment FROM customer)"""
@@ -112,7 +119,8 @@ ORACLE_SQL = {
     "json_export": f"WITH {_R} SELECT * FROM r",
     "jsonl_export": f"WITH {_R} SELECT *, true AS has_note FROM r",
     "csv_export": f"WITH {_R} SELECT nation AS at_nation, segment AS at_segment, c_custkey, even, name, note FROM r",
-    "sqlite_export": f"WITH {_R} SELECT c_custkey::VARCHAR AS c_custkey, name, coalesce(note, 'None') AS note, even::INTEGER::VARCHAR AS even, {_AT} AS at FROM r",
+    "sqlite_export": f"WITH {_R} SELECT c_custkey, name, note, even::BIGINT AS even, {_AT} AS at FROM r",
+    "sqlite_shards": "SELECT o_orderkey, o_totalprice::DECIMAL(12,2) AS price, o_orderdate::DATE AS day, o_orderdate::TIMESTAMPTZ AS at, o_orderkey % 2 = 0 AS even, 'n ' || o_orderkey AS note FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey > 100",
     "shard_hosts": f"SELECT {_HOST} AS host, count(*) AS n_pages, sum(strlen(html))::BIGINT AS n_bytes FROM pages WHERE starts_with(url, 'https://') GROUP BY 1",
     "shard_stream": f"SELECT page_id, {_HOST} AS host FROM pages",
     "column_types": f"WITH {_R} SELECT c_custkey, {_AT} AS at, 'c_custkey:INTEGER|name:TEXT|note:TEXT|even:INTEGER|at:TEXT' AS kinds FROM r",

@@ -2,14 +2,14 @@
 
 Each writes a folder of part files in parallel, on any file system that Spark
 writes to; JSON arrays and single files are the parts one after another, copied
-as streams through the file system's own interface. A SQLite file is local to
-the driver by nature: rows reach it a partition at a time, in one transaction.
+as streams through the file system's own interface. SQLite databases are written
+by tasks (sqlite_shards.py); one file of them is put together by one task.
 """
 
 from __future__ import annotations
 
 import os
-import sqlite3
+import re
 import uuid
 from collections.abc import Callable
 from datetime import datetime
@@ -17,7 +17,8 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.flatten import flatten, prepared, sql_type
+from ..operators.flatten import flatten, prepared
+from . import sqlite_shards
 
 
 def auto_filename(extension: str, now: datetime | None = None) -> str:
@@ -63,14 +64,14 @@ def to_jsonl(df: DataFrame, path: str) -> str:
     return path
 
 
-def to_json(df: DataFrame, path: str) -> str:
-    """One array in one file, pretty enough to read: an object a line. No rows give []."""
+def to_json(df: DataFrame, path: str, indent: bool = True) -> str:
+    """One array in one file, its objects indented, or an object a line without indent. No rows give []."""
     spark, folder = df.sparkSession, f"{path}.{uuid.uuid4().hex}"
-    names = df.columns
-    objects = df.select(F.to_json(F.struct(*(F.col(f"`{c}`") for c in names)), {"ignoreNullFields": "false"}).alias("value"))
-    objects.select(F.concat(F.lit(",\n  "), "value")).write.option("lineSep", "\n").text(folder)
+    text = F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns)), {"ignoreNullFields": "false", "pretty": str(indent).lower()})
+    # Line feeds inside strings are escaped, so these are those between fields.
+    df.select(F.concat(F.lit(",\n  "), F.replace(text, F.lit("\n"), F.lit("\n  "))).alias("value")).write.option("lineSep", " ").text(folder)
     try:
-        return _joined(spark, folder, path, b"[", b"]", skip=1)
+        return _joined(spark, folder, path, b"[", b"\n]", skip=1)
     finally:
         system, place, _ = _system(spark, folder)
         system.delete(place, True)
@@ -89,30 +90,36 @@ def single_file(folder: str, path: str, header: bool = False) -> str:
     return _joined(SparkSession.active(), folder, path, skip_line=header)
 
 
-def to_sqlite(df: DataFrame, path: str, table: str = "scraped_data", replace: bool = False) -> str:
-    """A table with a surrogate key and the time of insertion; complex columns as JSON text. No rows are an error."""
-    if df.isEmpty():
+def to_sqlite_shards(df: DataFrame, path: str, table: str = "scraped_data", mode: str = "append") -> str:
+    """A folder of SQLite databases, one a task, that count together; complex columns as JSON text. No rows are an error."""
+    path = _absolute(path)
+    sqlite_shards.register(df.sparkSession)
+    prepared(df).write.format("sqlite_shards").options(path=path, table=table).mode(mode).save()
+    if not any(s["rows"] for s in sqlite_shards.read_manifest(path)["shards"]):
+        sqlite_shards.delete_shards(path)
         raise ValueError("no data to export")
-    rows = prepared(df)
-    quoted = lambda name: '"' + name.replace('"', '""') + '"'
-    plain = lambda v: int(v) if isinstance(v, bool) else v if v is None or isinstance(v, (int, float, str, bytes)) else str(v)
-    columns = ", ".join(quoted(n) for n in rows.columns)
-    fields = ", ".join(f"{quoted(f.name)} {sql_type(f.dataType)}" for f in rows.schema.fields)
-    con = sqlite3.connect(path, isolation_level=None)
+    return path
+
+
+def to_sqlite(df: DataFrame, path: str, table: str = "scraped_data", replace: bool = False) -> str:
+    """A table with a surrogate key and the time of insertion in one file, after what is there; complex columns as JSON text. No rows are an error.
+
+    Tasks write shards beside it and one task joins them, so no row comes to the driver. The path must be one that executors share.
+    """
+    path = _absolute(path)
+    folder = to_sqlite_shards(df, f"{path}.{uuid.uuid4().hex}", table)
     try:
-        con.execute("BEGIN")
-        if replace:
-            con.execute(f"DROP TABLE IF EXISTS {quoted(table)}")
-        con.execute(f"CREATE TABLE IF NOT EXISTS {quoted(table)} (id INTEGER PRIMARY KEY AUTOINCREMENT, {fields}, _scraped_at TIMESTAMP DEFAULT CURRENT_TIMESTAMP)")
-        marks = ", ".join("?" * len(rows.columns))
-        con.executemany(f"INSERT INTO {quoted(table)} ({columns}) VALUES ({marks})", ([plain(v) for v in row] for row in rows.toLocalIterator()))
-        con.execute("COMMIT")
+        return sqlite_shards.one_file(df.sparkSession, folder, path, replace)
     finally:
-        con.close()  # what isn't committed goes
-    return path
+        sqlite_shards.delete_shards(folder)
+
+
+def _absolute(path: str) -> str:
+    """A URI as it is, a local path from the root: tasks work in folders of their own."""
+    return path if re.match(r"[A-Za-z][A-Za-z0-9+.\-]*:/", path) else os.path.abspath(path)
 
 
-EXPORTERS: dict[str, tuple[str, Callable[..., str]]] = {"json": ("json", to_json), "jsonl": ("jsonl", to_jsonl), "csv": ("csv", to_csv), "sqlite": ("db", to_sqlite)}
+EXPORTERS: dict[str, tuple[str, Callable[..., str]]] = {"json": ("json", to_json), "jsonl": ("jsonl", to_jsonl), "csv": ("csv", to_csv), "sqlite": ("db", to_sqlite), "sqlite_shards": ("shards", to_sqlite_shards)}
 
 
 def register(kind: str, extension: str, write: Callable[..., str]) -> None:
@@ -127,13 +134,13 @@ def export(df: DataFrame, kind: str, folder: str, filename: str | None = None, *
     if kind not in EXPORTERS:
         raise ValueError(f"unknown export format: {kind}")
     extension, write = EXPORTERS[kind]
-    os.makedirs(folder, exist_ok=True)
-    return write(df, os.path.join(folder, filename or auto_filename(extension)), **options)
+    folder = _absolute(folder).rstrip("/")
+    system, place, _ = _system(df.sparkSession, folder)
+    system.mkdirs(place)
+    return write(df, f"{folder}/{filename or auto_filename(extension)}", **options)
 
 
 def read_sqlite(spark: SparkSession, path: str, table: str = "scraped_data") -> DataFrame:
-    """A small exported table back, for checks."""
-    with sqlite3.connect(path) as con:
-        found = con.execute(f'SELECT * FROM "{table}"')
-        names = [d[0] for d in found.description]
-        return spark.createDataFrame([tuple(map(str, r)) for r in found], ", ".join(f"`{n}` string" for n in names))
+    """A table of a SQLite file, with types by its declarations and nulls as they are, or of a folder of shards with the types they were written with."""
+    sqlite_shards.register(spark)
+    return spark.read.format("sqlite_shards").options(path=_absolute(path), table=table).load()
