@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import argparse
+import json
 import logging
-import os
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import limiter, robots, routing
@@ -38,13 +38,15 @@ def main(args: list[str] | None = None) -> str:
         fetched = fetched.drop("used_proxy").join(wanted.groupBy("url").agg(F.min("proxy").alias("used_proxy")), "url", "left")
     rules = robots.rule_table(spark.read.parquet(o.robots)) if o.robots else None
     if o.url and not o.file and rules is not None:
-        results = routing.single_runs(wanted.select("url"), fetched, rules)
-        logging.info("%s", routing.session_stats(results).select(F.to_json(F.struct("*"))).first()[0])
+        results, seen = routing.single_runs(wanted.select("url"), fetched, rules), Observation()
+        path = exporters.export(routing.export_rows(results.observe(seen, *routing.session_counts())), o.format, o.folder, o.output)
+        stats = {"session": routing.with_rates(seen.get)}
     else:
-        results, queue = routing.batch_run(wanted.repartition(o.workers), fetched, rules, max_size=o.capacity)
-        logging.info("%s", routing.combined_stats(results, queue).select(F.to_json(F.struct("*"))).first()[0])
-    path = exporters.export(routing.export_rows(results), o.format, o.folder, o.output)
-    logging.info("exported to %s", os.path.abspath(path))
+        results, metrics = routing.observed_run(wanted.repartition(o.workers), fetched, rules, max_size=o.capacity)
+        path = exporters.export(routing.export_rows(results), o.format, o.folder, o.output)
+        stats = {"session": metrics.session(), "queue": metrics.queue(), "status": "completed"}
+    logging.info("%s", json.dumps(stats))
+    logging.info("exported to %s", path)
     return path
 
 

@@ -15,22 +15,27 @@ def priority_number(name: Column) -> Column:
     return F.element_at(F.create_map(*(F.lit(x) for pair in PRIORITIES.items() for x in pair)), name)
 
 
-def disposition(urls: DataFrame, max_size: int = OPTIONS.queue_size, seen: DataFrame | None = None) -> DataFrame:
+def disposition(urls: DataFrame, max_size: int | None = OPTIONS.queue_size, seen: DataFrame | None = None) -> DataFrame:
     """urls (seq, url, allowed, ...) with `disposition`: added, duplicate, filtered or rejected_full.
 
     The same as offering the rows one by one in order of seq: a key is taken by
     its first allowed row; once max_size are taken the rest is rejected, but
     repeats of taken keys still count as duplicates, and a denied row is never
     marked as seen. seen: keys (`key`) taken before. The cut-off is a top-k, not
-    a global sort.
+    a global sort; None is no cut-off. urls are used more than once, so costly
+    ones should be written first.
     """
     keyed = urls.withColumn("__key", dedup_key(F.col("url")))
     first = keyed.where("allowed").groupBy("__key").agg(F.min("seq").alias("__first"))
     if seen is not None:
         first = first.join(seen.select(F.col("key").alias("__key")), "__key", "left_anti")
-    full = first.orderBy("__first").limit(max_size).agg(F.max("__first").alias("__last"), F.count("*").alias("__n"))
-    cutoff = F.when(F.col("__n") == max_size, F.col("__last")).otherwise(F.lit((1 << 63) - 1)) if max_size else F.lit(-1)
-    rows = keyed.join(first, "__key", "left").join(F.broadcast(full.select(cutoff.alias("__cutoff"))))  # one row
+    rows = keyed.join(first, "__key", "left")
+    if max_size is None:
+        rows = rows.withColumn("__cutoff", F.lit((1 << 63) - 1))
+    else:
+        full = first.orderBy("__first").limit(max_size).agg(F.max("__first").alias("__last"), F.count("*").alias("__n"))
+        cutoff = F.when(F.col("__n") == max_size, F.col("__last")).otherwise(F.lit((1 << 63) - 1)) if max_size else F.lit(-1)
+        rows = rows.join(F.broadcast(full.select(cutoff.alias("__cutoff"))))  # one row
     if seen is not None:
         rows = rows.join(seen.select(F.col("key").alias("__key"), F.lit(True).alias("__old")), "__key", "left")
     else:
@@ -83,7 +88,13 @@ def with_rank(added: DataFrame) -> DataFrame:
     return ranges.join(before.drop("__n"), ["priority", "__part"]).withColumn("rank", F.col("__before") + inside).drop("__part", "__before")
 
 
-def queue_stats(judged: DataFrame, max_size: int = OPTIONS.queue_size, popped: int = 0) -> DataFrame:
+def queue_counts() -> list[Column]:
+    """What became of the rows offered, as aggregates over rows with their disposition."""
+    n = lambda kind, name: F.count_if(F.col("disposition") == kind).alias(name)
+    return [n("added", "total_added"), n("filtered", "filtered_robots"), n("duplicate", "duplicates_skipped"), n("added", "seen_count")]
+
+
+def queue_stats(judged: DataFrame, max_size: int | None = OPTIONS.queue_size, popped: int = 0) -> DataFrame:
     """One row: what the queue holds and what became of the rows offered."""
-    n = lambda kind: F.count_if(F.col("disposition") == kind)
-    return judged.agg((n("added") - popped).alias("current_size"), F.lit(max_size).alias("max_size"), n("added").alias("total_added"), F.lit(popped).alias("total_processed"), n("filtered").alias("filtered_robots"), n("duplicate").alias("duplicates_skipped"), n("added").alias("seen_count"))
+    size = F.lit(max_size).cast("int").alias("max_size")
+    return judged.agg(*queue_counts()).select((F.col("total_added") - popped).alias("current_size"), size, "total_added", F.lit(popped).alias("total_processed"), "filtered_robots", "duplicates_skipped", "seen_count")

@@ -4,16 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import detect
 from ..functions.html import PAGE_SCHEMA, extract, page_record
 from ..options import OPTIONS
 from .flatten import clean_record
-from .frontier import disposition, queue_stats
+from ..functions.urls import storage_key
+from ..sources.shared import written
+from .frontier import disposition, queue_counts, queue_stats
 from .robots import can_fetch
-from .store import split_by_cache
+from .store import current
 
 # What browsers don't load.
 BLOCKED_DOMAINS = ["google-analytics.com", "googletagmanager.com", "facebook.com", "doubleclick.net", "analytics.", "tracker.", "ads."]
@@ -52,21 +54,31 @@ def process(urls: DataFrame, fetches: DataFrame, log: DataFrame | None = None, p
     fetches: url, status_code, content, response_time, error; rendered, if
     there, is what a browser gave. Held pages have status 0 and time 0.
     """
-    have = set(fetches.columns)
-    rendered = F.col("rendered") if "rendered" in have else F.lit(None).cast("string")
+    rendered = F.col("rendered") if "rendered" in fetches.columns else F.lit(None).cast("string")
+    rows = urls.select("url")
     if log is not None:
-        held, rest = split_by_cache(urls, log)
-        held = held.select("url", F.lit(True).alias("success"), F.lit(0).alias("status_code"), "content", F.lit(None).cast("string").alias("error"), F.lit(0.0).alias("response_time"), F.lit("cache").alias("route"))
+        kept = current(log).select(F.col("url_hash").alias("__key"), F.col("content").alias("__held"), F.lit(True).alias("__is_held"))
+        rows = rows.withColumn("__key", storage_key(F.col("url"))).join(kept, "__key", "left")
     else:
-        held, rest = None, urls
-    got = rest.select("url").join(fetches.select("url", "status_code", "content", "response_time", "error", rendered.alias("rendered")), "url", "left")
+        rows = rows.withColumns({"__held": F.lit(None).cast("string"), "__is_held": F.lit(None).cast("boolean")})
+    held = F.coalesce("__is_held", F.lit(False))
+    fetched = fetches.select(F.col("url").alias("__url"), "status_code", "content", "response_time", "error", rendered.alias("rendered"))
+    # Every row has its page and its fetch beside it, so that urls and the log are gone through once; held rows take no fetch.
+    got = rows.join(fetched, (F.col("url") == F.col("__url")) & ~held, "left")
     way = F.when(F.col("status_code").isNull(), "failed").otherwise(route(F.col("status_code"), F.col("error"), F.col("content")))
     got = got.withColumn("route", way)
-    ok = is_success(F.col("status_code"), F.col("error")) | ((F.col("route") == "browser") & F.col("rendered").isNotNull())
+    ok = F.coalesce(is_success(F.col("status_code"), F.col("error")) | ((F.col("route") == "browser") & F.col("rendered").isNotNull()), F.lit(False))
     body = F.when(F.col("route") == "browser", F.coalesce("rendered", "content")).otherwise(F.col("content"))
-    error = F.when(F.coalesce(ok, F.lit(False)), F.lit(None).cast("string")).otherwise(F.coalesce("error", F.concat(F.lit("HTTP "), F.col("status_code").cast("string")), F.lit("not fetched")))
-    got = got.select("url", F.coalesce(ok, F.lit(False)).alias("success"), F.coalesce("status_code", F.lit(0)).alias("status_code"), body.alias("content"), error.alias("error"), F.coalesce("response_time", F.lit(0.0)).alias("response_time"), "route")
-    both = got.unionByName(held) if held is not None else got
+    error = F.when(ok, F.lit(None).cast("string")).otherwise(F.coalesce("error", F.concat(F.lit("HTTP "), F.col("status_code").cast("string")), F.lit("not fetched")))
+    both = got.select(
+        "url",
+        (held | ok).alias("success"),
+        F.coalesce("status_code", F.lit(0)).alias("status_code"),
+        F.when(held, F.col("__held")).otherwise(body).alias("content"),
+        F.when(~held, error).alias("error"),
+        F.coalesce("response_time", F.lit(0.0)).alias("response_time"),
+        F.when(held, "cache").otherwise(F.col("route")).alias("route"),
+    )
     parsed = both.withColumn("data", F.when(F.col("success"), extract(F.when(F.col("success"), F.col("content")), parser, schema)))
     if clean:
         parsed = clean_record(parsed, [*parsed.select("data.*").columns, "data"])
@@ -78,34 +90,62 @@ def blocked_by_robots(urls: DataFrame) -> DataFrame:
     return urls.select("url", F.lit(False).alias("success"), F.lit(0).alias("status_code"), F.lit("Blocked by robots.txt").alias("error"), F.lit(0.0).alias("response_time"))
 
 
-def batch_run(urls: DataFrame, fetches: DataFrame, rules: DataFrame | None = None, *, log: DataFrame | None = None, seen: DataFrame | None = None, max_size: int = OPTIONS.queue_size, popped: int | None = None) -> tuple[DataFrame, DataFrame]:
+def _judged(urls: DataFrame, rules: DataFrame | None, max_size: int | None, seen: DataFrame | None) -> DataFrame:
+    """Each URL offered (seq, url) with its disposition. What robots rules say is written down, since the frontier looks at it more than once."""
+    offered = written(can_fetch(urls, rules).select("seq", "url", "allowed"), "offered") if rules is not None else urls.select("seq", "url", F.lit(True).alias("allowed"))
+    return disposition(offered, max_size, seen)
+
+
+def batch_run(urls: DataFrame, fetches: DataFrame, rules: DataFrame | None = None, *, log: DataFrame | None = None, seen: DataFrame | None = None, max_size: int | None = OPTIONS.queue_size, popped: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Results of the URLs (seq, url) that the frontier takes, and one row of queue statistics.
 
     URLs that robots rules deny, repeats and those beyond max_size are counted
     in the statistics and have no result. All that is taken is processed,
     unless popped says how many were.
     """
-    offered = can_fetch(urls, rules) if rules is not None else urls.withColumn("allowed", F.lit(True))
-    judged = disposition(offered.select("seq", "url", "allowed"), max_size, seen)
-    stats = queue_stats(judged, max_size)
+    judged = _judged(urls, rules, max_size, seen)
     if popped is None:
-        stats = stats.withColumns({"total_processed": F.col("total_added"), "current_size": F.lit(0).cast("long")})
+        stats = queue_stats(judged, max_size).withColumns({"total_processed": F.col("total_added"), "current_size": F.lit(0).cast("long")})
     else:
         stats = queue_stats(judged, max_size, popped)
     return process(judged.where("disposition = 'added'").select("url"), fetches, log), stats
 
 
+class RunMetrics:
+    """The statistics of a run, gathered while its results are read for the first time; all rows must be."""
+
+    def __init__(self):
+        self.of_queue, self.of_session = Observation(), Observation()
+
+    def queue(self) -> dict:
+        return self.of_queue.get
+
+    def session(self) -> dict:
+        return with_rates(self.of_session.get)
+
+
+def observed_run(urls: DataFrame, fetches: DataFrame, rules: DataFrame | None = None, *, log: DataFrame | None = None, seen: DataFrame | None = None, max_size: int | None = OPTIONS.queue_size) -> tuple[DataFrame, RunMetrics]:
+    """Like batch_run, with statistics that the job which exports the results gives as well.
+
+    The first action on the results gives the figures, so it must be the one that takes all rows.
+    """
+    metrics = RunMetrics()
+    judged = _judged(urls, rules, max_size, seen).observe(metrics.of_queue, *queue_counts())
+    results = process(judged.where("disposition = 'added'").select("url"), fetches, log)
+    return results.observe(metrics.of_session, *session_counts()), metrics
+
+
 def single_runs(urls: DataFrame, fetches: DataFrame, rules: DataFrame, log: DataFrame | None = None) -> DataFrame:
     """A result for each URL as if it were run alone: those that robots rules deny fail without a fetch."""
     judged = can_fetch(urls, rules)
     return process(judged.where("allowed").select("url"), fetches, log).unionByName(blocked_by_robots(judged.where("not allowed")), allowMissingColumns=True)
 
 
-def session_stats(results: DataFrame) -> DataFrame:
-    """One row: URLs processed, successes, bytes and characters, fetches by route; held pages count as neither route."""
+def session_counts() -> list[Column]:
+    """URLs processed, successes, bytes and characters, fetches by route, as aggregates over results; held pages count as neither route."""
     total, good = F.count("*"), F.count_if("success")
     fetched = F.col("success") & (F.col("route") != "cache")
-    return results.agg(
+    return [
         total.alias("urls_processed"),
         good.alias("urls_successful"),
         (total - good).alias("urls_failed"),
@@ -113,8 +153,19 @@ def session_stats(results: DataFrame) -> DataFrame:
         F.coalesce(F.sum(F.when(fetched, F.char_length("content"))), F.lit(0)).alias("chars_downloaded"),
         F.count_if(F.col("route") == "browser").alias("browser_fetches"),
         F.count_if(F.col("route") == "http").alias("http_fetches"),
-        F.when(total == 0, F.lit(0.0)).otherwise(good / total * 100).alias("success_rate"),
-    )
+    ]
+
+
+def with_rates(counts: dict) -> dict:
+    """Counts of a session with the share of successes in per cent."""
+    n = counts["urls_processed"]
+    return counts | {"success_rate": counts["urls_successful"] / n * 100 if n else 0.0}
+
+
+def session_stats(results: DataFrame) -> DataFrame:
+    """One row of them, with the share of successes."""
+    n = F.col("urls_processed")
+    return results.agg(*session_counts()).withColumn("success_rate", F.when(n == 0, F.lit(0.0)).otherwise(F.col("urls_successful") / n * 100))
 
 
 def combined_stats(results: DataFrame, queue: DataFrame, status: str = "completed") -> DataFrame:

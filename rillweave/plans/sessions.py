@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import frontier, limiter, robots, routing, store
 from ..operators.generations import PageStore
+from ..sources import exporters
 from ..sources.shared import fresh_path
 from . import crawl, site_profile
 from .tables import pages
@@ -17,7 +18,7 @@ def _rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _batch(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return routing.batch_run(crawl.offered(spark, sf_dir).select("seq", "url"), crawl._fetches(spark, sf_dir), _rules(spark, sf_dir), log=crawl._store_log(spark, sf_dir), max_size=crawl.CAPACITY)
+    return routing.batch_run(crawl.offered(spark, sf_dir).select("seq", "url"), crawl._fetches(spark, sf_dir), _rules(spark, sf_dir), log=crawl._store_log(spark, sf_dir), max_size=None)
 
 
 def batch_results(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +32,15 @@ def batch_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("session.urls_processed", "session.urls_successful", "session.urls_failed", "queue.total_added", "queue.total_processed", "queue.current_size", "queue.filtered_robots", "queue.duplicates_skipped", "status")
 
 
+def observed_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The results of the batch as they were exported, with what the same job observed."""
+    results, metrics = routing.observed_run(crawl.offered(spark, sf_dir).select("seq", "url"), crawl._fetches(spark, sf_dir), _rules(spark, sf_dir), log=crawl._store_log(spark, sf_dir), max_size=None)
+    path = exporters.to_jsonl(results.select("url", "success", "status_code", "error", "route"), fresh_path(spark, "observed"))
+    back = spark.read.schema("url string, success boolean, status_code int, error string, route string").json(path)
+    seen = {**metrics.session(), **metrics.queue()}
+    return back.select("*", *(F.lit(seen[c]).cast("long").alias(c) for c in ("urls_processed", "urls_successful", "bytes_downloaded", "browser_fetches", "total_added", "filtered_robots", "duplicates_skipped")))
+
+
 def single_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each page's URL on its own: denied ones fail with the reason."""
     got = routing.single_runs(pages(spark, sf_dir).select("url"), crawl._fetches(spark, sf_dir), _rules(spark, sf_dir))
@@ -156,7 +166,7 @@ def thin_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("page_id", routing.needs_browser(F.col("status_code"), F.col("error"), F.col("content")).alias("needs_browser"))
 
 
-QUERIES = {f.__name__: f for f in (batch_results, batch_stats, single_runs, allowed_urls, frontier_again, frontier_peek, named_priority, wait_times, strict_delays, limiter_report, random_choice, desktop_profiles, store_lookup, store_size, store_bootstrap, store_generations, store_point_reads, thin_pages)}
+QUERIES = {f.__name__: f for f in (batch_results, batch_stats, observed_export, single_runs, allowed_urls, frontier_again, frontier_peek, named_priority, wait_times, strict_delays, limiter_report, random_choice, desktop_profiles, store_lookup, store_size, store_bootstrap, store_generations, store_point_reads, thin_pages)}
 
 #: Rules of a host by the length of its name; only the spelling in lower case has rules.
 _ALLOWED = """CASE WHEN form = 1 THEN true WHEN length(host) % 5 = 0 THEN starts_with(path, '/en') WHEN length(host) % 5 = 2 THEN NOT (starts_with(path, '/fr') OR starts_with(path, '/es')) WHEN length(host) % 5 = 4 THEN false ELSE true END"""
@@ -164,7 +174,7 @@ _PATH = r"regexp_replace(url, '^[a-zA-Z]+://[^/?#]*', '')"
 _HOSTED = f"""hosted AS (SELECT page_id * 4 + form AS seq, CASE form WHEN 0 THEN url WHEN 1 THEN upper(url) WHEN 2 THEN url || '//' ELSE url || '?page=2' END AS url, form, page_id,
     {site_profile._DOMAIN} AS host, {_PATH} AS path FROM pages, unnest(generate_series(0, 3)) AS u(form)),
   offered AS (SELECT seq, url, page_id, form, {_ALLOWED} AS allowed FROM hosted)"""
-_JUDGED = crawl._OFFERED[crawl._OFFERED.index("keyed AS"):].format(n=crawl.CAPACITY)
+_JUDGED = crawl._OFFERED[crawl._OFFERED.index("keyed AS"):].format(n=(1 << 62))
 _SEEN = "SELECT key FROM judged WHERE disposition = 'added'"
 _RUN = f"""{_HOSTED}, {_JUDGED},
   run AS (SELECT j.url, j.page_id, j.form, j.form = 0 AND j.page_id % 10 <> 0 AS held, spa.html, CASE page_id % 11 WHEN 0 THEN 403 WHEN 1 THEN 429 WHEN 2 THEN 0 WHEN 3 THEN 500 ELSE 200 END AS status
@@ -188,6 +198,9 @@ ORACLE_SQL = {
     "batch_stats": f"""WITH {_SPA}, {_RUN}, q AS (SELECT count(*) FILTER (disposition = 'added') AS total_added, count(*) FILTER (disposition = 'filtered') AS filtered_robots, count(*) FILTER (disposition = 'duplicate') AS duplicates_skipped FROM judged)
         SELECT (SELECT count(*) FROM results) AS urls_processed, (SELECT count(*) FILTER (success) FROM results) AS urls_successful, (SELECT count(*) FILTER (NOT success) FROM results) AS urls_failed,
         total_added, total_added AS total_processed, 0::BIGINT AS current_size, filtered_robots, duplicates_skipped, 'completed' AS status FROM q""",
+    "observed_export": f"""WITH {_SPA}, {_RUN}, q AS (SELECT count(*) FILTER (disposition = 'added') AS total_added, count(*) FILTER (disposition = 'filtered') AS filtered_robots, count(*) FILTER (disposition = 'duplicate') AS duplicates_skipped FROM judged),
+        s AS (SELECT count(*) AS urls_processed, count(*) FILTER (success) AS urls_successful, coalesce(sum(strlen(r.html)) FILTER (success AND route <> 'cache'), 0)::BIGINT AS bytes_downloaded, count(*) FILTER (route = 'browser') AS browser_fetches FROM results JOIN run r USING (url))
+        SELECT results.*, s.*, q.* FROM results, s, q""",
     "single_runs": f"""WITH {_HOSTED}, f AS (SELECT url, allowed, CASE page_id % 11 WHEN 0 THEN 403 WHEN 1 THEN 429 WHEN 2 THEN 0 WHEN 3 THEN 500 ELSE 200 END AS status FROM offered WHERE form = 0)
         SELECT url, allowed AND status = 200 AS success, CASE WHEN allowed THEN status ELSE 0 END::INTEGER AS status_code, CASE WHEN NOT allowed THEN 'Blocked by robots.txt' WHEN status = 200 THEN NULL WHEN status = 0 THEN 'Request timed out' ELSE 'HTTP ' || status END AS error,
                CASE WHEN allowed THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS response_time FROM f""",

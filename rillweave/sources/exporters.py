@@ -14,7 +14,7 @@ import uuid
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.flatten import flatten, prepared
@@ -79,9 +79,12 @@ def to_json(df: DataFrame, path: str, indent: bool = True) -> str:
 
 def to_csv(df: DataFrame, path: str, delimiter: str = ",", include_headers: bool = True, flatten_nested: bool = True) -> str:
     """Flat columns in order of name; nulls are empty. No rows are an error."""
-    if df.isEmpty():
+    seen = Observation()
+    flatten(df, flatten_nested).observe(seen, F.count("*").alias("n")).write.mode("overwrite").option("sep", delimiter).option("header", include_headers).option("quote", '"').option("escape", '"').option("emptyValue", "").option("nullValue", "").csv(path)
+    if not seen.get["n"]:
+        system, place, _ = _system(df.sparkSession, path)
+        system.delete(place, True)
         raise ValueError("no data to export")
-    flatten(df, flatten_nested).write.mode("overwrite").option("sep", delimiter).option("header", include_headers).option("quote", '"').option("escape", '"').option("emptyValue", "").option("nullValue", "").csv(path)
     return path
 
 

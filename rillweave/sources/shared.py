@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def fresh_path(spark: SparkSession, kind: str) -> str:
@@ -20,3 +20,10 @@ def fresh_path(spark: SparkSession, kind: str) -> str:
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
     return path
+
+
+def written(df: DataFrame, kind: str) -> DataFrame:
+    """df, written once to the shared folder and read back: later uses don't compute it again, and need no executor that has held it."""
+    path = fresh_path(df.sparkSession, kind)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
