@@ -34,9 +34,12 @@ SCHEMA = "url string, url_hash string, filename string, content_type string, sto
 
 @dataclass(frozen=True)
 class Manifest:
+    """compacted: the first generation has each key once."""
+
     version: int
     n_buckets: int
     generations: tuple[str, ...] = ()
+    compacted: bool = False
 
 
 def bucket_of(key: Column, n_buckets: int) -> Column:
@@ -50,10 +53,10 @@ def in_buckets(rows: DataFrame, n_buckets: int) -> DataFrame:
 
 
 class PageStore:
-    """A store at a path on any file system that Spark writes to. n_buckets counts when the store is new."""
+    """A store at a path on any file system that Spark writes to. n_buckets counts when the store is new; task_bytes bounds what a task of a compaction reads."""
 
-    def __init__(self, spark: SparkSession, path: str, n_buckets: int = 256):
-        self.spark, self.path, self.n_buckets = spark, path.rstrip("/"), n_buckets
+    def __init__(self, spark: SparkSession, path: str, n_buckets: int = 256, task_bytes: int = 256 << 20):
+        self.spark, self.path, self.n_buckets, self.task_bytes = spark, path.rstrip("/"), n_buckets, task_bytes
         self._jvm = spark.sparkContext._jvm.org.apache.hadoop.fs
         self._conf = spark.sparkContext._jsc.hadoopConfiguration()
         self._system = self._jvm.Path(self.path).getFileSystem(self._conf)
@@ -82,7 +85,7 @@ class PageStore:
             found = json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
         finally:
             stream.close()
-        return Manifest(found["version"], found["n_buckets"], tuple(found["generations"]))
+        return Manifest(found["version"], found["n_buckets"], tuple(found["generations"]), found["compacted"])
 
     def _publish(self, manifest: Manifest) -> bool:
         """Whether this manifest became the one of its version; False if another writer was first."""
@@ -109,15 +112,16 @@ class PageStore:
             if self._publish(after):
                 return after
 
-    def _write(self, rows: DataFrame, n_buckets: int) -> str:
+    def _write(self, rows: DataFrame) -> str:
+        """A new generation of rows that lie by bucket."""
         name = f"gen={uuid.uuid4().hex}"
-        in_buckets(rows, n_buckets).write.partitionBy("bucket").parquet(f"{self.path}/data/{name}")
+        rows.write.partitionBy("bucket").parquet(f"{self.path}/data/{name}")
         return name
 
     # Changes
 
     def _append(self, rows: DataFrame) -> Manifest:
-        name = self._write(rows, self.manifest().n_buckets)
+        name = self._write(in_buckets(rows, self.manifest().n_buckets))
         return self._change(lambda m: replace(m, generations=(*m.generations, name)))
 
     def save(self, pages: DataFrame) -> Manifest:
@@ -137,22 +141,30 @@ class PageStore:
         before = self.manifest()
         if not before.generations:
             return before
-        rows = store.latest(self._rows(before), [*store.META, "content"])
+        # One exchange by bucket and slice of it serves the aggregate by key and the files.
+        slice_ = F.pmod(F.xxhash64("url_hash"), F.lit(self._slices(before))).cast("int")
+        dealt = self._rows(before).drop("gen").withColumn("slice", slice_).repartition("bucket", "slice")
+        rows = store.latest(dealt, [*store.META, "content"], by=["bucket", "slice"])
         if forget_deletes_before is not None:
             rows = rows.where((F.col("op") == "S") | (F.col("stored_at") >= forget_deletes_before))
-        name = self._write(rows, before.n_buckets)
+        name = self._write(rows.drop("slice").sortWithinPartitions("bucket", "url_hash"))
 
         def swap(now: Manifest) -> Manifest:
             if now.generations[: len(before.generations)] != before.generations:
                 raise RuntimeError("the store was compacted or cleared meanwhile")
-            return replace(now, generations=(name, *now.generations[len(before.generations) :]))
+            return replace(now, generations=(name, *now.generations[len(before.generations) :]), compacted=True)
 
         return self._change(swap)
 
+    def _slices(self, manifest: Manifest) -> int:
+        """Into how many parts a bucket goes, so that a task has no more than `task_bytes` of files."""
+        size = sum(self._system.getContentSummary(self._at("data", g)).getLength() for g in manifest.generations)
+        return max(1, -(-size // (manifest.n_buckets * self.task_bytes)))
+
     def clear(self) -> int:
         """Empty the store; how many pages it held."""
         n = self.list_all().count()
-        self._change(lambda m: replace(m, generations=()))
+        self._change(lambda m: replace(m, generations=(), compacted=False))
         return n
 
     def vacuum(self, keep: int = 1, older_than: float = 86_400.0) -> list[str]:
@@ -181,6 +193,13 @@ class PageStore:
         """The rows that count, of the latest version or an earlier one that vacuum has left."""
         return self._rows(self.manifest(version))
 
+    def current(self, version: int | None = None, content: bool = True) -> DataFrame:
+        """The pages held. Straight after a compaction each key is there once, and nothing is shuffled."""
+        now = self.manifest(version)
+        if now.compacted and len(now.generations) == 1:
+            return self._rows(now).where("op = 'S'").select(*store.META, *["content"] * content)
+        return store.current(self._rows(now), content)
+
     def _of(self, url: str) -> DataFrame:
         """The rows of a URL: a constant bucket, which prunes folders, and a constant key."""
         now, key = self.manifest(), storage_key(F.lit(url))
@@ -202,7 +221,7 @@ class PageStore:
         return asked.join(held.select(F.col("url_hash").alias("__key"), "content", "stored_at"), "__key").drop("__key", "__bucket")
 
     def list_all(self, version: int | None = None) -> DataFrame:
-        return store.current(self.log(version), content=False)
+        return self.current(version, content=False)
 
     def stats(self) -> DataFrame:
         return store.stats(self.log())

@@ -61,10 +61,17 @@ def snapshot(fetched: DataFrame, as_of: str, ttl_seconds: int = 3600) -> DataFra
     return fresh.groupBy("domain").agg(F.max_by(F.struct("status", "body"), "fetched_at").alias("r")).select("domain", "r.*")
 
 
-def rule_table(robots: DataFrame, agent: str = "*") -> DataFrame:
-    """domain, rules, crawl_delay and sitemaps from domain, status, body."""
-    parsed = robots.select("domain", body_by_status(F.col("status"), F.col("body")).alias("body")).select("domain", rules_of(agent)("body").alias("r"))
-    return parsed.select("domain", "r.rules", "r.crawl_delay", "r.sitemaps")
+def rule_table(robots: DataFrame, agent: str = "*", keep: list[str] | None = None) -> DataFrame:
+    """domain, rules, crawl_delay and sitemaps from domain, status, body, and columns to keep."""
+    keep = keep or []
+    parsed = robots.select("domain", *keep, body_by_status(F.col("status"), F.col("body")).alias("body")).select("domain", *keep, rules_of(agent)("body").alias("r"))
+    return parsed.select("domain", *keep, "r.rules", "r.crawl_delay", "r.sitemaps")
+
+
+def first_match(rules: Column, path: Column) -> Column:
+    """Whether the first rule whose path is a prefix allows; without one all is allowed."""
+    hit = F.filter(rules, lambda x: (x["path"] == "*") | F.startswith(path, x["path"]))
+    return F.coalesce(F.get(hit, F.lit(0))["allow"], F.lit(True))
 
 
 def can_fetch(urls: DataFrame, rules: DataFrame, url_col: str = "url") -> DataFrame:
@@ -76,8 +83,7 @@ def can_fetch(urls: DataFrame, rules: DataFrame, url_col: str = "url") -> DataFr
     """
     r = rules.select(F.col("domain").alias("__domain"), "rules", "crawl_delay")
     both = urls.withColumn("__at", domain(F.col(url_col))).withColumn("__path", match_path(F.col(url_col))).join(r, F.col("__at") == F.col("__domain"), "left")
-    hit = F.filter("rules", lambda x: (x["path"] == "*") | F.startswith(F.col("__path"), x["path"]))
-    return both.withColumn("allowed", F.coalesce(F.get(hit, F.lit(0))["allow"], F.lit(True))).drop("__at", "__path", "__domain", "rules")
+    return both.withColumn("allowed", first_match(F.col("rules"), F.col("__path"))).drop("__at", "__path", "__domain", "rules")
 
 
 def filter_urls(urls: DataFrame, rules: DataFrame, url_col: str = "url", respect: bool = True) -> DataFrame:

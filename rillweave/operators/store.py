@@ -29,15 +29,15 @@ def delete_rows(urls: DataFrame) -> DataFrame:
     return urls.select("url", storage_key(F.col("url")).alias("url_hash"), null("string").alias("filename"), null("string").alias("content_type"), F.col("stored_at").cast("double").alias("stored_at"), null("long").alias("size_bytes"), null("int").alias("status_code"), null("string").alias("content"), F.lit("D").alias("op"))
 
 
-def latest(log: DataFrame, fields: list[str]) -> DataFrame:
+def latest(log: DataFrame, fields: list[str], by: list[str] | None = None) -> DataFrame:
     """fields and op of the latest row of each key, deletes too; at equal times deletes come first, then the larger size.
 
-    An aggregate, not a window: partial maxima shrink a hot key before the shuffle.
+    by: columns that follow from the key, by which the rows may lie already. An aggregate, not a window: partial maxima shrink a hot key before the shuffle.
     """
     order = F.struct("stored_at", F.col("op") == "S", "size_bytes", "url")
     kept = [*dict.fromkeys([*fields, "url_hash", "op"])]
-    found = log.groupBy(F.col("url_hash").alias("__key")).agg(F.max_by(F.struct(*kept), order).alias("r"))
-    return found.select(*(F.col(f"r.{c}").alias(c) for c in kept))
+    found = log.groupBy(*(by or []), F.col("url_hash").alias("__key")).agg(F.max_by(F.struct(*kept), order).alias("r"))
+    return found.select(*(by or []), *(F.col(f"r.{c}").alias(c) for c in kept))
 
 
 def current(log: DataFrame, content: bool = True) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import urls
 from ..operators import frontier, limiter, robots, routing, store
+from ..sources.shared import fresh_path
+from ..streaming import robots as robots_states
 from . import site_profile
 from .tables import pages, spa_pages, table
 
@@ -73,6 +75,26 @@ def robots_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return robots.snapshot(fetched, "timestamp_seconds(1704074400)", 3600)
 
 
+def robots_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages' URLs asked for over four hours, as a stream beside robots rows that change every half hour and live for forty minutes."""
+    p = pages(spark, sf_dir).select("page_id", "url", urls.domain(F.col("url")).alias("domain"))
+    turns = p.select("domain").distinct().select("domain", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("turn"))
+    kind = (F.length("domain") + F.col("turn")) % 5
+    body = F.when(kind == 0, _BODIES[0]).when(kind == 1, _BODIES[1]).when(kind == 2, _BODIES[2])
+    second = lambda n: F.timestamp_seconds(F.lit(1_704_067_200) + n)
+    told = turns.select("domain", F.lit(None).cast("string").alias("url"), F.when(kind == 3, 404).when(kind == 4, 500).otherwise(200).alias("status"), body.alias("body"), second(F.col("turn") * 1800 + F.length("domain") * 60).alias("at"))
+    asked = p.select("domain", "url", F.lit(None).cast("int").alias("status"), F.lit(None).cast("string").alias("body"), second(F.col("page_id") * 37 % 14_400).alias("at"))
+    end = spark.range(1).select(F.lit("end").alias("domain"), F.lit(None).cast("string").alias("url"), F.lit(200).alias("status"), F.lit("").alias("body"), second(F.lit(1_000_000)).alias("at"))
+    told_in, out = fresh_path(spark, "asked"), fresh_path(spark, "judged")
+    told.unionByName(asked).unionByName(end).write.parquet(told_in)  # in no order at all
+    robots_states.state_in_rocksdb(spark)
+    read = spark.readStream.schema("domain string, url string, status int, body string, at timestamp").parquet(told_in)
+    events = robots_states.robots_events(read.where("url is null").withColumnRenamed("at", "fetched_at")).unionByName(robots_states.url_events(read.where("url is not null"), "at"))
+    judged = robots_states.rules_in_force(events, ttl_seconds=2400, delay="0 seconds", salts=2)
+    judged.writeStream.format("parquet").option("path", out).option("checkpointLocation", fresh_path(spark, "state")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(judged.schema).parquet(out).select("url", "allowed", "crawl_delay", F.unix_timestamp("fetched_at").alias("fetched"))
+
+
 def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     return e.select(F.col("user_id").cast("string").alias("domain"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("ts"), F.col("event_id").alias("seq"), "event_type", "value")
@@ -171,7 +193,7 @@ _ROUTES = f"""{site_profile._SPA}, f AS (SELECT page_id, html, (CASE page_id % 1
   r AS (SELECT page_id, html, status, CASE WHEN status = 200 AND {_QUICK} THEN 'browser' WHEN status = 200 THEN 'http' WHEN status IN (403, 429) THEN 'browser' ELSE 'failed' END AS route FROM f)"""
 _SEQ = "SELECT user_id::VARCHAR AS k, epoch_us(ts) / 1e6::DOUBLE AS t, event_id AS seq, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events"
 
-QUERIES = {f.__name__: f for f in (frontier_disposition, frontier_stats, frontier_order, frontier_seen, robots_filter, robots_snapshot, token_bucket, request_schedule, limiter_stats, proxy_health, proxy_pool_stats, round_robin, store_current, store_stats, cache_split, fetch_routes, session_stats, page_results, resource_blocking)}
+QUERIES = {f.__name__: f for f in (frontier_disposition, frontier_stats, frontier_order, frontier_seen, robots_filter, robots_snapshot, robots_stream, token_bucket, request_schedule, limiter_stats, proxy_health, proxy_pool_stats, round_robin, store_current, store_stats, cache_split, fetch_routes, session_stats, page_results, resource_blocking)}
 _HEALTH = f"""WITH RECURSIVE e AS ({_SEQ}), w AS (
       SELECT k, n, CASE WHEN seq % 3 = 0 THEN 0 ELSE 1 END AS fails, true AS healthy, CASE WHEN seq % 3 = 0 THEN seq % 11 / 4.0::DOUBLE ELSE 0.0::DOUBLE END AS a, CASE WHEN seq % 3 = 0 THEN 1 ELSE 0 END AS good FROM e WHERE n = 1
       UNION ALL
@@ -193,6 +215,11 @@ ORACLE_SQL = {
         f AS (SELECT domain, turn, 1704067200 + turn * 1800 + length(domain) * 60 AS fetched FROM h, unnest(generate_series(0, 4)) AS u(turn)),
         r AS (SELECT domain, max(turn) AS turn FROM f WHERE fetched <= 1704074400 AND fetched > 1704074400 - 3600 GROUP BY domain)
         SELECT domain, (turn + 200)::INTEGER AS status, 'b' || turn AS body FROM r""",
+    "robots_stream": rf"""WITH p AS (SELECT url, {site_profile._DOMAIN} AS host, regexp_replace(url, '^[a-zA-Z]+://[^/?#]*', '') AS path, 1704067200 + page_id * 37 % 14400 AS asked FROM pages),
+        t AS (SELECT host, turn, (length(host) + turn) % 5 AS kind, 1704067200 + turn * 1800 + length(host) * 60 AS fetched FROM (SELECT DISTINCT host FROM p), unnest(generate_series(0, 4)) AS u(turn)),
+        j AS (SELECT p.*, (SELECT max(fetched) FROM t WHERE t.host = p.host AND fetched <= asked AND fetched > asked - 2400) AS last FROM p)
+        SELECT url, CASE kind WHEN 0 THEN starts_with(path, '/en') WHEN 2 THEN NOT (starts_with(path, '/fr') OR starts_with(path, '/es')) WHEN 4 THEN false ELSE true END AS allowed, CASE WHEN kind = 2 THEN 3.0::DOUBLE END AS crawl_delay, last AS fetched
+        FROM j LEFT JOIN t ON t.host = j.host AND t.fetched = j.last""",
     "token_bucket": f"""WITH RECURSIVE e AS ({_SEQ}), w AS (
           SELECT k, n, seq, t, 1.0::DOUBLE AS tokens, true AS admitted FROM e WHERE n = 1
           UNION ALL

@@ -87,10 +87,10 @@ def _shards(spark: SparkSession, sf_dir: str) -> str:
     return path
 
 
-def shard_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages read through the page source, those of one scheme, which the source picks; by host."""
+def shard_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages read through the page source, those of one scheme, which the source picks."""
     got = spark.read.format("page_shards").option("path", _shards(spark, sf_dir)).load().where("startswith(url, 'https://')")
-    return got.groupBy("host").agg(F.count("*").alias("n_pages"), F.sum(F.octet_length("html")).cast("long").alias("n_bytes"))
+    return got.select("url", "host", F.octet_length("html").cast("long").alias("n_bytes"), F.md5("html").alias("html_md5"))
 
 
 def shard_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,7 +108,7 @@ def column_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("c_custkey", "at", kinds.alias("kinds"))
 
 
-QUERIES = {f.__name__: f for f in (url_list, proxy_list, json_export, jsonl_export, csv_export, sqlite_export, sqlite_shards, shard_hosts, shard_stream, column_types)}
+QUERIES = {f.__name__: f for f in (url_list, proxy_list, json_export, jsonl_export, csv_export, sqlite_export, sqlite_shards, shard_pages, shard_stream, column_types)}
 
 _HOST = "regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.\\-]*:)?//([^/?#]*)', 1)"
 _R = """r AS (SELECT c_custkey, c_name AS name, CASE c_custkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 'say "hi", é' WHEN 2 THEN 'a;b' ELSE 'x y' END AS note, c_custkey % 2 = 0 AS even, c_nationkey AS nation, c_mktsegment AS segment FROM customer)"""
@@ -121,7 +121,7 @@ ORACLE_SQL = {
     "csv_export": f"WITH {_R} SELECT nation AS at_nation, segment AS at_segment, c_custkey, even, name, note FROM r",
     "sqlite_export": f"WITH {_R} SELECT c_custkey, name, note, even::BIGINT AS even, {_AT} AS at FROM r",
     "sqlite_shards": "SELECT o_orderkey, o_totalprice::DECIMAL(12,2) AS price, o_orderdate::DATE AS day, o_orderdate::TIMESTAMPTZ AS at, o_orderkey % 2 = 0 AS even, 'n ' || o_orderkey AS note FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey > 100",
-    "shard_hosts": f"SELECT {_HOST} AS host, count(*) AS n_pages, sum(strlen(html))::BIGINT AS n_bytes FROM pages WHERE starts_with(url, 'https://') GROUP BY 1",
+    "shard_pages": f"SELECT url, {_HOST} AS host, strlen(html)::BIGINT AS n_bytes, md5(html) AS html_md5 FROM pages WHERE starts_with(url, 'https://')",
     "shard_stream": f"SELECT page_id, {_HOST} AS host FROM pages",
     "column_types": f"WITH {_R} SELECT c_custkey, {_AT} AS at, 'c_custkey:INTEGER|name:TEXT|note:TEXT|even:INTEGER|at:TEXT' AS kinds FROM r",
 }

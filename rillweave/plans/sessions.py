@@ -151,7 +151,7 @@ def store_generations(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = _kept_store(spark, sf_dir)
     held.compact()
     held.vacuum(older_than=0)
-    return store.current(held.log()).select("url", "url_hash", "stored_at", "size_bytes", F.md5("content").alias("content_md5"))
+    return held.current().select("url", "url_hash", "stored_at", "size_bytes", F.md5("content").alias("content_md5"))
 
 
 def store_point_reads(spark: SparkSession, sf_dir: str) -> DataFrame:

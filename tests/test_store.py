@@ -25,7 +25,9 @@ def urls(spark, *rows):
 
 
 def content(held, version=None):
-    return {r.url: r.content for r in store.current(held.log(version)).collect()}
+    found = {r.url: r.content for r in held.current(version).collect()}
+    assert found == {r.url: r.content for r in store.current(held.log(version)).collect()}
+    return found
 
 
 def test_a_history_reads_the_same_before_and_after_compaction(spark, held):
@@ -48,6 +50,20 @@ def test_a_history_reads_the_same_before_and_after_compaction(spark, held):
     assert held.list_all().count() == held.stats().first().total_files == len(content(held))
 
 
+def test_compaction_has_one_exchange_and_slices_large_buckets(spark, tmp_path):
+    held = PageStore(spark, f"file://{tmp_path}/store", n_buckets=4, task_bytes=2000)
+    rows = [(f"u{i % 150}", "x" * (i % 50), float(i)) for i in range(300)]
+    held.save(pages(spark, *rows[:150]))
+    held.save(pages(spark, *rows[150:]))
+    assert held._slices(held.manifest()) > 1
+    held.compact()
+    assert len(content(held)) == 150 and held.manifest().compacted
+    plan = held.current()._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    held.save(pages(spark, ("u1", "newer", 1e9)))
+    assert content(held)["u1"] == "newer" and len(content(held)) == 150
+
+
 def test_nothing_is_lost_when_a_step_breaks_off(spark, held, monkeypatch):
     held.save(pages(spark, ("a", "1", 1.0), ("b", "1", 1.0)))
     held.save(pages(spark, ("a", "2", 2.0)))
@@ -72,8 +88,8 @@ def test_a_writer_that_comes_between_is_kept(spark, held, tmp_path, monkeypatch)
     held.save(pages(spark, ("a", "1", 1.0)))
     write = PageStore._write
 
-    def slow(self, rows, n):
-        name = write(self, rows, n)
+    def slow(self, rows):
+        name = write(self, rows)
         monkeypatch.setattr(PageStore, "_write", write)
         other.save(pages(spark, ("b", "2", 2.0)))
         return name
@@ -82,8 +98,8 @@ def test_a_writer_that_comes_between_is_kept(spark, held, tmp_path, monkeypatch)
     held.compact()
     assert content(held) == {"a": "1", "b": "2"} and len(held.manifest().generations) == 2 and held.manifest().n_buckets == 8
 
-    def slow_again(self, rows, n):
-        name = write(self, rows, n)
+    def slow_again(self, rows):
+        name = write(self, rows)
         monkeypatch.setattr(PageStore, "_write", write)
         other.compact()
         return name
