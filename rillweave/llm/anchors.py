@@ -7,13 +7,15 @@ repeat where anchors do. Neighbouring windows with one anchor form a run, and
 the units that a run's windows cover are its context.
 
 1. Runs are dealt by anchor, as hashes and places of 40 bytes, and those of
-   anchors found once are dropped. Anchors that a sample shows to be very common
-   are kept without a look and dealt in salted parts.
-2. Runs left are grouped by anchor and digest of the context. One run of each
-   group sends its context, by anchor, to the exact check (suffix order, phrase
-   automata), with a note whether the context is found again elsewhere. The
-   check alone decides which windows repeat; runs with equal contexts share
-   what it decides for their context.
+   anchors found once are dropped; a task holds one row of an anchor at a time.
+   Anchors that a sample shows to be very common are kept without a look and
+   dealt in salted parts.
+2. Runs left are grouped by anchor and digest of the context. Two runs of each
+   group, if there are two, send their contexts, by anchor, to the exact check
+   (suffix order, phrase automata), which compares their bytes: that a digest
+   is found twice makes nothing go. The check alone decides which windows
+   repeat; further runs of a group (same anchor, same 64-bit digest) share what
+   it decides for the first two.
 3. An anchor with too many different contexts for a task is split by content:
    of the units that its windows have beside the anchor, a window has half or
    more on one side, so the anchor grows by half of them to the left or to the
@@ -22,7 +24,7 @@ the units that a run's windows cover are its context.
    the same at every size.
 
 Nothing here has a size that the input could outgrow: no filter, no broadcast
-but that of the common anchors (at most 1,000).
+but that of the common anchors (at most 131,072 numbers).
 """
 
 from __future__ import annotations
@@ -154,10 +156,12 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.astype(np.uint64).view(np.int64))
 
 
-#: Groups, each a list of (context, n_windows, anchor, again) by anchor in order of first place; anchor: where in the context it is; again: the context is found at later places too. Gives the spans to take from each context: (number, start, end, later), later being true for the context's later places, false for its first, None for both.
-Check = Callable[[list[list[tuple[bytes, int, int, bool]]], Units], Iterator[tuple[int, int, int, bool | None]]]
+#: Groups, each a list of (context, n_windows, anchor, other) by anchor in order of first place; anchor: where in the context it is; other: what stands at another place whose context has the same digest, None if there is none. Gives the spans to take from each context: (number, start, end, later), later being true for the context's later places, false for its first, None for both.
+Check = Callable[[list[list[tuple[bytes, int, int, bytes | None]]], Units], Iterator[tuple[int, int, int, bool | None]]]
 SPANS = "array<struct<start: int, end: int>>"
-_SALTS, _COMMON, _SAMPLE = 256, 1e-3, 0.02
+_SALTS, _SAMPLE = 256, 0.02
+#: An anchor is common from this share of all runs on, or from so many runs.
+_COMMON, _MANY, _MOST_COMMON = 1e-3, 1 << 20, 1 << 17
 
 
 def stored(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -180,8 +184,39 @@ def _kind(rows: DataFrame) -> str:
     return rows.schema["id"].dataType.simpleString()
 
 
+def found_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """batches: rows in order of a and c. One row waits at most: the first of an anchor, until the next row says whether there is another."""
+    names = ["a", "c", "id", "rid", "at"]
+    waiting, last_a, last_c, in_a, in_c = None, None, None, 0, 0  # how many rows of the last anchor and of its last context were there
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        a, c, salt = (batch.column(x).to_numpy() for x in ("a", "c", "salt"))
+        new_a = np.r_[a[0] != last_a, a[1:] != a[:-1]]
+        new_c = new_a | np.r_[c[0] != last_c, c[1:] != c[:-1]]
+
+        def ranks(new: np.ndarray, before: int) -> np.ndarray:
+            """The number of each row in its group, from 0; before: of the group that goes on from the last batch."""
+            starts = np.flatnonzero(new)
+            base = np.r_[-before, starts]
+            return np.arange(len(new)) - base[np.cumsum(new)]
+
+        a_rank, c_rank = ranks(new_a, in_a), ranks(new_c, in_c)
+        others = (a_rank > 0) | np.r_[a_rank[1:] > 0, False]  # the next row is of the same anchor
+        if waiting is not None and a_rank[0] > 0:
+            yield waiting
+        waiting = None
+        out = pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array((c_rank < 2).astype(np.int64))], [*names, "m"])
+        keep = others | (salt > 0)
+        if not keep[-1]:
+            waiting = out.slice(len(a) - 1)
+        yield out.filter(pa.array(keep))
+        last_a, last_c, in_a, in_c = a[-1], c[-1], int(a_rank[-1]) + 1, int(c_rank[-1]) + 1
+
+
 def _runs(rows: DataFrame, units: Units, in_order: bool) -> DataFrame:
-    """a, c, id, rid, at of runs whose anchor is found again, and m: on one row of each anchor and context digest of a part (in_order: the first by place) the number of its rows, else 0."""
+    """a, c, id, rid, at of runs whose anchor is found again, and m: 1 on two rows of each anchor and context digest of a part (in_order: the first by place is one), if there are two, else 0."""
     kind, sc = _kind(rows), rows.sparkSession.sparkContext
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,7 +226,7 @@ def _runs(rows: DataFrame, units: Units, in_order: bool) -> DataFrame:
 
     seen = cut(rows.select("text").sample(_SAMPLE, 5).mapInArrow(anchors, "a long").groupBy("a").count().where("count >= 100"), "anchors")
     total = seen.agg(F.sum("count")).first()[0] or 0
-    common = np.array(sorted(r.a for r in seen.where(F.col("count") >= _COMMON * total).orderBy(F.desc("count")).limit(1000).collect()), np.int64)
+    common = np.array(sorted(r.a for r in seen.where(F.col("count") >= min(_COMMON * total, _MANY * _SAMPLE)).orderBy(F.desc("count")).limit(_MOST_COMMON).collect()), np.int64)
     shared = sc.broadcast(common)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,39 +241,11 @@ def _runs(rows: DataFrame, units: Units, in_order: bool) -> DataFrame:
                 salt = np.where(np.isin(a, shared.value), 1 + (mixed(mixed(rid[which].astype(np.uint64)) ^ at.astype(np.uint64)) % np.uint64(_SALTS)).astype(np.int64), 0)
                 yield pa.RecordBatch.from_arrays([pa.array(a), _signed(c), batch.column(1).take(pa.array(which)), pa.array(rid[which]), pa.array(at), pa.array(salt)], ["a", "c", "id", "rid", "at", "salt"])
 
-    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """batches: rows in order of a and c; the last anchor and its last context wait for the next batch."""
-        held: list[pa.RecordBatch] = []
-
-        def out(table: pa.Table) -> pa.RecordBatch:
-            a, c, salt = (table[x].to_numpy() for x in ("a", "c", "salt"))
-            new_a = np.r_[True, a[1:] != a[:-1]]
-            starts = np.flatnonzero(new_a | np.r_[True, c[1:] != c[:-1]])
-            m = np.zeros(len(a), np.int64)
-            m[starts] = np.diff(np.r_[starts, len(a)])
-            keep = np.flatnonzero((np.bincount(np.cumsum(new_a) - 1)[np.cumsum(new_a) - 1] > 1) | (salt > 0))
-            return table.select(["a", "c", "id", "rid", "at"]).append_column("m", pa.array(m)).take(pa.array(keep)).combine_chunks()
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(batch)
-            first, last = held[0].column(0)[0].as_py(), batch.column(0)[-1].as_py()
-            if first == last and (held[0].column(5)[0].as_py() == 0 or len(held) < 64):
-                continue  # one anchor so far
-            table = pa.Table.from_batches(held)
-            a = table["a"].to_numpy()
-            whole = len(a) if first == last else int(np.searchsorted(a, last))
-            yield from out(table.slice(0, whole)).to_batches()
-            held = table.slice(whole).combine_chunks().to_batches()
-        if held:
-            yield from out(pa.Table.from_batches(held)).to_batches()
-
     # Ids matter for the order of places only.
     ids = F.col("id") if in_order else F.lit(None).cast(kind).alias("id")
     found = rows.select("rid", ids, "text").mapInArrow(find, f"a long, c long, id {kind}, rid long, at long, salt long")
     dealt = found.repartition("a", "salt").sortWithinPartitions("a", "c", *(_place() if in_order else []))
-    return dealt.mapInArrow(again, f"a long, c long, id {kind}, rid long, at long, m long")
+    return dealt.mapInArrow(found_again, f"a long, c long, id {kind}, rid long, at long, m long")
 
 
 def _same_row() -> Column:
@@ -246,27 +253,27 @@ def _same_row() -> Column:
 
 
 def _sent(rows: DataFrame, senders: DataFrame, units: Units) -> DataFrame:
-    """senders (a, c, m, id, rid, at) with the contexts that they name."""
+    """senders (a, c, second, id, rid, at) with the contexts that they name."""
     kind = _kind(rows)
-    each = senders.select(_pid("rid").alias("__pid"), F.col("rid").alias("__rid"), F.struct("a", "c", "m", "id", "at").alias("run"))
+    each = senders.select(_pid("rid").alias("__pid"), F.col("rid").alias("__rid"), F.struct("a", "c", "second", "id", "at").alias("run"))
     by_row = by_pid(each, "__pid").groupBy("__pid", "__rid").agg(F.collect_list("run").alias("runs"))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
             runs = batch.column(2)
             which = np.repeat(np.arange(batch.num_rows), np.diff(runs.offsets.to_numpy()))
-            a, c, m, ids, at = runs.flatten().flatten()
+            a, c, second, ids, at = runs.flatten().flatten()
             docs: list[Parsed | None] = [Parsed(t, units) for t in as_bytes(batch.column(1))]
             where = at.to_numpy()
             content = [docs[d].content(x >> 32, (x >> 32) + (x & 0xFFFF) - 1 + units.window) for d, x in zip(which.tolist(), where.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([a, c, m, ids, batch.column(0).take(pa.array(which)), at, pa.array(content, pa.binary())], ["a", "c", "m", "id", "rid", "at", "content"])
+            yield pa.RecordBatch.from_arrays([a, c, second, ids, batch.column(0).take(pa.array(which)), at, pa.array(content, pa.binary())], ["a", "c", "second", "id", "rid", "at", "content"])
 
     joined = rows.join(by_row.hint("shuffle_hash"), _same_row()).select("rid", "text", "runs")
-    return joined.mapInArrow(send, f"a long, c long, m long, id {kind}, rid long, at long, content binary")
+    return joined.mapInArrow(send, f"a long, c long, second boolean, id {kind}, rid long, at long, content binary")
 
 
 def _decided(sent: DataFrame, units: Units, check: Check, batch_bytes: int) -> DataFrame:
-    """a, c, s, t: the spans to take from a context at its first place and at later ones; sent has a row for each a and c."""
+    """a, c, s, t: the spans to take from a context at its first place and at later ones; sent has a row for each a and c, and a second one if it is found again."""
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, groups, size, last = [], [], 0, None
@@ -281,21 +288,26 @@ def _decided(sent: DataFrame, units: Units, check: Check, batch_bytes: int) -> D
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
             yield pa.RecordBatch.from_arrays([pa.array([keys[i][0] for i in full], pa.int64()), pa.array([keys[i][1] for i in full], pa.int64()), pa.array([first[i] for i in full], kind), pa.array([later[i] for i in full], kind)], ["a", "c", "s", "t"])
 
+        place = {}
         for batch in batches:
-            for a, c, m, at, content in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            for a, c, second, at, content in zip(*(x.to_pylist() for x in batch.columns), strict=True):
                 if a != last:
                     if size >= batch_bytes:
                         yield from out()
                         keys, groups, size = [], [], 0
-                    last = a
+                    last, place = a, {}
                     groups.append([])
-                keys.append((a, c))
-                groups[-1].append((content, at & 0xFFFF, at >> 16 & 0xFFFF, m > 1))
+                if second:
+                    groups[-1][place[c]][3] = content
+                else:
+                    place[c] = len(groups[-1])
+                    keys.append((a, c))
+                    groups[-1].append([content, at & 0xFFFF, at >> 16 & 0xFFFF, None])
                 size += len(content)
         if groups:
             yield from out()
 
-    dealt = sent.repartition("a").sortWithinPartitions("a", *_place()).select("a", "c", "m", "at", "content")
+    dealt = sent.repartition("a").sortWithinPartitions("a", "second", *_place()).select("a", "c", "second", "at", "content")
     return dealt.mapInArrow(exact, f"a long, c long, s {SPANS}, t {SPANS}")
 
 
@@ -325,17 +337,24 @@ def _split(sent: DataFrame, units: Units) -> DataFrame:
                     content = parsed.content(start, start + count - 1 + units.window)
                     a = xxhash.xxh3_64_intdigest(parsed.content(start + lo, start + hi), seed=1 + (hi - lo)) - (1 << 63)
                     c = xxhash.xxh3_64_intdigest(content, seed=7) - (1 << 63)
-                    rows.append({"a": a, "c": c, "m": row["m"], "id": row["id"], "rid": row["rid"], "at": packed((row["at"] >> 32) + start, lo, count), "content": content, "wide": hi - lo, "pa": row["a"], "pc": row["c"], "shift": start})
+                    rows.append({"a": a, "c": c, "m": 1, "second": row["second"], "id": row["id"], "rid": row["rid"], "at": packed((row["at"] >> 32) + start, lo, count), "content": content, "wide": hi - lo, "pa": row["a"], "pc": row["c"], "shift": start})
             yield pa.RecordBatch.from_pylist(rows, schema)
 
     kind = sent.schema["id"].dataType.simpleString()
-    schema = pa.schema([("a", pa.int64()), ("c", pa.int64()), ("m", pa.int64()), ("id", to_arrow_type(sent.schema["id"].dataType)), ("rid", pa.int64()), ("at", pa.int64()), ("content", pa.binary()), ("wide", pa.int32()), ("pa", pa.int64()), ("pc", pa.int64()), ("shift", pa.int32())])
-    return sent.mapInArrow(halves, f"a long, c long, m long, id {kind}, rid long, at long, content binary, wide int, pa long, pc long, shift int")
+    schema = pa.schema([("a", pa.int64()), ("c", pa.int64()), ("m", pa.int64()), ("second", pa.bool_()), ("id", to_arrow_type(sent.schema["id"].dataType)), ("rid", pa.int64()), ("at", pa.int64()), ("content", pa.binary()), ("wide", pa.int32()), ("pa", pa.int64()), ("pc", pa.int64()), ("shift", pa.int32())])
+    return sent.mapInArrow(halves, f"a long, c long, m long, second boolean, id {kind}, rid long, at long, content binary, wide int, pa long, pc long, shift int")
 
 
 def _contexts(runs: DataFrame) -> DataFrame:
-    """a, c, m (number of places) and the first place of runs with m > 0."""
-    return runs.where("m > 0").groupBy("a", "c").agg(F.sum("m").alias("m"), F.min(F.struct(*_place())).alias("first"))
+    """a, c, n (how many marked places), the first and another place of runs, the same if there is one only."""
+    place = F.struct(*_place())
+    return runs.where("m > 0").groupBy("a", "c").agg(F.count("*").alias("n"), F.min(place).alias("first"), F.max(place).alias("other"))
+
+
+def _both() -> Column:
+    """The first place of a context and the other one, if there is one, as senders."""
+    send = lambda at, second: F.struct(F.lit(second).alias("second"), *(F.col(f"{at}.{c}").alias(c) for c in ("id", "rid", "at")))
+    return F.inline(F.when(F.col("n") > 1, F.array(send("first", False), send("other", True))).otherwise(F.array(send("first", False))))
 
 
 def _decisions(sent: DataFrame, contexts: DataFrame, units: Units, check: Check, hot: int, batch_bytes: int) -> DataFrame:
@@ -347,13 +366,16 @@ def _decisions(sent: DataFrame, contexts: DataFrame, units: Units, check: Check,
     few = _decided(sent.join(crowded, "a", "left_anti"), units, check, batch_bytes)
     parts = cut(_split(sent.join(crowded, "a", "left_semi"), units), "parts")
     own = cut(_contexts(parts), "contexts")
-    several = cut(own.groupBy("a").agg(F.sum("m").alias("total")).where("total > 1").select("a"), "several")
+    several = cut(own.groupBy("a").agg(F.sum("n").alias("total")).where("total > 1").select("a"), "several")
     own = own.join(several, "a", "left_semi")
-    firsts = own.select(F.col("a").alias("fa"), F.col("c").alias("fc"), F.col("m").alias("fm"), "first")
-    matched = parts.join(firsts, (F.col("a") == F.col("fa")) & (F.col("c") == F.col("fc"))).withColumn("is_first", F.struct(*_place()).eqNullSafe(F.col("first")))
-    matched = cut(matched.drop("fa", "fc", "first"), "matched")
-    reps = matched.where("is_first").select("a", "c", F.col("fm").alias("m"), "id", "rid", "at", "content", "wide")
+    ends = own.select(F.col("a").alias("fa"), F.col("c").alias("fc"), "n", "first", "other")
+    here = F.struct(*_place())
+    matched = parts.join(ends, (F.col("a") == F.col("fa")) & (F.col("c") == F.col("fc")))
+    matched = matched.withColumns({"is_first": here.eqNullSafe(F.col("first")), "is_other": (F.col("n") > 1) & here.eqNullSafe(F.col("other"))})
+    matched = cut(matched.drop("fa", "fc", "n", "first", "other"), "matched")
+    reps = matched.where("is_first or is_other").select("a", "c", F.col("is_other").alias("second"), "id", "rid", "at", "content", "wide")
     deeper = cut(_decisions(reps, own, units, check, hot, batch_bytes), "deeper")
+    matched = matched.where("not second")  # a parent's spans come from its first place
     moved = lambda spans: F.transform(spans, lambda x: F.struct((x["start"] + F.col("shift")).alias("start"), (x["end"] + F.col("shift")).alias("end")))
     back = matched.select("a", "c", "pa", "pc", "shift", "is_first").join(deeper, ["a", "c"]).select("pa", "pc", moved(F.when(F.col("is_first"), F.col("s")).otherwise(F.col("t"))).alias("s"), moved(F.col("t")).alias("t"))
     back = back.groupBy(F.col("pa").alias("a"), F.col("pc").alias("c")).agg(F.flatten(F.collect_list("s")).alias("s"), F.flatten(F.collect_list("t")).alias("t"))
@@ -368,8 +390,7 @@ def repeated_spans(rows: DataFrame, units: Units, check: Check, *, keep_first: b
     """
     mine = cut(_runs(rows, units, keep_first), "runs")
     contexts = cut(_contexts(mine), "contexts")
-    senders = contexts.select("a", "c", "m", "first.id", "first.rid", "first.at")
-    sent = _sent(rows, senders, units).withColumn("wide", F.lit(None).cast("int"))
+    sent = _sent(rows, contexts.select("a", "c", _both()), units).withColumn("wide", F.lit(None).cast("int"))
     decided = _decisions(sent, contexts, units, check, hot, batch_bytes)
     if keep_first:
         decided = decided.join(contexts.select("a", "c", "first"), ["a", "c"])

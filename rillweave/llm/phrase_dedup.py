@@ -6,7 +6,9 @@ confirmed and joined to the longest passages that consist of such windows; the
 passages are compiled to an Aho-Corasick automaton over word numbers, and all
 contexts of the shard stream through it, which finds each occurrence of each
 passage. A document's other parts hold no anchor of a passage, and equal
-contexts need to stream once. Nothing but the automata decides which words go.
+contexts need to stream once. Windows are counted in words as they stand, for a
+context whose digest is found again at two of its places; further places of the
+digest go the way of these two. The automata decide which words go.
 """
 
 from __future__ import annotations
@@ -22,14 +24,11 @@ from .anchors import Units, merged, repeated_spans, stored, with_spans
 from .common import as_bytes, small
 
 
-def passages(contexts: list[tuple[tuple[int, ...], bool]], window: int) -> set[tuple[int, ...]]:
-    """The longest runs of words, within contexts, all of whose windows start at two places or more; a context with true is found at two places itself."""
-    times = Counter(c[i : i + window] for c, _ in contexts for i in range(len(c) - window + 1))
+def passages(contexts: list[tuple[tuple[int, ...], tuple[int, ...] | None]], window: int) -> set[tuple[int, ...]]:
+    """The longest runs of words, within contexts, all of whose windows start at two places or more; beside a context what stands at another place, if anything."""
+    times = Counter(c[i : i + window] for both in contexts for c in both if c for i in range(len(c) - window + 1))
     found = set()
-    for c, again in contexts:
-        if again:
-            found.add(c)
-            continue
+    for c, _ in contexts:
         start = None
         for i in range(len(c) - window + 2):
             twice = i <= len(c) - window and times[c[i : i + window]] > 1
@@ -49,9 +48,14 @@ def automaton(patterns: set[tuple[int, ...]]) -> ahocorasick.Automaton:
     return out
 
 
-def _check(groups: list[list[tuple[bytes, int, int, bool]]], units: Units) -> Iterator[tuple[int, int, int, None]]:
+def _check(groups: list[list[tuple[bytes, int, int, bytes | None]]], units: Units) -> Iterator[tuple[int, int, int, None]]:
     numbers: dict[bytes, int] = {}
-    contexts = [(tuple(numbers.setdefault(w, len(numbers)) for w in c.split(b" ")), again) for g in groups for c, _, _, again in g]
+    numbered = lambda c: tuple(numbers.setdefault(w, len(numbers)) for w in c.split(b" "))
+    contexts = []
+    for g in groups:
+        for c, _, _, other in g:
+            own = numbered(c)
+            contexts.append((own, None if other is None else own if other == c else numbered(other)))
     patterns = passages(contexts, units.window)
     if not patterns:
         return

@@ -5,8 +5,10 @@ equal strings have at equal places. Aligned at the anchor, the suffixes of all
 its surroundings are put in suffix order, column by column from right to left.
 In suffix order the previous and the next suffix of a smaller position give the
 longest earlier match of each place; mirrored, they give the longest later one.
-Nothing else decides which bytes go: a byte is removed when a string of the
-full length that covers it has such a match.
+A byte is removed when a string of the full length that covers it has such a
+match. Surroundings whose digest is found again are there twice, as they stand
+at two places, so that suffix order finds them equal or not; further places of
+the same digest go the way of these two.
 """
 
 from __future__ import annotations
@@ -120,15 +122,15 @@ def factors_of_depth(strings: list[bytes], group: np.ndarray, align: np.ndarray,
 
 
 def _check(keep_first: bool):
-    """Longest previous factors over the contexts of each anchor in order of first place, those found again once more at the end; without keep_first the longest later ones too."""
+    """Longest previous factors over the contexts of each anchor in order of first place, and at the end over what stands at other places of those found again; without keep_first the longest later ones too."""
 
-    def check(groups: list[list[tuple[bytes, int, int, bool]]], units: Units) -> Iterator[tuple[int, int, int, bool | None]]:
+    def check(groups: list[list[tuple[bytes, int, int, bytes | None]]], units: Units) -> Iterator[tuple[int, int, int, bool | None]]:
         strings, owner, group, align, counts, second, n = [], [], [], [], [], [], 0
         for number, contexts in enumerate(groups):
             for again in (False, True):
-                for i, (content, count, place, twice) in enumerate(contexts):
-                    if not again or twice:
-                        strings.append(content)
+                for i, (content, count, place, other) in enumerate(contexts):
+                    if not again or (other is not None and len(other) == len(content)):
+                        strings.append(other if again else content)
                         owner.append(n + i)
                         group.append(number)
                         align.append(place)
@@ -136,7 +138,7 @@ def _check(keep_first: bool):
                         second.append(again)
             n += len(contexts)
         which, inside, found = factors_of_depth(strings, np.array(group), np.array(align), np.zeros(len(strings), np.int64), np.array(counts), units.window, not keep_first)
-        if not keep_first:  # both of two equal strings go; the second copies say nothing new
+        if not keep_first:  # a context's spans are those of its first place
             found &= ~np.array(second)[which]
         which, inside = which[found], inside[found]
         if not len(which):

@@ -11,6 +11,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
@@ -330,6 +331,63 @@ def test_equal_rows_and_null_ids_are_separate_places(spark):
     assert gone == Counter({(None, 0): 1, (7, 0): 2, (None, 300): 1, (None, 250): 1})
 
 
+def marked(rows, size):
+    """found_again over (a, c, salt, ...) rows in batches of a size."""
+    names = ["a", "c", "id", "rid", "at", "salt"]
+    table = pa.table({n: pa.array([r[i] for r in rows], pa.int64()) for i, n in enumerate(names)})
+    return [(r["a"], r["c"], r["rid"], r["m"]) for b in anchors.found_again(iter(table.to_batches(max_chunksize=size))) for r in b.to_pylist()]
+
+
+def test_rows_of_repeated_anchors_are_found_as_a_stream():
+    draw = random.Random(6)
+    for size in (1, 2, 3, 7, 100):
+        rows = sorted((draw.randint(0, 30), draw.randint(0, 2), 0, i, 0, draw.choice([0, 0, 5])) for i in range(60))
+        rows = [(a, c, i, r, at, 5 if a % 5 == 0 else 0) for a, c, i, r, at, _ in rows]
+        times, seen, want = Counter(r[0] for r in rows), Counter(), []
+        for a, c, _, rid, _, salt in rows:
+            seen[a, c] += 1
+            if times[a] > 1 or salt:
+                want.append((a, c, rid, int(seen[a, c] <= 2)))
+        assert marked(rows, size) == want
+    assert marked([], 5) == []
+
+
+def test_an_anchor_of_a_million_runs_is_not_held():
+    n, size = 1_000_000, 10_000
+
+    def batches():
+        for at in range(0, n, size):
+            rows = np.arange(at, at + size)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(size, np.int64)), *(pa.array(rows // 3 if c == "c" else rows) for c in ("c", "id", "rid", "at")), pa.array(np.zeros(size, np.int64))], ["a", "c", "id", "rid", "at", "salt"])
+
+    import tracemalloc
+
+    before = pa.total_allocated_bytes()
+    tracemalloc.start()
+    most, kept, firsts = 0, 0, 0
+    for b in anchors.found_again(batches()):
+        kept, firsts = kept + b.num_rows, firsts + sum(b.column(5).to_pylist())
+        most = max(most, pa.total_allocated_bytes() - before + tracemalloc.get_traced_memory()[1])
+    tracemalloc.stop()
+    assert kept == n and firsts == sum(2 if i < n // 3 else n % 3 for i in range(n // 3 + 1)) and most < 64 << 20
+
+
+def test_a_digest_found_twice_decides_nothing():
+    """Contexts that share a digest but not their content: suffix order and automata leave them alone; equal ones go."""
+    draw = random.Random(9)
+    say = lambda n: " ".join("".join(draw.choices("abcdef", k=4)) for _ in range(n)).encode()
+    one, two = say(60), say(60)
+    for content, other, goes in ((one, two, False), (one, None, False), (one, one, True)):
+        spans = list(phrase_dedup._check([[[content, 26, 3, other]], [[say(50), 16, 0, None]]], anchors.Units(True, 35, 8)))
+        assert ({i for i, *_ in spans}, bool(spans)) == ({0} if goes else set(), goes)
+        for keep_first in (False, True):
+            spans = list(suffix_dedup._check(keep_first)([[[content, len(content) - 199, 3, other]]], anchors.Units(False, 200, 32)))
+            assert spans == ([(0, 0, len(content), True if keep_first else None)] if goes else [])
+    # Parts that are equal count, whatever the rest: the second context's other place repeats a window of the first.
+    near = one[:-4] + b"zzzz"
+    assert list(suffix_dedup._check(False)([[[one, len(one) - 199, 3, near]]], anchors.Units(False, 200, 32))) == [(0, 0, len(one) - 4, None)]
+
+
 def test_crowded_anchors_go_through_the_check(spark, monkeypatch):
     """Many texts around one common line: its anchors are split by longer ones, and with a check that finds nothing nothing goes."""
     draw = random.Random(14)
