@@ -9,8 +9,10 @@ parameters bound.
 
 A document is three pools of its words' vectors: their mean, their standard
 deviation, and the mean product of neighbours. The network is fitted on a
-bounded sample of labelled rows; a temperature fitted on rows that the network
-didn't see calibrates the probabilities. Only the text is an input.
+bounded sample of labelled rows. A temperature calibrates the probabilities: it is
+fitted by cross-validation, on what networks say of the labelled rows that they
+didn't see, with smoothed targets, so that it stays finite where the classes
+come apart. Only the text is an input.
 """
 
 from __future__ import annotations
@@ -146,19 +148,18 @@ class Network:
         return hidden @ self.w2 + self.b2
 
     def probability(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.logits(x) / self.temperature, -30, 30)))
+        z = self.logits(x) / self.temperature
+        small = np.exp(-np.abs(z))  # never overflows, and keeps the order of scores near 0
+        return np.where(z >= 0, 1, small) / (1 + small)
 
 
-def fit(x: np.ndarray, y: np.ndarray, *, hidden: int = 32, epochs: int = 40, batch: int = 128, rate: float = 3e-3, decay: float = 1e-4, seed: int = 5) -> Network:
-    """Fit by Adam on four fifths of the rows and the temperature on the rest. One class only: its smoothed share for every input."""
-    draw = np.random.default_rng(seed)
-    order = draw.permutation(len(x))
-    held, used = order[: len(x) // 5], order[len(x) // 5 :]
+def _trained(x: np.ndarray, y: np.ndarray, hidden: int, epochs: int, batch: int, rate: float, decay: float, draw: np.random.Generator) -> Network:
+    """Fit by Adam on all rows. One class only: its smoothed share for every input."""
     mean = x.mean(axis=0) if len(x) else np.zeros(x.shape[1])
     scale = (x.std(axis=0) if len(x) else np.zeros(x.shape[1])) + 1e-3
     share = (y.sum() + 1) / (len(y) + 2)
     net = Network(mean, scale, draw.normal(0, np.sqrt(2 / x.shape[1]), (x.shape[1], hidden)), np.zeros(hidden), draw.normal(0, np.sqrt(1 / hidden), hidden), float(np.log(share / (1 - share))))
-    if len(np.unique(y[used])) < 2:
+    if len(np.unique(y)) < 2:
         net.w2[:] = 0
         return net
     z, t = (x - mean) / scale, y.astype(float)
@@ -166,7 +167,7 @@ def fit(x: np.ndarray, y: np.ndarray, *, hidden: int = 32, epochs: int = 40, bat
     first, second, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
     for epoch in range(epochs):
         now = rate * (1 - epoch / epochs)
-        shuffled = draw.permutation(used)
+        shuffled = draw.permutation(len(x))
         for at in range(0, len(shuffled), batch):
             rows = shuffled[at : at + batch]
             raw = z[rows] @ params[0] + params[1]
@@ -179,10 +180,31 @@ def fit(x: np.ndarray, y: np.ndarray, *, hidden: int = 32, epochs: int = 40, bat
                 second[i] += 0.001 * (g * g - second[i])
                 params[i] -= now * (first[i] / (1 - 0.9**step)) / (np.sqrt(second[i] / (1 - 0.999**step)) + 1e-8)
     net.b2 = float(params[3][0])
-    if len(held):
-        logits, truth = net.logits(x[held]), t[held]
-        loss = lambda temp: np.mean(np.logaddexp(0, logits / temp) - truth * logits / temp)
-        net.temperature = float(min(np.exp(np.linspace(np.log(0.02), np.log(50), 400)), key=loss))
+    return net
+
+
+#: What a temperature is looked for among.
+TEMPERATURES = np.exp(np.linspace(np.log(0.05), np.log(50), 400))
+
+
+def fitted_temperature(logits: np.ndarray, y: np.ndarray) -> float:
+    """The temperature with the least log loss against smoothed targets: of n rows of a class, as if one more were of the other."""
+    ones = y.sum()
+    targets = np.where(y > 0, (ones + 1) / (ones + 2), 1 / (len(y) - ones + 2))
+    loss = lambda temp: np.mean(np.logaddexp(0, logits / temp) - targets * logits / temp)
+    return float(min(TEMPERATURES, key=loss))
+
+
+def fit(x: np.ndarray, y: np.ndarray, *, hidden: int = 32, epochs: int = 40, batch: int = 128, rate: float = 3e-3, decay: float = 1e-4, seed: int = 5, folds: int = 4) -> Network:
+    """A network of all rows, with the temperature that fits what networks of the other folds say of each fold."""
+    draw = np.random.default_rng(seed)
+    net = _trained(x, y, hidden, epochs, batch, rate, decay, draw)
+    fold = draw.permutation(len(x)) % folds
+    if len(np.unique(y)) == 2 and all(len(np.unique(y[fold != f])) == 2 for f in range(folds)):
+        logits = np.zeros(len(x))
+        for f in range(folds):
+            logits[fold == f] = _trained(x[fold != f], y[fold != f], hidden, epochs, batch, rate, decay, draw).logits(x[fold == f])
+        net.temperature = fitted_temperature(logits, y)
     return net
 
 
