@@ -4,9 +4,11 @@ A text is split into pre-tokens by the splitter's own pattern, after its
 special strings are set apart; its count is the sum over its pre-tokens. Tier
 one is a compact hash table, broadcast: sorted 128-bit hashes of frequent
 pre-tokens with their token counts, chosen from a bounded sample of texts. Tier
-two is each worker's cache, bounded in bytes: pre-tokens in neither are encoded
-by the library once and kept. The sample and both tiers only save work: every
-pre-token of every text is counted, and the counts are the library's.
+two is each worker's cache, bounded in bytes, which stays while the worker does,
+for all its tasks: pre-tokens in neither are encoded by the library once and
+kept. The sample and both tiers only save work: every pre-token of every text
+is counted, and the counts are the library's. Only the stretch around a
+character that may be newer than a Unicode table goes to the library unsplit.
 """
 
 from __future__ import annotations
@@ -29,8 +31,10 @@ from .common import small
 
 #: The published pattern of byte-level splitters.
 PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-#: Code points outside these ranges may be newer than one of the two Unicode tables, the library's and this module's; texts that have any go to the library whole.
+#: Code points outside these ranges may be newer than one of the two Unicode tables, the library's and this module's.
 _ODD = regex.compile(r"[^\x00-\u0557\u0590-\u088e\u0900-\u0c5b\u1e00-\u208e\u20a0-\ua7cd\uac00-\ud7a3\U0001f300-\U0001f64f]")
+#: Stretches of a text: to between a line's letter or digit of ASCII and a space that another such follows, where a pre-token ends whatever stands elsewhere.
+_STRETCH = regex.compile(r"(?s).{256,}?[A-Za-z0-9](?= [A-Za-z0-9])")
 _CHUNK = 1 << 16
 _LONGEST_KEPT = 256
 
@@ -133,12 +137,38 @@ class TokenCounter:
             total += self._chunk(part)
         return total
 
+    def _plain(self, text: str) -> int:
+        """A text without special strings: its stretches with odd characters by the library, what is between by pre-tokens."""
+        if not _ODD.search(text):
+            return self._segment(text)
+        total, at, begin = 0, 0, 0  # the stretches from begin to at have no odd characters
+        while at < len(text):
+            found = _STRETCH.match(text, at)
+            end = found.end() if found else len(text)
+            if _ODD.search(text, at, end):
+                total += self._segment(text[begin:at]) + len(self.tokenizer.encode(text[at:end], add_special_tokens=False))
+                begin = end
+            at = end
+        return total + self._segment(text[begin:])
+
     def count(self, text: str) -> int:
-        if _ODD.search(text):
-            return len(self.tokenizer.encode(text, add_special_tokens=False))
         if self.special is None or not self.special.search(text):
-            return self._segment(text)
-        return len(self.special.findall(text)) + sum(map(self._segment, self.special.split(text)))
+            return self._plain(text)
+        return len(self.special.findall(text)) + sum(map(self._plain, self.special.split(text)))
+
+
+#: The counter of this process, with what it is for: tier two outlives tasks.
+_own: tuple[object, TokenCounter] | None = None
+
+
+def worker_counter(definition: str, frequent: LengthTable, cache_bytes: int) -> TokenCounter:
+    """This worker's counter for a tokenizer; another one takes its place if the tokenizer or the bound changes. Tier one may change without loss."""
+    global _own
+    key = (xxhash.xxh3_128_digest(definition.encode()), cache_bytes)
+    if _own is None or _own[0] != key:
+        _own = (key, TokenCounter(definition, frequent, cache_bytes))
+    _own[1].frequent = frequent
+    return _own[1]
 
 
 def frequent_lengths(docs: DataFrame, definition: str, text_col: str, *, table_size: int, sample_rows: int, longest: int = 1 << 16) -> LengthTable:
@@ -167,7 +197,7 @@ def token_counts(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", t
     shared = docs.sparkSession.sparkContext.broadcast((definition, table))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = TokenCounter(*shared.value, cache_bytes)
+        counter = worker_counter(*shared.value, cache_bytes)
         for batch in small(batches):
             n = [counter.count(t) if t else 0 for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64())], [id_col, "n_bytes", "n_tokens"])
