@@ -69,14 +69,14 @@ def sqlite_export(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sqlite_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders written to shards in two goes, and read back with their types; the source picks rows with a note and by key."""
-    o = table(spark, sf_dir, "orders")
-    note = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("n "), F.col("o_orderkey").cast("string")))
-    rows = o.select("o_orderkey", F.col("o_totalprice").cast("decimal(12,2)").alias("price"), F.col("o_orderdate").cast("date").alias("day"), F.col("o_orderdate").cast("timestamp").alias("at"), (F.col("o_orderkey") % 2 == 0).alias("even"), note.alias("note"))
-    path = fresh_path(spark, "orders")
-    exporters.to_sqlite_shards(rows.where("o_orderkey % 4 < 2").repartition(4, "o_orderkey"), path)
-    exporters.to_sqlite_shards(rows.where("o_orderkey % 4 >= 2"), path)
-    return exporters.read_sqlite(spark, path).where("note is not null and o_orderkey > 100")
+    """Pages written to shards in two goes, and read back with their types; the source picks rows with a note and by key."""
+    k = F.col("page_id")
+    note = F.when(k % 3 != 0, F.concat(F.lit("n "), k.cast("string")))
+    rows = pages(spark, sf_dir).select("page_id", (k * 1.25).cast("decimal(12,2)").alias("price"), F.date_add(F.lit("2024-02-27").cast("date"), (k % 400).cast("int")).alias("day"), F.timestamp_seconds(k * 1001).alias("at"), (k % 2 == 0).alias("even"), note.alias("note"), "html")
+    path = fresh_path(spark, "pages")
+    exporters.to_sqlite_shards(rows.where("page_id % 4 < 2"), path)
+    exporters.to_sqlite_shards(rows.where("page_id % 4 >= 2"), path)
+    return exporters.read_sqlite(spark, path).where("note is not null and page_id > 20").withColumn("html", F.md5("html"))
 
 
 def _shards(spark: SparkSession, sf_dir: str) -> str:
@@ -120,7 +120,7 @@ ORACLE_SQL = {
     "jsonl_export": f"WITH {_R} SELECT *, true AS has_note FROM r",
     "csv_export": f"WITH {_R} SELECT nation AS at_nation, segment AS at_segment, c_custkey, even, name, note FROM r",
     "sqlite_export": f"WITH {_R} SELECT c_custkey, name, note, even::BIGINT AS even, {_AT} AS at FROM r",
-    "sqlite_shards": "SELECT o_orderkey, o_totalprice::DECIMAL(12,2) AS price, o_orderdate::DATE AS day, o_orderdate::TIMESTAMPTZ AS at, o_orderkey % 2 = 0 AS even, 'n ' || o_orderkey AS note FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey > 100",
+    "sqlite_shards": "SELECT page_id, (page_id * 1.25)::DECIMAL(12,2) AS price, ('2024-02-27'::DATE + (page_id % 400)::INTEGER)::DATE AS day, to_timestamp(page_id * 1001) AS at, page_id % 2 = 0 AS even, 'n ' || page_id AS note, md5(html) AS html FROM pages WHERE page_id % 3 <> 0 AND page_id > 20",
     "shard_pages": f"SELECT url, {_HOST} AS host, strlen(html)::BIGINT AS n_bytes, md5(html) AS html_md5 FROM pages WHERE starts_with(url, 'https://')",
     "shard_stream": f"SELECT page_id, {_HOST} AS host FROM pages",
     "column_types": f"WITH {_R} SELECT c_custkey, {_AT} AS at, 'c_custkey:INTEGER|name:TEXT|note:TEXT|even:INTEGER|at:TEXT' AS kinds FROM r",
