@@ -7,10 +7,13 @@ everything, no rule means allowed.
 
 from __future__ import annotations
 
+import bisect
 import urllib.parse
+from collections.abc import Iterable, Iterator
 from urllib.robotparser import RobotFileParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,15 +47,52 @@ def rules_of(agent: str = "*"):
     return run
 
 
+def path_of(url: str | None) -> str:
+    """What rules are matched with: path, parameters, query and fragment, unquoted and quoted anew."""
+    parts = urllib.parse.urlparse(urllib.parse.unquote(url or ""))
+    return urllib.parse.quote(urllib.parse.urlunparse(("", "", *parts[2:]))) or "/"
+
+
 @F.pandas_udf(T.StringType())
 def match_path(urls: pd.Series) -> pd.Series:
-    """What rules are matched with: path, parameters, query and fragment, unquoted and quoted anew."""
+    return urls.map(path_of)
 
-    def one(url: str | None) -> str:
-        parts = urllib.parse.urlparse(urllib.parse.unquote(url or ""))
-        return urllib.parse.quote(urllib.parse.urlunparse(("", "", *parts[2:]))) or "/"
 
-    return urls.map(one)
+class RuleTrie:
+    """The rules of a domain as a trie in a sorted list: each path with the longest other one that it begins with.
+
+    A rule that begins with an earlier one never decides, so it goes. Of the
+    rules left that a path begins with the longest is then the first in order.
+    It is the path that sorts last before the one asked for, or one that this
+    begins with: a search by halves, and steps up that are no more than the path is long.
+    """
+
+    def __init__(self, rules: Iterable[tuple[bool, str]]):
+        first: dict[str, tuple[int, bool]] = {}
+        for i, (allow, path) in enumerate(rules):
+            first.setdefault("" if path == "*" else path, (i, allow))
+        self.paths: list[str] = []
+        self.allows: list[bool] = []
+        self.up: list[int] = []
+        number: list[int] = []
+        below = -1  # the last one kept: those it begins with are up from it
+        for path in sorted(first):
+            while below >= 0 and not path.startswith(self.paths[below]):
+                below = self.up[below]
+            i, allow = first[path]
+            if below < 0 or i < number[below]:
+                self.paths.append(path)
+                self.allows.append(allow)
+                self.up.append(below)
+                number.append(i)
+                below = len(self.paths) - 1
+
+    def allowed(self, path: str) -> bool:
+        """What the first rule whose path this one begins with says; without one all is allowed."""
+        at = bisect.bisect_right(self.paths, path) - 1
+        while at >= 0 and not path.startswith(self.paths[at]):
+            at = self.up[at]
+        return self.allows[at] if at >= 0 else True
 
 
 def snapshot(fetched: DataFrame, as_of: str, ttl_seconds: int = 3600) -> DataFrame:
@@ -74,16 +114,40 @@ def first_match(rules: Column, path: Column) -> Column:
     return F.coalesce(F.get(hit, F.lit(0))["allow"], F.lit(True))
 
 
-def can_fetch(urls: DataFrame, rules: DataFrame, url_col: str = "url") -> DataFrame:
-    """urls with `allowed` and `crawl_delay`; a domain without a row allows all.
-
-    The rules of a domain are one row, so this is an equi-join that the
-    optimizer broadcasts if the table's size allows and that splits hot domains
-    otherwise; matching needs no further rows.
+def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """batches: the rules of a domain, then its URLs; one domain's trie is held at a time, and made when a URL asks for it."""
+    key, rules, trie, delay = None, None, None, None
+    for batch in batches:
+        domains, is_url, urls, delays = (batch.column(c).to_pylist() for c in ("domain", "is_url", "url", "crawl_delay"))
+        allowed, waits = [], []
+        for i, (at, asks, url) in enumerate(zip(domains, is_url, urls, strict=True)):
+            if (at,) != key:
+                key, rules, trie, delay = (at,), None, None, None
+            if not asks:
+                if rules is None and trie is None:
+                    rules, delay = batch.column("rules")[i].values, delays[i]
+                continue
+            if rules is not None:
+                trie, rules = RuleTrie((r["allow"], r["path"]) for r in rules.to_pylist()), None
+            allowed.append(trie.allowed(path_of(url)) if trie else True)
+            waits.append(delay)
+        rows = batch.column("row").filter(batch.column("is_url"))
+        yield pa.RecordBatch.from_arrays([rows, pa.array(allowed, pa.bool_()), pa.array(waits, pa.float64())], ["row", "allowed", "crawl_delay"])
+
+
+def can_fetch(urls: DataFrame, rules: DataFrame, url_col: str = "url", salts: int = 16) -> DataFrame:
+    """urls with `allowed` and `crawl_delay`; a domain without rules, and a null URL, allows all. If rules has a domain twice, one of the rows counts.
+
+    Rules and URLs meet by domain, rules first, so that a task makes a trie of a
+    domain's rules once and asks it for each URL, and no URL carries them.
+    A domain's URLs go to `salts` tasks at most, with its rules at each.
     """
-    r = rules.select(F.col("domain").alias("__domain"), "rules", "crawl_delay")
-    both = urls.withColumn("__at", domain(F.col(url_col))).withColumn("__path", match_path(F.col(url_col))).join(r, F.col("__at") == F.col("__domain"), "left")
-    return both.withColumn("allowed", first_match(F.col("rules"), F.col("__path"))).drop("__at", "__path", "__domain", "rules")
+    url = F.col(url_col)
+    r = rules.select("domain", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(False).alias("is_url"), F.lit(None).cast("string").alias("url"), "rules", "crawl_delay")
+    asked = urls.select(domain(url).alias("domain"), F.coalesce(F.pmod(F.xxhash64(url), F.lit(salts)), F.lit(0)).cast("int").alias("salt"), F.lit(True).alias("is_url"), url.cast("string").alias("url"), F.struct(*(F.col(f"`{c}`") for c in urls.columns)).alias("row"))
+    both = r.unionByName(asked, allowMissingColumns=True).repartition("domain", "salt").sortWithinPartitions("domain", "salt", "is_url")
+    judged = both.mapInArrow(_judged, T.StructType([T.StructField("row", asked.schema["row"].dataType), T.StructField("allowed", T.BooleanType()), T.StructField("crawl_delay", T.DoubleType())]))
+    return judged.select(*(F.col(f"row.`{c}`") for c in urls.columns), "allowed", "crawl_delay")
 
 
 def filter_urls(urls: DataFrame, rules: DataFrame, url_col: str = "url", respect: bool = True) -> DataFrame:

@@ -5,7 +5,7 @@ within the watermark. A URL waits in state until the watermark has passed its
 time, when a timer fires; by then every robots row that could count is there,
 so the result is that of the batch (robots.snapshot as of that time) whatever
 the order of arrival. Rules that no URL to come can need are dropped: of those
-before the last timer only the latest stays, and that only while it lives.
+the watermark has passed only the latest stays, and that only while it lives.
 
 A domain is one key. `salts` deals the URLs of each domain to so many keys, with
 the domain's robots rows, few as they are, at each of them.
@@ -13,6 +13,7 @@ the domain's robots rows, few as they are, at each of them.
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import pandas as pd
@@ -41,7 +42,11 @@ def url_events(urls: DataFrame, time: str = "asked_at", url_col: str = "url") ->
 
 
 class _InForce(StatefulProcessor):
-    """State of a key: rules by the time they were fetched, and URLs that wait, by their time and a number; times in microseconds."""
+    """State of a key: rules by the time they were fetched, and URLs that wait with their time; times in microseconds.
+
+    One timer a key suffices: at the first time that waits. As it fires, all
+    that the watermark has passed is judged, and the next timer is set.
+    """
 
     def __init__(self, ttl_seconds: int):
         self.ttl = ttl_seconds * 1_000_000
@@ -49,40 +54,49 @@ class _InForce(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.rules = handle.getMapState("rules", "at bigint", "rules string, crawl_delay double")
-        self.waiting = handle.getMapState("waiting", "at bigint, n bigint", "url string")
+        self.waiting = handle.getListState("waiting", "at bigint, url string")
+
+    def _wake(self, at: int, after: int = -1) -> None:
+        """A timer for the first millisecond that isn't before a time, if none is set as early; those up to `after` don't count, as they are about to go."""
+        due = -(-at // 1000)
+        if not any(after < t <= due for t in self.handle.listTimers()):
+            self.handle.registerTimer(due)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        last: dict[int, int] = {}
-        for at, n in self.waiting.keys() if self.waiting.exists() else ():
-            last[at] = max(last.get(at, 0), n)
-        timers = set(self.handle.listTimers())
+        asked: list[tuple[int, str]] = []
         for part in rows:
             micros = part["at"].astype("int64") // {"ns": 1000, "us": 1}[part["at"].dt.unit]
             for at, url, said, delay in zip(micros, part["url"], part["rules"], part["crawl_delay"], strict=True):
                 if url is None:
                     self.rules.updateValue((at,), (said, None if pd.isna(delay) else float(delay)))
-                    continue
-                last[at] = last.get(at, 0) + 1
-                self.waiting.updateValue((at, last[at]), (url,))
-                due = -(-at // 1000)  # the first millisecond that isn't before it
-                if due not in timers:
-                    self.handle.registerTimer(due)
-                    timers.add(due)
+                else:
+                    asked.append((at, url))
+        if asked:
+            self.waiting.appendList(asked)
+            self._wake(min(asked)[0])
         yield pd.DataFrame()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        due = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        asked = sorted(self.waiting.get())
+        due = bisect.bisect_right(asked, passed, key=lambda w: w[0])
+        if due:
+            if due < len(asked):
+                self.waiting.put(asked[due:])
+            else:
+                self.waiting.clear()
+        if due < len(asked):
+            self._wake(asked[due][0], after=passed // 1000)
         rules = sorted((at, *said) for (at,), said in self.rules.iterator())
         out = []
-        for (at, n), (url,) in sorted(self.waiting.iterator()):
-            if at <= due:
-                found = [r for r in rules if at - self.ttl < r[0] <= at][-1:] or [(None, None, None)]
-                out.append((*key, url, at, *found[0][1:], found[0][0]))
-                self.waiting.removeKey((at, n))
-        # Timers fire in order, so what still waits or is to come has a later time than this one.
-        old = [r[0] for r in rules if r[0] <= due]
+        for at, url in asked[:due]:
+            last = bisect.bisect_right(rules, at, key=lambda r: r[0]) - 1
+            found = rules[last] if last >= 0 and rules[last][0] > at - self.ttl else (None, None, None)
+            out.append((*key, url, at, *found[1:], found[0]))
+        # What is to come is later than the watermark.
+        old = [r[0] for r in rules if r[0] <= passed]
         for at in old:
-            if at != old[-1] or at <= due - self.ttl:
+            if at != old[-1] or at <= passed - self.ttl:
                 self.rules.removeKey((at,))
         frame = pd.DataFrame(out, columns=["domain", "salt", "url", "at", "rules", "crawl_delay", "fetched_at"])
         for c in ("at", "fetched_at"):

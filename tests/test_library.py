@@ -5,6 +5,7 @@ import json
 import os
 import random
 import sqlite3
+import sys
 from urllib.robotparser import RobotFileParser
 
 import pytest
@@ -278,3 +279,11 @@ def test_cli_takes_robots_proxies_and_repeats(spark, tmp_path):
     assert [r["url"] for r in json.load(open(path))] == ["http://x.example/a"]
     path = cli.main([*common, "--url", "http://x.example/no", "--output", "no.json"])
     assert [(r["success"], r["error"]) for r in json.load(open(path))] == [(False, "Blocked by robots.txt")]
+
+
+def test_entry_works_without_a_library_that_optional_parts_need():
+    import subprocess
+
+    code = "import sys; sys.modules['tiktoken'] = None; import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert 'host_profile' in q and 'pipeline' not in q and not any(n.startswith('op') and n[2].isdigit() for n in (*q, *o))"
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    assert subprocess.run([sys.executable, "-c", code], cwd=root, check=False, timeout=120).returncode == 0

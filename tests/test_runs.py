@@ -2,6 +2,7 @@
 
 import json
 import logging
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -82,3 +83,59 @@ def test_command_line_logs_what_the_export_observed(spark, tmp_path, caplog, kin
         caplog.clear()
         cli.main(["--pages", f"{tmp_path}/pages", "--robots", f"{tmp_path}/robots", "--format", kind, "--folder", f"{tmp_path}/out", "--output", "y", "--url", "http://h/private"])
     assert next(json.loads(r.message) for r in caplog.records if r.message.startswith("{"))["session"]["urls_failed"] == 1
+
+
+def plain_allowed(body, url):
+    from urllib.robotparser import RobotFileParser
+
+    parser = RobotFileParser()
+    parser.parse(body.splitlines())
+    parser.modified()
+    return parser.can_fetch("*", url)
+
+
+def test_first_rule_by_trie_is_the_first_rule_in_order():
+    draw = random.Random(11)
+    for _ in range(400):
+        paths = ["/" + "".join(draw.choices("ab/", k=draw.randint(0, 6))) for _ in range(draw.randint(0, 12))] + draw.choice([[], ["*"], [""]])
+        rules = [(draw.random() < 0.5, p) for p in draw.sample(paths, len(paths))]
+        trie = robots.RuleTrie(rules)
+        for _ in range(20):
+            path = "/" + "".join(draw.choices("abc/", k=draw.randint(0, 8)))
+            assert trie.allowed(path) == next((allow for allow, p in rules if p == "*" or path.startswith(p)), True)
+
+
+def test_work_of_a_trie_goes_by_the_path_and_not_by_the_rules():
+    class Path(str):
+        asked = 0
+
+        def startswith(self, other):
+            Path.asked += 1
+            return super().startswith(other)
+
+    draw = random.Random(12)
+    rules = [(i % 2 > 0, "/" + "/".join(draw.choices(["a", "b", "cc", "d"], k=draw.randint(1, 8))) + f"/{i}") for i in range(10_000)]
+    trie = robots.RuleTrie(rules)
+    for _ in range(300):
+        path = Path(draw.choice(rules)[1] + draw.choice(["", "/more", "x"])) if draw.random() < 0.7 else Path("/a/" * draw.randint(1, 9))
+        Path.asked = 0
+        got = trie.allowed(path)
+        assert Path.asked <= len(path) + 1
+        assert got == next((allow for allow, p in rules if str(path).startswith(p)), True)
+
+
+def test_ten_thousand_rules_over_hot_and_odd_domains(spark):
+    draw = random.Random(13)
+    body = "User-agent: *\nCrawl-delay: 4\n" + "\n".join(f"{draw.choice(['Allow', 'Disallow'])}: /{draw.choice('abc')}/{draw.randint(0, 4000)}" for i in range(10_000))
+    bodies = {"big": body, "small": "User-agent: *\nDisallow: /x\nAllow: /", "é.example": "User-agent: *\nDisallow: /*\nDisallow: /é"}
+    table = robots.rule_table(spark.createDataFrame([(d, 200, b) for d, b in bodies.items()] + [("down", 500, None), ("unused", 200, "")], "domain string, status int, body string"))
+    urls = [f"http://big/{draw.choice('abc')}/{draw.randint(0, 5000)}" for _ in range(600)] + ["http://small/x?y", "http://small/", "http://é.example/é", "http://é.example/*", "http://down/", "http://none/", "nothing", "", None]
+    df = spark.createDataFrame([(i, u, {"k": "v"}, "d", True) for i, u in enumerate(urls)], "n long, url string, rules map<string, string>, domain string, is_url boolean").repartition(5)
+    got = {r.n: r for r in robots.can_fetch(df, table).collect()}
+    assert len(got) == len(urls) and robots.can_fetch(df, table).columns == [*df.columns, "allowed", "crawl_delay"]
+    for i, u in enumerate(urls):
+        host = (u or "").split("/")[2] if u and u.startswith("http") else None
+        want = host != "down" and (host not in bodies or plain_allowed(bodies[host], u))
+        assert got[i].allowed == want, u
+        assert got[i].crawl_delay == (4.0 if host == "big" else None) and got[i].rules == {"k": "v"} and got[i].domain == "d"
+    assert robots.can_fetch(df.where("false"), table).collect() == [] and all(r.allowed for r in robots.can_fetch(df, table.where("false")).collect())
