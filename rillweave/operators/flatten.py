@@ -25,6 +25,8 @@ def leaves(schema: T.StructType, nested: bool = True, joint: str = "_") -> dict[
                 walk(f.dataType, f"{flat}{joint}", f"{at}.")
             elif isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
                 found[flat] = F.to_json(F.col(at))
+            elif isinstance(f.dataType, T.VariantType):
+                found[flat] = F.variant_get(F.col(at), "$", "string")
             else:
                 found[flat] = F.col(at)
 
@@ -38,6 +40,28 @@ def flatten(df: DataFrame, nested: bool = True, sort: bool = True) -> DataFrame:
     return df.select(*(found[n].alias(n) for n in (sorted(found) if sort else found)))
 
 
+#: In the schema of a variant: quoted names, which stay, and the types that a table's schema calls otherwise.
+_NOT_OF_TABLES = re.compile(r"(`(?:[^`]|``)*`)|OBJECT(?=<)|(?<=: )VOID|(?<=<)VOID(?=>)")
+
+
+def open_records(rows: DataFrame, column: str, *, into: str = "record") -> DataFrame:
+    """rows with the JSON objects of a text column as one struct, whose fields are the union of all rows' keys.
+
+    The keys aren't known beforehand: one aggregate over variants gives their
+    union with types wide enough for every value, and the objects are read
+    by it. Where values of a key have no common type the field is a variant. Text that is
+    no JSON object is a null record; no objects at all give a struct without
+    fields. Keys that differ by case only need spark.sql.caseSensitive.
+    """
+    parsed = F.try_parse_json(F.col(f"`{column}`").cast("string"))
+    is_object = F.startswith(F.schema_of_variant(parsed), F.lit("OBJECT<"))
+    found = rows.select(F.when(is_object, parsed).alias("v")).where("v is not null").agg(F.schema_of_variant_agg("v")).first()[0]  # as long as the header will be
+    if not found.startswith("OBJECT<"):
+        return rows.withColumn(into, F.lit(None).cast(T.StructType()))
+    kind = _NOT_OF_TABLES.sub(lambda m: m[1] or ("STRUCT" if m[0] == "OBJECT" else "STRING"), found)
+    return rows.withColumn(into, F.try_variant_get(F.when(is_object, parsed), "$", kind))
+
+
 def prepared(df: DataFrame) -> DataFrame:
     """Complex columns as JSON text, others unchanged."""
     complex_ = (T.ArrayType, T.MapType, T.StructType)

@@ -101,6 +101,24 @@ def shard_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("page_id long, host string").parquet(out)
 
 
+def open_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records whose keys differ from row to row, some no objects: a CSV file under the union of their keys, read back by its header."""
+    k, text = F.col("page_id"), lambda *columns: F.to_json(F.struct(*columns))
+    meta = lambda c, name: F.struct(c.alias(name)).alias("meta")
+    size = F.length("html")
+    made = (
+        F.when(k % 5 == 0, text(k.alias("id"), "url", meta(size, "chars")))
+        .when(k % 5 == 1, text(k.alias("id"), F.array(F.lit("x"), "url").alias("tags")))
+        .when(k % 5 == 2, text(k.alias("id"), (k / 4).alias("price"), meta(F.md5("html"), "md5 of html")))
+        .when(k % 5 == 3, text(k.cast("string").alias("id"), F.lit("n/a").alias("price")))
+        .otherwise(F.concat(F.lit("["), "url"))
+    )
+    records = flatten.open_records(pages(spark, sf_dir).select(made.alias("line")).where("line is not null"), "line")
+    path = exporters.to_csv(records.where("record is not null").select("record.*"), fresh_path(spark, "open"))
+    names = "id string, meta_chars long, `meta_md5 of html` string, price string, tags string, url string"
+    return spark.read.schema(names).option("header", True).option("escape", '"').csv(path).withColumnRenamed("meta_md5 of html", "meta_md5")
+
+
 def column_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records as they are prepared for a database, with the type that each column would have."""
     rows = flatten.prepared(_records(spark, sf_dir))
@@ -108,7 +126,7 @@ def column_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("c_custkey", "at", kinds.alias("kinds"))
 
 
-QUERIES = {f.__name__: f for f in (url_list, proxy_list, json_export, jsonl_export, csv_export, sqlite_export, sqlite_shards, shard_pages, shard_stream, column_types)}
+QUERIES = {f.__name__: f for f in (url_list, proxy_list, json_export, jsonl_export, csv_export, sqlite_export, sqlite_shards, shard_pages, shard_stream, open_export, column_types)}
 
 _HOST = "regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.\\-]*:)?//([^/?#]*)', 1)"
 _R = """r AS (SELECT c_custkey, c_name AS name, CASE c_custkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 'say "hi", é' WHEN 2 THEN 'a;b' ELSE 'x y' END AS note, c_custkey % 2 = 0 AS even, c_nationkey AS nation, c_mktsegment AS segment FROM customer)"""
@@ -121,6 +139,8 @@ ORACLE_SQL = {
     "csv_export": f"WITH {_R} SELECT nation AS at_nation, segment AS at_segment, c_custkey, even, name, note FROM r",
     "sqlite_export": f"WITH {_R} SELECT c_custkey, name, note, even::BIGINT AS even, {_AT} AS at FROM r",
     "sqlite_shards": "SELECT page_id, (page_id * 1.25)::DECIMAL(12,2) AS price, ('2024-02-27'::DATE + (page_id % 400)::INTEGER)::DATE AS day, to_timestamp(page_id * 1001) AS at, page_id % 2 = 0 AS even, 'n ' || page_id AS note, md5(html) AS html FROM pages WHERE page_id % 3 <> 0 AND page_id > 20",
+    "open_export": """SELECT page_id::VARCHAR AS id, CASE WHEN page_id % 5 = 0 THEN length(html) END::BIGINT AS meta_chars, CASE WHEN page_id % 5 = 2 THEN md5(html) END AS meta_md5,
+        CASE page_id % 5 WHEN 2 THEN regexp_replace((page_id / 4.0::DOUBLE)::VARCHAR, '[.]0$', '') WHEN 3 THEN 'n/a' END AS price, CASE WHEN page_id % 5 = 1 THEN '["x","' || url || '"]' END AS tags, CASE WHEN page_id % 5 = 0 THEN url END AS url FROM pages WHERE page_id % 5 <> 4""",
     "shard_pages": f"SELECT url, {_HOST} AS host, strlen(html)::BIGINT AS n_bytes, md5(html) AS html_md5 FROM pages WHERE starts_with(url, 'https://')",
     "shard_stream": f"SELECT page_id, {_HOST} AS host FROM pages",
     "column_types": f"WITH {_R} SELECT c_custkey, {_AT} AS at, 'c_custkey:INTEGER|name:TEXT|note:TEXT|even:INTEGER|at:TEXT' AS kinds FROM r",
