@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .models import ISSUES, model_parts
+
 Rule = Callable[[Column], Column]
 
 #: Text that each type takes, beside values that already have it.
@@ -42,6 +44,8 @@ def coerce(c: Column, have: T.DataType, want: T.DataType) -> Column:
     """The value as the wanted type, null where it isn't one; laxer than equality, stricter than a cast."""
     if isinstance(want, T.StringType):
         return c if isinstance(have, T.StringType) else F.lit(None).cast("string")
+    if isinstance(want, (T.DateType, T.TimestampType)) and not isinstance(have, (T.StringType, T.DateType, T.TimestampType)):
+        return F.lit(None).cast(want)
     text, kind = isinstance(have, T.StringType), want.simpleString()
     if isinstance(want, T.BooleanType):
         if isinstance(have, T.BooleanType):
@@ -87,23 +91,28 @@ def schema_parts(df: DataFrame, schema: T.StructType, prefix: str = "") -> tuple
     return issues, columns
 
 
-def validate(df: DataFrame, required: list[str] | None = None, rules: dict[str, Rule] | None = None, schema: T.StructType | None = None) -> DataFrame:
+def validate(df: DataFrame, required: list[str] | None = None, rules: dict[str, Rule] | None = None, schema: T.StructType | type | None = None) -> DataFrame:
     """df with is_valid, issues and cleaned (the coerced row, null if invalid).
 
-    rules: field to a function from its column to a message, null for none;
+    schema: a StructType, or a model class (models.py). rules: field to a function from its column to a message, null for none;
     they see the raw value, and null for a field that isn't there.
     """
     parts = [required_issue(df, f) for f in required or []]
     cleaned = F.struct(*(F.col(f"`{c}`") for c in df.columns))
-    if schema is not None:
+    of_model = None
+    if isinstance(schema, type):
+        of_model, cleaned = model_parts(df, schema)
+    elif schema is not None:
         found, columns = schema_parts(df, schema)
         parts += found
         cleaned = F.struct(*columns)
+    n_before = len(parts)
     for field, rule in (rules or {}).items():
         value = F.col(f"`{field}`") if field in df.columns else F.lit(None).cast("string")
         message = rule(value)
         parts.append(F.when(message.isNotNull(), issue(field, message, "warning", value)))
-    issues = F.array_compact(F.array(*parts)) if parts else F.array().cast("array<struct<field: string, message: string, severity: string, value: string>>")
+    together = lambda some: F.array_compact(F.array(*some)) if some else F.array().cast(ISSUES)
+    issues = together(parts) if of_model is None else F.concat(together(parts[:n_before]), of_model, together(parts[n_before:]))
     out = df.withColumn("issues", issues).withColumn("is_valid", ~F.exists("issues", lambda i: i["severity"] == "error"))
     return out.withColumn("cleaned", F.when(F.col("is_valid"), cleaned))
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from typing import Annotated, Literal
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import html, text
 from ..operators import flatten, routing, validate
+from ..operators.models import Field
 from . import site_profile
 from .tables import pages, spread, table
 
@@ -122,6 +125,29 @@ def nested_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select("c_custkey", "is_valid", F.array_join(F.transform("issues", lambda i: F.concat_ws(":", i["field"], i["severity"], i["message"])), "|").alias("issues"), F.col("cleaned.who.nation.key").alias("key"))
 
 
+class Word:
+    word: Annotated[str, Field(min_length=2, max_length=8)]
+    at: Annotated[int, Field(ge=0, lt=3)]
+
+
+class Document:
+    doc_id: int
+    lang: Literal["en", "fr", "de"]
+    size: Annotated[int | float, Field(gt=200, le=5000)]
+    words: Annotated[list[Word], Field(min_length=3)]
+    source: Annotated[str, Field(pattern="^src[0-9]$")] | None = None
+
+
+def model_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with their first words against model classes: literals, bounds, lists of records, a union, an optional field."""
+    d = table(spark, sf_dir, "documents")
+    words = F.slice(F.split(F.trim("text"), " "), 1, 4)
+    rows = d.select("doc_id", "lang", F.length("text").cast("string").alias("size"), F.transform(words, lambda w, i: F.struct(w.alias("word"), i.cast("string").alias("at"))).alias("words"), F.when(F.col("doc_id") % 4 > 0, F.col("source")).alias("source"))
+    v = validate.validate(rows, schema=Document)
+    said = F.array_join(F.transform("issues", lambda i: F.concat_ws(":", i["field"], i["message"])), "|")
+    return v.select("doc_id", "is_valid", said.alias("issues"), F.col("cleaned.size").alias("size"), F.element_at("cleaned.words", 1)["at"].alias("first_at"))
+
+
 def card_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Listings made from parts under each of the five kinds of boxes, a name in each kind of heading."""
     k = F.col("p_partkey")
@@ -205,7 +231,7 @@ _BARE = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?i
 _STRIPPED = rf"regexp_replace(regexp_replace(text, '^{_S}', ''), '{_S}$', '')"
 _WORD = "CASE p_partkey % 6 WHEN 0 THEN 'One' WHEN 1 THEN 'Two' WHEN 2 THEN 'Three' WHEN 3 THEN 'Four' WHEN 4 THEN 'Five' ELSE 'Six' END"
 
-QUERIES = {f.__name__: f for f in (clean_text, clean_prices, page_text, page_heads, product_listing, quote_listing, main_text, validation, validation_summary, flatten_nested, clean_nested, clean_totals, union_columns, export_rows, reported_issues, nested_schema, card_listing, rating_words, own_parser)}
+QUERIES = {f.__name__: f for f in (clean_text, clean_prices, page_text, page_heads, product_listing, quote_listing, main_text, validation, validation_summary, flatten_nested, clean_nested, clean_totals, union_columns, export_rows, reported_issues, nested_schema, model_records, card_listing, rating_words, own_parser)}
 _VALID = rf"""WITH c AS (SELECT c_custkey, CASE c_custkey % 7 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE c_name END AS name, CASE c_custkey % 5 WHEN 0 THEN NULL WHEN 1 THEN NULL ELSE round(c_acctbal, 2) END AS b, c_custkey % 3 = 0 AS bad_site FROM customer),
     i AS (SELECT *, list_filter([CASE WHEN name IS NULL THEN 'name:error:Required field ''name'' is missing' WHEN name = '' THEN 'name:error:Required field ''name'' is empty' END,
       CASE WHEN b IS NULL THEN 'balance:error:Input should be a valid number' END], lambda x: x IS NOT NULL) AS e,
@@ -229,6 +255,12 @@ ORACLE_SQL = {
     "reported_issues": f"""{_VALID}
         SELECT c_custkey, array_to_string(list_transform(list_concat(e, w), lambda x: '{{"field":"' || split_part(x, ':', 1) || '","message":"' || substr(x, length(split_part(x, ':', 1)) + length(split_part(x, ':', 2)) + 3) || '","severity":"' || split_part(x, ':', 2) || '"}}'), '|') AS issues FROM i""",
     "nested_schema": """SELECT c_custkey, c_custkey % 3 <> 0 AS is_valid, CASE WHEN c_custkey % 3 = 0 THEN 'who.nation.key:error:Input should be a valid integer' ELSE '' END AS issues, CASE WHEN c_custkey % 3 = 2 THEN c_nationkey END AS key FROM customer""",
+    "model_records": r"""WITH d AS (SELECT doc_id, lang, length(text) AS size, string_split(trim(text, ' '), ' ')[1:4] AS words, CASE WHEN doc_id % 4 > 0 THEN source END AS source FROM documents),
+        w AS (SELECT *, list_transform(words, lambda w, i: CASE WHEN length(w) < 2 THEN ['words.' || (i - 1) || '.word:String should have at least 2 characters'] WHEN length(w) > 8 THEN ['words.' || (i - 1) || '.word:String should have at most 8 characters'] ELSE []::VARCHAR[] END || CASE WHEN i > 3 THEN ['words.' || (i - 1) || '.at:Input should be less than 3'] ELSE []::VARCHAR[] END) AS in_words FROM d),
+        i AS (SELECT *, list_filter([CASE WHEN lang NOT IN ('en', 'fr', 'de') THEN 'lang:Input should be ''en'', ''fr'' or ''de''' END,
+            CASE WHEN size <= 200 THEN 'size.int:Input should be greater than 200|size.float:Input should be greater than 200' WHEN size > 5000 THEN 'size.int:Input should be less than or equal to 5000|size.float:Input should be less than or equal to 5000' END], lambda x: x IS NOT NULL)
+            || flatten(in_words) || list_filter([CASE WHEN len(words) < 3 THEN 'words:List should have at least 3 items after validation, not ' || len(words) END, CASE WHEN NOT regexp_matches(source, '^src[0-9]$') THEN 'source:String should match pattern ''^src[0-9]$''' END], lambda x: x IS NOT NULL) AS e FROM w)
+        SELECT doc_id, len(e) = 0 AS is_valid, array_to_string(e, '|') AS issues, CASE WHEN len(e) = 0 THEN size::DOUBLE END AS size, CASE WHEN len(e) = 0 THEN 0::BIGINT END AS first_at FROM i""",
     "card_listing": "SELECT p_partkey, 1 AS products_count, p_name AS name, p_size::VARCHAR AS price, '4' AS rating FROM part",
     "rating_words": "SELECT p_partkey, CASE WHEN p_partkey % 6 < 5 THEN p_partkey % 6 + 1 END::INTEGER AS rating FROM part",
     "own_parser": "SELECT page_id, CASE WHEN page_id % 4 <> 0 THEN html[:9] END AS first, CASE WHEN page_id % 4 <> 0 THEN length(html) END::INTEGER AS size, CASE WHEN page_id % 4 = 0 THEN 'ValueError: nothing to parse' END AS parse_error FROM pages",
