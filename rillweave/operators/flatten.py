@@ -20,7 +20,7 @@ def leaves(schema: T.StructType, nested: bool = True, joint: str = "_") -> dict[
 
     def walk(fields: T.StructType, name: str, path: str) -> None:
         for f in fields.fields:
-            flat, at = f"{name}{f.name}", f"{path}`{f.name}`"
+            flat, at = f"{name}{f.name}", f"{path}`{f.name.replace('`', '``')}`"
             if isinstance(f.dataType, T.StructType) and nested:
                 walk(f.dataType, f"{flat}{joint}", f"{at}.")
             elif isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
