@@ -71,17 +71,21 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
 
 
 def _in_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch, list[bytes]]]:
-    """Part number, rows and bodies; batches: pid, ..., text last. A task's parts have about _PART bytes each, by its order of rows."""
+    """Part number, rows and bodies; batches: pid, ..., text last. A row's part follows from the bytes of the task's rows before it, however they come in batches; parts have about _PART bytes."""
     size = 0
     for batch in small(batches, 256):
         if batch.num_rows:
             bodies = [symbols(t) for t in as_bytes(batch.column(batch.num_columns - 1))]
-            yield batch.column(0)[0].as_py() * _PARTS + size // _PART, batch, bodies
-            size += sum(map(len, bodies))
+            before = size + np.cumsum([0, *map(len, bodies)])
+            numbers = batch.column(0)[0].as_py() * _PARTS + before[:-1] // _PART
+            edges = [0, *(np.flatnonzero(np.diff(numbers)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(edges, edges[1:], strict=False):
+                yield int(numbers[a]), batch.slice(a, b - a), bodies[a:b]
+            size = int(before[-1])
 
 
-def count_ngrams(rows: DataFrame, order: int) -> DataFrame:
-    """lang, g, c (count in all documents) and parts (those that have it) for each n-gram g; rows: pid, lang, text."""
+def part_ngrams(rows: DataFrame, order: int) -> DataFrame:
+    """part, lang, g and n: how often each part has each n-gram g; rows: pid, ..., lang, text."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, held, size = None, [], 0
@@ -97,7 +101,7 @@ def count_ngrams(rows: DataFrame, order: int) -> DataFrame:
                 if held:
                     yield from out(part)
                 part, held, size = number, [], 0
-            langs = [language_number(x) for x in batch.column(1).to_pylist()]
+            langs = [language_number(x) for x in batch.column(batch.num_columns - 2).to_pylist()]
             for at, run in _runs(bodies):
                 grams, sizes = packed_ngrams(run, order)
                 own = np.array(langs[at : at + len(run)], np.int64)
@@ -110,8 +114,12 @@ def count_ngrams(rows: DataFrame, order: int) -> DataFrame:
         if held:
             yield from out(part)
 
-    each = rows.mapInArrow(count, "part long, lang int, g long, n long")
-    return each.groupBy("lang", "g").agg(F.sum("n").alias("c"), F.collect_set("part").alias("parts"))
+    return rows.mapInArrow(count, "part long, lang int, g long, n long")
+
+
+def count_ngrams(each: DataFrame) -> DataFrame:
+    """lang, g and c, the count in all documents, of part_ngrams."""
+    return each.groupBy("lang", "g").agg(F.sum("n").alias("c"))
 
 
 def _runs(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
@@ -156,13 +164,14 @@ def kneser_ney(counts: DataFrame, order: int) -> DataFrame:
     return below
 
 
-def log_perplexities(rows: DataFrame, order: int) -> DataFrame:
-    """The columns of rows (pid, id, lang, ..., text last) without pid and text, and log_perplexity (null without words)."""
+def log_perplexities(texts: DataFrame, rows: DataFrame, order: int) -> DataFrame:
+    """The columns of rows (pid, id, lang, ..., text last) without pid and text, and log_perplexity (null without words). texts: the same rows, with pid, ..., lang and text, without what was worked out for them."""
     kept = rows.columns[1:-1]
     kind = rows.select(kept).schema
-    grams = cut(count_ngrams(rows.select("pid", "lang", rows.columns[-1]), order), "grams")
-    p = kneser_ney(grams, order)
-    found = grams.select("lang", "g", "parts").join(p, ["lang", "g"])
+    each = cut(part_ngrams(texts, order), "grams")
+    p = kneser_ney(cut(count_ngrams(each), "counts"), order)
+    # Each part gets its own n-grams' probabilities: a row for each, as an n-gram may be in every part.
+    found = each.select("part", "lang", "g").join(p, ["lang", "g"])
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sorted arrays for each part: n-grams as differences, then log probabilities."""
@@ -179,11 +188,9 @@ def log_perplexities(rows: DataFrame, order: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([int(part[a])]), pa.array([b - a], pa.int64()), pa.array([data], pa.binary())], ["part", "n", "model"])
 
         for batch in batches:
-            times = np.diff(batch.column(3).offsets.to_numpy())
-            key = (batch.column(0).to_numpy().astype(np.int64) << 40) | batch.column(1).to_numpy()
-            logp = np.log(batch.column(2).to_numpy()).astype(np.float32)
-            held.append((batch.column(3).flatten().to_numpy(), np.repeat(key, times), np.repeat(logp, times)))
-            size += int(times.sum())
+            key = (batch.column(1).to_numpy().astype(np.int64) << 40) | batch.column(2).to_numpy()
+            held.append((batch.column(0).to_numpy(), key, np.log(batch.column(3).to_numpy()).astype(np.float32)))
+            size += batch.num_rows
             if size > 1 << 20:
                 yield from out()
                 held, size = [], 0
@@ -201,9 +208,9 @@ def log_perplexities(rows: DataFrame, order: int) -> DataFrame:
             sizes = np.array([len(b) for b in bodies], np.int64)
             yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([packer.compress(sink.getvalue().to_pybytes())], pa.binary()), pa.array([packer.compress(sizes.tobytes() + b"".join(bodies))], pa.binary())], ["part", "rows", "bodies"])
 
-    model = found.select("lang", "g", "p", "parts").mapInArrow(chunks, "part long, n long, model binary").select("part", "n", "model", F.lit(None).cast("binary").alias("rows"), F.lit(None).cast("binary").alias("bodies"))
-    texts = rows.mapInArrow(blocks, "part long, rows binary, bodies binary").select("part", F.lit(None).cast("long").alias("n"), F.lit(None).cast("binary").alias("model"), "rows", "bodies")
-    dealt = model.unionByName(texts).repartition("part").sortWithinPartitions("part", F.col("n").isNull())
+    model = found.select("part", "lang", "g", "p").mapInArrow(chunks, "part long, n long, model binary").select("part", "n", "model", F.lit(None).cast("binary").alias("rows"), F.lit(None).cast("binary").alias("bodies"))
+    packed = rows.mapInArrow(blocks, "part long, rows binary, bodies binary").select("part", F.lit(None).cast("long").alias("n"), F.lit(None).cast("binary").alias("model"), "rows", "bodies")
+    dealt = model.unionByName(packed).repartition("part").sortWithinPartitions("part", F.col("n").isNull())
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpacker = zstandard.ZstdDecompressor()
@@ -293,7 +300,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(x, pa.int64()) for x in counts), batch.column(3)], ["pid", "id", "lang", *names, "text"])
 
     counted = rows.mapInArrow(base, f"pid int, id {kind}, lang string, " + ", ".join(f"{n} long" for n in names) + ", text string")
-    scored = cut(log_perplexities(counted, order), "scores")
+    scored = cut(log_perplexities(rows, counted, order), "scores")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     scored = scored.withColumns({"base_failed": failed, "bin": F.round(F.col("log_perplexity") * 10_000).cast("long")})
     bins = scored.where("not base_failed").groupBy("lang", "bin").agg(F.count("*").alias("n"))

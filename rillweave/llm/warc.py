@@ -1,9 +1,9 @@
 """WARC archives: a distributed writer and a salvage reader.
 
-Every record is a gzip member of its own. Spark's text writer joins the members
-with an empty member as line separator, so files are plain concatenations of
-members, on any file system that Spark writes to, under Spark's commit
-protocol.
+Every record is a gzip member of its own. Spark's text writer joins lines of
+members with an empty member as line separator, so files are plain
+concatenations of members, on any file system that Spark writes to, under
+Spark's commit protocol. Files end by bytes, not by records.
 
 The reader checks each record: gzip checksum, version line, header fields,
 length, end of record, block digest. Where a check fails it looks for the next
@@ -38,6 +38,7 @@ _START = re.compile(rb"\x1f\x8b\x08|WARC/\d\.\d\r\n")
 _VERSION = re.compile(rb"WARC/\d\.\d\r\n")
 _REQUIRED = ("warc-type", "warc-record-id", "content-length")
 _STEP = 1 << 16
+_LINES = 128
 
 
 @dataclass
@@ -242,13 +243,15 @@ def read_archive(data: bytes) -> Iterator[Record | Gap]:
         yield Gap(lost, len(data) - lost, reason)
 
 
-def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", *, smallest: int = 100, records_per_file: int = 20_000) -> None:
+def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", *, smallest: int = 100, file_bytes: int = 128 << 20) -> None:
     """Write a record per row: null payloads are empty, null urls leave the field out.
 
     Of rows whose payloads are equal and have at least `smallest` bytes, those
     with the smallest id are responses and all others revisit it; null ids come
     last. Payloads are shuffled only if the repeated ones are too many to send
-    to every task; what is decided on is digests.
+    to every task; what is decided on is digests. A file ends when it has about
+    file_bytes, so that a reader can take it as one value; a longer record is in a file
+    with few others.
     """
     body = text_or_empty(payload_col)
     rows = pages.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{url_col}`").cast("string").alias("url"), body.alias("body"))
@@ -258,16 +261,30 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     typed = rows.withColumn("digest", digest).join(first, "digest", "left")
     refers = F.when(F.col("first_id").isNotNull() & ~F.col("id").eqNullSafe(F.col("first_id")), F.col("first_id"))
 
+    # A line of the text writer has members of this many bytes, and a file so many lines. A longer line is followed by empty ones, each an empty member, as if it were so many.
+    line_bytes, lines_per_file = max(1, file_bytes // _LINES), _LINES
+
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def line() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([b"".join(held), *[b""] * (-(-size // line_bytes) - 1)], pa.binary())], ["member"])
+
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256).to_pydict()
-                members = [gzip_member(build_record(i, u, p.encode(), r)) for i, u, p, r in zip(part["id"], part["url"], part["body"], part["refers_to"], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(members, pa.binary())], ["member"])
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64).to_pydict()
+                for i, u, p, r in zip(part["id"], part["url"], part["body"], part["refers_to"], strict=True):
+                    held.append(gzip_member(build_record(i, u, p.encode(), r)))
+                    size += len(held[-1])
+                    if size >= line_bytes:
+                        yield line()
+                        held, size = [], 0
+        if held:
+            yield line()
 
     members = typed.select(F.col("id").cast("string").alias("id"), "url", "body", refers.cast("string").alias("refers_to")).mapInArrow(build, "member binary")
     lines = members.select(F.col("member").cast("string").alias("value"))
-    lines.write.option("lineSep", EMPTY_MEMBER.decode("latin-1")).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", records_per_file).text(path)
+    lines.write.option("lineSep", EMPTY_MEMBER.decode("latin-1")).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", lines_per_file).text(path)
 
 
 RECORD_SCHEMA = "archive string, offset long, length long, inner_offset long, gap string, warc_type string, record_id string, target_uri string, refers_to string, payload_digest string, payload_length long, payload binary"

@@ -513,7 +513,7 @@ def test_warc_round_trip(spark, tmp_path):
     body = "<p>é</p>" * 30
     rows = [(3, "http://a/b c\r\nX: y", body), (1, None, body), (2, "u", body), (4, "u", "short"), (5, "u", "short"), (6, "u", None), (7, "u", ""), (None, "u", body), (None, "u", "WARC/1.1\r\nWARC-Type: response\r\n\r\n" + "x" * 200), (8, "u", "\x1f\x8b\x08" * 60)]
     pages = spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, digest int").repartition(3)
-    warc.write_warc(pages, f"file://{tmp_path}/w", records_per_file=2)
+    warc.write_warc(pages, f"file://{tmp_path}/w", file_bytes=1000)
     got = warc.read_warc(spark, f"file://{tmp_path}/w").withColumn("page", warc.page_of("record_id")).withColumn("to", warc.page_of("refers_to")).collect()
     assert not [r for r in got if r.gap]
     want = Counter()
@@ -522,8 +522,21 @@ def test_warc_round_trip(spark, tmp_path):
         want[i, "revisit" if again else "response", 1 if again else None, len((html or "").encode()), None if again else (html or "").encode()] += 1
     assert Counter((r.page, r.warc_type, r.to, r.payload_length, None if r.payload is None else bytes(r.payload)) for r in got) == want
     assert {r.payload_digest for r in got if r.page in (1, 2, 3)} == {"sha256:" + hashlib.sha256(body.encode()).hexdigest()}
-    part = next((tmp_path / "w").glob("part-*"))
-    assert gzip.decompress(part.read_bytes()).startswith(b"WARC/1.1")
+    whole = b"".join(gzip.decompress(f.read_bytes()) for f in sorted((tmp_path / "w").glob("part-*")))
+    assert whole.startswith(b"WARC/1.1") and whole.count(b"WARC-Type: ") == len(rows) + 1  # one is inside a payload
+
+
+def test_warc_files_end_by_bytes(spark, tmp_path):
+    """Archives stay near their size whatever the records': many small ones, some long, one longer than a file."""
+    draw = random.Random(2)
+    say = lambda n: "".join(draw.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/", k=n))
+    rows = [(i, "u", say(100_000 if i % 4 else 900)) for i in range(60)] + [(60, "u", say(3_000_000)), (61, "u", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    warc.write_warc(pages, f"file://{tmp_path}/w", file_bytes=1 << 20)
+    sizes = sorted(f.stat().st_size for f in (tmp_path / "w").glob("part-*"))
+    assert sum(s > (1 << 20) + 110_000 for s in sizes) == 1 and sizes[-1] < 4_000_000 and len(sizes) >= 4
+    got = warc.read_warc(spark, f"file://{tmp_path}/w").withColumn("page", warc.page_of("record_id")).collect()
+    assert not [r for r in got if r.gap] and {r.page: bytes(r.payload).decode() for r in got} == {i: h for i, _, h in rows}
 
 
 @pytest.mark.parametrize("packed", [False, True])
@@ -706,7 +719,7 @@ def unpacked(g, order):
 def test_kneser_ney_by_definition(spark, order):
     texts = ["the cat sat on the mat", "a  CAT and a rat", "", "thethethe a", "é x"]
     rows = spark.createDataFrame([(t, "x" if i % 2 else None) for i, t in enumerate(texts * 2)], "text string, lang string").repartition(3).select(F.spark_partition_id().alias("pid"), "lang", "text")
-    counts = perplexity_rules.count_ngrams(rows, order)
+    counts = perplexity_rules.count_ngrams(perplexity_rules.part_ngrams(rows, order))
     got = {(r.lang, unpacked(r.g, order)): r.p for r in perplexity_rules.kneser_ney(counts, order).collect()}
     want = {}
     for lang in (None, "x"):
@@ -716,6 +729,19 @@ def test_kneser_ney_by_definition(spark, order):
     assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in got)
 
 
+def test_parts_follow_from_rows_and_not_from_batches(monkeypatch):
+    monkeypatch.setattr(perplexity_rules, "_PART", 50)
+    draw = random.Random(1)
+    texts = ["x" * draw.randint(0, 40) for _ in range(400)] + ["y" * 500, "z"]
+    table = pa.table({"pid": pa.array([3] * len(texts), pa.int32()), "text": texts})
+    seen = []
+    for size in (1, 7, 256, 1000):
+        parts = [(number, body) for number, batch, bodies in perplexity_rules._in_parts(iter(table.to_batches(max_chunksize=size))) for body, _ in zip(bodies, batch.to_pylist(), strict=True)]
+        assert [b.decode() for _, b in parts] == texts
+        seen.append([n for n, _ in parts])
+    assert all(s == seen[0] for s in seen) and len(set(seen[0])) > 50 and seen[0] == sorted(seen[0])
+
+
 def cached(f):
     held = {}
     return lambda g: held[g] if g in held else held.setdefault(g, f(g))
