@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import os
+from collections.abc import Mapping
+from dataclasses import dataclass, fields
+
+_TRUE, _FALSE = {"1", "true", "yes", "on"}, {"0", "false", "no", "off"}
 
 
 @dataclass(frozen=True)
@@ -30,4 +34,22 @@ class Options:
             raise ValueError("delays must be bounds in order")
 
 
-OPTIONS = Options()
+
+def from_environment(environment: Mapping[str, str], prefix: str = "RILLWEAVE_") -> Options:
+    """Options with what the environment sets: the prefix and a field's name in capitals. What is no value of the field's type is an error."""
+    set_to = {}
+    for f in fields(Options):
+        text = environment.get(f"{prefix}{f.name.upper()}")
+        if text is None:
+            continue
+        kind = type(f.default)
+        if kind is bool and text.strip().lower() not in _TRUE | _FALSE:
+            raise ValueError(f"{prefix}{f.name.upper()} must be true or false: {text}")
+        try:
+            set_to[f.name] = text.strip().lower() in _TRUE if kind is bool else kind(text)
+        except ValueError as e:
+            raise ValueError(f"{prefix}{f.name.upper()}: {e}") from None
+    return Options(**set_to)
+
+
+OPTIONS = from_environment(os.environ)

@@ -287,3 +287,14 @@ def test_entry_works_without_a_library_that_optional_parts_need():
     code = "import sys; sys.modules['tiktoken'] = None; import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert 'host_profile' in q and 'pipeline' not in q and not any(n.startswith('op') and n[2].isdigit() for n in (*q, *o))"
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     assert subprocess.run([sys.executable, "-c", code], cwd=root, check=False, timeout=120).returncode == 0
+
+
+def test_options_from_the_environment():
+    from rillweave.options import Options, from_environment
+
+    assert from_environment({"OTHER": "1"}) == Options()
+    got = from_environment({"RILLWEAVE_MAX_TOKENS": "9", "RILLWEAVE_REFILL_RATE": "0.25", "RILLWEAVE_RESPECT_ROBOTS": "No", "RILLWEAVE_EXPORT_FOLDER": "x"})
+    assert (got.max_tokens, got.refill_rate, got.respect_robots, got.export_folder) == (9, 0.25, False, "x")
+    for name, value in (("MAX_TOKENS", "many"), ("RESPECT_ROBOTS", "perhaps"), ("WORKERS", "0")):
+        with pytest.raises(ValueError):
+            from_environment({f"RILLWEAVE_{name}": value})
