@@ -7,8 +7,11 @@ failing its batch.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import functools
+from collections.abc import Callable, Collection, Iterator
+from dataclasses import dataclass
 from html.parser import HTMLParser
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column
@@ -20,6 +23,7 @@ _BLOCKS = frozenset("address article aside blockquote body div dl fieldset foote
 _ENDS = {"li": ("li", {"ul", "ol"}), "option": ("option", {"select"}), "tr": ("tr", {"table"}), "td": ("td", {"tr", "table"}), "th": ("th", {"tr", "table"}), "dt": ("dd", {"dl"}), "dd": ("dt", {"dl"})}
 _SILENT = frozenset(("script", "style", "template"))
 _DROPPED = frozenset(("script", "style", "nav", "footer", "header"))
+# What the words of a rating count.
 _RATINGS = {"One": 1, "Two": 2, "Three": 3, "Four": 4, "Five": 5}
 #: Containers tried for product lists, in order: tag and part of its class.
 # Boxes of a product list, tried in this order.
@@ -147,78 +151,123 @@ def _like(part: str, tag: str | None = None, fold: bool = True) -> Callable[[Nod
     return test
 
 
-def _text(node: Node | None) -> str | None:
-    return None if node is None else node.text()
-
-
-def quotes_in(root: Node) -> list[dict]:
-    found = []
-    for box in root.all(_has("div", "quote")):
-        words = _text(box.first(_has("span", "text")))
-        if words:
-            link, tags = box.first(lambda n: n.tag == "a" and "/author/" in n.attrs.get("href", "")), box.first(_has("div", "tags"))
-            names = [a.text() for a in tags.all(_has("a", "tag"))] if tags else []
-            found.append({"text": words, "author": _text(box.first(_has("small", "author"))), "author_url": link and link.attrs["href"], "tags": names or None})
-    return found
+def _attr(name: str) -> Callable[[Node], str]:
+    return lambda n: n.attrs.get(name, "")
+
+
+def _word(stars: Node) -> str | None:
+    """The rating among the classes of a box of stars, as it is written."""
+    return next((c for c in stars.classes() if c != "star-rating"), None)
+
+
+@dataclass(frozen=True)
+class Pick:
+    """What a field of a box is: the first match of each step below the one before, and what is taken of the last; None where a step has no match."""
+
+    steps: tuple[Callable[[Node], bool], ...]
+    take: Callable[[Node], Any] = Node.text
+
+    def of(self, node: Node) -> Any:
+        for step in self.steps:
+            node = node.first(step)
+            if node is None:
+                return None
+        return self.take(node)
+
+
+@dataclass(frozen=True)
+class Listing:
+    """Boxes of a tag and the fields of each; a box counts if one of the fields `need` (any field, if none are named) has a value."""
+
+    tag: str
+    box: Callable[[Node], bool]
+    fields: dict[str, Pick]
+    need: tuple[str, ...] = ()
+
+    def boxes(self, by_tag: dict[str, list[Node]]) -> list[Node]:
+        return [n for n in by_tag.get(self.tag, ()) if self.box(n)]
+
+    def rows(self, boxes: list[Node]) -> list[dict]:
+        found = ({name: pick.of(box) for name, pick in self.fields.items()} for box in boxes)
+        return [r for r in found if any((r[n] for n in self.need) if self.need else (v is not None for v in r.values()))]
+
+
+_LINK = (_tag("h3"), _tag("a"))
+_STARS = (_like("star-rating", "p", fold=False),)
+# Where the fields of quotes, of product pods and of product cards stand.
+QUOTES = Listing(
+    "div",
+    _has("div", "quote"),
+    {
+        "text": Pick((_has("span", "text"),)),
+        "author": Pick((_has("small", "author"),)),
+        "author_url": Pick((lambda n: n.tag == "a" and "/author/" in n.attrs.get("href", ""),), _attr("href")),
+        "tags": Pick((_has("div", "tags"),), lambda n: [a.text() for a in n.all(_has("a", "tag"))] or None),
+    },
+    need=("text",),
+)
+PODS = Listing(
+    "article",
+    _has("article", "product_pod"),
+    {
+        "name": Pick(_LINK, lambda a: a.attrs.get("title", "") or a.text()),
+        "url": Pick(_LINK, _attr("href")),
+        "rating": Pick(_STARS, lambda n: None if (w := _word(n)) is None else str(_RATINGS.get(w, w))),
+        "rating_num": Pick(_STARS, lambda n: _RATINGS.get(_word(n))),
+        "price": Pick((_has("p", "price_color"),)),
+        "availability": Pick((_has("p", "instock"),)),
+        "image": Pick((_tag("img"),), _attr("src")),
+    },
+)
+CARDS = [Listing(tag, _like(part, tag), {"name": Pick((_tag("h2", "h3", "h4", "a"),), lambda n: n.text()[:200]), "price": Pick((_like("price"),)), "rating": Pick((_like("rating"),))}, need=("name",)) for tag, part in _LISTS]
+
+
+def products_in(by_tag: dict[str, list[Node]]) -> list[dict]:
+    """Pods if the page has any, else the first kind of cards that gives rows."""
+    blank = dict.fromkeys(PODS.fields)
+    pods = PODS.boxes(by_tag)
+    if pods:
+        return PODS.rows(pods)
+    return next(([blank | r for r in rows] for kind in CARDS if (rows := kind.rows(kind.boxes(by_tag)))), [])
 
 
-def products_in(root: Node) -> list[dict]:
-    blank = dict.fromkeys(("name", "url", "price", "rating", "rating_num", "availability", "image"))
-    pods = list(root.all(_has("article", "product_pod")))
-    found = []
-    for pod in pods:
-        item = dict(blank)
-        head = pod.first(_tag("h3"))
-        link = head and head.first(_tag("a"))
-        if link:
-            item["name"], item["url"] = link.attrs.get("title", "") or link.text(), link.attrs.get("href", "")
-        stars = pod.first(_like("star-rating", "p", fold=False))
-        rating = next((c for c in stars.classes() if c != "star-rating"), None) if stars else None
-        if rating is not None:
-            item["rating"], item["rating_num"] = str(_RATINGS.get(rating, rating)), _RATINGS.get(rating)
-        image = pod.first(_tag("img"))
-        item |= {"price": _text(pod.first(_has("p", "price_color"))), "availability": _text(pod.first(_has("p", "instock"))), "image": image.attrs.get("src", "") if image else None}
-        if any(v is not None for v in item.values()):
-            found.append(item)
-    if pods:
-        return found
-    for tag, part in _LISTS:
-        for box in root.all(_like(part, tag)):
-            name = _text(box.first(_tag("h2", "h3", "h4", "a")))
-            if name:
-                found.append(blank | {"name": name[:200], "price": _text(box.first(_like("price"))), "rating": _text(box.first(_like("rating")))})
-        if found:
-            return found
+def _by_tag(root: Node) -> dict[str, list[Node]]:
+    """All nodes in order of the page, by tag: one walk for all lists."""
+    found: dict[str, list[Node]] = {}
+    for n in root.walk():
+        found.setdefault(n.tag, []).append(n)
     return found
 
 
-def page_record(page: str) -> dict:
-    """All fields of a page. The text is cut before its length is taken; parts dropped for it are gone for lists that come later."""
-    root = parse(page)
-    title, h1 = root.first(_tag("title")), root.first(_tag("h1"))
-    meta = root.first(lambda n: n.tag == "meta" and n.attrs.get("name") == "description")
-    links = [{"url": a.attrs["href"], "text": a.text()[:100]} for a in root.all(_tag("a")) if a.attrs.get("href", "").startswith("http")]
-    main = root.first(_tag("main")) or root.first(_tag("article")) or root.first(_tag("body")) or (root if root.children and not root.first(_tag("body")) else None)
-    body = ""
-    if main:
-        for part in list(main.all(_tag(*_DROPPED))):
+#: Fields of a page in groups that are worked out together.
+_HEAD, _LINKS, _BODY, _PRODUCTS, _QUOTES = {"title", "description", "h1"}, {"links", "links_count"}, {"text_length", "text_preview"}, {"products", "products_count"}, {"quotes", "quotes_count"}
+
+
+def page_record(page: str, fields: Collection[str] | None = None) -> dict:
+    """The fields of a page, all or some. The text is cut before its length is taken; parts dropped for it are gone for lists that come later."""
+    wanted = _HEAD | _LINKS | _BODY | _PRODUCTS | _QUOTES if fields is None else set(fields)
+    root, out = parse(page), {"parse_error": None}
+    if wanted & _HEAD:
+        title, h1 = root.first(_tag("title")), root.first(_tag("h1"))
+        meta = root.first(lambda n: n.tag == "meta" and n.attrs.get("name") == "description")
+        out |= {"title": title.text() if title else "", "description": _attr("content")(meta) if meta else "", "h1": h1.text() if h1 else ""}
+    if wanted & _LINKS:
+        links = [{"url": a.attrs["href"], "text": a.text()[:100]} for a in root.all(_tag("a")) if a.attrs.get("href", "").startswith("http")]
+        out |= {"links": links, "links_count": len(links)}
+    if wanted & (_BODY | _PRODUCTS | _QUOTES):
+        main = root.first(_tag("main")) or root.first(_tag("article")) or root.first(_tag("body")) or (root if root.children and not root.first(_tag("body")) else None)
+        for part in list(main.all(_tag(*_DROPPED))) if main else ():
             part.remove()
-        body = main.text(" ")[:5000]
-    products, quotes = products_in(root), quotes_in(root)
-    return {
-        "title": title.text() if title else "",
-        "description": meta.attrs.get("content", "") if meta else "",
-        "h1": h1.text() if h1 else "",
-        "links": links,
-        "links_count": len(links),
-        "text_length": len(body),
-        "text_preview": body[:500],
-        "products": products or None,
-        "products_count": len(products) or None,
-        "quotes": quotes or None,
-        "quotes_count": len(quotes) or None,
-        "parse_error": None,
-    }
+        if wanted & _BODY:
+            body = main.text(" ")[:5000] if main else ""
+            out |= {"text_length": len(body), "text_preview": body[:500]}
+        if wanted & (_PRODUCTS | _QUOTES):
+            by_tag = _by_tag(root)
+            for name, group, find in (("products", _PRODUCTS, products_in), ("quotes", _QUOTES, lambda b: QUOTES.rows(QUOTES.boxes(b)))):
+                if wanted & group:
+                    found = find(by_tag)
+                    out |= {name: found or None, f"{name}_count": len(found) or None}
+    return out
 
 
 def _record(parser: Callable[[str], dict], page: str | None, names: list[str]) -> dict:
@@ -228,11 +277,16 @@ def _record(parser: Callable[[str], dict], page: str | None, names: list[str]) -
         return dict.fromkeys(names) | {"parse_error": f"{type(e).__name__}: {e}"}
 
 
-def extract(page: Column, parser: Callable[[str], dict] = page_record, schema: str = PAGE_SCHEMA) -> Column:
-    """A struct of the page's fields; a parser of one's own maps HTML to a dict of the schema's fields, with parse_error among them."""
-    names = [f.split()[0].rstrip(":") for f in _top_level(schema)]
+def extract(page: Column, parser: Callable[[str], dict] = page_record, schema: str = PAGE_SCHEMA, fields: list[str] | None = None) -> Column:
+    """A struct of the page's fields; a parser of one's own maps HTML to a dict of the schema's fields, with parse_error among them. fields: those of a page_record that are wanted, so that no others are worked out and sent."""
+    kinds = {f.split()[0].rstrip(":"): f for f in _top_level(schema)}
+    if fields is not None:
+        if parser is not page_record:
+            raise ValueError("fields are those of page_record")
+        kinds, parser = {n: kinds[n] for n in [*fields, "parse_error"]}, functools.partial(page_record, fields=frozenset(fields))
+    names = list(kinds)
 
-    @F.pandas_udf(schema)
+    @F.pandas_udf(", ".join(kinds.values()))
     def run(pages: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([_record(parser, p, names) for p in pages], columns=names)
 

@@ -51,7 +51,7 @@ def _headed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _headed(spark, sf_dir).withColumn("r", html.extract(F.col("html"))).select("page_id", F.md5("r.title").alias("title_md5"), F.md5("r.h1").alias("h1_md5"), "r.links_count", "r.description", F.col("r.parse_error").isNull().alias("parsed"))
+    return _headed(spark, sf_dir).withColumn("r", html.extract(F.col("html"), fields=["title", "description", "h1", "links_count"])).select("page_id", F.md5("r.title").alias("title_md5"), F.md5("r.h1").alias("h1_md5"), "r.links_count", "r.description", F.col("r.parse_error").isNull().alias("parsed"))
 
 
 def _escaped(c):
@@ -67,21 +67,21 @@ def product_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pod = F.concat(F.lit('<article class="product_pod"><img src="/i/'), key, F.lit('.jpg"><p class="star-rating '), words, F.lit('"></p><h3><a href="/p/'), key, F.lit('" title="'), F.col("p_name"), F.lit('">x...</a></h3><p class="price_color">'), price, F.lit('</p><p class="instock availability"> In stock </p></article>'))
     card = F.concat(F.lit('<div class="Product-Card big"><h2> '), F.col("p_name"), F.lit(' </h2><span class="sale-Price">'), price, F.lit('</span><i class="rating">'), words, F.lit("</i><br></div>"))
     page = F.concat(F.lit("<html><body><p>list<ul><li>a<li>b</ul>"), F.when(F.col("p_partkey") % 2 == 0, pod).otherwise(card), F.lit("</body></html>"))
-    got = p.select("p_partkey", html.extract(page).alias("r")).select("p_partkey", "r.products_count", F.explode("r.products").alias("x"))
+    got = p.select("p_partkey", html.extract(page, fields=["products", "products_count"]).alias("r")).select("p_partkey", "r.products_count", F.explode("r.products").alias("x"))
     return got.select("p_partkey", "products_count", "x.name", "x.url", "x.price", "x.rating", "x.rating_num", "x.availability", "x.image")
 
 
 def quote_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = spread(table(spark, sf_dir, "documents"))
     page = F.concat(F.lit('<div class="row quote"><span class="text">'), _escaped(F.col("text")), F.lit('</span><small class="author"> '), F.col("source"), F.lit('</small><a href="/author/'), F.col("source"), F.lit('">(about)</a><div class="tags"><a class="tag">'), F.col("lang"), F.lit('</a><a class="tag">x</a></div></div>'))
-    got = d.select("doc_id", html.extract(page).alias("r")).select("doc_id", F.explode("r.quotes").alias("q"))
+    got = d.select("doc_id", html.extract(page, fields=["quotes"]).alias("r")).select("doc_id", F.explode("r.quotes").alias("q"))
     return got.select("doc_id", F.md5("q.text").alias("text_md5"), "q.author", "q.author_url", F.array_join("q.tags", "|").alias("tags"))
 
 
 def main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages made from documents: the text without navigation and scripts, cut, and its length after that."""
     body = F.concat(F.lit("<body><nav>n</nav><main><script>s()</script>"), _escaped(F.regexp_replace("text", r"\s+", " ")), F.lit("<footer>f</footer></main></body>"))
-    return spread(table(spark, sf_dir, "documents")).select("doc_id", html.extract(body).alias("r")).select("doc_id", "r.text_length", F.md5("r.text_preview").alias("preview_md5"))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", html.extract(body, fields=["text_length", "text_preview"]).alias("r")).select("doc_id", "r.text_length", F.md5("r.text_preview").alias("preview_md5"))
 
 
 def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,7 +154,7 @@ def card_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pick = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (n + 1).cast("int"))
     tag, cls, head = pick(["div", "div", "div", "li", "div"], k % 5), pick(["a product-item", "Product-Card", "products", "product", "item"], k % 5), pick(["h2", "h3", "h4", "a"], k % 4)
     page = F.concat(F.lit("<body><"), tag, F.lit(' class="'), cls, F.lit('"><'), head, F.lit(">"), _escaped(F.col("p_name")), F.lit("</"), head, F.lit('><b class="the-price">'), F.col("p_size").cast("string"), F.lit('</b><i class="Rating">4</i></'), tag, F.lit("></body>"))
-    got = spread(table(spark, sf_dir, "part")).select("p_partkey", html.extract(page).alias("r"))
+    got = spread(table(spark, sf_dir, "part")).select("p_partkey", html.extract(page, fields=["products", "products_count"]).alias("r"))
     return got.select("p_partkey", "r.products_count", F.explode("r.products").alias("p")).select("p_partkey", "products_count", "p.name", "p.price", "p.rating")
 
 

@@ -298,3 +298,14 @@ def test_options_from_the_environment():
     for name, value in (("MAX_TOKENS", "many"), ("RESPECT_ROBOTS", "perhaps"), ("WORKERS", "0")):
         with pytest.raises(ValueError):
             from_environment({f"RILLWEAVE_{name}": value})
+
+
+def test_some_fields_are_those_of_the_whole_record():
+    page = '<html><head><title>T</title><meta name="description" content="d"></head><body><h1>H</h1><nav><div class="product"><h2>gone</h2></div></nav><div class="quote"><span class="text">q</span></div><div class="product-card x"><h3>a</h3><b class="Price">1</b></div><a href="http://x">x</a></body></html>'
+    whole = html.page_record(page)
+    assert whole["products"] == [dict.fromkeys(html.PODS.fields) | {"name": "a", "price": "1"}] and whole["quotes"] == [{"text": "q", "author": None, "author_url": None, "tags": None}]
+    for some in ({"title"}, {"links"}, {"products_count"}, {"quotes", "text_length"}, {"text_preview", "h1", "links_count"}):
+        got = html.page_record(page, some)
+        assert {k: whole[k] for k in got} == got and some <= set(got)
+    with pytest.raises(ValueError, match="page_record"):
+        html.extract(F.col("x"), lambda p: {}, "a string, parse_error string", fields=["a"])
