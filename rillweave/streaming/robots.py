@@ -123,6 +123,5 @@ def rules_in_force(events: DataFrame, ttl_seconds: int = 3600, delay: str = "10
 
 
 def state_in_rocksdb(spark: SparkSession) -> None:
-    """What streams with state of this kind need. Batches write what changed, not whole snapshots, so many small states stay cheap."""
+    """What streams with state of this kind need."""
     spark.conf.set(_PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
