@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
@@ -15,7 +15,7 @@ from ..functions.urls import storage_key
 from ..sources.shared import written
 from .frontier import disposition, queue_counts, queue_stats
 from .robots import can_fetch
-from .store import current
+from .store import latest
 
 # What browsers don't load.
 BLOCKED_DOMAINS = ["google-analytics.com", "googletagmanager.com", "facebook.com", "doubleclick.net", "analytics.", "tracker.", "ads."]
@@ -48,23 +48,30 @@ def route(status: Column, error: Column, content: Column) -> Column:
     return F.when(ok & detect.needs_browser_quick(content), "browser").when(ok, "http").when(is_blocked(status), "browser").otherwise("failed")
 
 
-def process(urls: DataFrame, fetches: DataFrame, log: DataFrame | None = None, parser: Callable[[str], dict] = page_record, schema: str = PAGE_SCHEMA, clean: bool = True) -> DataFrame:
+def process(urls: DataFrame, fetches: DataFrame, log: DataFrame | None = None, parser: Callable[[str], dict] = page_record, schema: str = PAGE_SCHEMA, clean: bool = True, by: Sequence[str] = ()) -> DataFrame:
     """A result row for each url: held pages are parsed again, others come from the fetch log, those without a fetch fail.
 
     fetches: url, status_code, content, response_time, error; rendered, if
-    there, is what a browser gave. Held pages have status 0 and time 0.
+    there, is what a browser gave. Held pages have status 0 and time 0. Of
+    several fetches of a URL one counts: a success before failures, then the
+    lower status, the shorter time and the longer content.
+
+    by: columns of urls, fetches and the log that tell visits of a URL apart;
+    each takes only its own fetch and what the log has of it.
     """
+    by = list(by)
     rendered = F.col("rendered") if "rendered" in fetches.columns else F.lit(None).cast("string")
-    rows = urls.select("url")
+    rows = urls.select("url", *by)
     if log is not None:
-        kept = current(log).select(F.col("url_hash").alias("__key"), F.col("content").alias("__held"), F.lit(True).alias("__is_held"))
-        rows = rows.withColumn("__key", storage_key(F.col("url"))).join(kept, "__key", "left")
+        kept = latest(log, ["content"], by).where("op = 'S'").select(*by, F.col("url_hash").alias("__key"), F.col("content").alias("__held"), F.lit(True).alias("__is_held"))
+        rows = rows.withColumn("__key", storage_key(F.col("url"))).join(kept, [*by, "__key"], "left")
     else:
         rows = rows.withColumns({"__held": F.lit(None).cast("string"), "__is_held": F.lit(None).cast("boolean")})
     held = F.coalesce("__is_held", F.lit(False))
-    fetched = fetches.select(F.col("url").alias("__url"), "status_code", "content", "response_time", "error", rendered.alias("rendered"))
+    fetched = _one_each(fetches.select(F.col("url").alias("__url"), *(F.col(c).alias(f"__{c}") for c in by), "status_code", "content", "response_time", "error", rendered.alias("rendered")), ["__url", *(f"__{c}" for c in by)])
+    same = [F.col("url") == F.col("__url"), *(F.col(c) == F.col(f"__{c}") for c in by)]
     # Every row has its page and its fetch beside it, so that urls and the log are gone through once; held rows take no fetch.
-    got = rows.join(fetched, (F.col("url") == F.col("__url")) & ~held, "left")
+    got = rows.join(fetched, [*same, ~held], "left")
     way = F.when(F.col("status_code").isNull(), "failed").otherwise(route(F.col("status_code"), F.col("error"), F.col("content")))
     got = got.withColumn("route", way)
     ok = F.coalesce(is_success(F.col("status_code"), F.col("error")) | ((F.col("route") == "browser") & F.col("rendered").isNotNull()), F.lit(False))
@@ -85,30 +92,38 @@ def process(urls: DataFrame, fetches: DataFrame, log: DataFrame | None = None, p
     return parsed
 
 
+def _one_each(fetches: DataFrame, keys: list[str]) -> DataFrame:
+    """The fetch of each key that counts. An aggregate by the columns that the join goes by, so it adds no exchange."""
+    first = F.struct(is_success(F.col("status_code"), F.col("error")), -F.col("status_code"), -F.col("response_time"), F.octet_length("content"), F.xxhash64("content", "rendered", "error"))
+    rest = [c for c in fetches.columns if c not in keys]
+    return fetches.groupBy(*keys).agg(F.max_by(F.struct(*rest), first).alias("__f")).select(*keys, *(F.col(f"__f.{c}").alias(c) for c in rest))
+
+
 def blocked_by_robots(urls: DataFrame) -> DataFrame:
     """The failure rows of URLs that may not be fetched."""
     return urls.select("url", F.lit(False).alias("success"), F.lit(0).alias("status_code"), F.lit("Blocked by robots.txt").alias("error"), F.lit(0.0).alias("response_time"))
 
 
-def _judged(urls: DataFrame, rules: DataFrame | None, max_size: int | None, seen: DataFrame | None) -> DataFrame:
-    """Each URL offered (seq, url) with its disposition. What robots rules say is written down, since the frontier looks at it more than once."""
-    offered = written(can_fetch(urls, rules).select("seq", "url", "allowed"), "offered") if rules is not None else urls.select("seq", "url", F.lit(True).alias("allowed"))
+def _judged(urls: DataFrame, rules: DataFrame | None, max_size: int | None, seen: DataFrame | None, by: Sequence[str]) -> DataFrame:
+    """Each URL offered (seq, url, those of by) with its disposition. What robots rules say is written down, since the frontier looks at it more than once."""
+    kept = [*dict.fromkeys(["seq", "url", *by])]
+    offered = written(can_fetch(urls, rules).select(*kept, "allowed"), "offered") if rules is not None else urls.select(*kept, F.lit(True).alias("allowed"))
     return disposition(offered, max_size, seen)
 
 
-def batch_run(urls: DataFrame, fetches: DataFrame, rules: DataFrame | None = None, *, log: DataFrame | None = None, seen: DataFrame | None = None, max_size: int | None = OPTIONS.queue_size, popped: int | None = None) -> tuple[DataFrame, DataFrame]:
+def batch_run(urls: DataFrame, fetches: DataFrame, rules: DataFrame | None = None, *, log: DataFrame | None = None, seen: DataFrame | None = None, max_size: int | None = OPTIONS.queue_size, popped: int | None = None, by: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """Results of the URLs (seq, url) that the frontier takes, and one row of queue statistics.
 
     URLs that robots rules deny, repeats and those beyond max_size are counted
     in the statistics and have no result. All that is taken is processed,
-    unless popped says how many were.
+    unless popped says how many were. by as in process(), over columns of urls.
     """
-    judged = _judged(urls, rules, max_size, seen)
+    judged = _judged(urls, rules, max_size, seen, by)
     if popped is None:
         stats = queue_stats(judged, max_size).withColumns({"total_processed": F.col("total_added"), "current_size": F.lit(0).cast("long")})
     else:
         stats = queue_stats(judged, max_size, popped)
-    return process(judged.where("disposition = 'added'").select("url"), fetches, log), stats
+    return process(judged.where("disposition = 'added'").select("url", *by), fetches, log, by=by), stats
 
 
 class RunMetrics:
@@ -124,21 +139,21 @@ class RunMetrics:
         return with_rates(self.of_session.get)
 
 
-def observed_run(urls: DataFrame, fetches: DataFrame, rules: DataFrame | None = None, *, log: DataFrame | None = None, seen: DataFrame | None = None, max_size: int | None = OPTIONS.queue_size) -> tuple[DataFrame, RunMetrics]:
+def observed_run(urls: DataFrame, fetches: DataFrame, rules: DataFrame | None = None, *, log: DataFrame | None = None, seen: DataFrame | None = None, max_size: int | None = OPTIONS.queue_size, by: Sequence[str] = ()) -> tuple[DataFrame, RunMetrics]:
     """Like batch_run, with statistics that the job which exports the results gives as well.
 
     The first action on the results gives the figures, so it must be the one that takes all rows.
     """
     metrics = RunMetrics()
-    judged = _judged(urls, rules, max_size, seen).observe(metrics.of_queue, *queue_counts())
-    results = process(judged.where("disposition = 'added'").select("url"), fetches, log)
+    judged = _judged(urls, rules, max_size, seen, by).observe(metrics.of_queue, *queue_counts())
+    results = process(judged.where("disposition = 'added'").select("url", *by), fetches, log, by=by)
     return results.observe(metrics.of_session, *session_counts()), metrics
 
 
-def single_runs(urls: DataFrame, fetches: DataFrame, rules: DataFrame, log: DataFrame | None = None) -> DataFrame:
-    """A result for each URL as if it were run alone: those that robots rules deny fail without a fetch."""
+def single_runs(urls: DataFrame, fetches: DataFrame, rules: DataFrame, log: DataFrame | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """A result for each URL as if it were run alone: those that robots rules deny fail without a fetch. by as in process()."""
     judged = can_fetch(urls, rules)
-    return process(judged.where("allowed").select("url"), fetches, log).unionByName(blocked_by_robots(judged.where("not allowed")), allowMissingColumns=True)
+    return process(judged.where("allowed").select("url", *by), fetches, log, by=by).unionByName(blocked_by_robots(judged.where("not allowed")), allowMissingColumns=True)
 
 
 def session_counts() -> list[Column]:

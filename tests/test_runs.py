@@ -139,3 +139,19 @@ def test_ten_thousand_rules_over_hot_and_odd_domains(spark):
         assert got[i].allowed == want, u
         assert got[i].crawl_delay == (4.0 if host == "big" else None) and got[i].rules == {"k": "v"} and got[i].domain == "d"
     assert robots.can_fetch(df.where("false"), table).collect() == [] and all(r.allowed for r in robots.can_fetch(df, table.where("false")).collect())
+
+
+def test_several_fetches_of_a_url_give_one_row(spark):
+    fetches = spark.createDataFrame([("http://h/a", 500, "bad", 0.1, None), ("http://h/a", 200, "<title>good</title>", 0.4, None), ("http://h/a", 200, "<title>timed</title>", 0.1, "late"), ("http://h/b", 429, None, 0.2, None), ("http://h/b", 429, None, 0.2, None)], FETCHES)
+    asked = spark.createDataFrame([("http://h/a",), ("http://h/b",)], "url string")
+    for rows in (fetches, fetches.repartition(3)):
+        got = sorted((r.url, r.status_code, r.data.title if r.data else None) for r in routing.process(asked, rows).collect())
+        assert got == [("http://h/a", 200, "good"), ("http://h/b", 429, None)]
+
+
+def test_single_runs_of_pages_at_one_url_take_their_own_fetch(spark):
+    asked = spark.createDataFrame([(1, "http://h/a"), (2, "http://h/a"), (3, "http://h/a"), (4, "http://h/private")], "page_id long, url string")
+    fetches = spark.createDataFrame([(1, "http://h/a", 200, "<title>one</title>", 0.1, None), (2, "http://h/a", 500, "", 0.1, None), (4, "http://h/private", 200, "x", 0.1, None)], "page_id long, " + FETCHES)
+    rules = robots.rule_table(spark.createDataFrame([("h", 200, "User-agent: *\nDisallow: /private")], "domain string, status int, body string"))
+    got = routing.single_runs(asked, fetches, rules, by=["page_id"]).select("url", "success", "error", "data.title").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted([("http://h/a", True, None, "one"), ("http://h/a", False, "HTTP 500", None), ("http://h/a", False, "not fetched", None), ("http://h/private", False, "Blocked by robots.txt", None)], key=repr)
