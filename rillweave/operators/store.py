@@ -6,6 +6,8 @@ size_bytes, status_code, content, op (S or D).
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,30 +16,30 @@ from ..functions.urls import storage_filename, storage_key
 META = ["url", "url_hash", "filename", "content_type", "stored_at", "size_bytes", "status_code"]
 
 
-def save_rows(pages: DataFrame) -> DataFrame:
-    """Log rows that save url, content, stored_at; content_type is html and status_code 200 where not given."""
+def save_rows(pages: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Log rows that save url, content, stored_at; content_type is html and status_code 200 where not given. by: further columns that the log keeps."""
     have = set(pages.columns)
     kind = F.coalesce(F.col("content_type"), F.lit("html")) if "content_type" in have else F.lit("html")
     status = F.coalesce(F.col("status_code"), F.lit(200)) if "status_code" in have else F.lit(200)
     url = F.col("url")
-    return pages.select("url", storage_key(url).alias("url_hash"), storage_filename(url, kind).alias("filename"), kind.alias("content_type"), F.col("stored_at").cast("double").alias("stored_at"), F.octet_length("content").cast("long").alias("size_bytes"), status.cast("int").alias("status_code"), "content", F.lit("S").alias("op"))
+    return pages.select("url", storage_key(url).alias("url_hash"), storage_filename(url, kind).alias("filename"), kind.alias("content_type"), F.col("stored_at").cast("double").alias("stored_at"), F.octet_length("content").cast("long").alias("size_bytes"), status.cast("int").alias("status_code"), "content", F.lit("S").alias("op"), *by)
 
 
-def delete_rows(urls: DataFrame) -> DataFrame:
-    """Log rows that delete url at stored_at."""
+def delete_rows(urls: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Log rows that delete url at stored_at. by as in save_rows()."""
     null = lambda kind: F.lit(None).cast(kind)
-    return urls.select("url", storage_key(F.col("url")).alias("url_hash"), null("string").alias("filename"), null("string").alias("content_type"), F.col("stored_at").cast("double").alias("stored_at"), null("long").alias("size_bytes"), null("int").alias("status_code"), null("string").alias("content"), F.lit("D").alias("op"))
+    return urls.select("url", storage_key(F.col("url")).alias("url_hash"), null("string").alias("filename"), null("string").alias("content_type"), F.col("stored_at").cast("double").alias("stored_at"), null("long").alias("size_bytes"), null("int").alias("status_code"), null("string").alias("content"), F.lit("D").alias("op"), *by)
 
 
-def latest(log: DataFrame, fields: list[str], by: list[str] | None = None) -> DataFrame:
+def latest(log: DataFrame, fields: list[str], by: Sequence[str] = ()) -> DataFrame:
     """fields and op of the latest row of each key, deletes too; at equal times deletes come first, then the larger size.
 
-    by: columns that follow from the key, by which the rows may lie already. An aggregate, not a window: partial maxima shrink a hot key before the shuffle.
+    by: columns that go before the key, as those by which the rows lie already, or those that tell visits of a URL apart. An aggregate, not a window: partial maxima shrink a hot key before the shuffle.
     """
     order = F.struct("stored_at", F.col("op") == "S", "size_bytes", "url")
     kept = [*dict.fromkeys([*fields, "url_hash", "op"])]
-    found = log.groupBy(*(by or []), F.col("url_hash").alias("__key")).agg(F.max_by(F.struct(*kept), order).alias("r"))
-    return found.select(*(by or []), *(F.col(f"r.{c}").alias(c) for c in kept))
+    found = log.groupBy(*by, F.col("url_hash").alias("__key")).agg(F.max_by(F.struct(*kept), order).alias("r"))
+    return found.select(*by, *(F.col(f"r.{c}").alias(c) for c in kept))
 
 
 def current(log: DataFrame, content: bool = True) -> DataFrame:

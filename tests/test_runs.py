@@ -155,3 +155,19 @@ def test_single_runs_of_pages_at_one_url_take_their_own_fetch(spark):
     rules = robots.rule_table(spark.createDataFrame([("h", 200, "User-agent: *\nDisallow: /private")], "domain string, status int, body string"))
     got = routing.single_runs(asked, fetches, rules, by=["page_id"]).select("url", "success", "error", "data.title").collect()
     assert sorted(map(tuple, got), key=repr) == sorted([("http://h/a", True, None, "one"), ("http://h/a", False, "HTTP 500", None), ("http://h/a", False, "not fetched", None), ("http://h/private", False, "Blocked by robots.txt", None)], key=repr)
+
+
+def visits(spark):
+    """Three visits of one URL: held, deleted and fetched, and only fetched."""
+    asked = spark.createDataFrame([(i, "http://h/a") for i in (1, 2, 3)], "page_id long, url string")
+    fetches = spark.createDataFrame([(i, "http://h/a", 200 if i < 3 else 500, f"<title>f{i}</title>" + "word " * 300, 0.1, None) for i in (1, 2, 3)], "page_id long, " + FETCHES)
+    saved = spark.createDataFrame([(i, "http://h/a", f"<title>s{i}</title>", 1.0) for i in (1, 2)], "page_id long, url string, content string, stored_at double")
+    gone = spark.createDataFrame([(2, "http://h/a", 3.0)], "page_id long, url string, stored_at double")
+    return asked, fetches, store.save_rows(saved, by=["page_id"]).unionByName(store.delete_rows(gone, by=["page_id"]))
+
+
+def test_visits_of_one_url_have_their_own_history(spark):
+    asked, fetches, log = visits(spark)
+    got = sorted((r.route, r.status_code, r.data.title if r.data else None) for r in routing.process(asked, fetches, log, by=["page_id"]).collect())
+    assert got == [("cache", 0, "s1"), ("failed", 500, None), ("http", 200, "f2")]
+    assert {r.route for r in routing.process(asked, fetches, log).collect()} == {"http"}  # told by the URL alone, the delete is the last word
