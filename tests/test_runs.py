@@ -186,3 +186,12 @@ def test_a_batch_takes_the_visit_that_was_first(spark):
     assert [(r.route, r.data.title) for r in results.collect()] == [("http", "f2")]
     assert routing.batch_run(offered, fetches, log=log, by=["page_id"])[0].first().error == "HTTP 500"
     assert queue.first().duplicates_skipped == 1
+
+
+def test_batch_stats_count_a_url_that_was_fetched_twice_once(spark):
+    asked, fetches, log = visits(spark)
+    results, queue = routing.batch_run(asked.withColumn("seq", F.col("page_id")), fetches, log=log, by=["page_id"])
+    got = routing.combined_stats(results, queue).select("session.urls_processed", "session.urls_successful", "queue.total_added", "queue.duplicates_skipped").first()
+    assert tuple(got) == (1, 1, 1, 2)
+    results, queue = routing.batch_run(asked.withColumn("seq", F.col("page_id")), fetches)
+    assert routing.combined_stats(results, queue).first().session.urls_processed == 1
