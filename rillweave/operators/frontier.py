@@ -22,13 +22,14 @@ def disposition(urls: DataFrame, max_size: int | None = OPTIONS.queue_size, seen
     its first allowed row; once max_size are taken the rest is rejected, but
     repeats of taken keys still count as duplicates, and a denied row is never
     marked as seen. seen: keys (`key`) taken before. The cut-off is a top-k, not
-    a global sort; None is no cut-off. urls are used more than once, so costly
+    a global sort; None is no cut-off. Keys may be in seen more than once. urls are used more than once, so costly
     ones should be written first.
     """
     keyed = urls.withColumn("__key", dedup_key(F.col("url")))
     first = keyed.where("allowed").groupBy("__key").agg(F.min("seq").alias("__first"))
     if seen is not None:
-        first = first.join(seen.select(F.col("key").alias("__key")), "__key", "left_anti")
+        old = seen.select(F.col("key").alias("__key")).distinct()
+        first = first.join(old, "__key", "left_anti")
     rows = keyed.join(first, "__key", "left")
     if max_size is None:
         rows = rows.withColumn("__cutoff", F.lit((1 << 63) - 1))
@@ -37,7 +38,7 @@ def disposition(urls: DataFrame, max_size: int | None = OPTIONS.queue_size, seen
         cutoff = F.when(F.col("__n") == max_size, F.col("__last")).otherwise(F.lit((1 << 63) - 1)) if max_size else F.lit(-1)
         rows = rows.join(F.broadcast(full.select(cutoff.alias("__cutoff"))))  # one row
     if seen is not None:
-        rows = rows.join(seen.select(F.col("key").alias("__key"), F.lit(True).alias("__old")), "__key", "left")
+        rows = rows.join(old.withColumn("__old", F.lit(True)), "__key", "left")
     else:
         rows = rows.withColumn("__old", F.lit(None).cast("boolean"))
     kind = (

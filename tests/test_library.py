@@ -84,6 +84,15 @@ def test_frontier_like_one_by_one(spark):
     assert frontier.peek(got).first().seq == 0
 
 
+def test_keys_seen_more_than_once_do_not_multiply_urls(spark):
+    offers = spark.createDataFrame([(i, f"http://x/{i % 3}", True) for i in range(6)], "seq long, url string, allowed boolean")
+    seen = frontier.seen_keys(frontier.disposition(offers.where("seq < 1")))
+    want = {0: "duplicate", 1: "added", 2: "rejected_full", 3: "duplicate", 4: "duplicate", 5: "rejected_full"}
+    for keys in (seen, seen.unionByName(seen).unionByName(seen)):
+        got = frontier.disposition(offers, 1, keys).collect()
+        assert len(got) == 6 and {r.seq: r.disposition for r in got} == want
+
+
 def test_limiter(spark):
     asked = spark.createDataFrame([("d", 0.0, i, 0.0, None) for i in range(7)], "domain string, ts double, seq long, delay double, halt double")
     assert [r.admitted for r in limiter.token_bucket(asked, refill_rate=1.0).orderBy("seq").collect()] == [True] * 5 + [False] * 2
