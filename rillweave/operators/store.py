@@ -10,6 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.urls import storage_filename, storage_key
 
@@ -42,10 +43,10 @@ def latest(log: DataFrame, fields: list[str], by: Sequence[str] = ()) -> DataFra
     return found.select(*by, *(F.col(f"r.{c}").alias(c) for c in kept))
 
 
-def current(log: DataFrame, content: bool = True) -> DataFrame:
-    """The page held under each key: the latest log row unless it is a delete."""
+def current(log: DataFrame, content: bool = True, by: Sequence[str] = ()) -> DataFrame:
+    """The page held under each key: the latest log row unless it is a delete. by as in latest()."""
     fields = META + ["content"] if content else META
-    return latest(log, fields).where("op = 'S'").select(*fields)
+    return latest(log, fields, by).where("op = 'S'").select(*by, *fields)
 
 
 def load(log: DataFrame, url: str) -> DataFrame:
@@ -72,26 +73,30 @@ def stats(log: DataFrame) -> DataFrame:
 
 
 class RawStore:
-    """The log as a plain Parquet folder: saves and deletes append, clear rewrites. generations.PageStore is the one for stores that live on."""
+    """The log as a plain Parquet folder: saves and deletes append, clear rewrites. generations.PageStore is the one for stores that live on.
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+    by: further columns (as DDL) of what is saved and deleted that tell visits of a URL apart; each is held on its own.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, by: str = ""):
+        self.spark, self.path, self._by = spark, path, T.StructType.fromDDL(by) if by else T.StructType()
 
     def log(self) -> DataFrame:
-        schema = "url string, url_hash string, filename string, content_type string, stored_at double, size_bytes bigint, status_code int, content string, op string"
+        schema = T.StructType.fromDDL("url string, url_hash string, filename string, content_type string, stored_at double, size_bytes bigint, status_code int, content string, op string")
+        schema = T.StructType([*schema, *self._by])
         jvm = self.spark.sparkContext._jvm
         place = jvm.org.apache.hadoop.fs.Path(self.path)
         there = place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
         return self.spark.read.schema(schema).parquet(self.path) if there else self.spark.createDataFrame([], schema)
 
     def save(self, pages: DataFrame) -> None:
-        save_rows(pages).write.mode("append").parquet(self.path)
+        save_rows(pages, self._by.names).write.mode("append").parquet(self.path)
 
     def delete(self, urls: DataFrame) -> None:
-        delete_rows(urls).write.mode("append").parquet(self.path)
+        delete_rows(urls, self._by.names).write.mode("append").parquet(self.path)
 
     def list_all(self) -> DataFrame:
-        return current(self.log(), content=False)
+        return current(self.log(), content=False, by=self._by.names)
 
     def clear(self) -> int:
         """Empty the store; how many pages it held."""

@@ -155,3 +155,15 @@ def test_many_points_and_earlier_versions(spark, held):
     assert sorted((r.n, r.content) for r in held.load_many(asked).collect()) == [(2, "1"), (3, "1")]
     assert content(held, first) == {"a": "1", "b": "1"} and content(held, 0) == {}
     assert held.clear() == 1 and content(held) == {} and content(held, first) == {"a": "1", "b": "1"}
+
+
+def test_a_store_that_tells_visits_apart_holds_each(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "u", "a", 1.0), (2, "u", "b", 1.0), (2, "u", "bb", 2.0), (3, "v", "c", 1.0)], "page_id long, url string, content string, stored_at double")
+    gone = spark.createDataFrame([(1, "u", 3.0)], "page_id long, url string, stored_at double")
+    for by, want in (("page_id bigint", [("u", 2), ("v", 1)]), ("", [("v", 1)])):
+        held = store.RawStore(spark, f"file://{tmp_path}/raw{len(by)}", by)
+        assert held.list_all().count() == 0
+        held.save(rows)
+        held.delete(gone)
+        assert sorted((r.url, r.size_bytes) for r in held.list_all().collect()) == want
+        assert held.clear() == len(want) and held.list_all().count() == 0
