@@ -101,6 +101,14 @@ def page_text(page: Column, cleaner: Cleaner = DEFAULT) -> Column:
     return cleaner.clean(markup_removed(page, comments=True))
 
 
+def ended_references(page: Column) -> Column:
+    """HTML in which only what ends in a semicolon is a character reference; other ampersands are text.
+
+    Decoding takes `&amp` and `&copy=1` for references too, as browsers do and the cleaner by default; where text was cut, or URLs stand in it, that is not wanted.
+    """
+    return F.regexp_replace(page, "&(?!(?:#[0-9]+|#[xX][0-9A-Fa-f]+|[A-Za-z][A-Za-z0-9]*);)", "&amp;")
+
+
 def rating_number(word: Column) -> Column:
     """One to Five as a number, null for any other word."""
     names = ["One", "Two", "Three", "Four", "Five"]

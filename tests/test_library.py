@@ -63,6 +63,13 @@ def test_robots_like_the_standard_library(spark):
     assert robots.filter_urls(spark.createDataFrame([], "url string"), robots.rule_table(table)).collect() == []
 
 
+def test_references_without_a_semicolon(spark):
+    page = "<title>a&amp;b&amp</title><p>&copy=1 & &#65; &#x42; &#67 &nosuch; &lt;i&gt;</p>"
+    assert one(spark, page, text.page_text) == "a&b& ©=1 & A B C &nosuch; <i>"
+    assert one(spark, page, lambda c: text.page_text(text.ended_references(c))) == "a&b&amp &copy=1 & A B &#67 &nosuch; <i>"
+    assert one(spark, None, text.ended_references) is None
+
+
 def test_frontier_like_one_by_one(spark):
     draw = random.Random(6)
     for size in (1, 3, 50):
