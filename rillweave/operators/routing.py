@@ -61,15 +61,18 @@ def process(urls: DataFrame, fetches: DataFrame, log: DataFrame | None = None, p
     """
     by = list(by)
     rendered = F.col("rendered") if "rendered" in fetches.columns else F.lit(None).cast("string")
-    rows = urls.select("url", *by)
+    rows = urls.select("url", *by, storage_key(F.col("url")).alias("__key"))
     if log is not None:
         kept = latest(log, ["content"], by).where("op = 'S'").select(*by, F.col("url_hash").alias("__key"), F.col("content").alias("__held"), F.lit(True).alias("__is_held"))
-        rows = rows.withColumn("__key", storage_key(F.col("url"))).join(kept, [*by, "__key"], "left")
+        rows = rows.join(kept, [*by, "__key"], "left")
     else:
         rows = rows.withColumns({"__held": F.lit(None).cast("string"), "__is_held": F.lit(None).cast("boolean")})
     held = F.coalesce("__is_held", F.lit(False))
-    fetched = _one_each(fetches.select(F.col("url").alias("__url"), *(F.col(c).alias(f"__{c}") for c in by), "status_code", "content", "response_time", "error", rendered.alias("rendered")), ["__url", *(f"__{c}" for c in by)])
-    same = [F.col("url") == F.col("__url"), *(F.col(c) == F.col(f"__{c}") for c in by)]
+    named = [F.col(c).alias(f"__of_{c}") for c in by]
+    fetched = fetches.select(*named, storage_key(F.col("url")).alias("__of_key"), F.col("url").alias("__url"), "status_code", "content", "response_time", "error", rendered.alias("rendered"))
+    fetched = _one_each(fetched, [*(f"__of_{c}" for c in by), "__of_key"], "__url")
+    # Fetches meet rows by the key of the store, by which the rows lie already; as an equality the URL would become a key too, and held pages would move once more.
+    same = [*(F.col(c) == F.col(f"__of_{c}") for c in by), F.col("__key") == F.col("__of_key"), F.col("url") >= F.col("__url"), F.col("url") <= F.col("__url")]
     # Every row has its page and its fetch beside it, so that urls and the log are gone through once; held rows take no fetch.
     got = rows.join(fetched, [*same, ~held], "left")
     way = F.when(F.col("status_code").isNull(), "failed").otherwise(route(F.col("status_code"), F.col("error"), F.col("content")))
@@ -92,11 +95,11 @@ def process(urls: DataFrame, fetches: DataFrame, log: DataFrame | None = None, p
     return parsed
 
 
-def _one_each(fetches: DataFrame, keys: list[str]) -> DataFrame:
-    """The fetch of each key that counts. An aggregate by the columns that the join goes by, so it adds no exchange."""
+def _one_each(fetches: DataFrame, keys: list[str], url: str) -> DataFrame:
+    """The fetch of each URL under the keys that counts; rows come by the keys, so that the join with them needs no exchange of its own."""
     first = F.struct(is_success(F.col("status_code"), F.col("error")), -F.col("status_code"), -F.col("response_time"), F.octet_length("content"), F.xxhash64("content", "rendered", "error"))
-    rest = [c for c in fetches.columns if c not in keys]
-    return fetches.groupBy(*keys).agg(F.max_by(F.struct(*rest), first).alias("__f")).select(*keys, *(F.col(f"__f.{c}").alias(c) for c in rest))
+    rest = [c for c in fetches.columns if c not in (*keys, url)]
+    return fetches.repartition(*keys).groupBy(*keys, url).agg(F.max_by(F.struct(*rest), first).alias("__f")).select(*keys, url, *(F.col(f"__f.{c}").alias(c) for c in rest))
 
 
 def blocked_by_robots(urls: DataFrame) -> DataFrame:

@@ -40,8 +40,10 @@ def latest(log: DataFrame, fields: list[str], by: Sequence[str] = ()) -> DataFra
     told = [F.xxhash64("content")] if "content" in fields else []  # last, so that reads without content find the same row
     order = F.struct("stored_at", F.col("op") == "S", "size_bytes", "url", "status_code", "content_type", *told)
     kept = [*dict.fromkeys([*fields, "url_hash", "op"])]
-    found = log.groupBy(*by, F.col("url_hash").alias("__key")).agg(F.max_by(F.struct(*kept), order).alias("r"))
-    return found.select(*by, *(F.col(f"r.{c}").alias(c) for c in kept))
+    inside = [c for c in kept if c != "url_hash"]
+    found = log.groupBy(*by, F.col("url_hash").alias("__key")).agg(F.max_by(F.struct(*inside), order).alias("r"))
+    # The key itself and not a copy of it from the row, so that a join by it finds the rows where they lie.
+    return found.select(*by, *(F.col(f"r.{c}" if c in inside else "__key").alias(c) for c in kept))
 
 
 def current(log: DataFrame, content: bool = True, by: Sequence[str] = ()) -> DataFrame:

@@ -204,3 +204,17 @@ def test_an_observed_run_counts_visits_as_it_exports_them(spark, tmp_path):
         path = exporters.to_jsonl(results.select("url", "route", "data.title"), f"{tmp_path}/{title}")
         assert [r.asDict().get("title") for r in spark.read.schema("url string, route string, title string").json(path).collect()] == [title]
         assert (metrics.session()["urls_processed"], metrics.session()["browser_fetches"], metrics.queue()["duplicates_skipped"]) == (1, browser, 2)
+
+
+def test_urls_the_log_and_fetches_move_once_each(spark, tmp_path):
+    for name, df in zip(("asked", "fetches", "log"), visits(spark)):
+        df.write.parquet(f"{tmp_path}/{name}")
+    asked, fetches, log = (spark.read.parquet(f"{tmp_path}/{name}") for name in ("asked", "fetches", "log"))
+    size = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for by in ([], ["page_id"]):
+            plan = routing.process(asked, fetches, log, by=by)._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("Exchange hashpartitioning") == 3
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", size)
