@@ -43,3 +43,17 @@ def from_sql(folder, sql):
 
 def test_batch_stats_are_those_of_the_sql(spark, folders):
     assert found(spark, "batch_stats", folders) == from_sql(folders[0], registry.ORACLE_SQL["batch_stats"])
+
+
+def permitted(folder, name):
+    """Every row that the SQL may give: those that tie for the first place, of which a run of it takes any one."""
+    sql = registry.ORACLE_SQL[name]
+    assert "row_number()" in sql
+    return from_sql(folder, sql.replace("row_number()", "rank()"))
+
+
+def test_what_store_generations_holds_is_permitted(spark, folders):
+    got, may = found(spark, "store_generations", folders), permitted(folders[0], "store_generations")
+    url = 3  # columns come by name
+    assert set(got) <= set(may) and len(set(may)) > len(got)
+    assert [r[url] for r in sorted(got, key=lambda r: r[url])] == sorted({r[url] for r in may})
