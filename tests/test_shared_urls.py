@@ -57,3 +57,10 @@ def test_what_store_generations_holds_is_permitted(spark, folders):
     url = 3  # columns come by name
     assert set(got) <= set(may) and len(set(may)) > len(got)
     assert [r[url] for r in sorted(got, key=lambda r: r[url])] == sorted({r[url] for r in may})
+
+
+def test_point_reads_are_permitted_and_find_what_a_compaction_keeps(spark, folders):
+    got, may = found(spark, "store_point_reads", folders), permitted(folders[0], "store_point_reads")
+    assert set(got) <= set(may) and len(set(may)) > len(got)
+    assert sorted(page for _, page, _ in got) == sorted({page for _, page, _ in may})
+    assert {md5 for md5, _, _ in got} <= {r[0] for r in found(spark, "store_generations", folders)}
