@@ -64,3 +64,13 @@ def test_point_reads_are_permitted_and_find_what_a_compaction_keeps(spark, folde
     assert set(got) <= set(may) and len(set(may)) > len(got)
     assert sorted(page for _, page, _ in got) == sorted({page for _, page, _ in may})
     assert {md5 for md5, _, _ in got} <= {r[0] for r in found(spark, "store_generations", folders)}
+
+
+def test_store_stats_add_up_what_the_store_lists(spark, folders):
+    (got,) = found(spark, "store_stats", folders)
+    listed, may = found(spark, "store_current", folders), permitted(folders[0], "store_current")
+    size, url = 2, 4  # columns come by name
+    assert got == (len(listed), sum(r[size] for r in listed)) and set(listed) <= set(may)
+    sizes = [[r[size] for r in may if r[url] == u] for u in {r[url] for r in may}]
+    assert len(sizes) == got[0] and sum(map(min, sizes)) <= got[1] <= sum(map(max, sizes))
+    assert sum(map(min, sizes)) < sum(map(max, sizes))  # or the pages wouldn't tie
