@@ -74,3 +74,20 @@ def test_store_stats_add_up_what_the_store_lists(spark, folders):
     sizes = [[r[size] for r in may if r[url] == u] for u in {r[url] for r in may}]
     assert len(sizes) == got[0] and sum(map(min, sizes)) <= got[1] <= sum(map(max, sizes))
     assert sum(map(min, sizes)) < sum(map(max, sizes))  # or the pages wouldn't tie
+
+
+def larger_first(folder, name, of):
+    """The rows that the SQL gives where ties go to the larger size, by column `of`; only those that this leaves nothing open for."""
+    sql, order = registry.ORACLE_SQL[name], "ORDER BY stored_at DESC"
+    assert order in sql
+    told = {}
+    for r in from_sql(folder, sql.replace("row_number()", "rank()").replace(order, f"{order}, strlen(content) DESC")):
+        told.setdefault(r[of], set()).add(r)
+    return {k: one for k, (one, *more) in told.items() if not more}
+
+
+def test_store_generations_differs_from_its_sql_only_by_what_that_leaves_open(spark, folders):
+    url = 3
+    told, may = larger_first(folders[0], "store_generations", url), permitted(folders[0], "store_generations")
+    assert len({r for r in may if r[url] in told}) > len(told) > 0  # the SQL as it is leaves these open
+    assert {r[url]: r for r in found(spark, "store_generations", folders) if r[url] in told} == told
