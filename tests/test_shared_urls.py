@@ -91,3 +91,10 @@ def test_store_generations_differs_from_its_sql_only_by_what_that_leaves_open(sp
     told, may = larger_first(folders[0], "store_generations", url), permitted(folders[0], "store_generations")
     assert len({r for r in may if r[url] in told}) > len(told) > 0  # the SQL as it is leaves these open
     assert {r[url]: r for r in found(spark, "store_generations", folders) if r[url] in told} == told
+
+
+def test_point_reads_differ_from_their_sql_only_by_what_that_leaves_open(spark, folders):
+    page = 1
+    told, may = larger_first(folders[0], "store_point_reads", page), permitted(folders[0], "store_point_reads")
+    assert len({r for r in may if r[page] in told}) > len(told) > 0
+    assert {r[page]: r for r in found(spark, "store_point_reads", folders) if r[page] in told} == told
