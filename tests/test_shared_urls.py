@@ -98,3 +98,10 @@ def test_point_reads_differ_from_their_sql_only_by_what_that_leaves_open(spark,
     told, may = larger_first(folders[0], "store_point_reads", page), permitted(folders[0], "store_point_reads")
     assert len({r for r in may if r[page] in told}) > len(told) > 0
     assert {r[page]: r for r in found(spark, "store_point_reads", folders) if r[page] in told} == told
+
+
+def test_store_stats_are_those_of_the_sql_where_ties_go_to_the_larger_size(spark, folders):
+    url, sql = 4, registry.ORACLE_SQL["store_stats"]
+    told = larger_first(folders[0], "store_current", url)
+    assert found(spark, "store_stats", folders) == from_sql(folders[0], sql.replace("ORDER BY stored_at DESC", "ORDER BY stored_at DESC, strlen(content) DESC"))
+    assert told and {r[url]: r for r in found(spark, "store_current", folders) if r[url] in told} == told
