@@ -33,11 +33,11 @@ def delete_rows(urls: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def latest(log: DataFrame, fields: list[str], by: Sequence[str] = ()) -> DataFrame:
-    """fields and op of the latest row of each key, deletes too; at equal times deletes come first, then the larger size, then status and type; the content's hash settles the rest, so that the order of rows never does.
+    """fields and op of the latest row of each key, deletes too; at equal times deletes come first, then the larger size, then status and type; the larger MD5 of the content settles the rest, so that the order of rows never does and SQL can say the same.
 
     by: columns that go before the key, as those by which the rows lie already, or those that tell visits of a URL apart. An aggregate, not a window: partial maxima shrink a hot key before the shuffle.
     """
-    told = [F.xxhash64("content")] if "content" in fields else []  # last, so that reads without content find the same row
+    told = [F.md5("content")] if "content" in fields else []  # last, so that reads without content find the same row
     order = F.struct("stored_at", F.col("op") == "S", "size_bytes", "url", "status_code", "content_type", *told)
     kept = [*dict.fromkeys([*fields, "url_hash", "op"])]
     inside = [c for c in kept if c != "url_hash"]

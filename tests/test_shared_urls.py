@@ -105,3 +105,20 @@ def test_store_stats_are_those_of_the_sql_where_ties_go_to_the_larger_size(spark
     told = larger_first(folders[0], "store_current", url)
     assert found(spark, "store_stats", folders) == from_sql(folders[0], sql.replace("ORDER BY stored_at DESC", "ORDER BY stored_at DESC, strlen(content) DESC"))
     assert told and {r[url]: r for r in found(spark, "store_current", folders) if r[url] in told} == told
+
+
+#: What the code does at ties, as SQL: nothing is open then.
+WHOLE_ORDER = "ORDER BY stored_at DESC, strlen(content) DESC, md5(content) DESC"
+
+
+def from_whole_order(folder, name):
+    """The rows of the SQL with ties settled; the same whichever rows it numbers first."""
+    sql, order = registry.ORACLE_SQL[name], "ORDER BY stored_at DESC"
+    assert order in sql
+    got = from_sql(folder, sql.replace(order, WHOLE_ORDER))
+    assert sorted(set(from_sql(folder, sql.replace("row_number()", "rank()").replace(order, WHOLE_ORDER)))) == sorted(set(got))
+    return got
+
+
+def test_store_generations_are_those_of_the_sql_with_ties_settled(spark, folders):
+    assert found(spark, "store_generations", folders) == from_whole_order(folders[0], "store_generations")
