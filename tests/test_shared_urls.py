@@ -122,3 +122,7 @@ def from_whole_order(folder, name):
 
 def test_store_generations_are_those_of_the_sql_with_ties_settled(spark, folders):
     assert found(spark, "store_generations", folders) == from_whole_order(folders[0], "store_generations")
+
+
+def test_point_reads_are_those_of_the_sql_with_ties_settled(spark, folders):
+    assert found(spark, "store_point_reads", folders) == from_whole_order(folders[0], "store_point_reads")
