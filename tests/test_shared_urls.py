@@ -126,3 +126,8 @@ def test_store_generations_are_those_of_the_sql_with_ties_settled(spark, folders
 
 def test_point_reads_are_those_of_the_sql_with_ties_settled(spark, folders):
     assert found(spark, "store_point_reads", folders) == from_whole_order(folders[0], "store_point_reads")
+
+
+def test_store_stats_and_what_they_add_up_are_those_of_the_sql_with_ties_settled(spark, folders):
+    assert found(spark, "store_stats", folders) == from_whole_order(folders[0], "store_stats")
+    assert found(spark, "store_current", folders) == from_whole_order(folders[0], "store_current")
